@@ -73,12 +73,12 @@ def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def text_chunks(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets) of runs of whole texts of about CHUNK_BYTES."""
+def text_chunks(arr: pa.Array, rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets) of runs of at most ``rows`` whole texts of about CHUNK_BYTES."""
     data, off = text_bytes(arr)
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK_BYTES, side="right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(off, off[i] + CHUNK_BYTES, side="right")) - 1), n)
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 
