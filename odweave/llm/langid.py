@@ -29,7 +29,7 @@ ORDERS = (1, 2, 3)
 #: Rows of a language that centroids are fitted on at most, and centroids of a language.
 FIT_PER_LANG, CENTROIDS = 500, 4
 #: A text is rejected below this share of the smallest cosine of the sample texts of its length class.
-MARGIN = 0.6
+MARGIN = 0.5
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -98,11 +98,12 @@ class Model:
             cos = self.cosines(x)
             for k, name in enumerate(self.names):
                 own, cls = cos[lang == name, k], length_class(size[lang == name])
-                floor = 1.0
+                floor, ease = 1.0, 1.0
                 for c in range(7, -1, -1):  # shorter texts are further away: never stricter than for longer ones
                     if (cls == c).any():
                         floor = min(floor, float(own[cls == c].min()))
-                    self.least[k, c] = MARGIN * floor
+                    ease *= 1.0 if (cls == c).sum() >= 10 else 0.5  # a class that the sample hardly shows
+                    self.least[k, c] = MARGIN * floor * ease
 
     def cosines(self, x: np.ndarray) -> np.ndarray:
         """The largest cosine with a centroid of each language."""

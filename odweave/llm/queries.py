@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from odweave.llm import exact_dedup, langid, mixing, pii, sentencepiece_trie, toxicity
+from odweave.llm import exact_dedup, langid, mixing, neighbours, pii, sentencepiece_trie, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +30,24 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.annotate(_table(spark, sf_dir, "documents")).drop("times")
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_trie.encode(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_langid, op4_toxicity, op6_exact_dedup, op8_mixing, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_pii, op2_langid, op4_toxicity, op6_exact_dedup, op7_neighbours, op8_mixing, op9_substring, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

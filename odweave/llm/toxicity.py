@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from odweave.llm.common import fold_column, mix, text_chunks
 
-#: Labelled rows that the classifier is fitted on at most (half of each label), and features it keeps at most.
-FIT_DOCS, MAX_FEATURES = 6000, 4096
+#: Labelled rows that the classifier is fitted on at most (half of each label), features it keeps at most, and their
+#: ridge penalty.
+FIT_DOCS, MAX_FEATURES, L2 = 6000, 1024, 0.3
 BITS = 20
 ORDERS = (4, 5, 6)
 
@@ -252,13 +253,18 @@ class Model:
         x = np.zeros((len(labels), len(chosen)), np.float32)
         f = self.feature[slot]
         x[row[f >= 0], f[f >= 0]] = 1
-        w, c, v, vc = np.zeros(len(chosen)), math.log(n1 / n0), np.zeros(len(chosen)), 0.0
-        step = 4.0 / max(1.0, float((x.sum(1)).mean()))
-        for _ in range(400):  # gradient descent with momentum on the L2-penalised loss
-            e = 1 / (1 + np.exp(-np.clip(x @ w + c, -30, 30))) - labels
-            v = 0.9 * v - step * (x.T @ e / len(e) + 1e-4 * w)
-            vc = 0.9 * vc - step * e.mean()
-            w, c = w + v, c + vc
+        x = np.concatenate((x, np.ones((len(x), 1), np.float32)), 1)
+        w = np.zeros(x.shape[1], np.float32)
+        w[-1] = math.log(n1 / n0)
+        ridge = np.full(len(w), L2, np.float32)
+        ridge[-1] = 1e-3
+        for _ in range(12):  # Newton steps of ridge logistic regression
+            e = 1 / (1 + np.exp(-np.clip(x @ w, -15, 15)))
+            step = np.linalg.solve((x * (e * (1 - e))[:, None]).T @ x + np.diag(ridge), x.T @ (e - labels).astype(np.float32) + ridge * w)
+            w = w - step
+            if np.abs(step).max() < 1e-3:
+                break
+        w, c = w[:-1].astype(float), float(w[-1])
         self.weights = w
         self.bias = float(c - math.log(n1 / n0) + math.log(share / (1 - share)))
 
