@@ -203,6 +203,25 @@ def join_group(rows: DataFrame, stats: DataFrame, keys: list[str], size: str) ->
     return near.unionByName(far)
 
 
+#: Bound of a broadcast bitmap: 16 MB.
+MAX_BITS = 1 << 27
+
+
+def bitmap_filter(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose column may be among the keys (one column, not null), without a shuffle of rows: a Bloom bitmap of the
+    keys, of MAX_BITS bits at most whatever their number, is broadcast.  Rows that are not among them and pass are few while keys number under
+    MAX_BITS / 8; a join that decides must follow."""
+    count = keys.count()
+    bits = min(MAX_BITS, 1 << max(15, (16 * max(count, 1) - 1).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits)) + 1
+    hit = keys.select(slot(keys.columns[0]).alias("s"))
+    bitmap = stored(hit.groupBy(F.bitmap_bucket_number("s").alias("_bf_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bf_m")), "bitmap")
+    names = rows.columns
+    rows = rows.withColumns({"_bf_b": F.bitmap_bucket_number(slot(column)), "_bf_p": F.bitmap_bit_position(slot(column))}).join(F.broadcast(bitmap), "_bf_b")
+    byte = F.conv(F.hex(F.substring(F.col("_bf_m"), (F.col("_bf_p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    return rows.where(F.getbit(byte, (F.col("_bf_p") % 8).cast("int")) == 1).select(*names)
+
+
 # --- connected components -------------------------------------------------------------------
 
 
