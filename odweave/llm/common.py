@@ -285,6 +285,18 @@ def expand_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(expand(b), dtype=np.uint64)
 
 
+def pack(*parts: bytes) -> bytes:
+    head = np.array([len(parts), *map(len, parts)], np.int64).tobytes()
+    return head + b"".join(parts)
+
+
+def parts_of(raw: bytes) -> list[bytes]:
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    size = np.frombuffer(raw, np.int64, n, 8)
+    edge = 8 * (n + 1) + np.concatenate(([0], np.cumsum(size)))
+    return [raw[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
 def bucket_bounds(keys: np.ndarray, n: int) -> np.ndarray:
     """Positions that cut sorted uint64 keys into n buckets of equal key ranges."""
     edges = np.array([(i << 64) // n for i in range(1, n)], np.uint64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odweave.llm import exact_dedup, langid, mixing, neighbours, ngram_join, pii, sentencepiece_trie, substring, toxicity
+from odweave.llm import deleted_interpolation, exact_dedup, langid, mixing, neighbours, ngram_join, pii, sentencepiece_trie, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_predictions(_table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -51,7 +55,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_langid, op4_toxicity, op5_ngram_join, op6_exact_dedup, op7_neighbours, op8_mixing, op9_substring, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_pii, op2_langid, op3_lm_score, op4_toxicity, op5_ngram_join, op6_exact_dedup, op7_neighbours, op8_mixing, op9_substring, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -43,8 +43,10 @@ from odweave.llm.common import (
     gram_hashes,
     ids_of,
     mix,
+    pack,
     packed_batch,
     packed_exchange,
+    parts_of,
     release,
     squeeze,
     squeeze_sorted,
@@ -170,20 +172,8 @@ def _least_owner(slices: list[bytes]) -> list[bytes]:
     return [squeeze(x) for x in np.split(least, cuts)]
 
 
-def _pack(*parts: bytes) -> bytes:
-    head = np.array([len(parts), *map(len, parts)], np.int64).tobytes()
-    return head + b"".join(parts)
-
-
-def _parts(raw: bytes) -> list[bytes]:
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    size = np.frombuffer(raw, np.int64, n, 8)
-    edge = 8 * (n + 1) + np.concatenate(([0], np.cumsum(size)))
-    return [raw[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
-
-
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a, b, d = _parts(raw)
+    a, b, d = parts_of(raw)
     return expand_sorted(a), expand(b), expand(d)
 
 
@@ -233,7 +223,7 @@ def _compare(docs: DataFrame, hits: DataFrame, count: int, window: int, keep_tex
             starts = np.concatenate(held["starts"]) if held["starts"] else np.zeros(0, np.int32)
             lens = np.array([len(t) for t in held["texts"]], np.int64)
             done = "\n".join(held["done"]).encode()
-            state = _pack(
+            state = pack(
                 z.compress(done), squeeze(np.array(held["ids"], np.int64)), squeeze(lens), z.compress(b"".join(held["texts"])),
                 squeeze(np.array(held["per"], np.int64)), squeeze(np.diff(starts, prepend=np.int32(0)).astype(np.int32)), squeeze(key),
             )
@@ -243,7 +233,7 @@ def _compare(docs: DataFrame, hits: DataFrame, count: int, window: int, keep_tex
             edge = bucket_bounds(a, n_buckets)
             for i, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
                 if y > x:
-                    yield packed_batch([(name, i, 0, None, _pack(squeeze_sorted(a[x:y]), squeeze(b[x:y]), squeeze(d[x:y])))])
+                    yield packed_batch([(name, i, 0, None, pack(squeeze_sorted(a[x:y]), squeeze(b[x:y]), squeeze(d[x:y])))])
             reset()
 
         reset()
@@ -297,7 +287,7 @@ def _compare(docs: DataFrame, hits: DataFrame, count: int, window: int, keep_tex
         for name, states, answers in by_batch(batches):
             if len(states) != 1:
                 raise RuntimeError(f"batch {name} met {len(states)} states; its rows were made anew in another order")
-            done, ids, lens, texts, per, starts, key = _parts(states[0])
+            done, ids, lens, texts, per, starts, key = parts_of(states[0])
             out: list[tuple] = []
             for line in filter(None, z.decompress(done).decode().split("\n")):
                 f = line.split(" ", 3)
