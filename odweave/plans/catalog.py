@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from odweave.plans import flow_queries, model_queries, spatial_queries
+from odweave.plans.registry import QUERIES, SQL
+
+__all__ = ["flow_queries", "model_queries", "oracle_sql", "queries", "spatial_queries"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
