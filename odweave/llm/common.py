@@ -7,15 +7,19 @@ random-table polynomial over its UTF-8 bytes, followed by a mixing step.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from odweave.operators.grouping import components, join_group
+from odweave.storage import release, scratch_dir, stored
+
+__all__ = ["components", "join_group", "release", "scratch_dir", "stored"]
+
 #: Bytes of text that one kernel call works on at a time (a longer text is one call).
 CHUNK_BYTES = 1 << 21
 #: Id that stands for a null doc_id inside kernels: it sorts after every real id.
@@ -147,61 +151,7 @@ def fold_column(n: int, name: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-# --- scratch tables -------------------------------------------------------------------------
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``.  Unset in local mode: /tmp/checkpoints;
-    unset on a cluster: an error, as a machine-local folder would lose data with its machine."""
-    where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not where:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = "file:///tmp/checkpoints"
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
-    """Writes df as Parquet in the shared scratch folder and reads it back: lineage ends here, and
-    the rows survive the loss of any executor.  Columns made by Python keep random bytes, so the
-    codec is a fast one."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/odweave/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes the scratch tables that the given frames (made by stored) read."""
-    for df in frames:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/odweave/" in path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-# --- group statistics back to rows ----------------------------------------------------------
-
-#: Groups that a hot-key broadcast may hold at most (each has at least 1/HOT_GROUPS of the rows).
-HOT_GROUPS = 1024
-
-
-def join_group(rows: DataFrame, stats: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """rows inner-joined with stats (one row a group, a stored table; ``size`` has the group's
-    number of rows) on keys.  Groups with more than 1/1024 of all rows number under 1024, so they
-    are broadcast and their rows stay where they are; only the rest shuffles."""
-    total = stats.agg(F.sum(size)).first()[0] or 0
-    least = max(1000, total // HOT_GROUPS + 1)
-    hot = stats.where(F.col(size) >= least)
-    if not hot.limit(1).count():
-        return rows.join(stats, keys)
-    near = rows.join(F.broadcast(hot), keys)
-    far = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(stats.where(F.col(size) < least), keys)
-    return near.unionByName(far)
-
+# --- membership by bitmap ------------------------------------------------------------------
 
 #: Bound of a broadcast bitmap: 16 MB.
 MAX_BITS = 1 << 27
@@ -222,32 +172,6 @@ def bitmap_filter(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return rows.where(F.getbit(byte, (F.col("_bf_p") % 8).cast("int")) == 1).select(*names)
 
 
-# --- connected components -------------------------------------------------------------------
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable over the undirected edges.  Alternating
-    large-star and small-star steps; every step is a shuffle on a node and is stored.  A hub of a
-    large component is a key with many rows, of which only (node, least neighbour) pairs pass on:
-    minima are pre-aggregated before the shuffle and joined back without a skewed task."""
-    e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "cc")
-    while True:
-        # large star: every neighbour above u is linked with u's least neighbour (or u)
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "cc-m")
-        large = join_group(both, m, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = stored(large, "cc-l")
-        # small star: every neighbour below u, and u, is linked with the least of them
-        m2 = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-m")
-        small = join_group(large, m2, ["u"], "n")
-        new = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(m2.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "cc")
-        stars = new.select("v").intersect(new.select("u")).limit(1).count() == 0
-        release(e, m, large, m2)
-        e = new
-        if stars:  # every edge leads from a node to a root
-            return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-
-
 # --- packed exchange ------------------------------------------------------------------------
 #
 # Hundreds of millions of small keys cost far less as a few thousand sorted arrays than as rows.
