@@ -352,7 +352,7 @@ def fit_sem(df: DataFrame, weights: DataFrame, key: str, response: str, predicto
 
 
 def spatial_comparison(ols: Fit, fits: list[SpatialFit], spark: SparkSession) -> DataFrame:
-    m = ols.metrics()
+    m = {k: float(v) for k, v in ols.metrics().items()}
     rows = [("OLS", m["log_likelihood"], m["aic"], m["bic"], m["rmse"], m["mae"], None, True)]
-    rows += [(f.kind, f.log_likelihood, f.aic, f.bic, f.rmse, f.mae, f.spatial, f.converged) for f in fits]
+    rows += [(f.kind, *map(float, (f.log_likelihood, f.aic, f.bic, f.rmse, f.mae, f.spatial)), bool(f.converged)) for f in fits]
     return spark.createDataFrame(rows, "model string, log_likelihood double, aic double, bic double, rmse double, mae double, spatial double, converged boolean")

@@ -55,19 +55,19 @@ def coverage_summary(spark, sf):
     return V.rounded(c.withColumn("status", S.coverage_status(F.col("observed_days"), F.col("expected_days"), F.col("provisional_flag"))))
 
 
-@query(_with(OD) + "SELECT day, dest, is_weekend, origin_class, round(sum(users), 6) AS users, sum(signals) AS signals FROM od GROUP BY ALL")
+@query(_with(OD) + "SELECT strftime(day, '%Y-%m-%d') AS day, dest, is_weekend, origin_class, round(sum(users), 6) AS users, sum(signals) AS signals FROM od GROUP BY ALL")
 def daily_destination_agg(spark, sf):
-    return V.rounded(flows.daily_destination(V.records(spark, sf)))
+    return V.dated(V.rounded(flows.daily_destination(V.records(spark, sf))))
 
 
-@query(_with(OD) + "SELECT day, origin::BIGINT AS origin_area, round(sum(users), 6) AS users, sum(signals) AS signals FROM od WHERE in_scope GROUP BY ALL")
+@query(_with(OD) + "SELECT strftime(day, '%Y-%m-%d') AS day, origin::BIGINT AS origin_area, round(sum(users), 6) AS users, sum(signals) AS signals FROM od WHERE in_scope GROUP BY ALL")
 def daily_origin_agg(spark, sf):
-    return V.rounded(flows.daily_origin(V.records(spark, sf)))
+    return V.dated(V.rounded(flows.daily_origin(V.records(spark, sf))))
 
 
-@query(_with(OD) + "SELECT day, dest, origin, round(sum(users), 6) AS users, sum(signals) AS signals FROM od WHERE valid GROUP BY ALL")
+@query(_with(OD) + "SELECT strftime(day, '%Y-%m-%d') AS day, dest, origin, round(sum(users), 6) AS users, sum(signals) AS signals FROM od WHERE valid GROUP BY ALL")
 def od_components(spark, sf):
-    return V.rounded(flows.daily_components(V.records(spark, sf)))
+    return V.dated(V.rounded(flows.daily_components(V.records(spark, sf))))
 
 
 @query("SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT user_id, props FROM events)) AS duplicate_rows FROM events")
@@ -194,11 +194,11 @@ def master_join(spark, sf):
 
 
 @query(_with(OD) + """, log AS (SELECT day, count(*) AS rows FROM od GROUP BY day), new AS (SELECT day, count(*) * 2 AS rows, 'rerun' AS note FROM od WHERE day >= DATE '2024-01-25' GROUP BY day)
-SELECT day, rows, NULL AS note FROM log WHERE day NOT IN (SELECT day FROM new) UNION ALL SELECT day, rows, note FROM new""")
+SELECT strftime(day, '%Y-%m-%d') AS day, rows, NULL AS note FROM log WHERE day NOT IN (SELECT day FROM new) UNION ALL SELECT strftime(day, '%Y-%m-%d'), rows, note FROM new""")
 def log_upsert(spark, sf):
     r = V.records(spark, sf)
     new = r.where("day >= DATE '2024-01-25'").groupBy("day").agg((F.count("*") * 2).alias("rows")).withColumn("note", F.lit("rerun"))
-    return quality.upsert(r.groupBy("day").agg(F.count("*").alias("rows")), new, "day")
+    return V.dated(quality.upsert(r.groupBy("day").agg(F.count("*").alias("rows")), new, "day"))
 
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")

@@ -1,0 +1,279 @@
+"""Queries of descriptives, regression, spatial models and tree models, with their SQL where it can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from odweave.functions import scalars as S
+from odweave.operators import learning, quality, spatial, stats
+from odweave.operators import regression as R
+from odweave.plans import views as V
+from odweave.plans.flow_queries import _with
+from odweave.plans.registry import query
+
+Y, X = "log_revenue", V.PREDICTORS
+FR = V.FRAME
+#: Ensemble sizes of the queries; the operators' defaults are 500 trees and 500 rounds.
+TREES, DEPTH, ROUNDS = 20, 6, 20
+
+
+@query("SELECT 'value' AS variable, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS sd, min(value) AS min, max(value) AS max, round(skewness(value), 6) AS skewness, round(kurtosis(value), 6) AS kurtosis, count(*) FILTER (value = 0) AS zeros, 0::BIGINT AS missing FROM events")
+def descriptives(spark, sf):
+    return V.rounded(stats.descriptives(V.table(spark, sf, "events"), ["value"]))
+
+
+@query("WITH d AS (SELECT 'value' AS variable, skewness(value) AS s, kurtosis(value) AS k, min(value) AS m FROM events) SELECT variable, round(s, 6) AS skewness, round(k, 6) AS kurtosis, CASE WHEN m >= 0 THEN 'log1p' ELSE 'none' END AS recommendation FROM d WHERE abs(s) >= 1.5 OR k >= 10")
+def transform_screening(spark, sf):
+    return V.rounded(stats.screening(stats.descriptives(V.table(spark, sf, "events"), ["value"]), 1.5))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS variable, q1, q3, (SELECT count(*) FROM lineitem WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS outliers FROM (SELECT round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.75), 6) AS q3 FROM lineitem)" for c in ("l_extendedprice", "l_quantity")))
+def iqr_outliers(spark, sf):
+    return V.rounded(stats.iqr_outliers(V.table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity"]))
+
+
+_C3 = ["l_quantity", "l_extendedprice", "l_discount"]
+_CORR = " UNION ALL ".join((f"SELECT '{a}' AS a, '{a}' AS b, 1.0 AS correlation" if a == b else f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS correlation FROM lineitem") for a in _C3 for b in _C3)
+
+
+@query(_CORR)
+def pearson_matrix(spark, sf):
+    return V.rounded(stats.correlation_matrix(V.table(spark, sf, "lineitem"), _C3))
+
+
+_RANKS = "ranks AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _C3) + " FROM lineitem)"
+
+
+@query(_with(_RANKS) + _CORR.replace("FROM lineitem", "FROM ranks"))
+def spearman_matrix(spark, sf):
+    return V.rounded(stats.correlation_matrix(V.table(spark, sf, "lineitem").select(*_C3), _C3, "spearman"))
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS correlation FROM lineitem" for a, b in (("l_discount", "l_extendedprice"), ("l_discount", "l_quantity"), ("l_extendedprice", "l_quantity"))) + ") WHERE abs(correlation) >= 0.003")
+def high_correlations(spark, sf):
+    return V.rounded(stats.high_correlations(stats.correlation_matrix(V.table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount"]), 0.003))
+
+
+_BIN = "e AS (SELECT " + ", ".join(f"quantile_cont(l_extendedprice, {i / 10}) AS e{i}" for i in range(1, 10)) + " FROM lineitem), b AS (SELECT l_extendedprice AS f, l_quantity AS v, CASE " + " ".join(f"WHEN l_extendedprice <= e{i} THEN {i}" for i in range(1, 10)) + " ELSE 10 END AS bin FROM lineitem, e)"
+
+
+@query(_with(_BIN) + "SELECT bin, count(*) AS n, round(min(f), 4) AS min_feature, round(max(f), 4) AS max_feature, round(median(f), 4) AS median_feature, round(avg(f), 4) AS mean_feature, round(avg(v), 4) AS mean_value, round(median(v), 4) AS median_value, round(quantile_cont(v, 0.25), 4) AS p25_value, round(quantile_cont(v, 0.75), 4) AS p75_value FROM b GROUP BY bin")
+def binned_profile(spark, sf):
+    return V.rounded(stats.binned_profile(V.table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity", 10), 4)
+
+
+@query(_with(_BIN) + "SELECT bin, round(nx - v, 4) AS slope FROM (SELECT bin, avg(v) AS v, lead(avg(v)) OVER (ORDER BY bin) AS nx FROM b GROUP BY bin) WHERE nx IS NOT NULL")
+def profile_slopes(spark, sf):
+    return V.rounded(stats.profile_slopes(stats.binned_profile(V.table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity", 10)), 4)
+
+
+@query(None)
+def shape_summary(spark, sf):
+    f = V.model_frame(spark, sf)
+    rows = []
+    for c in X:
+        p = stats.binned_profile(f, c, Y, 10).orderBy("bin").select("mean_value").collect()
+        s = stats.correlation_array(stats.average_rank(stats.average_rank(f, c, "_a"), Y, "_b"), ["_a", "_b"])[0, 1]
+        m = f.agg(F.corr(c, Y), F.percentile(Y, 0.95) - F.percentile(Y, 0.05)).first()
+        rows.append((c, stats.shape_label([r[0] for r in p], m[0], s, m[1]), float(m[0]), float(s)))
+    return V.rounded(spark.createDataFrame(rows, "feature string, shape string, pearson double, spearman double"))
+
+
+_PAIRS = [(a, b) for i, a in enumerate([Y, *X]) for b in [Y, *X][i:]]
+
+
+@query(_with(FR) + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum({a} * {b}), 4) AS product FROM frame" for a, b in _PAIRS))
+def gram_matrix(spark, sf):
+    g = R.cross_products(V.model_frame(spark, sf), [F.col(c) for c in [Y, *X]])
+    at = {c: i for i, c in enumerate([Y, *X])}
+    return V.rounded(spark.createDataFrame([(a, b, float(g[at[a], at[b]])) for a, b in _PAIRS], "a string, b string, product double"), 4)
+
+
+_TWO = """m AS (SELECT avg(log_revenue) AS my, avg(quantity) AS m1, avg(lines) AS m2, var_pop(quantity) AS v1, var_pop(lines) AS v2, covar_pop(quantity, lines) AS c12, covar_pop(log_revenue, quantity) AS cy1, covar_pop(log_revenue, lines) AS cy2, var_pop(log_revenue) AS vy, count(*)::DOUBLE AS n FROM frame),
+b AS (SELECT *, (cy1 * v2 - cy2 * c12) / (v1 * v2 - c12 * c12) AS b1, (cy2 * v1 - cy1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM m), b0 AS (SELECT *, my - b1 * m1 - b2 * m2 AS a FROM b)"""
+
+
+@query(_with(FR, _TWO) + "SELECT term, round(estimate, 6) AS estimate FROM (SELECT 'const' AS term, a AS estimate FROM b0 UNION ALL SELECT 'quantity', b1 FROM b0 UNION ALL SELECT 'lines', b2 FROM b0)")
+def ols_two_predictor(spark, sf):
+    return V.rounded(R.fit_ols(V.model_frame(spark, sf), Y, ["quantity", "lines"]).coefficients(spark).select("term", "estimate"))
+
+
+@query(_with(FR, _TWO) + """, z AS (SELECT (quantity - m1) / sqrt(v1) AS x1, (lines - m2) / sqrt(v2) AS x2, log_revenue - a - b1 * quantity - b2 * lines AS e, n, c12 / sqrt(v1 * v2) AS r, v1, v2 FROM frame, b0),
+h AS (SELECT *, (1 + (x1 * x1 - 2 * r * x1 * x2 + x2 * x2) / (1 - r * r)) / n AS lev FROM z), u AS (SELECT *, e / (1 - lev) AS q FROM h),
+g AS (SELECT sum(q * q * power((x1 - r * x2) / (n * (1 - r * r)), 2)) / max(v1) AS s1, sum(q * q * power((x2 - r * x1) / (n * (1 - r * r)), 2)) / max(v2) AS s2 FROM u)
+SELECT term, round(robust_se, 6) AS robust_se FROM (SELECT 'quantity' AS term, sqrt(s1) AS robust_se FROM g UNION ALL SELECT 'lines', sqrt(s2) FROM g)""")
+def ols_hc3(spark, sf):
+    return V.rounded(R.fit_ols(V.model_frame(spark, sf), Y, ["quantity", "lines"]).coefficients(spark).where("term != 'const'").select("term", "robust_se"))
+
+
+@query(_with(FR, _TWO) + """, e AS (SELECT sum(power(log_revenue - a - b1 * quantity - b2 * lines, 2)) AS ssr, avg(abs(log_revenue - a - b1 * quantity - b2 * lines)) AS mae, max(n) AS n, max(vy) * max(n) AS sst FROM frame, b0), l AS (SELECT *, -n / 2 * (ln(2 * pi()) + ln(ssr / n) + 1) AS ll FROM e)
+SELECT n::BIGINT AS n, round(1 - ssr / sst, 6) AS r2, round(1 - (ssr / sst) * (n - 1) / (n - 3), 6) AS adj_r2, round(sqrt(ssr / n), 6) AS rmse, round(mae, 6) AS mae, round(ll, 4) AS log_likelihood, round(6 - 2 * ll, 4) AS aic, round(3 * ln(n) - 2 * ll, 4) AS bic FROM l""")
+def ols_metrics(spark, sf):
+    m = R.fit_ols(V.model_frame(spark, sf), Y, ["quantity", "lines"]).metrics()
+    row = (int(m["n"]), *(round(float(m[k]), 6) for k in ("r2", "adj_r2", "rmse", "mae")), *(round(float(m[k]), 4) for k in ("log_likelihood", "aic", "bic")))
+    return spark.createDataFrame([row], "n long, r2 double, adj_r2 double, rmse double, mae double, log_likelihood double, aic double, bic double")
+
+
+@query(_with(FR) + "SELECT c AS variable, round(1 / (1 - r * r), 6) AS vif FROM (SELECT corr(quantity, lines) AS r FROM frame), (VALUES ('quantity'), ('lines')) AS t(c)")
+def vif_two(spark, sf):
+    return V.rounded(stats.vif(V.model_frame(spark, sf), ["quantity", "lines"]).select("variable", "vif"))
+
+
+@query(None)
+def vif(spark, sf):
+    return V.rounded(stats.vif(V.model_frame(spark, sf), X))
+
+
+@query(None)
+def ols_diagnostics(spark, sf):
+    d = R.diagnostics(R.fit_ols(V.model_frame(spark, sf), Y, X))
+    return V.rounded(spark.createDataFrame([(k, float(v)) for k, v in d.items()], "diagnostic string, value double"))
+
+
+@query(None)
+def lm_tests(spark, sf):
+    f = V.model_frame(spark, sf)
+    t = R.lm_tests(R.fit_ols(f.select("area", Y, *X), Y, X), V.frame_weights(f), "area")
+    return V.rounded(spark.createDataFrame([(k, *v) for k, v in t.items()], "diagnostic string, statistic double, p_value double, df int"))
+
+
+@query(None)
+def residual_moran(spark, sf):
+    f = V.model_frame(spark, sf)
+    fit = R.fit_ols(f, Y, X)
+    return V.rounded(spatial.moran_permutation(fit.data.select("area", fit.residual().alias("residual")), V.frame_weights(f), "area", "residual", 49))
+
+
+def _spatial(spark, sf, kind):
+    f = V.model_frame(spark, sf)
+    return (R.fit_sar if kind == "sar" else R.fit_sem)(f.select("area", Y, *X), V.frame_weights(f), "area", Y, X)
+
+
+@query(None)
+def sar_fit(spark, sf):
+    return V.rounded(_spatial(spark, sf, "sar").inference(spark), 5)
+
+
+@query(None)
+def sem_fit(spark, sf):
+    return V.rounded(_spatial(spark, sf, "sem").inference(spark), 5)
+
+
+@query(None)
+def spatial_model_comparison(spark, sf):
+    fits = [_spatial(spark, sf, k) for k in ("sar", "sem")]
+    return V.rounded(R.spatial_comparison(R.fit_ols(V.model_frame(spark, sf), Y, X), fits, spark), 4)
+
+
+@query("SELECT round(1 - sum(power(l_extendedprice - p, 2)) / (var_pop(l_extendedprice) * count(*)), 6) AS r2, count(*) AS n, round(sqrt(avg(power(l_extendedprice - p, 2))), 4) AS rmse, round(avg(abs(l_extendedprice - p)), 4) AS mae FROM (SELECT l_extendedprice, l_quantity * 1500.0 AS p FROM lineitem)")
+def regression_metrics(spark, sf):
+    m = R.regression_metrics(V.table(spark, sf, "lineitem").withColumn("p", F.col("l_quantity") * 1500.0), "l_extendedprice", "p")
+    return m.select(F.round("r2", 6).alias("r2"), "n", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"))
+
+
+@query("SELECT model, feature, importance, row_number() OVER (PARTITION BY model ORDER BY importance DESC, feature) AS rank FROM (SELECT l_returnflag AS model, l_linestatus AS feature, round(sum(l_quantity), 2) AS importance FROM lineitem GROUP BY 1, 2)")
+def importance_rank(spark, sf):
+    t = V.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("feature")).agg(F.round(F.sum("l_quantity"), 2).alias("importance"))
+    return stats.ranked(t, ["model"], [F.desc("importance"), F.col("feature")])
+
+
+def _folded(spark, sf):
+    return learning.strip_folds(V.model_frame(spark, sf))
+
+
+@query(None)
+def rf_cv(spark, sf):
+    return learning.cross_validate(_folded(spark, sf), learning.random_forest(TREES, DEPTH), X, Y)
+
+
+@query(None)
+def gbt_cv(spark, sf):
+    return learning.cross_validate(_folded(spark, sf), learning.boosted_trees(ROUNDS), X, Y)
+
+
+@query(None)
+def held_out_ols(spark, sf):
+    """OLS fitted without fold 0 and scored on it (E4)."""
+    f = _folded(spark, sf).withColumn("part", S.partition_label(F.col("fold")))
+    fit = R.fit_ols(f.where("part = 'train'"), Y, X)
+    return V.rounded(R.regression_metrics(f.where("part = 'test'").withColumn("p", fit.fitted()), Y, "p"))
+
+
+def _model(spark, sf):
+    f = V.model_frame(spark, sf)
+    return f, learning.fit_model(learning.assembled(f, X), learning.boosted_trees(ROUNDS), Y)
+
+
+@query(None)
+def permutation_importance(spark, sf):
+    f, m = _model(spark, sf)
+    return V.rounded(learning.permutation_importance(m, f, X, Y, "area", 3))
+
+
+@query(None)
+def shap_values(spark, sf):
+    f, m = _model(spark, sf)
+    return V.rounded(learning.shap_values(m, f, X, "area"))
+
+
+# --- robustness: each experiment is a composition -------------------------------------------
+
+
+def _experiment(spark, fits):
+    return V.rounded(R.compare(fits, spark).withColumnRenamed("model", "name"), 5)
+
+
+@query(None)
+def e1_subset_predictors(spark, sf):
+    """The model with some predictors against all (E1)."""
+    f = V.model_frame(spark, sf)
+    t = _experiment(spark, {"baseline": R.fit_ols(f, Y, X), "subset": R.fit_ols(f, Y, X[:3])})
+    return stats.delta_vs_baseline(t, "name", "baseline", ["r2", "aic"])
+
+
+@query(None)
+def e6_log_predictors(spark, sf):
+    """log1p of non-negative predictors; stability of sign and significance (E6)."""
+    f = V.model_frame(spark, sf)
+    logged = X[:4]
+    low = f.agg(*(F.min(c).alias(c) for c in logged)).first()
+    if any(low[c] < 0 for c in logged):
+        raise ValueError("log1p needs predictors that are not negative")
+    g = f.withColumns({c: F.log1p(c) for c in logged})
+    a, b = (R.fit_ols(x, Y, X).coefficients(spark).select("term", F.col("estimate").alias(f"{n}_estimate"), F.col("robust_p").alias(f"{n}_p")) for x, n in ((f, "raw"), (g, "log")))
+    j = a.join(b, "term")
+    same_sig = (F.col("raw_p") < 0.05) == (F.col("log_p") < 0.05)
+    return V.rounded(j.withColumns({"same_sign": S.same_direction(F.col("raw_estimate"), F.col("log_estimate")), "same_significance": same_sig}))
+
+
+@query(None)
+def e7_weekend_model(spark, sf):
+    """Inflow at weekends in place of all inflow (E7)."""
+    from odweave.operators import flows
+
+    m = flows.monthly_indicators(V.areas(spark, sf), V.records(spark, sf), V.expected(spark))
+    m = m.withColumns({"y": F.log1p("mobility_inflow_total"), "e": F.col("flow_entropy")})
+    return _experiment(spark, {"all days": R.fit_ols(m, "y", ["e", "weekday_inflow_total"]), "weekend": R.fit_ols(m, "y", ["e", "weekend_inflow_total"])})
+
+
+@query(None)
+def e8_normalised_entropy(spark, sf):
+    """Normalised entropy in place of entropy (E8)."""
+    from odweave.operators import flows
+
+    m = flows.monthly_indicators(V.areas(spark, sf), V.records(spark, sf), V.expected(spark))
+    m = m.withColumns({"y": F.log1p("mobility_inflow_total"), "h": S.normalised_entropy(F.col("flow_entropy"), F.col("unique_origins"))})
+    return _experiment(spark, {"raw": R.fit_ols(m, "y", ["flow_entropy", "unique_origins"]), "normalised": R.fit_ols(m, "y", ["h", "unique_origins"])})
+
+
+@query(_with(FR) + "SELECT 'x' AS column, count(*) AS rows, 0::BIGINT AS outside FROM frame")
+def table_comparison(spark, sf):
+    f = V.model_frame(spark, sf).select("area", F.col("x").cast("double").alias("x"))
+    d = quality.table_differences(f, f, "area", ["x"])
+    return d.groupBy("column").agg(F.count("*").alias("rows"), F.count_if(~F.col("within")).alias("outside"))
+
+
+@query(_with(FR) + "SELECT count(*) AS complete, 0::BIGINT AS constants FROM frame")
+def complete_cases(spark, sf):
+    f = quality.complete_cases(V.model_frame(spark, sf), [Y, *X])
+    return f.agg(F.count("*").alias("complete")).withColumn("constants", F.lit(len(quality.constant_columns(f, X))).cast("long"))

@@ -88,3 +88,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def keyed(df: DataFrame) -> DataFrame:
     """df with a text key, for the operators that clean keys."""
     return df.withColumn("code", S.standard_key(F.col("area")))
+
+
+def dated(df: DataFrame) -> DataFrame:
+    """Dates as text."""
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c, t in df.dtypes if t == "date"})
