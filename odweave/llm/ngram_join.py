@@ -342,8 +342,9 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     tied = cluster.unionByName(cluster.select(F.col("cluster").alias("id"), "cluster").distinct()).join(sets.where("n_shingles > 0").select("id", "h1", "h2").distinct(), "id")
     tied = stored(tied, "tied")
     alike = stored(tied.groupBy("cluster", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "alike")
-    reps = alike.groupBy("cluster").agg(F.count("*").alias("m")).where("m > 1").select("cluster", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    chosen = stored(alike.select(F.col("rep").alias("id"), "cluster").join(reps, "cluster").distinct(), "chosen")
+    reps = alike.groupBy("cluster").agg(F.count("*").alias("m")).where("m > 1").select("cluster", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    reps = stored(reps, "reps")
+    chosen = stored(join_group(alike.select(F.col("rep").alias("id"), "cluster"), reps, ["cluster"], "m").select("cluster", "blocks", "id").distinct(), "chosen")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("id"), "text")
     texts = bitmap_filter(texts, "id", chosen.select("id")).join(chosen, "id").select("cluster", "blocks", "id", "text")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
