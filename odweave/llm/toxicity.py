@@ -140,13 +140,14 @@ def disguised(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     n = len(data)
     letter, symbol, word = _LETTERS[pad], _SYMBOLS[pad], _WORD_BYTE[pad]
     at = lambda m, k: m[k : k + n]
+    if not n:
+        return np.zeros(len(off) - 1, bool)
     hint = at(letter, 0) & (at(symbol, 1) | (data >= 128) | at(_MARKS[pad], 1)) & (at(letter, 2) | at(symbol, 2))
     hint |= at(symbol, 0) & at(letter, 1)
     hint |= at(letter, 0) & (pad[:n] == pad[1 : n + 1]) & (pad[:n] == pad[2 : n + 2])
     alone = np.zeros(n + 4, bool)
     alone[1:n] = word[1:n] & ~word[: n - 1] & ~word[2 : n + 1]
-    if n:
-        alone[0] = word[0] & ~word[1]
+    alone[0] = word[0] & ~word[1]
     hint |= at(alone, 0) & at(alone, 2) & at(alone, 4)
     return np.add.reduceat(np.concatenate((hint, [False])).astype(np.int32), np.minimum(off[:-1], n))[: len(off) - 1] * (np.diff(off) > 0) > 0
 
