@@ -236,24 +236,26 @@ class Model:
         if not 0 < share < 1:
             self.bias = 30.0 if share else -30.0
             return
-        pairs, at = [], 0
-        for k in range(0, len(texts), 256):
-            for i, _, rows, slots in grams(restored(texts[k : k + 256], Restorer(chars))):
-                pairs.append(np.unique((rows + at + i) << BITS | slots))
-            at += len(texts[k : k + 256])
-        flat = np.concatenate(pairs)
-        row, slot = flat >> BITS, flat & ((1 << BITS) - 1)
+        cols = [restored(texts[k : k + 128], Restorer(chars)) for k in range(0, len(texts), 128)]
         n1, n0 = labels.sum(), len(labels) - labels.sum()
-        a = np.bincount(slot[labels[row] == 1], minlength=1 << BITS)
-        b = np.bincount(slot[labels[row] == 0], minlength=1 << BITS)
+        a, b = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+        for k, col in enumerate(cols):  # counts first, rows of the chosen slots later: memory is that of 128 texts
+            for i, _, rows, slots in grams(col):
+                pair = np.unique((rows + 128 * k + i) << BITS | slots)
+                one = labels[pair >> BITS] == 1
+                slot = pair & ((1 << BITS) - 1)
+                a += np.bincount(slot[one], minlength=1 << BITS).astype(np.int32)
+                b += np.bincount(slot[~one], minlength=1 << BITS).astype(np.int32)
         p1, p0, p = a / n1, b / n0, (a + b) / (n1 + n0)
         z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-9))
         chosen = np.flatnonzero((z > 3) & (a >= 5))
         chosen = chosen[np.argsort(-z[chosen], kind="stable")][:MAX_FEATURES]
         self.feature[chosen] = np.arange(len(chosen))
         x = np.zeros((len(labels), len(chosen)), np.float32)
-        f = self.feature[slot]
-        x[row[f >= 0], f[f >= 0]] = 1
+        for k, col in enumerate(cols):
+            for i, _, rows, slots in grams(col):
+                f = self.feature[slots]
+                x[rows[f >= 0] + 128 * k + i, f[f >= 0]] = 1
         x = np.concatenate((x, np.ones((len(x), 1), np.float32)), 1)
         w = np.zeros(x.shape[1], np.float32)
         w[-1] = math.log(n1 / n0)
