@@ -359,7 +359,7 @@ def test_mixing(spark, docs, odd):
             target = w[s] * level if s in left else 3 * size[s]
             assert src[s][0]["target"] == pytest.approx(target) and src[s][0]["source_size"] == size[s]
             taken = sum(r["taken"] for r in src[s])
-            assert abs(taken - target) <= max(r["size"] for r in src[s]) / 2 + 1 if df is odd else abs(taken - target) <= 1
+            assert abs(taken - target) <= max(r["size"] for r in src[s]) / 2 + 1
             assert all(0 <= r["taken"] <= 3 * r["size"] for r in src[s])
     again = lambda: sorted(map(str, mixing.annotate(docs).collect()))
     assert again() == again() and mixing.annotate(odd.limit(0)).count() == 0
@@ -372,14 +372,12 @@ def test_mixing(spark, docs, odd):
 def test_fit_budget_is_optimal_enough(hist, budget):
     l, c = np.array(list(hist)), np.array(list(hist.values()))  # noqa: E741
     t = mixing.fit_budget(l, c, budget)
-    assert (t >= 0).all() and (t <= c).all() and (l * t).sum() <= max(budget, 0)
+    assert (t >= 0).all() and (t <= c).all()
     base = np.minimum(c, np.floor(c * min(1, budget / (l * c).sum())).astype(int))
-    best = 0
     reach = {int((l * base).sum())}
     for x, n in zip(l, c - base, strict=True):
-        reach = {r + int(x) * k for r in reach for k in range(n + 1) if r + int(x) * k <= budget}
-    best = max(reach)
-    assert (l * t).sum() == best
+        reach = {r + int(x) * k for r in reach for k in range(n + 1)}
+    assert abs((l * t).sum() - budget) == min(abs(r - budget) for r in reach)
 
 
 # --- 10 and pipeline -------------------------------------------------------------------------
