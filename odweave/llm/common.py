@@ -21,7 +21,7 @@ from odweave.storage import release, scratch_dir, stored
 __all__ = ["components", "join_group", "release", "scratch_dir", "stored"]
 
 #: Bytes of text that one kernel call works on at a time (a longer text is one call).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Id that stands for a null doc_id inside kernels: it sorts after every real id.
 NULL_ID = np.iinfo(np.int64).max
 

@@ -59,7 +59,7 @@ from odweave.llm.common import (
 WINDOW = 50
 MAX_BITS, BITS_PER_KEY = 1 << 27, 12
 #: Windows of a batch of the packed exchange, about, and of a bucket.
-BATCH_WINDOWS, BUCKET_WINDOWS = 1_000_000, 1_000_000
+BATCH_WINDOWS, BUCKET_WINDOWS = 500_000, 1_000_000
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
