@@ -53,7 +53,7 @@ from odweave.llm.common import (
 )
 
 #: Tokens of a batch, and distinct keys of a bucket, about.
-BATCH_TOKENS, BUCKET_KEYS = 3_000_000, 1_500_000
+BATCH_TOKENS, BUCKET_KEYS = 2_000_000, 1_500_000
 #: Of the learning documents, those whose crc32 // 7 mod HELD is 3 are held out for the weights.
 FOLD, HELD = 7, 8
 END, START = np.uint64(0x51AB3C0D9E7F1122), np.uint64(0x1F83D9ABFB41BD6B)
