@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from odweave.functions import scalars as S
 
-#: Columns of a flow file, in their order.
+# The columns of a flow file in their order, and the forms of file names.
 FLOW_SCHEMA = T.StructType([
     T.StructField("CODE", T.StringType()), T.StructField("ORIGIN_CODE", T.StringType()), T.StructField("DAY_TYPE", T.LongType()), T.StructField("DAY", T.StringType()),
     T.StructField("MONTH", T.LongType()), T.StructField("YEAR", T.LongType()), T.StructField("MOVEMENT_MODALITY", T.StringType()),
