@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.SQL}
+    return {"op5_ngram_join": ngram_join.SQL, "op6_exact_dedup": exact_dedup.SQL, "op9_substring": substring.SQL}

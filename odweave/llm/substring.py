@@ -336,3 +336,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, batches: int = 4, keep_text: bo
 
 def dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return dedup(docs, window, keep_text=False).drop("kept")
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS k FROM w, unnest(range(1, len(ws) - 48)) AS t(i) WHERE len(ws) >= 50),
+own AS (SELECT k, min(doc_id) AS o FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, p FROM win JOIN own USING (k), unnest(range(i, i + 50)) AS t(p) WHERE o < doc_id),
+words AS (SELECT w.doc_id, t.p, ws[t.p] AS word, g.p IS NOT NULL AS out FROM w CROSS JOIN unnest(range(1, len(ws) + 1)) AS t(p) LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.p = t.p)
+SELECT w.doc_id, len(any_value(w.ws))::BIGINT AS n_words, count(*) FILTER (out) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY x.p) FILTER (NOT out), '')) AS kept_sha256
+FROM w LEFT JOIN words x ON x.doc_id = w.doc_id GROUP BY w.doc_id
+"""
