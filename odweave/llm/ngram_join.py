@@ -12,11 +12,13 @@ leave out its thinnest signatures (few elements, shared by chance): it emits tho
 largest value at which fewer first-level parts than the slack allows have a thinner one.  The agreeing signature that the argument
 finds for the set with the larger t is emitted by both, so no linkable pair is lost, whatever the sizes.
 
-Join.  Signatures travel as sorted arrays (see common.packed_exchange's notes); documents that share one are tied to the
-signature's smallest document, not to each other.  Clusters are the components of those ties.  In a cluster documents of one
-set are one representative; representatives are dealt into blocks of about ``BLOCK``, and blocks are compared with
-blocks exactly (sizes of intersections as a sparse product), giving a spanning forest of the links: copies are never
-expanded into pairs.  A cluster with many blocks is many tasks.
+Join.  Signatures travel as sorted arrays (see common.packed_exchange's notes).  Documents of one set have one
+representative.  The representatives that share a signature are a group; groups with the same members are one.  In a group two
+sets may be linked only if the counts of their elements by 64 hash cells differ by no more than the linkable sets of their sizes can: this
+bound is exact, so it drops no link, and it drops nearly all pairs that share a passage only.  A spanning forest of the pairs
+that remain ties the group together; clusters are the components of all ties.  In a cluster representatives are dealt into blocks of
+about ``BLOCK``, and blocks are compared with blocks exactly (sizes of intersections as a sparse product), giving a spanning forest of
+the links: copies are never expanded into pairs.  A cluster with many blocks is many tasks.
 
 Defined cases: null and empty texts and those without words have an empty set and link with nothing; fewer than k words are one
 shingle; rows that repeat a doc_id are one document, linked by what any of them links, and each get a row;
@@ -56,6 +58,8 @@ from odweave.llm.common import (
 
 #: Ratio of neighbouring bands' upper bounds; share of first-level parts beyond what the pigeonhole needs.
 BAND_RATIO, SLACK = 1.4, 0.12
+#: Cells of a set's count sketch.
+CELLS = 64
 #: Documents of a comparison block, about; signatures of a batch and of a bucket, about.
 BLOCK, BATCH_SIGNATURES, BUCKET_SIGNATURES = 256, 2_000_000, 2_000_000
 
@@ -195,7 +199,9 @@ def _send(k: int, percent: int, n_buckets: int):  # noqa: ANN202
                 edge = np.concatenate(([0], np.cumsum(sizes)))
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values + np.uint64(s)), dtype=np.uint64))) for s in (1, 2)]
                 two = [s[edge[1:]] - s[edge[:-1]] for s in sums]
-                rows = np.stack([ids[i:j].view(np.uint64), sizes.astype(np.uint64), *two], 1)
+                cells = np.repeat(np.arange(j - i) * CELLS, sizes) + (mix(values + np.uint64(77)) % np.uint64(CELLS)).astype(np.int64)
+                sketch = np.minimum(np.bincount(cells, minlength=(j - i) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
+                rows = np.concatenate((np.stack([ids[i:j].view(np.uint64), sizes.astype(np.uint64), *two], 1), sketch.view(np.uint64)), 1)
                 yield packed_batch([("", -1, 0, None, np.ascontiguousarray(rows).tobytes())])
                 sig, row = signatures(values, sizes, percent)
                 if len(sig):
@@ -209,18 +215,15 @@ def _send(k: int, percent: int, n_buckets: int):  # noqa: ANN202
     return step
 
 
-JOINED = "kind int, a long, b long, h1 long, h2 long"
+JOINED = "kind int, a long, b long, h1 long, h2 long, sketch binary"
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: (doc_id, set size, digest) of each document.  Kind 1: documents a that share a signature of a bucket with its
-    smallest document b."""
+    """Kind 0: (doc_id, set size, digest, sketch) of each document.  Kind 1: (group, doc_id) of documents that share a signature of a
+    bucket; a group is named by its members."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     now = None
-
-    def rows(kind: int, x: np.ndarray) -> pa.RecordBatch:
-        cols = [pa.array(np.ascontiguousarray(x[:, i])) if i < x.shape[1] else pa.nulls(len(x), pa.int64()) for i in range(4)]
-        return pa.record_batch([pa.array(np.full(len(x), kind, np.int32)), *cols], ["kind", "a", "b", "h1", "h2"])
+    names = ["kind", "a", "b", "h1", "h2", "sketch"]
 
     def flush() -> Iterator[pa.RecordBatch]:
         if held:
@@ -228,17 +231,27 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.clear()
             order = np.lexsort((doc, sig))
             sig, doc = sig[order], doc[order]
-            first = np.ones(len(sig), bool)
-            first[1:] = sig[1:] != sig[:-1]
-            lead = doc[first][np.cumsum(first) - 1]
-            tie = lead != doc
-            yield rows(1, np.unique(np.stack([doc[tie], lead[tie]], 1), axis=0))
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
+            sig, doc = sig[new], doc[new]
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            size = np.diff(np.append(first, len(sig)))
+            name = np.add.reduceat(mix(doc.view(np.uint64)), first) + mix(size.astype(np.uint64))
+            big = np.flatnonzero(size > 1)
+            _, one = np.unique(name[big], return_index=True)
+            big = big[one]
+            n = size[big]
+            at = np.arange(int(n.sum())) + np.repeat(first[big] - (np.cumsum(n) - n), n)
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.record_batch([pa.array(np.ones(len(at), np.int32)), pa.array(np.repeat(name[big], n).view(np.int64)), pa.array(doc[at]), none, none, pa.nulls(len(at), pa.binary())], names)
 
     for rb in batches:
         for i in range(rb.num_rows):
             bucket, raw = rb["bucket"][i].as_py(), rb["payload"][i].as_py()
             if bucket < 0:
-                yield rows(0, np.frombuffer(raw, np.uint64).reshape(-1, 4).view(np.int64))
+                x = np.frombuffer(raw, np.uint64).reshape(-1, 4 + CELLS // 8)
+                cols = [pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) for k in range(4)]
+                yield pa.record_batch([pa.array(np.zeros(len(x), np.int32)), *cols, pa.array([r.tobytes() for r in x[:, 4:]], pa.binary())], names)
                 continue
             if bucket != now:
                 yield from flush()
@@ -249,6 +262,52 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _ties(percent: int):  # noqa: ANN202
+    """(a, b): a spanning forest of the pairs of each group that may be linked.  Rows (g, rep, size, sketch) come sorted by g."""
+
+    def near(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+        apart = np.abs(x - y).sum(-1)
+        return ((100 + percent) * apart <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+    def forest(ids: np.ndarray, n: np.ndarray, x: np.ndarray, out: list) -> None:
+        left = np.arange(len(ids))  # breadth first: each document is compared with those not reached yet
+        while len(left) > 1:
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                i = queue.pop()
+                hit = np.concatenate([near(x[i], n[i], x[left[k : k + 8192]], n[left[k : k + 8192]]) for k in range(0, len(left), 8192)])
+                found = left[hit]
+                left = left[~hit]
+                queue.extend(found)
+                out.append(np.stack([ids[found], np.full(len(found), ids[i])], 1))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple[np.ndarray, ...] = (np.zeros(0, np.int64),) * 3 + (np.zeros((0, CELLS), np.int16),)
+
+        def work(g: np.ndarray, ids: np.ndarray, n: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
+            size = np.diff(np.append(first, len(g)))
+            a = first[size == 2]
+            hit = a[near(x[a], n[a], x[a + 1], n[a + 1])]
+            out = [np.stack([ids[hit + 1], ids[hit]], 1)]
+            for f, k in zip(first[size > 2], size[size > 2], strict=True):
+                forest(ids[f : f + k], n[f : f + k], x[f : f + k], out)
+            pairs = np.unique(np.concatenate(out), axis=0)
+            return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["a", "b"])
+
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            x = np.frombuffer(b"".join(rb["sketch"].to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+            rows = tuple(np.concatenate((k, r)) for k, r in zip(kept, (*(rb[c].to_numpy(zero_copy_only=False) for c in ("g", "rep", "n_shingles")), x), strict=True))
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on in the next batch
+            yield work(*(r[:last] for r in rows))
+            kept = tuple(r[last:] for r in rows)
+        yield work(*kept)
+
+    return step
+
+
 def _block_links(percent: int):  # noqa: ANN202
     """Rows (cluster, x, y, side, id, set) sorted by (cluster, x, y): links between the blocks x and y of a cluster."""
 
@@ -335,16 +394,18 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     sent = docs.select("doc_id", "text").mapInArrow(_send(k, percent, n_buckets), PACKED)
     key = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("payload"))
     joined = stored(sent.repartition(n_buckets, key).sortWithinPartitions("bucket").mapInArrow(_join, JOINED), "joined")
-    sets = joined.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles"), "h1", "h2")
-    ties = joined.where("kind = 1").select("a", "b")
-    cluster = stored(components(ties).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
-    # Clusters hold tied documents and their smallest; of those with one set the smallest stands for all.
-    tied = cluster.unionByName(cluster.select(F.col("cluster").alias("id"), "cluster").distinct()).join(sets.where("n_shingles > 0").select("id", "h1", "h2").distinct(), "id")
-    tied = stored(tied, "tied")
-    alike = stored(tied.groupBy("cluster", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "alike")
-    reps = alike.groupBy("cluster").agg(F.count("*").alias("m")).where("m > 1").select("cluster", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    reps = stored(reps, "reps")
-    chosen = stored(join_group(alike.select(F.col("rep").alias("id"), "cluster"), reps, ["cluster"], "m").select("cluster", "blocks", "id").distinct(), "chosen")
+    sets = joined.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles"), "h1", "h2", "sketch")
+    # documents of one set are one representative: the smallest
+    full = sets.where("n_shingles > 0")
+    alike = stored(full.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "alike")
+    nodes = stored(join_group(full, alike, ["h1", "h2"], "n").select("id", "rep", "n_shingles", "sketch").distinct(), "nodes")
+    members = joined.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id")).distinct()
+    groups_ = members.join(nodes, "id").select("g", "rep", "n_shingles", "sketch").distinct()
+    ties = stored(groups_.repartition(parts, "g").sortWithinPartitions("g", "rep").mapInArrow(_ties(percent), "a long, b long").distinct(), "ties")
+    found = components(ties)
+    cluster = stored(found.select(F.col("node").alias("id"), F.col("component").alias("cluster")).unionByName(found.select(F.col("component").alias("id"), F.col("component").alias("cluster")).distinct()), "clusters")
+    reps = stored(cluster.groupBy("cluster").agg(F.count("*").alias("m")).select("cluster", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "reps")
+    chosen = stored(join_group(cluster, reps, ["cluster"], "m").select("cluster", "blocks", "id").distinct(), "chosen")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("id"), "text")
     texts = bitmap_filter(texts, "id", chosen.select("id")).join(chosen, "id").select("cluster", "blocks", "id", "text")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -353,8 +414,7 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     pairs = other.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).cast("int").alias("side"), "id", "shingles")
     links = pairs.repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "id").mapInArrow(_block_links(percent), "a long, b long")
     # members of one set as links to their representative, then everything together
-    same = join_group(tied, alike, ["cluster", "h1", "h2"], "n").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = stored(links.unionByName(same), "links")
+    links = stored(links.unionByName(nodes.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))), "links")
     final = components(links)
     found = sets.join(final, sets["id"] == final["node"], "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
     null = F.lit(int(NULL_ID))
