@@ -14,7 +14,7 @@ finds for the set with the larger t is emitted by both, so no linkable pair is l
 
 Join.  Signatures travel as sorted arrays (see common.packed_exchange's notes).  Documents of one set have one
 representative.  The representatives that share a signature are a group; groups with the same members are one.  In a group two
-sets may be linked only if the counts of their elements by 64 hash cells differ by no more than the linkable sets of their sizes can: this
+sets may be linked only if the counts of their elements by hash cells (about 8 elements a cell) differ by no more than the linkable sets of their sizes can: this
 bound is exact, so it drops no link, and it drops nearly all pairs that share a passage only.  A spanning forest of the pairs
 that remain ties the group together; clusters are the components of all ties.  In a cluster representatives are dealt into blocks of
 about ``BLOCK``, and blocks are compared with blocks exactly (sizes of intersections as a sparse product), giving a spanning forest of
@@ -58,8 +58,8 @@ from odweave.llm.common import (
 
 #: Ratio of neighbouring bands' upper bounds; share of first-level parts beyond what the pigeonhole needs.
 BAND_RATIO, SLACK = 1.4, 0.12
-#: Cells of a set's count sketch.
-CELLS = 64
+#: Elements of a set in a cell of its count sketch, about; sketches have a power of two of cells, LEAST_CELLS at least.
+PER_CELL, LEAST_CELLS = 8, 32
 #: Documents of a comparison block, about; signatures of a batch and of a bucket, about.
 BLOCK, BATCH_SIGNATURES, BUCKET_SIGNATURES = 256, 2_000_000, 2_000_000
 
@@ -166,6 +166,12 @@ def signatures(values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.
     return np.concatenate(sigs), np.concatenate(owners)
 
 
+def sketch_cells(sizes: np.ndarray) -> np.ndarray:
+    """Cells of the sketches of sets of these sizes: linkable sizes differ by one doubling at most."""
+    need = np.maximum(sizes, 1) / PER_CELL
+    return (1 << np.ceil(np.log2(np.maximum(need, LEAST_CELLS))).astype(np.int64)).astype(np.int64)
+
+
 # --- the join -------------------------------------------------------------------------------
 
 
@@ -199,10 +205,12 @@ def _send(k: int, percent: int, n_buckets: int):  # noqa: ANN202
                 edge = np.concatenate(([0], np.cumsum(sizes)))
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values + np.uint64(s)), dtype=np.uint64))) for s in (1, 2)]
                 two = [s[edge[1:]] - s[edge[:-1]] for s in sums]
-                cells = np.repeat(np.arange(j - i) * CELLS, sizes) + (mix(values + np.uint64(77)) % np.uint64(CELLS)).astype(np.int64)
-                sketch = np.minimum(np.bincount(cells, minlength=(j - i) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
-                rows = np.concatenate((np.stack([ids[i:j].view(np.uint64), sizes.astype(np.uint64), *two], 1), sketch.view(np.uint64)), 1)
-                yield packed_batch([("", -1, 0, None, np.ascontiguousarray(rows).tobytes())])
+                cells = sketch_cells(sizes)
+                base = np.cumsum(cells) - cells
+                cell = np.repeat(base, sizes) + (mix(values + np.uint64(77)) & np.repeat(cells - 1, sizes).astype(np.uint64)).astype(np.int64)
+                sketch = np.minimum(np.bincount(cell, minlength=int(cells.sum())), 255).astype(np.uint8)
+                rows = np.stack([ids[i:j].view(np.uint64), sizes.astype(np.uint64), *two], 1)
+                yield packed_batch([("", -1, 0, sketch.tobytes(), np.ascontiguousarray(rows).tobytes())])
                 sig, row = signatures(values, sizes, percent)
                 if len(sig):
                     held.append((sig, ids[i + row]))
@@ -249,9 +257,10 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(rb.num_rows):
             bucket, raw = rb["bucket"][i].as_py(), rb["payload"][i].as_py()
             if bucket < 0:
-                x = np.frombuffer(raw, np.uint64).reshape(-1, 4 + CELLS // 8)
-                cols = [pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) for k in range(4)]
-                yield pa.record_batch([pa.array(np.zeros(len(x), np.int32)), *cols, pa.array([r.tobytes() for r in x[:, 4:]], pa.binary())], names)
+                x = np.frombuffer(raw, np.int64).reshape(-1, 4)
+                edge = np.concatenate(([0], np.cumsum(sketch_cells(x[:, 1]))))
+                sketch, cols = rb["state"][i].as_py(), [pa.array(np.ascontiguousarray(x[:, k])) for k in range(4)]
+                yield pa.record_batch([pa.array(np.zeros(len(x), np.int32)), *cols, pa.array([sketch[p:q] for p, q in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names)
                 continue
             if bucket != now:
                 yield from flush()
@@ -265,30 +274,67 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ties(percent: int):  # noqa: ANN202
     """(a, b): a spanning forest of the pairs of each group that may be linked.  Rows (g, rep, size, sketch) come sorted by g."""
 
-    def near(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
-        apart = np.abs(x - y).sum(-1)
-        return ((100 + percent) * apart <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    def near(a: int, n: np.ndarray, x: list[np.ndarray], others: np.ndarray) -> np.ndarray:
+        """Of the others those that may be linked with a.  A sketch with twice the cells is folded."""
+        m, c = n[others], len(x[a])
+        fits = 100 * np.minimum(n[a], m) >= percent * np.maximum(n[a], m)
+        room = (100 - percent) * (n[a] + m)
+        out = np.zeros(len(others), bool)
+        cells = np.array([len(x[o]) for o in others])
+        for w in (c // 2, c, 2 * c):
+            at = np.flatnonzero(fits & (cells == w))
+            for k in range(0, len(at), 4096):
+                some = at[k : k + 4096]
+                y = np.stack([x[o] for o in others[some]])
+                one = x[a]
+                if w < c:
+                    one = one[:w] + one[w:]
+                elif w > c:
+                    y = y[:, :c] + y[:, c:]
+                out[some] = (100 + percent) * np.abs(y - one).sum(1, dtype=np.int64) <= room[some]
+        return out
 
-    def forest(ids: np.ndarray, n: np.ndarray, x: np.ndarray, out: list) -> None:
+    def forest(ids: np.ndarray, n: np.ndarray, x: list[np.ndarray], out: list) -> None:
         left = np.arange(len(ids))  # breadth first: each document is compared with those not reached yet
         while len(left) > 1:
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 i = queue.pop()
-                hit = np.concatenate([near(x[i], n[i], x[left[k : k + 8192]], n[left[k : k + 8192]]) for k in range(0, len(left), 8192)])
+                hit = near(i, n, x, left)
                 found = left[hit]
                 left = left[~hit]
                 queue.extend(found)
                 out.append(np.stack([ids[found], np.full(len(found), ids[i])], 1))
 
+    def pairs_of_two(a: np.ndarray, n: np.ndarray, x: list[np.ndarray]) -> np.ndarray:
+        """Of the pairs (a, a + 1) those that may be linked, compared by number of cells."""
+        b = a + 1
+        fits = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        a, b = a[fits], b[fits]
+        ca, cb = (np.array([len(x[i]) for i in v], np.int64) for v in (a, b))
+        a, b = np.where(ca <= cb, a, b), np.where(ca <= cb, b, a)
+        ca, cb = np.minimum(ca, cb), np.maximum(ca, cb)
+        keep = [np.zeros(0, np.int64)]
+        for c in np.unique(ca):
+            for w in (c, 2 * c):
+                at = np.flatnonzero((ca == c) & (cb == w))
+                for k in range(0, len(at), 4096):
+                    some = at[k : k + 4096]
+                    p, q = (np.stack([x[i] for i in v[some]]) for v in (a, b))
+                    if w > c:
+                        q = q[:, :c] + q[:, c:]
+                    close = (100 + percent) * np.abs(p - q).sum(1, dtype=np.int64) <= (100 - percent) * (n[a[some]] + n[b[some]])
+                    keep.append(np.minimum(a, b)[some[close]])
+        return np.concatenate(keep)
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[np.ndarray, ...] = (np.zeros(0, np.int64),) * 3 + (np.zeros((0, CELLS), np.int16),)
+        g, ids, n = (np.zeros(0, np.int64) for _ in range(3))
+        x: list[np.ndarray] = []
 
-        def work(g: np.ndarray, ids: np.ndarray, n: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        def work(g: np.ndarray, ids: np.ndarray, n: np.ndarray, x: list[np.ndarray]) -> pa.RecordBatch:
             first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
             size = np.diff(np.append(first, len(g)))
-            a = first[size == 2]
-            hit = a[near(x[a], n[a], x[a + 1], n[a + 1])]
+            hit = pairs_of_two(first[size == 2], n, x)
             out = [np.stack([ids[hit + 1], ids[hit]], 1)]
             for f, k in zip(first[size > 2], size[size > 2], strict=True):
                 forest(ids[f : f + k], n[f : f + k], x[f : f + k], out)
@@ -298,12 +344,12 @@ def _ties(percent: int):  # noqa: ANN202
         for rb in batches:
             if not rb.num_rows:
                 continue
-            x = np.frombuffer(b"".join(rb["sketch"].to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
-            rows = tuple(np.concatenate((k, r)) for k, r in zip(kept, (*(rb[c].to_numpy(zero_copy_only=False) for c in ("g", "rep", "n_shingles")), x), strict=True))
-            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on in the next batch
-            yield work(*(r[:last] for r in rows))
-            kept = tuple(r[last:] for r in rows)
-        yield work(*kept)
+            g, ids, n = (np.concatenate((k, rb[c].to_numpy(zero_copy_only=False))) for k, c in zip((g, ids, n), ("g", "rep", "n_shingles"), strict=True))
+            x += [np.frombuffer(v, np.uint8).astype(np.int16) for v in rb["sketch"].to_pylist()]
+            last = int(np.searchsorted(g, g[-1]))  # the last group may go on in the next batch
+            yield work(g[:last], ids[:last], n[:last], x[:last])
+            g, ids, n, x = g[last:], ids[last:], n[last:], x[last:]
+        yield work(g, ids, n, x)
 
     return step
 
