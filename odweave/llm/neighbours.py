@@ -1,16 +1,17 @@
 """Approximate nearest neighbours with a permutation index.
 
 A vector is represented by its ``PREFIX`` nearest pivots (cosine) in order.  Rows are dealt into blocks by a
-hash of their ids; within a block every pivot has an inverted file of (row, rank of the pivot in the row's
-permutation).  A query adds up, over the files of its own pivots, how well the ranks agree, which ranks the
-rows by Spearman's footrule (pivots outside a prefix count as rank PREFIX).  The best ``rerank`` rows of a
-block are compared exactly, in double precision; a query's best of all blocks are its result.  The pivots
-are a bounded sample (``PIVOTS`` rows by a hash of their ids); every row is indexed.
+hash of their ids; within a block every distinct vector is indexed once, with the least ids that hold it, and every
+pivot has an inverted file of (row, rank of the pivot in the row's permutation).  A query adds up, over the files of its own pivots, how well the ranks agree, which ranks the
+rows by Spearman's footrule (pivots outside a prefix count as rank PREFIX).  The best ``rerank`` vectors of a
+block (at the same distance those with the smaller vec_id) are compared exactly, in double precision; a query's best
+of all blocks are its result.  The pivots are a bounded sample (``PIVOTS`` distinct vectors by their hash, so that many
+copies of one vector are one pivot); every row is indexed.
 
 Query blocks meet row blocks; no more than one block of either is in memory.
 
 Defined cases: rows whose vec_id or vector is null, whose vector is zero, empty or holds null or non-finite
-components, or has another length than the pivots, take no part; rows with the query's own vec_id
+components, or has another length than most rows, take no part; rows with the query's own vec_id
 are not its candidates; candidates that repeat a vec_id and vector count once; ties go to the smaller vec_id;
 fewer candidates than k give them all; no rows give an empty result.
 """
@@ -59,25 +60,38 @@ class Block:
         self.ranks = [order[a:b] % self.k for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
     def nearest(self, q: np.ndarray, count: int) -> np.ndarray:
-        """The rows with the least footrule distance to a unit query.  The distance is k(k+1) minus twice
-        the sum, over shared pivots, of k minus the larger rank."""
-        agree = np.zeros(self.n, np.int32)
+        """The rows with the least footrule distance to a unit query, the first ones of those at the same distance.
+        The distance is k(k+1) minus twice the sum, over shared pivots, of k minus the larger rank."""
+        agree = np.zeros(self.n, np.int64)
         for rank, p in enumerate(permutations(q[None], self.pivots, self.k)[0]):
             agree[self.rows[p]] += self.k - np.maximum(self.ranks[p], rank)
-        return np.argpartition(-agree, count - 1)[:count] if count < self.n else np.arange(self.n)
+        order = np.arange(self.n) - agree * self.n
+        return np.argpartition(order, count - 1)[:count] if count < self.n else np.arange(self.n)
+
+
+def distinct(ids: np.ndarray, raw: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row of each distinct vector, ids, edges of each vector's ids among them) of rows in order of their
+    ids: at most the ``count`` least different ids of a vector, vectors in order of their least id."""
+    raw = np.ascontiguousarray(raw + 0.0)
+    _, first, group = np.unique(raw.view(np.dtype((np.void, raw.itemsize * raw.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    copies = pd.DataFrame({"g": np.argsort(order)[group.ravel()], "id": ids}).drop_duplicates().sort_values(["g", "id"])
+    copies = copies[copies.groupby("g").cumcount() < count]
+    return first[order], copies["id"].to_numpy(), np.searchsorted(copies["g"].to_numpy(), np.arange(len(first) + 1))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, rerank: int = 512, pivots: int = PIVOTS, prefix: int = PREFIX) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found of every row where is_query holds."""
     rows = usable(vectors)
-    chosen = rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(pivots).collect()
-    if not chosen:
+    size = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    if size is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    sizes = [len(r["v"]) for r in chosen]
-    dim = max(set(sizes), key=lambda s: (sizes.count(s), -s))
-    shared = vectors.sparkSession.sparkContext.broadcast(unit(np.array([r["v"] for r in chosen if len(r["v"]) == dim])))
+    dim, n = size
     rows = rows.where(F.size("v") == dim)
-    n = rows.count()
+    key = F.xxhash64("v", F.lit(11))
+    least = rows.select(key.alias("key")).distinct().orderBy("key").limit(pivots)
+    chosen = rows.withColumn("key", key).join(F.broadcast(least), "key").groupBy("key").agg(F.min("v").alias("v")).orderBy("key").collect()
+    shared = vectors.sparkSession.sparkContext.broadcast(unit(np.array([r["v"] for r in chosen])))
     blocks = max(1, -(-n // BLOCK_ROWS))
     left = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     queries = rows.where(is_query).dropDuplicates(["vec_id"])
@@ -90,18 +104,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, rerank: int = 512,
         if len(x) and len(q):
             x = x.sort_values("vec_id", kind="stable")
             ids, raw = x["vec_id"].to_numpy(), np.stack(x["v"].to_numpy())
+            first, copies, edges = distinct(ids, raw, k + 1)  # one more than k, as the query's own id is left out
+            raw, held = raw[first], np.diff(edges)
             norms = np.sqrt((raw * raw).sum(1))
             block = Block(unit(raw), shared.value, prefix)
             for some in q["q"]:
                 for one in some:
                     qid, v = one["vec_id"], np.asarray(one["v"], float)
                     near = np.sort(block.nearest(unit(v[None])[0], min(rerank, block.n)))
-                    near = near[ids[near] != qid]
                     cos = (raw[near] * v).sum(1) / (norms[near] * np.sqrt((v * v).sum()))
-                    best = np.lexsort((ids[near], -cos))
+                    m = held[near]
+                    found = copies[np.repeat(edges[near] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+                    cos, found = np.repeat(cos, m)[found != qid], found[found != qid]
+                    best = np.lexsort((found, -cos))
                     seen: set[tuple[int, float]] = set()
                     for i in best:
-                        if (pair := (int(ids[near[i]]), float(cos[i]))) not in seen:
+                        if (pair := (int(found[i]), float(cos[i]))) not in seen:
                             seen.add(pair)
                             out.append((qid, *pair))
                         if len(seen) == k:

@@ -339,6 +339,22 @@ def test_neighbours(spark):
     assert neighbours.search(odd.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_many_copies(spark):
+    """A third of the rows hold one vector: more copies in a block than are compared exactly."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(4000, 16)).astype(np.float32)
+    x[::3] = x[0]
+    x[1] = x[0] + np.float32(0.01) * x[2]
+    ids = r.permutation(4000)
+    v = spark.createDataFrame([(int(i), row.tolist()) for i, row in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    asked = [*sorted(int(i) for i in ids[::3])[::150], int(ids[1])]
+    got = collections.defaultdict(list)
+    for row in neighbours.search(v, F.col("vec_id").isin(asked)).orderBy("query_id", "rank").collect():
+        got[row["query_id"]].append(row["vec_id"])
+    copies = sorted(int(i) for i in ids[::3])
+    assert got == {q: [i for i in copies if i != q][:5] for q in asked}
+
+
 def test_mixing(spark, docs, odd):
     for df in (docs, odd):
         rows = mixing.annotate(df, ["doc_id", "source"]).collect()
