@@ -123,33 +123,55 @@ class Restorer:
         return text.lower()
 
 
-_LETTERS = np.zeros(256, bool)
-_LETTERS[65:91] = _LETTERS[97:123] = True
-_SYMBOLS = np.zeros(256, bool)
-_SYMBOLS[[ord(c) for c in "0123456789@$!|+(<*#"]] = True
-_WORD_BYTE = _LETTERS.copy()
-_WORD_BYTE[48:58] = _WORD_BYTE[128:] = True
-_WORD_BYTE[[ord(c) for c in "@$!|"]] = True
-_MARKS = np.zeros(256, bool)
-_MARKS[[ord(c) for c in "._*-"]] = True
+def _codes(chars: str) -> np.ndarray:
+    """Whether a character, by its code in ``disguised``, is one of chars."""
+    table = np.zeros(256, bool)
+    table[[_CODE_OF.get(c, ord(c)) for c in chars]] = True
+    return table
+
+
+#: Codes of characters beyond ASCII: symbols, the middle dot, any other; and of the edge between two texts.
+_SIGN, _DOT, _OTHER, _EDGE = 128, 129, 130, 131
+_CODE_OF = {"€": _SIGN, "£": _SIGN, "¡": _SIGN, "·": _DOT}
+_ALPHA = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_LETTERS, _WILDS = _codes(_ALPHA), _codes(WILD)
+_SYMBOLS = _codes("".join(STANDS_FOR) + WILD)
+_WORD = _codes(_ALPHA + "0123456789_")
+_LAST = _codes(_ALPHA + "0123456789@$")
+_GAPS, _MARKS = _codes(" .-_·"), _codes(".-_*·")
+_START = _codes(" \t\n\v\f\r\x1c\x1d\x1e\x1f\"'(")
+_START[[_OTHER, _EDGE]] = True  # others may be spaces
 
 
 def disguised(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Texts that may have a disguised token (a superset of those the patterns match)."""
-    pad = np.concatenate((data, np.full(4, 32, np.uint8)))
-    n = len(data)
-    letter, symbol, word = _LETTERS[pad], _SYMBOLS[pad], _WORD_BYTE[pad]
-    at = lambda m, k: m[k : k + n]
-    if not n:
-        return np.zeros(len(off) - 1, bool)
-    hint = at(letter, 0) & (at(symbol, 1) | (data >= 128) | at(_MARKS[pad], 1)) & (at(letter, 2) | at(symbol, 2))
-    hint |= at(symbol, 0) & at(letter, 1)
-    hint |= at(letter, 0) & (pad[:n] == pad[1 : n + 1]) & (pad[:n] == pad[2 : n + 2])
-    alone = np.zeros(n + 4, bool)
-    alone[1:n] = word[1:n] & ~word[: n - 1] & ~word[2 : n + 1]
-    alone[0] = word[0] & ~word[1]
-    hint |= at(alone, 0) & at(alone, 2) & at(alone, 4)
-    return np.add.reduceat(np.concatenate((hint, [False])).astype(np.int32), np.minimum(off[:-1], n))[: len(off) - 1] * (np.diff(off) > 0) > 0
+    """Texts that may have a disguised token (a superset of those the patterns match): for each pattern, a run of
+    characters that every match of it has."""
+    if len(off) < 2:
+        return np.zeros(0, bool)
+    if len(data) and data.max() >= 128:
+        lead = (data & 0xC0) != 0x80
+        at, pad = np.flatnonzero(lead), np.concatenate((data, np.zeros(2, np.uint8)))
+        one, two, three = pad[at], pad[at + 1], pad[at + 2]
+        code = np.where(one < 128, one, _OTHER).astype(np.uint8)
+        code[(one == 0xC2) & ((two == 0xA3) | (two == 0xA1)) | (one == 0xE2) & (two == 0x82) & (three == 0xAC)] = _SIGN
+        code[(one == 0xC2) & (two == 0xB7)] = _DOT
+        off = np.concatenate(([0], np.cumsum(lead)))[off]
+    else:
+        code = data
+    n = len(code) + len(off) - 1
+    edge = np.full(7, _EDGE, np.uint8)
+    code = np.concatenate((edge[:1], np.insert(code, off[:-1], edge[0]), edge))
+    letter, symbol, mark, wild = (t[code] for t in (_LETTERS, _SYMBOLS, _MARKS, _WILDS))
+    gap, word, any_ = _GAPS[code], _WORD[code], letter | symbol
+    at = lambda m, k: m[k + 1 : k + 1 + n]
+    hint = at(any_, 0) & at(gap, 1) & at(any_, 2) & at(gap, 3) & at(any_, 4) & ~at(word, -1) & ~at(word, 5)  # _SINGLES
+    joined = at(letter, 0) & at(mark, 1) & at(letter, 2)  # _JOINED
+    hint |= joined & (at(mark, 3) & at(letter, 4) | at(letter, 3) & (at(mark, 4) & at(letter, 5) | at(letter, 4) & at(mark, 5) & at(letter, 6)))
+    masked = at(letter, 0) & at(wild, 1)  # _MASKED
+    hint |= masked & (at(letter, 2) | at(wild, 2) & (at(letter, 3) | at(wild, 3) & at(letter, 4)))
+    hint |= at(letter, 0) & at(symbol, 1) & at(_LAST[code], 2) | at(_START[code], -1) & at(symbol, 0) & at(letter, 1)  # _LEET
+    hint |= at(letter, 0) & (at(code, 0) == at(code, 1)) & (at(code, 0) == at(code, 2))  # _RUN
+    return np.logical_or.reduceat(hint, off[:-1] + np.arange(len(off) - 1))
 
 
 def restored(texts: list[str] | pa.Array, restorer: Restorer) -> pa.Array:

@@ -139,6 +139,20 @@ def test_deobfuscation():
     assert r.restore("The plain text!! stays.") == "the plain text!! stays."
 
 
+def test_texts_that_restoring_changes_are_flagged():
+    restorer = toxicity.Restorer(toxicity.CharModel(np.ones((27, 27, 27))))
+    texts = ["s·t·u·p·i·d", "f * c k", "a £ 1", "st€pid", "you w£rd", "¡diot", "u < c k", "say ab.cde.fgh", "the s t u", "a##b", "noooo", "é s t u", "\u2003$tupid", "", "plain text"]
+    r = np.random.default_rng(0)
+    signs = list("aabBcst  ..--_··**#@$!|+(<€£¡0134 \"')é\n\u2003日,")
+    texts += ["".join(r.choice(signs, r.integers(0, 9))) for _ in range(20000)]
+    for some in (texts, [f"word {t}" for t in texts], [f"{t} word" for t in texts]):
+        raw = [t.encode() for t in some]
+        flags = toxicity.disguised(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in raw]))))
+        changed = np.array([restorer.restore(t) != t.lower() for t in some])
+        assert not [t for t, f, c in zip(some, flags, changed, strict=True) if c and not f]
+        assert not flags[13:15].any()
+
+
 # --- 3 ---------------------------------------------------------------------------------------
 
 
