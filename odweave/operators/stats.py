@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odweave.functions import scalars as S
+from odweave.functions.distributions import t_two_sided
 
 
 def descriptives(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -165,6 +166,22 @@ def shape_label(means: list[float], pearson: float, spearman: float, spread: flo
     return next((label for hit, label in rules if hit), "weak / unclear")
 
 
+SHAPE_ROW = "feature string, shape string, n long, pearson double, pearson_p double, spearman double, spearman_p double, feature_min double, feature_median double, feature_max double, value_p05 double, value_p50 double, value_p95 double"
+
+
+def shape_row(df: DataFrame, feature: str, value: str, bins: int = 20) -> tuple:
+    """SHAPE_ROW: the shape of a value (such as a SHAP value) over a feature's bins, with both correlations and percentiles.
+    A constant has no correlation."""
+    means = [r[0] for r in binned_profile(df, feature, value, bins).orderBy("bin").select("mean_value").collect()]
+    ranks = average_rank(average_rank(df.select(feature, value), feature, "_a"), value, "_b")
+    corr = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    m = df.agg(F.count("*"), corr(feature, value), F.min(feature), F.median(feature), F.max(feature), *(F.percentile(value, q) for q in (0.05, 0.5, 0.95))).first()
+    r, rho = (float("nan") if c is None else max(-1.0, min(1.0, float(c))) for c in (m[1], ranks.agg(corr("_a", "_b")).first()[0]))
+    n = m[0]
+    p = [x if x != x else 0.0 if abs(x) >= 1 else t_two_sided(x * ((n - 2) / (1 - x * x)) ** 0.5, n - 2) for x in (r, rho)]
+    return (feature, shape_label(means, r, rho, m[7] - m[5]), n, r, p[0], rho, p[1], *(float(x) for x in m[2:]))
+
+
 def delta_vs_baseline(df: DataFrame, name: str, baseline: str, columns: list[str]) -> DataFrame:
     """df with each column's difference from the baseline row's (a one-row broadcast)."""
     base = df.where(F.col(name) == baseline).limit(1).select(*(F.col(c).alias(f"_b_{c}") for c in columns))

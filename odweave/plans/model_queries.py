@@ -10,6 +10,7 @@ from odweave.operators import regression as R
 from odweave.plans import views as V
 from odweave.plans.flow_queries import _with
 from odweave.plans.registry import query
+from odweave.storage import release, stored
 
 Y, X = "log_revenue", V.PREDICTORS
 FR = V.FRAME
@@ -69,14 +70,12 @@ def profile_slopes(spark, sf):
 
 @query(None)
 def shape_summary(spark, sf):
-    f = V.model_frame(spark, sf)
-    rows = []
-    for c in X:
-        p = stats.binned_profile(f, c, Y, 10).orderBy("bin").select("mean_value").collect()
-        s = stats.correlation_array(stats.average_rank(stats.average_rank(f, c, "_a"), Y, "_b"), ["_a", "_b"])[0, 1]
-        m = f.agg(F.corr(c, Y), F.percentile(Y, 0.95) - F.percentile(Y, 0.05)).first()
-        rows.append((c, stats.shape_label([r[0] for r in p], m[0], s, m[1]), float(m[0]), float(s)))
-    return V.rounded(spark.createDataFrame(rows, "feature string, shape string, pearson double, spearman double"))
+    """Shapes of the SHAP values of each feature over 20 quantile bins (E5)."""
+    f, m = _model(spark, sf)
+    joined = stored(f.join(learning.shap_values(m, f, X, "area"), "area"), "shap")
+    rows = [stats.shape_row(joined, c, f"shap_{c}") for c in X]
+    release(joined)
+    return V.rounded(spark.createDataFrame(rows, stats.SHAPE_ROW))
 
 
 _PAIRS = [(a, b) for i, a in enumerate([Y, *X]) for b in [Y, *X][i:]]

@@ -128,3 +128,26 @@ def test_shapley_adds_up_and_matches_brute_force():
     only0 = (4 * 1 + 2 * 2) / 6
     only1 = (6 * 2 + 4 * 5) / 10
     assert s[0, 0] == pytest.approx(((only0 - base) + (2 - only1)) / 2)
+
+
+def test_shapes_are_those_of_shap_values(spark):
+    from odweave.plans import model_queries as M
+    from odweave.plans import views as V
+    from tests.conftest import SF
+
+    got = {r["feature"]: r for r in M.shape_summary(spark, SF).collect()}
+    assert set(got) == set(M.X)
+    t = V.model_frame(spark, SF).select("area", *M.X).join(M.shap_values(spark, SF), "area").toPandas()
+    for c in M.X:
+        x, y, r = t[c].to_numpy(), t[f"shap_{c}"].to_numpy(), got[c]
+        if y.std() > 1e-4:
+            assert r["pearson"] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-3)
+        assert [r["value_p05"], r["value_p50"], r["value_p95"]] == pytest.approx(np.percentile(y, [5, 50, 95]), abs=1e-5)
+
+
+def test_shape_of_a_step_is_a_threshold(spark):
+    from odweave.operators import stats
+
+    df = spark.createDataFrame([(float(i), -0.5 - 0.01 * (i % 7) if i < 200 else 0.5 + 0.01 * (i % 5)) for i in range(400)], "f double, s double")
+    r = stats.shape_row(df, "f", "s")
+    assert r[1] == "threshold" and r[2] == 400 and r[4] < 1e-6
