@@ -140,7 +140,7 @@ def lm_tests(spark, sf):
 def residual_moran(spark, sf):
     f = V.model_frame(spark, sf)
     fit = R.fit_ols(f, Y, X)
-    return V.rounded(spatial.moran_permutation(fit.data.select("area", fit.residual().alias("residual")), V.frame_weights(f), "area", "residual", 49))
+    return V.rounded(spatial.moran_permutation(fit.data.select("area", fit.residual().alias("residual")), V.frame_weights(f), "area", "residual", 999))
 
 
 def _spatial(spark, sf, kind):
@@ -206,7 +206,7 @@ def _model(spark, sf):
 @query(None)
 def permutation_importance(spark, sf):
     f, m = _model(spark, sf)
-    return V.rounded(learning.permutation_importance(m, f, X, Y, "area", 3))
+    return V.rounded(learning.permutation_importance(m, f, X, Y, "area"))
 
 
 @query(None)

@@ -10,7 +10,7 @@ from odweave.plans import views as V
 from odweave.plans.flow_queries import _with
 from odweave.plans.registry import query
 
-R = 49
+R = 999
 BASE = (V.OD, V.AREAS, V.EDGES, V.INFLOW, V.ZINFLOW)
 LAG = "lagged AS (SELECT z.area, z.inflow, z.z, coalesce(sum(w.w * n.z), 0) AS lag_z FROM z LEFT JOIN weights w ON w.i = z.area LEFT JOIN z n ON n.area = w.j GROUP BY ALL)"
 

@@ -151,3 +151,12 @@ def test_shape_of_a_step_is_a_threshold(spark):
     df = spark.createDataFrame([(float(i), -0.5 - 0.01 * (i % 7) if i < 200 else 0.5 + 0.01 * (i % 5)) for i in range(400)], "f double, s double")
     r = stats.shape_row(df, "f", "s")
     assert r[1] == "threshold" and r[2] == 400 and r[4] < 1e-6
+
+
+def test_permutation_queries_run_999(spark):
+    from odweave.plans import model_queries as M
+    from odweave.plans import spatial_queries as Q
+    from tests.conftest import SF
+
+    for query in (Q.moran_permutation, M.residual_moran):
+        assert query(spark, SF).first()["permutations"] == 999
