@@ -12,7 +12,7 @@ result.
 Defined cases: a null text is an empty text; rows with a null doc_id take part, and stay only where
 their whole group has none; rows that repeat a doc_id and text are each returned (both are ``kept``
 if that doc_id stays); an empty table gives an empty result; other columns of the input pass through
-untouched and may have any name that does not begin with ``_dd_``.
+untouched and may have any name that does not begin with ``_dd_`` (those of the result too).
 """
 
 from __future__ import annotations
@@ -51,16 +51,18 @@ def _probe(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
     return rows.withColumn("_dd_maybe", flags[0] & flags[1]).drop(*(f"_dd_{k}{i}" for k in "bmp" for i in (0, 1)), "_dd_h")
 
 
-def annotate(docs: DataFrame, carry: list[str] | None = None, max_bits: int = MAX_BITS) -> DataFrame:
-    """Every row of docs (columns ``carry``, by default doc_id alone) with keep_id, group_size, kept
-    and text_sha256."""
+def annotate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) of every row of docs."""
+    return _groups(docs.select("doc_id", "text"), ["doc_id"], max_bits, thin=True)
+
+
+def _groups(docs: DataFrame, carry: list[str], max_bits: int, thin: bool) -> DataFrame:
+    """The columns ``carry`` of docs, which have none of the result's names, and keep_id, group_size, kept and text_sha256."""
     text = F.coalesce(F.col("text"), F.lit(""))
     hashes = docs.select(F.xxhash64(text).alias("_dd_h"))
     rows = docs.count()
     bits = min(max_bits, 1 << max(15, (BITS_PER_ROW * max(rows, 1) - 1).bit_length()))
     bitmaps = stored(repeated_slots(hashes, bits), "bloom")
-    thin = carry is None
-    carry = carry or ["doc_id"]
     probed = _probe(docs.select(*carry, F.sha2(text, 256).alias("_dd_sha"), F.xxhash64(text).alias("_dd_h")), bitmaps, bits)
     if thin:  # no texts to carry: the table is small, and the texts are read twice in all
         probed = stored(probed, "probed")
@@ -75,14 +77,14 @@ def annotate(docs: DataFrame, carry: list[str] | None = None, max_bits: int = MA
     return once.unionByName(again)
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of docs that stay: of equal texts the one with the largest doc_id (of rows that repeat
     doc_id and text, one)."""
     names = docs.columns
-    rows = annotate(docs, names)
-    alone = rows.where("kept AND group_size = 1").select(*names)
-    rest = rows.where("kept AND group_size > 1").dropDuplicates(["doc_id", "text_sha256"]).select(*names)
-    return alone.unionByName(rest)
+    inner = docs.toDF(*(c if c in ("doc_id", "text") else f"_dd_c{i}" for i, c in enumerate(names)))
+    rows = _groups(inner, inner.columns, max_bits, thin=False).where("kept")
+    rest = rows.where("group_size > 1").dropDuplicates(["doc_id", "text_sha256"])
+    return rows.where("group_size = 1").unionByName(rest).select(*inner.columns).toDF(*names)
 
 
 SQL = """

@@ -4,8 +4,9 @@ A text is a vector of hashed character n-grams (1 to 3 bytes of the lower-cased
 read as spaces), TF-IDF weighted and normalised.  Inverse document frequencies come from all learning rows.
 Each language has several centroids, found by spherical k-means over a bounded sample of its rows
 (``FIT_PER_LANG``).  The language of the centroid with the largest cosine wins.  A text is rejected if that
-cosine is below what the language's own sample texts show at its distance from the centroid (their smallest
-over texts of like length, with a margin).
+cosine is far below what the language's own texts show: thresholds are calibrated on sample rows that the
+centroids of a first fit have not seen, by language and length (``MARGIN`` of their smallest cosine); then the
+centroids are fitted on all sample rows.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; rows whose lang is
 null are predicted but not learned from; repeated rows count each; without learning rows every text is
@@ -22,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.common import fold_column, text_chunks
+from odweave.llm.common import expand, fold_column, squeeze, text_chunks
 
 DIM = 4096
 ORDERS = (1, 2, 3)
 #: Rows of a language that centroids are fitted on at most, and centroids of a language.
 FIT_PER_LANG, CENTROIDS = 500, 4
-#: A text is rejected below this share of the smallest cosine of the sample texts of its length class.
-MARGIN = 0.5
+#: A text is rejected below this share of the smallest cosine of held-out sample texts of its length class.
+MARGIN = 0.7
+#: Sample texts that a length class needs for a threshold of its own, and what a class with fewer takes of the next one's.
+SHOWN, EASE = 10, 0.5
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -79,31 +82,34 @@ def length_class(size: np.ndarray) -> np.ndarray:
 class Model:
     """Centroids [k, DIM] with their languages, idf, and the least cosine by language and length class."""
 
-    def __init__(self, idf: np.ndarray, langs: list[str], texts: list[str]):
+    def __init__(self, idf: np.ndarray, langs: list[str], counts: np.ndarray, size: np.ndarray):
+        """counts [rows, DIM] and size (bytes) of the sample texts, langs theirs."""
         self.idf = idf.astype(np.float32)
         self.names = sorted(set(langs))
-        self.owner, cents = [], []
         lang = np.array(langs, object)
-        x = [weighted(c, self.idf) for _, _, c, _ in vectors(pa.array(texts, pa.large_string()))]
-        x = np.concatenate(x) if x else np.zeros((0, DIM), np.float32)
-        size = np.array([len(t.encode()) for t in texts])
-        for k, name in enumerate(self.names):
-            c = kmeans(x[lang == name], CENTROIDS)
-            cents.append(c)
-            self.owner += [k] * len(c)
-        self.owner = np.array(self.owner, int)
-        self.centroids = np.concatenate(cents) if cents else np.zeros((0, DIM), np.float32)
+        x = weighted(counts, self.idf)
+        own = np.searchsorted(self.names, lang) if len(x) else np.zeros(0, int)
+        rank = np.zeros(len(x), int)  # the place of a row among those of its language
+        for k in range(len(self.names)):
+            rank[own == k] = np.arange((own == k).sum())
+        self._centres(x, own, rank % 2 == 0)
+        held = rank % 2 == 1
         self.least = np.zeros((len(self.names), 8))
-        if len(x):
-            cos = self.cosines(x)
-            for k, name in enumerate(self.names):
-                own, cls = cos[lang == name, k], length_class(size[lang == name])
-                floor, ease = 1.0, 1.0
-                for c in range(7, -1, -1):  # shorter texts are further away: never stricter than for longer ones
-                    if (cls == c).any():
-                        floor = min(floor, float(own[cls == c].min()))
-                    ease *= 1.0 if (cls == c).sum() >= 10 else 0.5  # a class that the sample hardly shows
-                    self.least[k, c] = MARGIN * floor * ease
+        cos = self.cosines(x)[np.arange(len(x)), own] if len(x) else np.zeros(0)
+        cls = length_class(size)
+        for k in range(len(self.names)):
+            floor = 1.0
+            for c in range(7, -1, -1):  # shorter texts are further away: never stricter than for longer ones
+                some = held & (own == k) & (cls == c)
+                floor = min([floor, *cos[some].tolist()]) if some.sum() >= SHOWN else min([floor * EASE, *cos[some].tolist()])
+                self.least[k, c] = MARGIN * floor
+        self._centres(x, own, np.ones(len(x), bool))
+
+    def _centres(self, x: np.ndarray, own: np.ndarray, used: np.ndarray) -> None:
+        """Several centroids of each language from the used rows (of a language with one row: that row)."""
+        found = [kmeans(x[(own == k) & (used | ((own == k).sum() == 1))], CENTROIDS) for k in range(len(self.names))]
+        self.owner = np.repeat(np.arange(len(found)), [len(c) for c in found])
+        self.centroids = np.concatenate(found) if found else np.zeros((0, DIM), np.float32)
 
     def cosines(self, x: np.ndarray) -> np.ndarray:
         """The largest cosine with a centroid of each language."""
@@ -177,12 +183,21 @@ def fit(docs: DataFrame, learn: Column | None = None, per_lang: int = FIT_PER_LA
     if learn is not None:
         rows = rows.where(learn)
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    pick = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    pick = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.lit(0.0)
     for name, n in counts.items():
         rate = F.when(F.col("lang") == name, F.lit(min(1.0, per_lang / n))).otherwise(rate)
-    sample = sorted((r["doc_id"] or 0, r["lang"], r["text"]) for r in rows.where(pick < rate).limit(2 * per_lang * max(1, len(counts))).collect())
-    return Model(inverse_frequencies(rows), [s[1] for s in sample], [s[2] for s in sample])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for i, j, c, size in vectors(rb["text"]):
+                yield pa.record_batch([rb["lang"].slice(i, j - i), pa.array(size), pa.array([squeeze(r.astype(np.uint32)) for r in c], pa.binary())], ["lang", "size", "counts"])
+
+    # the driver gets the counts of the sample's texts, a few KB each, whatever their length
+    sample = rows.where(pick < rate).limit(2 * per_lang * max(1, len(counts))).mapInArrow(step, "lang string, size long, counts binary")
+    sample = sorted((r["lang"], r["size"], bytes(r["counts"])) for r in sample.collect())
+    x = np.stack([expand(s[2]) for s in sample]).astype(np.float32) if sample else np.zeros((0, DIM), np.float32)
+    return Model(inverse_frequencies(rows), [s[0] for s in sample], x, np.array([s[1] for s in sample], np.int64))
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
@@ -206,14 +221,12 @@ def held_out_predictions(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs without the rows whose language is rejected."""
+    """docs without the rows whose language is rejected.  Only the texts go to Python, one boolean each comes back; the rows
+    stay in the JVM."""
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
-    names = docs.columns
-    at = names.index("text")
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            _, _, rejected = shared.value.predict(rb.column(at))
-            yield rb.filter(pa.array(~rejected))
+    @F.arrow_udf("boolean")
+    def identified(text: pa.Array) -> pa.Array:
+        return pa.array(~shared.value.predict(text)[2], pa.bool_())
 
-    return docs.mapInArrow(step, docs.schema)
+    return docs.where(identified("text"))

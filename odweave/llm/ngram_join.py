@@ -12,7 +12,8 @@ leave out its thinnest signatures (few elements, shared by chance): it emits tho
 largest value at which fewer first-level parts than the slack allows have a thinner one.  The agreeing signature that the argument
 finds for the set with the larger t is emitted by both, so no linkable pair is lost, whatever the sizes.
 
-Join.  Signatures travel as sorted arrays (see common.packed_exchange's notes).  Documents of one set have one
+Join.  Signatures travel as sorted arrays (see common.packed_exchange's notes).  A batch sends the signatures of a set once,
+however many of its documents have it, so copies are combined before the exchange.  Documents of one set have one
 representative.  The representatives that share a signature are a group; groups with the same members are one.  In a group two
 sets may be linked only if the counts of their elements by hash cells (about 8 elements a cell) differ by no more than the linkable sets of their sizes can: this
 bound is exact, so it drops no link, and it drops nearly all pairs that share a passage only.  A spanning forest of the pairs
@@ -23,7 +24,7 @@ the links: copies are never expanded into pairs.  A cluster with many blocks is
 Defined cases: null and empty texts and those without words have an empty set and link with nothing; fewer than k words are one
 shingle; rows that repeat a doc_id are one document, linked by what any of them links, and each get a row;
 a null doc_id is a document after all others, and is null in the result; an empty table gives an empty result; only doc_id and
-text are read.
+text are read; a ``percent`` below 50 or above 100 is an error.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ BAND_RATIO, SLACK = 1.4, 0.12
 #: Elements of a set in a cell of its count sketch, about; sketches have a power of two of cells, LEAST_CELLS at least.
 PER_CELL, LEAST_CELLS = 8, 32
 #: Documents of a comparison block, about; signatures of a batch and of a bucket, about.
-BLOCK, BATCH_SIGNATURES, BUCKET_SIGNATURES = 256, 2_000_000, 2_000_000
+BLOCK, BATCH_SIGNATURES, BUCKET_SIGNATURES = 96, 500_000, 2_000_000
 
 
 # --- sets -----------------------------------------------------------------------------------
@@ -180,12 +181,14 @@ def _send(k: int, percent: int, n_buckets: int):  # noqa: ANN202
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        sent: set[tuple[int, int]] = set()  # digests of the batch's sets
         waiting = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal waiting
             sig, doc = (np.concatenate([h[i] for h in held]) for i in (0, 1))
             held.clear()
+            sent.clear()
             waiting = 0
             order = np.argsort(sig, kind="stable")
             sig, doc = sig[order], doc[order]
@@ -211,9 +214,15 @@ def _send(k: int, percent: int, n_buckets: int):  # noqa: ANN202
                 sketch = np.minimum(np.bincount(cell, minlength=int(cells.sum())), 255).astype(np.uint8)
                 rows = np.stack([ids[i:j].view(np.uint64), sizes.astype(np.uint64), *two], 1)
                 yield packed_batch([("", -1, 0, sketch.tobytes(), np.ascontiguousarray(rows).tobytes())])
-                sig, row = signatures(values, sizes, percent)
+                new = np.zeros(j - i, bool)
+                for r, digest in enumerate(zip(two[0].tolist(), two[1].tolist(), strict=True)):
+                    if sizes[r] and digest not in sent:
+                        sent.add(digest)
+                        new[r] = True
+                fresh = np.flatnonzero(new)
+                sig, row = signatures(values[np.repeat(new, sizes)], sizes[fresh], percent)
                 if len(sig):
-                    held.append((sig, ids[i + row]))
+                    held.append((sig, ids[i + fresh[row]]))
                     waiting += len(sig)
                 if waiting >= BATCH_SIGNATURES:
                     yield from flush()
@@ -433,6 +442,8 @@ def _sets_of(k: int):  # noqa: ANN202
 
 def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be 50 to 100: sketches of linkable sets are at most one doubling apart")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     _, size = text_size(docs)
