@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odweave.operators.grouping import components, join_group
@@ -151,14 +151,32 @@ def fold_column(n: int, name: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+#: Bytes of an Arrow batch between the JVM and Python, unless the session sets its own bound.
+BATCH_BYTES = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the memory of Arrow batches on both sides, however long the texts are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def repeatable(docs: DataFrame) -> DataFrame:
+    """docs, whose tasks give the same rows in the same order when an executor is lost and they run again: true of scans, so an
+    input with an exchange in its plan is written first."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return stored(docs, "input") if "Exchange" in plan else docs
+
+
 # --- membership by bitmap ------------------------------------------------------------------
 
 #: Bound of a broadcast bitmap: 16 MB.
 MAX_BITS = 1 << 27
 
 
-def bitmap_filter(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The rows whose column may be among the keys (one column, not null), without a shuffle of rows: a Bloom bitmap of the
+def bitmap_filter(rows: DataFrame, column: str, keys: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows whose column may be among the keys (one column, not null; keep=False: those whose is not for certain), without a shuffle of rows: a Bloom bitmap of the
     keys, of MAX_BITS bits at most whatever their number, is broadcast.  Rows that are not among them and pass are few while keys number under
     MAX_BITS / 8; a join that decides must follow."""
     count = keys.count()
@@ -167,9 +185,10 @@ def bitmap_filter(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     hit = keys.select(slot(keys.columns[0]).alias("s"))
     bitmap = stored(hit.groupBy(F.bitmap_bucket_number("s").alias("_bf_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bf_m")), "bitmap")
     names = rows.columns
-    rows = rows.withColumns({"_bf_b": F.bitmap_bucket_number(slot(column)), "_bf_p": F.bitmap_bit_position(slot(column))}).join(F.broadcast(bitmap), "_bf_b")
+    rows = rows.withColumns({"_bf_b": F.bitmap_bucket_number(slot(column)), "_bf_p": F.bitmap_bit_position(slot(column))}).join(F.broadcast(bitmap), "_bf_b", "inner" if keep else "left")
     byte = F.conv(F.hex(F.substring(F.col("_bf_m"), (F.col("_bf_p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
-    return rows.where(F.getbit(byte, (F.col("_bf_p") % 8).cast("int")) == 1).select(*names)
+    among = F.getbit(byte, (F.col("_bf_p") % 8).cast("int")) == 1
+    return rows.where(among if keep else ~F.coalesce(among, F.lit(False))).select(*names)
 
 
 # --- packed exchange ------------------------------------------------------------------------
@@ -230,7 +249,8 @@ def bucket_bounds(keys: np.ndarray, n: int) -> np.ndarray:
 def packed_exchange(
     sent: DataFrame, n_buckets: int, reduce: Callable[[list[bytes]], list[bytes]], n_parts: int
 ) -> DataFrame:
-    """sent: PACKED rows; bucket -1 carries a batch's state, the others its slices.  Gives the
+    """sent: PACKED rows; bucket -1 carries a batch's state, the others its slices; batch begins with its task's and its own
+    number.  Gives the
     state rows unchanged and for every slice reduce()'s answer as payload, dealt by batch and
     sorted by (batch, bucket)."""
 
@@ -256,9 +276,16 @@ def packed_exchange(
                 held.append((rb["batch"][i].as_py(), bucket, rb["payload"][i].as_py()))
         yield from flush()
 
-    dealt = sent.repartition(n_parts, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("batch")))
-    answers = dealt.sortWithinPartitions("bucket").mapInArrow(step, PACKED)
-    return answers.repartition(n_parts, "batch").sortWithinPartitions("batch", "bucket", "part")
+    answers = by_bucket(sent, n_parts).sortWithinPartitions("bucket").mapInArrow(step, PACKED)
+    task, number = (F.split_part("batch", F.lit("-"), F.lit(i)).cast("long") for i in (1, 2))
+    place = F.pmod(task + number * F.lit(int(0.618 * n_parts) + 1), F.lit(n_parts)).cast("int")  # a task's batches apart
+    return answers.repartitionById(n_parts, place).sortWithinPartitions("batch", "bucket", "part")
+
+
+def by_bucket(sent: DataFrame, n_parts: int) -> DataFrame:
+    """PACKED rows with each bucket in a partition of its own (for at most n_parts buckets), states spread over all."""
+    spread = F.pmod(F.xxhash64("batch", "payload"), F.lit(n_parts)).cast("int")
+    return sent.repartitionById(n_parts, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(spread))
 
 
 PACKED_ARROW = pa.schema([("batch", pa.string()), ("bucket", pa.int32()), ("part", pa.int32()), ("state", pa.binary()), ("payload", pa.binary())])

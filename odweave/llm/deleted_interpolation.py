@@ -15,7 +15,7 @@ Nothing of the model is broadcast or collected except totals and weights.  Count
 common.packed_exchange): every batch sends its distinct tokens and bigrams once and gets their corpus counts back.
 
 Defined cases: a null text is an empty text, whose only token is the end; a null doc_id is hashed as empty text; repeated rows
-count each; without learning documents N = V = 0 and all scores are 0; an empty table gives an empty result; texts are read whole;
+count each; without learning documents N = V = 0 and all scores are 0 (of one unknown token, which is certain); an empty table gives an empty result; texts are read whole;
 only doc_id and text are read.
 """
 
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from odweave.llm.common import (
     NULL_ID,
     PACKED,
+    bound_batches,
     bucket_bounds,
     by_batch,
     expand,
@@ -44,6 +45,7 @@ from odweave.llm.common import (
     packed_batch,
     packed_exchange,
     parts_of,
+    repeatable,
     squeeze,
     squeeze_sorted,
     stored,
@@ -78,7 +80,8 @@ START_KEY = token_key(np.array([START]))[0]
 
 
 def bigram_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(v * np.uint64(0x9FB21C651E98DF25) + w)
+    """56 bits; the lowest byte is 0, so that it takes no room when keys travel."""
+    return mix(v * np.uint64(0x9FB21C651E98DF25) + w) & ~np.uint64(0xFF)
 
 
 def bucket_of(count: np.ndarray) -> np.ndarray:
@@ -171,7 +174,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch: token counts of its texts, and the classes of its deleted events."""
     for name, states, answers in by_batch(batches):
         if len(states) != 1:
-            raise RuntimeError(f"batch {name} met {len(states)} states; its rows were made anew in another order")
+            raise RuntimeError(f"batch {name} met {len(states)} states")  # cannot happen: see repeatable()
         ids, n, place, words = (expand(x) for x in parts_of(states[0]))
         raw = [parts_of(a) for a in answers]
         known = np.sum([np.frombuffer(r[0], np.int64) for r in raw], 0)
@@ -202,6 +205,8 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_weights(classes: np.ndarray, events: np.ndarray, kept_tokens: int, types: int, rounds: int = 60) -> np.ndarray:
     """[BUCKETS, 3] weights of bigram, unigram and uniform estimates, by expectation-maximisation.  Each bucket starts from, and
     keeps ten events' worth of, the weights of all buckets together."""
+    if not types:  # nothing was learned: all weight is on the uniform distribution
+        return np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
     bucket, k2, k1 = classes // (_P1 * _P2), classes // _P1 % _P2, classes % _P1
     p = np.stack([np.where(k2 > 0, 2.0 ** (-(k2 - 1) / STEPS), 0), np.where(k1 > 0, 2.0 ** ((k1 - 1) / STEPS) / max(kept_tokens, 1), 0), np.full(len(classes), 1 / (types + 1))], 1)
     n = events.astype(float)
@@ -235,9 +240,10 @@ class Counted:
 
 def count(docs: DataFrame) -> Counted:
     spark = docs.sparkSession
+    bound_batches(spark)
+    docs = repeatable(docs.select("doc_id", "text"))
     _, size = text_size(docs)
-    n_buckets = max(8, size // 10 // BUCKET_KEYS)
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_buckets)
+    n_buckets = n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 10 // BUCKET_KEYS)
     sent = docs.select("doc_id", "text").mapInArrow(_send(n_buckets), PACKED)
     table = stored(packed_exchange(sent, n_buckets, _reduce, n_parts).mapInArrow(_assemble, COUNTED), "counted")
     t = table.agg(F.sum("types").alias("v"), F.sum("tokens").alias("n"), F.sum("kept_tokens").alias("k")).first()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.common import expand, fold_column, squeeze, text_chunks
+from odweave.llm.common import bound_batches, expand, fold_column, squeeze, text_chunks
 
 DIM = 4096
 ORDERS = (1, 2, 3)
@@ -179,6 +179,7 @@ def inverse_frequencies(learn: DataFrame) -> np.ndarray:
 
 def fit(docs: DataFrame, learn: Column | None = None, per_lang: int = FIT_PER_LANG) -> Model:
     """The model learned from the rows of docs where ``learn`` holds (by default all) and lang is not null."""
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if learn is not None:
         rows = rows.where(learn)
@@ -204,6 +205,7 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejecte
 
 
 def predict(docs: DataFrame, model: Model, held_out: Column | None = None) -> DataFrame:
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +225,7 @@ def held_out_predictions(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs without the rows whose language is rejected.  Only the texts go to Python, one boolean each comes back; the rows
     stay in the JVM."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
     @F.arrow_udf("boolean")

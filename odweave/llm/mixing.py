@@ -7,7 +7,11 @@ in proportion, and bounded-knapsack dynamic programming over the leftover counts
 the word where the lengths allow it.  Which documents of a length are taken follows a seeded hash.
 
 Only counts by (source, length) meet in one task, never documents.  Ranks within a length are
-sub-dealt by 256 hash buckets, so that a source and length with a third of all rows splits.
+sub-dealt by 256 hash buckets, so that a source and length with a third of all rows splits.  Sources are ranked by ranges.
+
+The table of the dynamic programming has ``TABLE`` sums at most.  A budget beyond it is first brought below it by taking the longest
+documents that fit.  What is then still missing or too much is mended both ways: words too many are taken back by a second
+knapsack over the documents taken; where too few can be taken, one more long document is taken and the excess given back.
 
 Defined cases: a null text or one without words has size 0 and is never taken; a null source is a
 source of its own, last in order; a null doc_id is hashed like any other; repeated rows count each;
@@ -23,54 +27,81 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odweave.llm.common import stored
+from odweave.operators.grouping import numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 SUB_BUCKETS = 256
-#: Budget that dynamic programming fits; a larger one is brought below it by taking long documents.
-DP_BUDGET = 1 << 16
+#: Sums that a table of the dynamic programming holds.
+TABLE = 1 << 22
+
+
+def subset(lengths: np.ndarray, counts: np.ndarray, target: int) -> np.ndarray:
+    """How many documents of each length (longest first; at most counts) to take so that their words come as near target as
+    bounded knapsack allows, the lower of two sums as near.  A target beyond the table is brought below it, longest first."""
+    take = np.zeros(len(lengths), np.int64)
+    left = min(target, int((lengths * counts).sum()))
+    for i in range(len(lengths)):
+        if left <= TABLE:
+            break
+        k = min(int(counts[i]), left // int(lengths[i]))
+        take[i] += k
+        left -= k * int(lengths[i])
+    spare = counts - take
+    if left <= 0 or left > TABLE or not spare.any():
+        return take
+    # the nearest sum is below the next document of any length; sums beyond twice the budget are never nearer than none
+    most = min(2 * left, left + int(lengths[spare > 0].max()))
+    reach, full = 1, (1 << (most + 1)) - 1
+    first = np.full(most + 1, -1, np.int32)  # the item with which a sum is first reached
+    items: list[tuple[int, int]] = []
+    for i in np.flatnonzero(spare):
+        have, n = min(int(spare[i]), most // int(lengths[i])), 1
+        while have > 0 and not reach >> left & 1:  # counts in binary parts
+            k = min(n, have)
+            new = (reach << (k * int(lengths[i]))) & full & ~reach
+            if new:
+                raw = np.frombuffer(new.to_bytes(most // 8 + 1, "little"), np.uint8)
+                at = np.flatnonzero(raw)
+                bit, byte = np.nonzero(raw[at][None] >> np.arange(8, dtype=np.uint8)[:, None] & 1)
+                first[8 * at[byte] + bit] = len(items)
+                reach |= new
+            items.append((i, k))
+            have, n = have - k, n * 2
+    low = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
+    above = reach >> left
+    high = left + (above & -above).bit_length() - 1 if above else low
+    at = low if left - low <= abs(high - left) else high
+    while at:
+        i, k = items[first[at]]
+        take[i] += k
+        at -= k * int(lengths[i])
+    return take
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near ``budget`` as bounded
-    knapsack allows (the lower of two sums as near), after a proportional share of every length."""
+    """How many documents of each length to take so that their words come near ``budget``: a proportional share of every length, a
+    bounded knapsack for the rest, and one over what was taken for what is too much."""
     order = np.argsort(-lengths, kind="stable")
     ls, cs = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     total = int((ls * cs).sum())
     take = np.zeros(len(ls), np.int64)
     if total and budget > 0:
-        share = min(1.0, budget / total)
-        take = np.minimum(cs, np.floor(cs * share).astype(np.int64))
-        left = budget - int((ls * take).sum())
-        for i in range(len(ls)):  # longest first, down to what the table holds
-            if left <= DP_BUDGET:
-                break
-            k = min(int(cs[i] - take[i]), left // int(ls[i]))
-            take[i] += k
-            left -= k * int(ls[i])
-        left = min(left, int((ls * (cs - take)).sum()))
-        most = left + int(ls[0])  # the nearest sum is below the next document of any length
-        if 0 < left and most <= 1 << 22:
-            items, reach, before = [], 1, []
-            full = (1 << (most + 1)) - 1
-            for i in np.flatnonzero(cs > take):
-                have, n = min(int(cs[i] - take[i]), most // int(ls[i])), 1
-                while have > 0 and not reach >> left & 1:  # counts in binary parts
-                    k = min(n, have)
-                    before.append(reach)
-                    items.append((i, k))
-                    reach |= (reach << (k * int(ls[i]))) & full
-                    have, n = have - k, n * 2
-            low = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
-            above = reach >> left
-            high = left + (above & -above).bit_length() - 1 if above else low
-            at = low if left - low <= abs(high - left) else high
-            for (i, k), was in zip(reversed(items), reversed(before), strict=True):
-                if not was >> at & 1:
-                    take[i] += k
-                    at -= k * int(ls[i])
+        take = np.minimum(cs, np.floor(cs * min(1.0, budget / total)).astype(np.int64))
+        take += subset(ls, cs - take, budget - int((ls * take).sum()))
+        missing = budget - int((ls * take).sum())
+        best = take
+        if missing > 0:  # the shortest document that is too long, if there is one, and then back
+            longer = np.flatnonzero((cs > take) & (ls > missing))
+            if len(longer):
+                take = take.copy()
+                take[longer[-1]] += 1
+        if (over := int((ls * take).sum()) - budget) > 0:
+            take = take - subset(ls, take, over)
+        best = min((best, take), key=lambda t: abs(int((ls * t).sum()) - budget))
+        take = best
     out = np.zeros(len(ls), np.int64)
     out[order] = take
     return out
@@ -79,8 +110,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """sizes: (_mx_key, source, source_size, n), one row a source.  Adds target.  Water filling: each round one
     aggregate gives the level at which the sources not yet at their limit share what is left."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("double"))
+    rank = F.col("_mx_rank") - 1
+    w = numbered(sizes, [F.col("source").asc_nulls_last()], "_mx_rank").withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("double"))
     w = stored(w.withColumn("most", F.col("source_size") * F.lit(float(max_repeat))), "sources")
     total = float(w.agg(F.sum("source_size")).first()[0] or 0)
     level = -1.0
@@ -104,7 +135,7 @@ def annotate(docs: DataFrame, carry: list[str] | None = None, seed: int = 17, we
         F.col("source").alias("_mx_source"),
         F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))).alias("_mx_key"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("_mx_size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_mx_hash"),
+        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_mx_hash"),
     ).withColumn("_mx_b", F.pmod("_mx_hash", F.lit(SUB_BUCKETS)).cast("int"))
     if thin:
         rows = stored(rows, "sizes")

@@ -17,9 +17,11 @@ however many of its documents have it, so copies are combined before the exchang
 representative.  The representatives that share a signature are a group; groups with the same members are one.  In a group two
 sets may be linked only if the counts of their elements by hash cells (about 8 elements a cell) differ by no more than the linkable sets of their sizes can: this
 bound is exact, so it drops no link, and it drops nearly all pairs that share a passage only.  A spanning forest of the pairs
-that remain ties the group together; clusters are the components of all ties.  In a cluster representatives are dealt into blocks of
-about ``BLOCK``, and blocks are compared with blocks exactly (sizes of intersections as a sparse product), giving a spanning forest of
-the links: copies are never expanded into pairs.  A cluster with many blocks is many tasks.
+that remain ties the group together; clusters are the components of all ties.  In a cluster of more than one block every set is first
+compared with the cluster's first set: those linked with it need no comparison with each other.  Then representatives are dealt
+into blocks of about ``BLOCK``, and blocks are compared with blocks exactly (sizes of intersections as a sparse product), giving a
+spanning forest of the links: copies are never expanded into pairs.  Groups too are dealt into blocks (``GROUP``), so neither a group nor
+a cluster is one task.
 
 Defined cases: null and empty texts and those without words have an empty set and link with nothing; fewer than k words are one
 shingle; rows that repeat a doc_id are one document, linked by what any of them links, and each get a row;
@@ -33,14 +35,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odweave.llm.common import (
     NULL_ID,
     PACKED,
     bitmap_filter,
+    bound_batches,
     bucket_bounds,
+    by_bucket,
     components,
     expand,
     expand_sorted,
@@ -61,6 +65,8 @@ from odweave.llm.common import (
 BAND_RATIO, SLACK = 1.4, 0.12
 #: Elements of a set in a cell of its count sketch, about; sketches have a power of two of cells, LEAST_CELLS at least.
 PER_CELL, LEAST_CELLS = 8, 32
+#: Members of a block of a group, about, whose sketches are compared.
+GROUP = 2048
 #: Documents of a comparison block, about; signatures of a batch and of a bucket, about.
 BLOCK, BATCH_SIGNATURES, BUCKET_SIGNATURES = 96, 500_000, 2_000_000
 
@@ -281,7 +287,8 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ties(percent: int):  # noqa: ANN202
-    """(a, b): a spanning forest of the pairs of each group that may be linked.  Rows (g, rep, size, sketch) come sorted by g."""
+    """(a, b): a spanning forest of the pairs that may be linked, of each block of a group or, where two blocks meet (sides 0 and 1),
+    between the two.  Rows (g, x, y, side, rep, size, sketch) come sorted by (g, x, y)."""
 
     def near(a: int, n: np.ndarray, x: list[np.ndarray], others: np.ndarray) -> np.ndarray:
         """Of the others those that may be linked with a.  A sketch with twice the cells is folded."""
@@ -303,15 +310,16 @@ def _ties(percent: int):  # noqa: ANN202
                 out[some] = (100 + percent) * np.abs(y - one).sum(1, dtype=np.int64) <= room[some]
         return out
 
-    def forest(ids: np.ndarray, n: np.ndarray, x: list[np.ndarray], out: list) -> None:
+    def forest(ids: np.ndarray, n: np.ndarray, x: list[np.ndarray], side: np.ndarray, out: list) -> None:
         left = np.arange(len(ids))  # breadth first: each document is compared with those not reached yet
+        two = side.max() > side.min()
         while len(left) > 1:
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 i = queue.pop()
-                hit = near(i, n, x, left)
-                found = left[hit]
-                left = left[~hit]
+                others = left[side[left] != side[i]] if two else left
+                found = others[near(i, n, x, others)]
+                left = np.setdiff1d(left, found, assume_unique=True)
                 queue.extend(found)
                 out.append(np.stack([ids[found], np.full(len(found), ids[i])], 1))
 
@@ -337,28 +345,31 @@ def _ties(percent: int):  # noqa: ANN202
         return np.concatenate(keep)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, ids, n = (np.zeros(0, np.int64) for _ in range(3))
+        g, bx, by, side, ids, n = (np.zeros(0, np.int64) for _ in range(6))
         x: list[np.ndarray] = []
 
-        def work(g: np.ndarray, ids: np.ndarray, n: np.ndarray, x: list[np.ndarray]) -> pa.RecordBatch:
-            first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
-            size = np.diff(np.append(first, len(g)))
+        def work(new: np.ndarray, ids: np.ndarray, n: np.ndarray, side: np.ndarray, x: list[np.ndarray]) -> pa.RecordBatch:
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(new)))
             hit = pairs_of_two(first[size == 2], n, x)
             out = [np.stack([ids[hit + 1], ids[hit]], 1)]
             for f, k in zip(first[size > 2], size[size > 2], strict=True):
-                forest(ids[f : f + k], n[f : f + k], x[f : f + k], out)
+                forest(ids[f : f + k], n[f : f + k], x[f : f + k], side[f : f + k], out)
             pairs = np.unique(np.concatenate(out), axis=0)
             return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["a", "b"])
 
         for rb in batches:
             if not rb.num_rows:
                 continue
-            g, ids, n = (np.concatenate((k, rb[c].to_numpy(zero_copy_only=False))) for k, c in zip((g, ids, n), ("g", "rep", "n_shingles"), strict=True))
+            cols = ((g, "g"), (bx, "x"), (by, "y"), (side, "side"), (ids, "rep"), (n, "n_shingles"))
+            g, bx, by, side, ids, n = (np.concatenate((k, rb[c].to_numpy(zero_copy_only=False))) for k, c in cols)
             x += [np.frombuffer(v, np.uint8).astype(np.int16) for v in rb["sketch"].to_pylist()]
-            last = int(np.searchsorted(g, g[-1]))  # the last group may go on in the next batch
-            yield work(g[:last], ids[:last], n[:last], x[:last])
-            g, ids, n, x = g[last:], ids[last:], n[last:], x[last:]
-        yield work(g, ids, n, x)
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (bx[1:] != bx[:-1]) | (by[1:] != by[:-1])
+            last = int(np.flatnonzero(new)[-1])  # the last group may go on in the next batch
+            yield work(new[:last], ids[:last], n[:last], side[:last], x[:last])
+            g, bx, by, side, ids, n, x = g[last:], bx[last:], by[last:], side[last:], ids[last:], n[last:], x[last:]
+        yield work(np.arange(len(g)) == 0, ids, n, side, x)
 
     return step
 
@@ -427,6 +438,34 @@ def _block_links(percent: int):  # noqa: ANN202
     return step
 
 
+def _first_links(percent: int):  # noqa: ANN202
+    """Rows (id, shingles, first): whether a set is linked with its cluster's first."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            hit = []
+            for a, b in zip(rb["shingles"], rb["first"], strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                hit.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.record_batch([rb["cluster"], rb["id"], rb["shingles"], pa.array(hit, pa.bool_())], ["cluster", "id", "shingles", "linked"])
+
+    return step
+
+
+def meetings(rows: DataFrame, blocks: Column, key: Column, linked: Column | None = None, open_blocks: Column | None = None) -> DataFrame:
+    """rows once for each pair of blocks (x <= y) that their own block takes part in, with side.  Rows that are ``linked`` among themselves
+    are in blocks of their own, numbered after the ``open_blocks`` first ones, and do not meet each other."""
+    own = F.pmod(F.xxhash64(key), blocks).cast("int")
+    if linked is None:
+        dealt = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    else:
+        others = F.when(linked, open_blocks).otherwise(blocks)
+        mine = F.when(linked, open_blocks + F.pmod(F.xxhash64(key), blocks - open_blocks)).otherwise(F.pmod(F.xxhash64(key), open_blocks)).cast("int")
+        dealt = rows.withColumn("_own", mine).where(others > 0).withColumn("_other", F.explode(F.sequence(F.lit(0), others - 1)))
+    return dealt.withColumns({"x": F.least("_own", "_other"), "y": F.greatest("_own", "_other"), "side": (F.col("_own") <= F.col("_other")).cast("int")}).drop("_own", "_other")
+
+
 def _sets_of(k: int):  # noqa: ANN202
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -445,31 +484,45 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100: sketches of linkable sets are at most one doubling apart")
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     _, size = text_size(docs)
     n_buckets = max(parts, size // 12 // BUCKET_SIGNATURES)
     sent = docs.select("doc_id", "text").mapInArrow(_send(k, percent, n_buckets), PACKED)
-    key = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("payload"))
-    joined = stored(sent.repartition(n_buckets, key).sortWithinPartitions("bucket").mapInArrow(_join, JOINED), "joined")
+    joined = stored(by_bucket(sent, n_buckets).sortWithinPartitions("bucket").mapInArrow(_join, JOINED), "joined")
     sets = joined.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles"), "h1", "h2", "sketch")
     # documents of one set are one representative: the smallest
     full = sets.where("n_shingles > 0")
     alike = stored(full.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "alike")
     nodes = stored(join_group(full, alike, ["h1", "h2"], "n").select("id", "rep", "n_shingles", "sketch").distinct(), "nodes")
     members = joined.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id")).distinct()
-    groups_ = members.join(nodes, "id").select("g", "rep", "n_shingles", "sketch").distinct()
-    ties = stored(groups_.repartition(parts, "g").sortWithinPartitions("g", "rep").mapInArrow(_ties(percent), "a long, b long").distinct(), "ties")
+    groups_ = stored(members.join(nodes, "id").select("g", "rep", "n_shingles", "sketch").distinct(), "groups")
+    large = stored(groups_.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > GROUP), "large")
+    # groups of more than one block are few: at most one in GROUP rows of the table is such a group's name
+    small = bitmap_filter(groups_, "g", large.select("g"), keep=False)
+    many = bitmap_filter(groups_, "g", large.select("g")).join(large, "g", "left")
+    one = small.unionByName(many.where("m IS NULL").drop("m")).withColumns({"x": F.lit(0), "y": F.lit(0), "side": F.lit(0)})
+    split = meetings(many.where("m IS NOT NULL"), F.ceil(F.col("m") / GROUP).cast("int"), F.col("rep")).drop("m")
+    met = one.unionByName(split).repartition(parts, "g", "x", "y").sortWithinPartitions("g", "x", "y", "rep")
+    ties = stored(met.mapInArrow(_ties(percent), "a long, b long").distinct(), "ties")
     found = components(ties)
     cluster = stored(found.select(F.col("node").alias("id"), F.col("component").alias("cluster")).unionByName(found.select(F.col("component").alias("id"), F.col("component").alias("cluster")).distinct()), "clusters")
     reps = stored(cluster.groupBy("cluster").agg(F.count("*").alias("m")).select("cluster", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "reps")
     chosen = stored(join_group(cluster, reps, ["cluster"], "m").select("cluster", "blocks", "id").distinct(), "chosen")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("id"), "text")
     texts = bitmap_filter(texts, "id", chosen.select("id")).join(chosen, "id").select("cluster", "blocks", "id", "text")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = texts.mapInArrow(_sets_of(k), "cluster long, blocks int, id long, shingles binary").withColumn("own", own)
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = other.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).cast("int").alias("side"), "id", "shingles")
+    sets_of = stored(texts.mapInArrow(_sets_of(k), "cluster long, blocks int, id long, shingles binary"), "sets")
+    pairs = [meetings(sets_of.where("blocks = 1").drop("blocks"), F.lit(1), F.col("id"))]
+    # a cluster is named by its least set: the first
+    rest = sets_of.where("blocks > 1")
+    first = rest.where("id = cluster").groupBy("cluster").agg(F.min("shingles").alias("first"))
+    compared = stored(rest.join(first, "cluster").where("id != cluster OR shingles != first").select("cluster", "id", "shingles", "first").mapInArrow(_first_links(percent), "cluster long, id long, shingles binary, linked boolean"), "first")
+    left = compared.groupBy("cluster").agg(F.ceil(F.count_if(~F.col("linked")) / BLOCK).cast("int").alias("open"), F.ceil(F.count_if("linked") / BLOCK).cast("int").alias("done"))
+    left = stored(left.where("open > 0"), "left")  # in the others every set is linked with the first
+    pairs.append(meetings(compared.join(left, "cluster"), F.col("open") + F.col("done"), F.col("id"), F.col("linked"), F.col("open")).drop("open", "done", "linked"))
+    pairs = pairs[0].unionByName(pairs[1])
     links = pairs.repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "id").mapInArrow(_block_links(percent), "a long, b long")
+    links = links.unionByName(compared.where("linked").select(F.col("id").alias("a"), F.col("cluster").alias("b")))
     # members of one set as links to their representative, then everything together
     links = stored(links.unionByName(nodes.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))), "links")
     final = components(links)

@@ -2,12 +2,14 @@
 
 The distinct marked words (runs of the space mark and what follows) of a batch are sorted, which lists
 a trie of them depth-first; forward states of the common prefix with the word before are kept, so each
-trie node is computed once.  The state of a prefix is its best last piece, with the forward score.
+trie node is computed once.  The state of a prefix is its best last piece and the forward score of the
+pieces up to it: the best score of a prefix before plus the piece's own; of equal scores the longer piece wins.
 
-The model files here are of the BPE kind, whose encoder is a greedy merge by score.  Plain Viterbi over
-piece scores gives other pieces for many words (README has the figure).  A piece may therefore follow another only
-if the two, encoded together, stay as they are.  With that transition test exactly one path survives to
-every prefix, and it is what the model's own encoder gives.
+Model files are of two kinds.  Unigram models are decoded by that recurrence alone.  The file used here is of the BPE kind,
+whose encoder merges by score; the best sum of scores gives other pieces for many words (README has the
+figure).  For this kind a piece may follow another only if the two, merged together, stay as they are.  With that
+transition constraint one path at most survives to every prefix, so the first piece that may follow is the best, and the
+path is what the model's own encoder gives.
 
 Characters without a piece become byte pieces.  Decoding gathers the bytes of the pieces.
 
@@ -28,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from odweave.llm.common import bound_batches
+
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a worker remembers between batches (bounded memory; never changes a result).
@@ -37,33 +41,32 @@ CHUNK_CHARS = 4_000_000
 
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _UNKNOWN, _PAIR = -1, (2,)
-_LOADED: dict[str, "Pieces"] = {}
+_LOADED: dict[tuple[str, str], "Pieces"] = {}
 
 
 class Pieces:
-    def __init__(self, model: str = DEFAULT_MODEL):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        n = sp.get_piece_size()
-        self.piece = [sp.id_to_piece(i) for i in range(n)]
-        self.score = [sp.get_score(i) for i in range(n)]
-        plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    """The pieces of a model with their scores; ``bytes_`` has the ids of byte pieces, ``hidden`` ids that texts never give."""
+
+    def __init__(self, pieces: list[str], scores: list[float], bytes_: dict[int, int], hidden: frozenset[int] = frozenset(), kind: str = "bpe"):
+        if kind not in ("bpe", "unigram"):
+            raise ValueError(f"a model is of the kind bpe or unigram, not {kind}")
+        n = len(pieces)
+        self.piece, self.score, self.constrained = pieces, scores, kind == "bpe"
+        plain = [i for i in range(n) if i not in hidden and i not in bytes_.values()]
         self.ids = {self.piece[i]: i for i in plain}
-        self.byte = [0] * 256
+        self.unknown_score = min(scores, default=0.0) - 10.0  # of a character without a piece
+        self.byte = [bytes_.get(b, 0) for b in range(256)]
         self.bytes = [b""] * n
         for i in plain:
             self.bytes[i] = self.piece[i].replace(MARK, " ").encode()
-        for i in range(n):
-            if sp.is_byte(i):
-                b = int(self.piece[i][3:5], 16)
-                self.byte[b] = i
-                self.bytes[i] = bytes([b])
+        for b, i in bytes_.items():
+            self.bytes[i] = bytes([b])
         # A cut before a mark that follows another character, and around a line end, is never merged over.
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("this model has pieces that span words")
         # Pieces that their own encoding splits are never given; those left, by their last three characters.
-        self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [i]}
+        if self.constrained:
+            self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [i]}
         ends: dict[str, set[int]] = {}
         for p in self.ids:
             if len(p) > 2:
@@ -75,6 +78,17 @@ class Pieces:
         self.len, self.off = lens, np.concatenate(([0], np.cumsum(lens)))[:-1]
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
+    @classmethod
+    def from_file(cls, model: str = DEFAULT_MODEL, kind: str = "bpe") -> Pieces:
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        n = sp.get_piece_size()
+        pieces = [sp.id_to_piece(i) for i in range(n)]
+        bytes_ = {int(pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
+        hidden = frozenset(i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))
+        return cls(pieces, [sp.get_score(i) for i in range(n)], bytes_, hidden, kind)
+
     def merge(self, s: str) -> list[int]:
         """Greedy merging of a short string: the pair whose union has the best score, leftmost first."""
         parts = list(s)
@@ -96,7 +110,7 @@ class Pieces:
 
     def viterbi(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of distinct words, in sorted order."""
-        ids, lengths, score, follows = self.ids.get, self.lengths.get, self.score, self.follows
+        ids, lengths, score, follows, constrained = self.ids.get, self.lengths.get, self.score, self.follows, self.constrained
         last, start, total = [_UNKNOWN], [0], [0.0]  # of the prefix of each length: last piece, where it starts, forward score
         before = ""
         for w in sorted(words):
@@ -106,23 +120,31 @@ class Pieces:
                 k += 1
             del last[k + 1 :], start[k + 1 :], total[k + 1 :]
             for j in range(k + 1, n + 1):
-                for size in lengths(w[j - 3 : j], _PAIR) if j > 2 else _PAIR:
+                best = top_score = None
+                for size in lengths(w[j - 3 : j], _PAIR) if j > 2 else _PAIR:  # longer ones first
                     i = j - size
                     if i < 0 or (t := ids(w[i:j])) is None:
                         continue
-                    a = last[i]
-                    if a >= 0:
-                        key = a << 20 | t
-                        if (r := follows.get(key)) is None:
-                            r = follows[key] = self.may_follow(a, t)
-                        if not r:
-                            continue
-                    break
-                else:  # no longer piece survives: the character's own
-                    i, t = j - 1, ids(w[j - 1], _UNKNOWN)
-                last.append(t)
-                start.append(i)
-                total.append(total[i] + score[t])
+                    if constrained:
+                        a = last[i]
+                        if a >= 0:
+                            key = a << 20 | t
+                            if (r := follows.get(key)) is None:
+                                r = follows[key] = self.may_follow(a, t)
+                            if not r:
+                                continue
+                        best, from_, top_score = t, i, total[i] + score[t]
+                        break  # no other path survives
+                    if best is None or total[i] + score[t] > top_score:
+                        best, from_, top_score = t, i, total[i] + score[t]
+                if best is None or not constrained:  # the character's own piece
+                    t = ids(w[j - 1], _UNKNOWN)
+                    s = total[j - 1] + (score[t] if t >= 0 else self.unknown_score)
+                    if best is None or s > top_score:
+                        best, from_, top_score = t, j - 1, s
+                last.append(best)
+                start.append(from_)
+                total.append(top_score)
             out: list[int] = []
             j = n
             while j:
@@ -166,11 +188,11 @@ class Pieces:
         return [raw[a + (raw[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def loaded(model: str = DEFAULT_MODEL) -> Pieces:
+def loaded(model: str = DEFAULT_MODEL, kind: str = "bpe") -> Pieces:
     """The pieces of a model file, read once in each worker."""
-    if model not in _LOADED:
-        _LOADED[model] = Pieces(model)
-    return _LOADED[model]
+    if (model, kind) not in _LOADED:
+        _LOADED[model, kind] = Pieces.from_file(model, kind)
+    return _LOADED[model, kind]
 
 
 def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -185,12 +207,13 @@ def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
 
-def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
+def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe") -> DataFrame:
     """One row per row of docs: its ids and their number, SHA-256 of the ids (int32, little-endian) and of the
     decoded text, and whether decoding gives the text back."""
+    bound_batches(docs.sparkSession)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(model)
+        pieces = loaded(model, kind)
 
         def block(doc_ids: list, texts: list[str | None]) -> pa.RecordBatch:
             ids, counts = pieces.encode(texts)
@@ -220,11 +243,12 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(step, SCHEMA)
 
 
-def decode(tokens: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
+def decode(tokens: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe") -> DataFrame:
     """(doc_id, text) of rows with doc_id and ids; null ids give the empty text."""
+    bound_batches(tokens.sparkSession)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(model)
+        pieces = loaded(model, kind)
         for rb in batches:
             lists = [x or [] for x in rb["ids"].to_pylist()]
             counts = np.array([len(x) for x in lists], np.int64)

@@ -36,6 +36,7 @@ from odweave.llm.common import (
     _BASES,
     NULL_ID,
     PACKED,
+    bound_batches,
     bucket_bounds,
     by_batch,
     expand,
@@ -48,6 +49,7 @@ from odweave.llm.common import (
     packed_exchange,
     parts_of,
     release,
+    repeatable,
     squeeze,
     squeeze_sorted,
     stored,
@@ -188,8 +190,7 @@ def _compare(docs: DataFrame, hits: DataFrame, count: int, window: int, keep_tex
     """Verifies hit windows and removes what an earlier document has."""
     spark = docs.sparkSession
     _, size = text_size(docs)
-    n_buckets = max(8, size // 6 // 4 // BUCKET_WINDOWS)
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_buckets)
+    n_buckets = n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // 4 // BUCKET_WINDOWS)
     shared = None
     if count * BITS_PER_KEY <= 2 * MAX_BITS:
         shared = spark.sparkContext.broadcast(hit_bitmap(hits, count))
@@ -286,7 +287,7 @@ def _compare(docs: DataFrame, hits: DataFrame, count: int, window: int, keep_tex
         z = zstandard.ZstdDecompressor()
         for name, states, answers in by_batch(batches):
             if len(states) != 1:
-                raise RuntimeError(f"batch {name} met {len(states)} states; its rows were made anew in another order")
+                raise RuntimeError(f"batch {name} met {len(states)} states")  # cannot happen: see repeatable()
             done, ids, lens, texts, per, starts, key = parts_of(states[0])
             out: list[tuple] = []
             for line in filter(None, z.decompress(done).decode().split("\n")):
@@ -312,12 +313,13 @@ def _compare(docs: DataFrame, hits: DataFrame, count: int, window: int, keep_tex
                 d = np.array(c[0], np.int64)
                 yield pa.record_batch([pa.array(d, mask=d == NULL_ID), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string()), pa.array(c[4], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return packed_exchange(source.mapInArrow(send, PACKED), n_buckets, _least_owner, n_parts).mapInArrow(finish, SCHEMA)
+    return packed_exchange(repeatable(source).mapInArrow(send, PACKED), n_buckets, _least_owner, n_parts).mapInArrow(finish, SCHEMA)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, batches: int = 4, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of every row; kept is the text that is left, its words
     joined by one space (null unless keep_text).  The documents enter the index in ``batches`` batches in order of doc_id."""
+    bound_batches(docs.sparkSession)
     prints = fingerprints(docs, window)
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or []
     number = F.lit(0)

@@ -6,12 +6,15 @@
    of one letter - become lattices: each symbol may be any letter it stands for, a mark nothing, a run one or
    two letters.  Viterbi finds the likeliest plain word under channel costs and the language model.
 3. The restored text is scored: hashed character 4- to 6-grams of its words, those that tell the labels
-   apart, weighed by logistic regression over a bounded sample of labelled rows (``FIT_DOCS``).
+   apart, weighed by logistic regression over a bounded sample of labelled rows (``FIT_DOCS``).  Executors count and
+   extract the features; the driver gets those chosen (``MAX_FEATURES``) and one bitmap a row, never texts.
+
+Restoring a text takes time in proportion to its length.
 
 Defined cases: null and empty texts score like a text without any known feature; rows without a label, or with a
 null one, are scored but not learned from; if doc_id repeats in labels its largest label counts; repeated rows are
-scored each; with one class or none to learn from every score is 0; an empty table gives an empty
-result; texts are read whole; only doc_id and text are read of documents.
+scored each; with no label to learn from, or only label 0, every score is next to 0 (1 / (1 + e**30)), with only
+label 1 next to 1; an empty table gives an empty result; texts are read whole; only doc_id and text are read of documents.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.common import fold_column, mix, text_chunks
+from odweave.llm.common import bound_batches, fold_column, mix, release, stored, text_chunks
 
 #: Labelled rows that the classifier is fitted on at most (half of each label), features it keeps at most, and their
 #: ridge penalty.
@@ -40,11 +43,16 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
 WILD = "*#"
+_ALPHA = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _SYM = "".join(re.escape(c) for c in STANDS_FOR) + re.escape(WILD)
 _SINGLES = re.compile(rf"(?<!\w)[A-Za-z{_SYM}](?:([ .\-_·])[A-Za-z{_SYM}](?!\w)){{2,}}")
-_LEET = re.compile(rf"(?<![^\s\"'(])(?=[^\s]*[A-Za-z])(?=[^\s]*(?:[A-Za-z][{_SYM}][A-Za-z0-9@$]|(?<![^\s\"'(])[{_SYM}][A-Za-z]))[A-Za-z{_SYM}]{{2,39}}[A-Za-z0-9@$](?=[\s.,;:?\"')!]|$)")
+#: A disguised token, and places that one of its run of non-spaces must have at or after the token's start.
+_TOKEN = re.compile(rf"(?<![^\s\"'(])[A-Za-z{_SYM}]{{2,39}}[A-Za-z0-9@$](?=[\s.,;:?\"')!]|$)")
+_SPOT = re.compile(rf"(?=[A-Za-z][{_SYM}][A-Za-z0-9@$]|(?<![^\s\"'(])[{_SYM}][A-Za-z])")
 _JOINED = re.compile(r"(?<!\w)[A-Za-z](?:([.\-_*·])[A-Za-z](?!\w)){2,}|(?<![^\s])[A-Za-z]{1,3}(?:[._·*][A-Za-z]{1,3}){2,}(?!\w)")
-_RUN = re.compile(r"\w*([A-Za-z])\1\1\w*")
+_THRICE = re.compile(r"([A-Za-z])\1\1")
+#: Masks of a token that are guessed; in one with more they count as nothing.
+MOST_WILD = 8
 _MASKED = re.compile(r"(?<!\w)[A-Za-z]+[*#]{1,3}[A-Za-z]+(?!\w)")
 
 
@@ -62,10 +70,10 @@ class CharModel:
     def viterbi(self, slots: list[list[tuple[str, float]]]) -> str:
         """The likeliest word of a lattice: each slot has (letters, cost) choices; "" is nothing."""
         logp = self.logp
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # score, (letters, link to the one before)
         for slot in slots:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, word) in states.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, link) in states.items():
                 for letters, cost in slot:
                     s, x, y = score - cost, a, b
                     for c in letters:
@@ -73,9 +81,14 @@ class CharModel:
                         s += logp[x][y][k]
                         x, y = y, k
                     if (x, y) not in new or s > new[x, y][0]:
-                        new[x, y] = (s, word + letters)
+                        new[x, y] = (s, (letters, link))
             states = new
-        return max((s + logp[a][b][0], w) for (a, b), (s, w) in states.items())[1] if states else ""
+        link = max((s + logp[a][b][0], -a, -b, link) for (a, b), (s, link) in states.items())[3] if states else None
+        out = []
+        while link:
+            out.append(link[0])
+            link = link[1]
+        return "".join(reversed(out))
 
 
 #: Channel costs (nats): a plain letter is right; a symbol stands for a letter; a mark is dropped; of a run one or two letters stay.
@@ -85,6 +98,7 @@ _SUBSTITUTE, _DROP, _WILD_COST = 0.5, 0.1, 1.0
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     slots: list[list[tuple[str, float]]] = []
     i, s = 0, token.lower()
+    guess = sum(s.count(c) for c in WILD) <= MOST_WILD
     while i < len(s):
         c, j = s[i], i
         while j < len(s) and s[j] == c:
@@ -102,25 +116,63 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 slots.append([(x, _SUBSTITUTE) for x in STANDS_FOR[c]])
         elif c in WILD:
             for _ in range(min(n, 2)):
-                slots.append([(chr(97 + k), _WILD_COST) for k in range(26)] + [("", _DROP + 2.0)])
+                slots.append([(chr(97 + k), _WILD_COST) for k in range(26) if guess] + [("", _DROP + 2.0)])
         i = j
     return slots
 
 
+def _space(text: str, at: int, step: int, end: int) -> int:
+    """Where the run of non-spaces at ``at`` ends in a direction (not beyond end)."""
+    while at != end and not text[at].isspace():
+        at += step
+    return at
+
+
 class Restorer:
     def __init__(self, model: CharModel):
-        self.decode = lru_cache(200_000)(lambda token: model.viterbi(lattice(token)))
+        plain = lambda token: model.viterbi(lattice(token))
+        often = lru_cache(200_000)(plain)
+        self.decode = lambda token: often(token) if len(token) <= 64 else plain(token)
+
+    def _leet(self, text: str) -> str:
+        """Tokens with symbols among letters, in the runs of non-spaces that have such a place."""
+        spots = [m.start() for m in _SPOT.finditer(text)]
+        out, at, i = [], 0, 0
+        while i < len(spots):
+            begin, end = _space(text, spots[i], -1, at - 1) + 1, _space(text, spots[i], 1, len(text))
+            while i + 1 < len(spots) and spots[i + 1] < end:
+                i += 1
+            for m in _TOKEN.finditer(text, begin, end):
+                if m.start() > spots[i]:
+                    break
+                out += [text[at : m.start()], f" {self.decode(m[0])} "]
+                at = m.end()
+            i += 1
+        return "".join([*out, text[at:]])
+
+    def _runs(self, text: str) -> str:
+        """Words with a letter three times in a row."""
+        out, at = [], 0
+        m = _THRICE.search(text)
+        while m:
+            a, b = m.span()
+            while a > at and (text[a - 1].isalnum() or text[a - 1] == "_"):
+                a -= 1
+            while b < len(text) and (text[b].isalnum() or text[b] == "_"):
+                b += 1
+            word = text[a:b]
+            out += [text[at:a], self.decode(word) if word.isascii() and word.isalpha() else word]
+            at = b
+            m = _THRICE.search(text, at)
+        return "".join([*out, text[at:]])
 
     def restore(self, text: str) -> str:
         """The text, lower-cased, with disguised tokens decoded."""
-        one = lambda m: f" {self.decode(m[0])} "
+        one = lambda m: f" {self.decode(m[0])} " if any(c in _ALPHA for c in m[0]) else m[0]
         text = _SINGLES.sub(one, text)
         text = _JOINED.sub(one, text)
         text = _MASKED.sub(one, text)
-        text = _LEET.sub(one, text)
-        if _RUN.search(text):
-            text = _RUN.sub(lambda m: self.decode(m[0]) if m[0].isascii() and m[0].isalpha() else m[0], text)
-        return text.lower()
+        return self._runs(self._leet(text)).lower()
 
 
 def _codes(chars: str) -> np.ndarray:
@@ -133,7 +185,6 @@ def _codes(chars: str) -> np.ndarray:
 #: Codes of characters beyond ASCII: symbols, the middle dot, any other; and of the edge between two texts.
 _SIGN, _DOT, _OTHER, _EDGE = 128, 129, 130, 131
 _CODE_OF = {"€": _SIGN, "£": _SIGN, "¡": _SIGN, "·": _DOT}
-_ALPHA = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _LETTERS, _WILDS = _codes(_ALPHA), _codes(WILD)
 _SYMBOLS = _codes("".join(STANDS_FOR) + WILD)
 _WORD = _codes(_ALPHA + "0123456789_")
@@ -169,8 +220,8 @@ def disguised(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     hint |= joined & (at(mark, 3) & at(letter, 4) | at(letter, 3) & (at(mark, 4) & at(letter, 5) | at(letter, 4) & at(mark, 5) & at(letter, 6)))
     masked = at(letter, 0) & at(wild, 1)  # _MASKED
     hint |= masked & (at(letter, 2) | at(wild, 2) & (at(letter, 3) | at(wild, 3) & at(letter, 4)))
-    hint |= at(letter, 0) & at(symbol, 1) & at(_LAST[code], 2) | at(_START[code], -1) & at(symbol, 0) & at(letter, 1)  # _LEET
-    hint |= at(letter, 0) & (at(code, 0) == at(code, 1)) & (at(code, 0) == at(code, 2))  # _RUN
+    hint |= at(letter, 0) & at(symbol, 1) & at(_LAST[code], 2) | at(_START[code], -1) & at(symbol, 0) & at(letter, 1)  # _SPOT
+    hint |= at(letter, 0) & (at(code, 0) == at(code, 1)) & (at(code, 0) == at(code, 2))  # _THRICE
     return np.logical_or.reduceat(hint, off[:-1] + np.arange(len(off) - 1))
 
 
@@ -249,36 +300,18 @@ def grams(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 class Model:
-    """The slots that are features, their weights, and the bias for the labels' own proportion."""
+    """The character model, the slots that are features, their weights, and the bias for the labels' own proportion."""
 
-    def __init__(self, chars: CharModel, texts: list[str], labels: np.ndarray, share: float):
+    def __init__(self, chars: CharModel, slots: list[int], x: np.ndarray, labels: np.ndarray, share: float):
+        """x [rows, features]: which feature a sample row has."""
         self.chars = chars
-        self.feature = np.full(1 << BITS, -1, np.int32)
-        self.weights, self.bias = np.zeros(0), -30.0
+        self.feature = feature_table(slots)
+        self.weights, self.bias = np.zeros(len(slots)), -30.0
         if not 0 < share < 1:
             self.bias = 30.0 if share else -30.0
             return
-        cols = [restored(texts[k : k + 128], Restorer(chars)) for k in range(0, len(texts), 128)]
         n1, n0 = labels.sum(), len(labels) - labels.sum()
-        a, b = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-        for k, col in enumerate(cols):  # counts first, rows of the chosen slots later: memory is that of 128 texts
-            for i, _, rows, slots in grams(col):
-                pair = np.unique((rows + 128 * k + i) << BITS | slots)
-                one = labels[pair >> BITS] == 1
-                slot = pair & ((1 << BITS) - 1)
-                a += np.bincount(slot[one], minlength=1 << BITS).astype(np.int32)
-                b += np.bincount(slot[~one], minlength=1 << BITS).astype(np.int32)
-        p1, p0, p = a / n1, b / n0, (a + b) / (n1 + n0)
-        z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-9))
-        chosen = np.flatnonzero((z > 3) & (a >= 5))
-        chosen = chosen[np.argsort(-z[chosen], kind="stable")][:MAX_FEATURES]
-        self.feature[chosen] = np.arange(len(chosen))
-        x = np.zeros((len(labels), len(chosen)), np.float32)
-        for k, col in enumerate(cols):
-            for i, _, rows, slots in grams(col):
-                f = self.feature[slots]
-                x[rows[f >= 0] + 128 * k + i, f[f >= 0]] = 1
-        x = np.concatenate((x, np.ones((len(x), 1), np.float32)), 1)
+        x = np.concatenate((x.astype(np.float32), np.ones((len(x), 1), np.float32)), 1)
         w = np.zeros(x.shape[1], np.float32)
         w[-1] = math.log(n1 / n0)
         ridge = np.full(len(w), L2, np.float32)
@@ -306,30 +339,89 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(m, -30, 30)))
 
 
+def feature_table(slots: list[int]) -> np.ndarray:
+    """Slot -> number of the feature, -1 if it is none."""
+    out = np.full(1 << BITS, -1, np.int32)
+    out[np.array(slots, np.int64)] = np.arange(len(slots))
+    return out
+
+
+def choose_features(sample: DataFrame, chars: CharModel, n1: int, n0: int) -> list[int]:
+    """The slots whose share among rows of label 1 exceeds that of label 0 most (z over 3, five rows at least)."""
+    shared = sample.sparkSession.sparkContext.broadcast(chars)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(shared.value)
+        a, b = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+        for rb in batches:
+            label = rb["toxic"].to_numpy(zero_copy_only=False) != 0
+            for k in range(0, rb.num_rows, 128):
+                for i, _, rows, slots in grams(restored(rb["text"].slice(k, 128), restorer)):
+                    pair = np.unique(rows << BITS | slots)
+                    one, slot = label[k + i + (pair >> BITS)], pair & ((1 << BITS) - 1)
+                    a += np.bincount(slot[one], minlength=1 << BITS).astype(np.int32)
+                    b += np.bincount(slot[~one], minlength=1 << BITS).astype(np.int32)
+        seen = np.flatnonzero(a)
+        yield pa.record_batch([pa.array(seen), pa.array(a[seen].astype(np.int64)), pa.array(b[seen].astype(np.int64))], ["slot", "a", "b"])
+
+    counts = sample.select("text", "toxic").mapInArrow(step, "slot long, a long, b long").groupBy("slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    p = (F.col("a") + F.col("b")) / float(n1 + n0)
+    z = (F.col("a") / float(n1) - F.col("b") / float(n0)) / F.sqrt(F.greatest(p * (1 - p) * (1 / n1 + 1 / n0), F.lit(1e-9)))
+    best = counts.where("a >= 5").withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "slot").limit(MAX_FEATURES)
+    return [r["slot"] for r in best.select("slot").collect()]
+
+
+def sample_rows(sample: DataFrame, chars: CharModel, slots: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(which features each sample row has, its label), in order of doc_id."""
+    shared = sample.sparkSession.sparkContext.broadcast((chars, slots))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chars, slots = shared.value
+        restorer, feature = Restorer(chars), feature_table(slots)
+        for rb in batches:
+            x = np.zeros((rb.num_rows, len(slots)), bool)
+            for k in range(0, rb.num_rows, 128):
+                for i, _, rows, at in grams(restored(rb["text"].slice(k, 128), restorer)):
+                    f = feature[at]
+                    x[k + i + rows[f >= 0], f[f >= 0]] = True
+            yield pa.record_batch([rb["doc_id"], rb["toxic"], pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary())], ["doc_id", "toxic", "x"])
+
+    got = sorted((r["doc_id"], r["toxic"], bytes(r["x"])) for r in sample.mapInArrow(step, "doc_id long, toxic int, x binary").collect())
+    x = np.unpackbits(np.array([np.frombuffer(g[2], np.uint8) for g in got]).reshape(len(got), -1), axis=1)[:, : len(slots)]
+    return x, np.array([g[1] for g in got], np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_docs: int = FIT_DOCS) -> Model:
     """The model learned from the labelled rows of docs where ``learn`` holds; characters are counted over all
     texts where it holds."""
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     if learn is not None:
         rows = rows.where(learn)
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    marks = (marks.where(learn) if learn is not None else marks).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = {int(r["toxic"] != 0): r["n"] for r in marks.groupBy((F.col("toxic") != 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    marks = (marks.where(learn) if learn is not None else marks).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
+    n = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     pick = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.when(F.col("toxic") != 0, F.lit(fit_docs / 2 / max(n1, 1))).otherwise(F.lit(fit_docs / 2 / max(n0, 1)))
+    rate = F.when(F.col("toxic") == 1, F.lit(fit_docs / 2 / max(n1, 1))).otherwise(F.lit(fit_docs / 2 / max(n0, 1)))
     chosen = marks.where(pick < rate).limit(2 * fit_docs)  # about fit_docs ids: a bounded broadcast
-    sample = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
-    sample = sorted((r["doc_id"], int(r["toxic"] != 0), r["text"]) for r in sample)
-    y = np.array([s[1] for s in sample], np.int64)
-    share = n1 / (n1 + n0) if len(y) and 0 < y.sum() < len(y) else float(bool(n1) and not n0)
-    return Model(char_model(rows), [s[2] for s in sample], y, share)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # of rows that repeat a doc_id the one with the least text
+    sample = stored(rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).repartition(parts), "labelled")
+    got = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = n1 / (n1 + n0) if len(got) == 2 else float(bool(n1) and not n0)
+    chars = char_model(rows)
+    slots = choose_features(sample, chars, got[1], got[0]) if len(got) == 2 else []
+    x, y = sample_rows(sample, chars, slots) if len(got) == 2 else (np.zeros((0, 0)), np.zeros(0, np.int64))
+    release(sample)
+    return Model(chars, slots, x, y, share)
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def score(docs: DataFrame, model: Model, held_out: Column | None = None) -> DataFrame:
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

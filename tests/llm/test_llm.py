@@ -407,7 +407,7 @@ def test_fit_budget_is_optimal_enough(hist, budget):
     reach = {int((l * base).sum())}
     for x, n in zip(l, c - base, strict=True):
         reach = {r + int(x) * k for r in reach for k in range(n + 1)}
-    assert abs((l * t).sum() - budget) == min(abs(r - budget) for r in reach)
+    assert abs((l * t).sum() - budget) <= min(abs(r - budget) for r in reach)  # taking back may come nearer still
 
 
 # --- 10 and pipeline -------------------------------------------------------------------------
@@ -415,7 +415,7 @@ def test_fit_budget_is_optimal_enough(hist, budget):
 
 @pytest.fixture(scope="module")
 def pieces():
-    return sentencepiece_trie.Pieces()
+    return sentencepiece_trie.Pieces.from_file()
 
 
 @settings(max_examples=300, deadline=None)
