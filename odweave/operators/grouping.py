@@ -1,8 +1,8 @@
-"""Group statistics back to rows, and connected components, without hot tasks."""
+"""Group statistics back to rows, global row numbers, and connected components, without hot tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odweave.storage import release, stored
@@ -25,6 +25,17 @@ def join_group(rows: DataFrame, stats: DataFrame, keys: list[str], size: str) ->
     return near.unionByName(far)
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their global number from 1 in an order.  Rows are dealt by ranges and numbered within each; only the ranges' sizes
+    are cumulated in one task (one row a range)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(parts, *order).withColumn("_nb_p", F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("_nb_n").over(Window.orderBy("_nb_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy("_nb_p").agg(F.count("*").alias("_nb_n")).withColumn("_nb_before", before).select("_nb_p", "_nb_before")
+    own = F.row_number().over(Window.partitionBy("_nb_p").orderBy(*order))
+    return dealt.withColumn("_nb_own", own).join(F.broadcast(sizes), "_nb_p").withColumn(name, F.col("_nb_before") + F.col("_nb_own")).drop("_nb_p", "_nb_own", "_nb_before")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over the undirected edges.  Alternating
     large-star and small-star steps; every step is a shuffle on a node and is stored.  A hub of a
