@@ -21,7 +21,7 @@ from odweave.storage import release, scratch_dir, stored
 __all__ = ["components", "join_group", "release", "scratch_dir", "stored"]
 
 #: Bytes of text that one kernel call works on at a time (a longer text is one call).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Id that stands for a null doc_id inside kernels: it sorts after every real id.
 NULL_ID = np.iinfo(np.int64).max
 
@@ -152,7 +152,7 @@ def fold_column(n: int, name: str = "doc_id") -> Column:
 
 
 #: Bytes of an Arrow batch between the JVM and Python, unless the session sets its own bound.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -68,7 +68,7 @@ PER_CELL, LEAST_CELLS = 8, 32
 #: Members of a block of a group, about, whose sketches are compared.
 GROUP = 2048
 #: Documents of a comparison block, about; signatures of a batch and of a bucket, about.
-BLOCK, BATCH_SIGNATURES, BUCKET_SIGNATURES = 96, 500_000, 2_000_000
+BLOCK, BATCH_SIGNATURES, BUCKET_SIGNATURES = 96, 500_000, 1_000_000
 
 
 # --- sets -----------------------------------------------------------------------------------
@@ -487,9 +487,9 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     _, size = text_size(docs)
-    n_buckets = max(parts, size // 12 // BUCKET_SIGNATURES)
+    n_buckets = max(parts, size // 8 // BUCKET_SIGNATURES)  # a partition takes several, one after the other
     sent = docs.select("doc_id", "text").mapInArrow(_send(k, percent, n_buckets), PACKED)
-    joined = stored(by_bucket(sent, n_buckets).sortWithinPartitions("bucket").mapInArrow(_join, JOINED), "joined")
+    joined = stored(by_bucket(sent, parts).sortWithinPartitions("bucket").mapInArrow(_join, JOINED), "joined")
     sets = joined.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles"), "h1", "h2", "sketch")
     # documents of one set are one representative: the smallest
     full = sets.where("n_shingles > 0")

@@ -35,9 +35,9 @@ from odweave.llm.common import bound_batches
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a worker remembers between batches (bounded memory; never changes a result).
-REMEMBER = 1_000_000
+REMEMBER = 100_000
 #: Text that is encoded at a time.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _UNKNOWN, _PAIR = -1, (2,)
@@ -104,7 +104,7 @@ class Pieces:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether pieces a and b, encoded together, stay as they are."""
-        if len(self.follows) > 4_000_000:
+        if len(self.follows) > 300_000:
             self.follows.clear()
         return self.merge(self.piece[a] + self.piece[b]) == [a, b]
 
