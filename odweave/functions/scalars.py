@@ -95,7 +95,7 @@ def density(count: Column, square_metres: Column) -> Column:
 
 
 def normalised_entropy(h: Column, k: Column) -> Column:
-    """h / ln k, null where k <= 1."""
+    """h / ln k, null where k <= 1 (which runs that need a value for every area treat as an error)."""
     return F.when(k > 1, safe_ratio(h, F.ln(k.cast("double"))))
 
 
@@ -113,6 +113,11 @@ def signature(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
 
 
+def row_hash(*parts: Column) -> Column:
+    """64-bit hash of a row's columns, each with its place, so that (a, null) and (null, a) differ."""
+    return F.xxhash64(*(F.struct(F.lit(i), p) for i, p in enumerate(parts)))
+
+
 def close_to(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     return F.abs(a - b) <= atol + rtol * F.abs(b)
 

@@ -25,15 +25,20 @@ def join_group(rows: DataFrame, stats: DataFrame, keys: list[str], size: str) ->
     return near.unionByName(far)
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """rows with their global number from 1 in an order.  Rows are dealt by ranges and numbered within each; only the ranges' sizes
-    are cumulated in one task (one row a range)."""
+def running_sum(rows: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """rows with the sum of a value over all rows before them in an order (0 for the first).  Rows are dealt by ranges and cumulated
+    within each; only the ranges' totals are cumulated in one task (one row a range)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(rows.repartitionByRange(parts, *order).withColumn("_nb_p", F.spark_partition_id()), "ranges")
-    before = F.coalesce(F.sum("_nb_n").over(Window.orderBy("_nb_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = dealt.groupBy("_nb_p").agg(F.count("*").alias("_nb_n")).withColumn("_nb_before", before).select("_nb_p", "_nb_before")
-    own = F.row_number().over(Window.partitionBy("_nb_p").orderBy(*order))
-    return dealt.withColumn("_nb_own", own).join(F.broadcast(sizes), "_nb_p").withColumn(name, F.col("_nb_before") + F.col("_nb_own")).drop("_nb_p", "_nb_own", "_nb_before")
+    dealt = stored(rows.withColumn("_rs_v", value).repartitionByRange(parts, *order).withColumn("_rs_p", F.spark_partition_id()), "ranges")
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = dealt.groupBy("_rs_p").agg(F.sum("_rs_v").alias("_rs_t")).withColumn("_rs_before", so_far("_rs_t", Window.orderBy("_rs_p"))).drop("_rs_t")
+    own = so_far("_rs_v", Window.partitionBy("_rs_p").orderBy(*order))
+    return dealt.withColumn("_rs_own", own).join(F.broadcast(totals), "_rs_p").withColumn(name, F.col("_rs_before") + F.col("_rs_own")).drop("_rs_p", "_rs_v", "_rs_own", "_rs_before")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their global number from 1 in an order, by ranges."""
+    return running_sum(rows, order, F.lit(1), name).withColumn(name, F.col(name) + 1)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

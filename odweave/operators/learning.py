@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from odweave.operators.regression import regression_metrics
-from odweave.storage import scratch_dir
+from odweave.operators.grouping import numbered
+from odweave.operators.regression import fit_ols, regression_metrics
+from odweave.storage import release, scratch_dir, stored
 
+# Fixed value: the seed of folds and models.
 SEED = 20260722
 
 
@@ -26,12 +28,48 @@ def folds_from_centres(assigned: DataFrame, centres: list[tuple[int, float, floa
     return assigned.withColumn("fold", label[F.col("_cluster")]).drop("_cluster")
 
 
-def kmeans_folds(areas: DataFrame, k: int = 5, starts: int = 5, seed: int = SEED) -> DataFrame:
-    """areas (x, y) with fold: the best of several k-means runs on the coordinates."""
-    v = VectorAssembler(inputCols=["x", "y"], outputCol="_v").transform(areas.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")})).cache()
-    best = min((KMeans(k=k, seed=seed + s, featuresCol="_v", predictionCol="_cluster").fit(v) for s in range(starts)), key=lambda m: m.summary.trainingCost)
-    out = best.transform(v).drop("_v")
-    return folds_from_centres(out, [(i, float(c[0]), float(c[1])) for i, c in enumerate(best.clusterCenters())])
+def _seeds(points: np.ndarray, k: int, r: np.random.Generator) -> np.ndarray:
+    """k-means++ centres of a sample."""
+    chosen = [points[r.integers(len(points))]]
+    near = ((points - chosen[0]) ** 2).sum(1)
+    while len(chosen) < k:
+        p = near / near.sum() if near.sum() > 0 else None
+        chosen.append(points[r.choice(len(points), p=p)])
+        near = np.minimum(near, ((points - chosen[-1]) ** 2).sum(1))
+    return np.array(chosen)
+
+
+def kmeans_folds(areas: DataFrame, k: int = 5, starts: int = 50, seed: int = SEED, rounds: int = 100, sample: int = 10_000) -> DataFrame:
+    """areas (x, y) with fold: the best of many k-means runs on the coordinates.  All runs go side by side: a round is one aggregate
+    that gives each run's new centres.  First centres come from a sample of the points by their hash."""
+    points = areas.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    some = np.array([(r["x"], r["y"]) for r in points.orderBy(F.xxhash64("x", "y"), "x", "y").limit(sample).collect()], float)
+    if not len(some):
+        return areas.withColumn("fold", F.lit(None).cast("int"))
+    r = np.random.default_rng(seed)
+    centres = np.stack([_seeds(some, k, r) for _ in range(starts)])
+
+    def nearest(runs: np.ndarray) -> Column:
+        """(squared distance, cluster) of a point for each run."""
+        all_ = F.array(*(F.array(*(F.struct(F.lit(float(c[0])).alias("a"), F.lit(float(c[1])).alias("b")) for c in run)) for run in runs))
+        distance = lambda c, i: F.struct((F.pow(F.col("x").cast("double") - c["a"], 2) + F.pow(F.col("y").cast("double") - c["b"], 2)).alias("d"), i.alias("c"))
+        return F.transform(all_, lambda run: F.array_min(F.transform(run, distance)))
+
+    points = stored(points, "points")
+    for _ in range(rounds):
+        near = points.select("x", "y", F.posexplode(nearest(centres)).alias("run", "n"))
+        sums = near.groupBy("run", F.col("n.c").alias("c")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.sum("n.d").alias("d")).collect()
+        cost, new = np.zeros(starts), centres.copy()
+        for s in sums:
+            new[s["run"], s["c"]] = s["x"], s["y"]
+            cost[s["run"]] += s["d"]
+        moved, centres = np.abs(new - centres).max(), new
+        if moved < 1e-12:
+            break
+    release(points)
+    best = centres[int(cost.argmin())]
+    out = areas.withColumn("_cluster", nearest(best[None])[0]["c"])
+    return folds_from_centres(out, [(i, float(c[0]), float(c[1])) for i, c in enumerate(best)])
 
 
 def strip_folds(areas: DataFrame, k: int = 5) -> DataFrame:
@@ -62,32 +100,54 @@ def score_model(model, data: DataFrame, response: str) -> dict[str, float]:  # n
 
 
 def cross_validate(df: DataFrame, estimator, features: list[str], response: str, fold: str = "fold") -> DataFrame:  # noqa: ANN001
-    """One row a left-out fold: its metrics.  Every fold is left out once, the held-out test fold too."""
-    data = assembled(df, features).select("_v", response, fold).cache()
+    """One row a left-out fold: its metrics.  Every fold is left out once, the held-out test fold too.  Folds are fitted at the same time."""
+    data = stored(assembled(df, features).select("_v", response, fold), "folds")
     names = sorted(r[0] for r in data.select(fold).distinct().collect())
-    rows = []
-    for f in names:
+
+    def one(f: int) -> tuple:
         m = score_model(fit_model(data.where(F.col(fold) != f), estimator, response), data.where(F.col(fold) == f), response)
-        rows.append((int(f), int(m["n"]), m["r2"], m["rmse"], m["mae"]))
-    data.unpersist()
+        return int(f), int(m["n"]), m["r2"], m["rmse"], m["mae"]
+
+    with ThreadPoolExecutor(max_workers=len(names) or 1) as pool:
+        rows = list(pool.map(one, names))
+    release(data)
     return df.sparkSession.createDataFrame(rows, "fold int, n long, r2 double, rmse double, mae double")
 
 
 def permutation_importance(model, df: DataFrame, features: list[str], response: str, key: str, repeats: int = 30) -> DataFrame:  # noqa: ANN001
-    """(feature, mean, sd) of the drop of R2 when a feature's values are dealt anew.  A repeat deals a feature by joining rows of
-    two orders by rank: the key's and that of md5(key-repeat)."""
+    """(feature, mean, sd, rank) of the drop of R2 when a feature's values are dealt anew.  A repeat gives the row of rank k in key order
+    the value of rank k in the order of md5(key-feature-repeat).  All features and repeats are one program."""
     base = score_model(model, assembled(df, features), response)["r2"]
-    rows = []
-    by_key = Window.orderBy(key)
-    for f in features:
-        drops = []
-        for r in range(repeats):
-            shuffled = df.select(F.row_number().over(Window.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{f}-{r}"))), key)).alias("_k"), F.col(f).alias("_f"))
-            mixed = df.withColumn("_k", F.row_number().over(by_key)).join(shuffled, "_k").drop(f, "_k").withColumnRenamed("_f", f)
-            drops.append(base - score_model(model, assembled(mixed, features), response)["r2"])
-        rows.append((f, float(np.mean(drops)), float(np.std(drops))))
-    out = df.sparkSession.createDataFrame(rows, "feature string, mean double, sd double")
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), "feature")))
+    rows = numbered(df.select(key, response, *features), [F.col(key)], "_k")
+    value = F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in features))
+    dealt = df.select(F.col(key).alias("_key"), F.explode(value).alias("_s")).select("_key", "_s.*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r"))
+    order = F.md5(F.concat_ws("-", F.col("_key").cast("string"), "f", F.col("r").cast("string")))
+    dealt = dealt.select("f", "r", "v", F.row_number().over(Window.partitionBy("f", "r").orderBy(order, "_key")).alias("_k"))
+    mixed = rows.join(dealt, "_k").withColumns({c: F.when(F.col("f") == c, F.col("v")).otherwise(F.col(c).cast("double")) for c in features})
+    e = model.transform(assembled(mixed, features))
+    a, p = F.col(response), F.col("_p")
+    r2 = 1 - F.sum((a - p) * (a - p)) / (F.var_pop(a) * F.count("*"))
+    drops = e.groupBy("f", "r").agg((F.lit(base) - r2).alias("drop"))
+    out = drops.groupBy(F.col("f").alias("feature")).agg(F.avg("drop").alias("mean"), F.stddev_pop("drop").alias("sd"))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), "feature")))  # one row a feature
+
+
+def compare_held_out(df: DataFrame, features: list[str], response: str, estimators: dict, fold: str = "fold", test_fold: int = 0) -> tuple[DataFrame, dict]:
+    """(table, fitted models): OLS and tree models on the same held-out fold - model, n_train, n_test, cv_r2 (mean over all folds, null for
+    OLS), test_r2, rmse, mae, best (of the tree models the one with the largest test R2)."""
+    train, test = df.where(F.col(fold) != test_fold), df.where(F.col(fold) == test_fold)
+    n_train = train.count()
+    ols = fit_ols(train, response, features)
+    m = regression_metrics(test.withColumn("_p", ols.fitted()), response, "_p").first()
+    rows, fitted = [("OLS", n_train, m["n"], None, m["r2"], m["rmse"], m["mae"])], {}
+    for name, estimator in estimators.items():
+        cv = cross_validate(df, estimator, features, response, fold).agg(F.avg("r2")).first()[0]
+        fitted[name] = fit_model(assembled(train, features), estimator, response)
+        m = score_model(fitted[name], assembled(test, features), response)
+        rows.append((name, n_train, int(m["n"]), cv, m["r2"], m["rmse"], m["mae"]))
+    best = max(rows[1:], key=lambda r: r[4])[0] if len(rows) > 1 else None
+    out = [(*r, (r[0] == best) if r[0] in fitted else None) for r in rows]
+    return df.sparkSession.createDataFrame(out, "model string, n_train long, n_test long, cv_r2 double, test_r2 double, rmse double, mae double, best boolean"), fitted
 
 
 # --- Shapley values -------------------------------------------------------------------------

@@ -7,6 +7,7 @@ well conditioned); the driver solves k x k systems.  Nothing of the size of the
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from odweave.functions import distributions as D
 from odweave.operators import spatial
 from odweave.operators.quality import complete_cases
+from odweave.storage import release, stored
 
 
 def cross_products(df: DataFrame, columns: list[Column]) -> np.ndarray:
@@ -191,13 +193,25 @@ def lm_tests(fit: Fit, weights: DataFrame, key: str) -> dict[str, tuple[float, f
     return {"LM-lag": p(lag, 1), "LM-error": p(error, 1), "Robust LM-lag": p(robust_lag, 1), "Robust LM-error": p(robust_error, 1), "LM-SARMA": p(robust_lag + error, 2)}
 
 
-#: Areas up to which the eigenvalues of the weights are computed exactly on the driver (a dense matrix of this side).
-EXACT_EIGENVALUES = 3000
+#: Areas up to which the eigenvalues of the weights are computed exactly on the driver (a dense matrix of this side: 512 MB at most).
+EXACT_EIGENVALUES = 8192
 
 
-def log_determinant(weights: DataFrame, n: int, order: int = 40, probes: int = 32):  # noqa: ANN201
-    """rho -> ln |I - rho W| of row-standardised symmetric contiguity.  Up to EXACT_EIGENVALUES areas by eigenvalues (Ord 1975), beyond
-    by the Monte Carlo series of Barry and Pace (1999): traces of powers of W from random probes, every power one distributed product."""
+class LogDeterminant:
+    """rho -> ln |I - rho W|.  ``error`` bounds what random probes and the series' end leave open (0 where it is exact): two standard
+    errors of the probes and the largest possible rest of the series."""
+
+    def __init__(self, value: Callable[[float], float], error: Callable[[float], float] = lambda rho: 0.0):
+        self.value, self.error = value, error
+
+    def __call__(self, rho: float) -> float:
+        return self.value(rho)
+
+
+def log_determinant(weights: DataFrame, n: int, order: int = 40, probes: int = 32) -> LogDeterminant:
+    """ln |I - rho W| of row-standardised symmetric contiguity.  Up to EXACT_EIGENVALUES areas by eigenvalues (Ord 1975), beyond
+    by the series of Barry and Pace (1999): its first two traces are exact, the others come from random probes, every power one
+    distributed product.  The result knows its error."""
     if n <= EXACT_EIGENVALUES:
         rows = weights.select("i", "j").collect()
         ids = {v: k for k, v in enumerate(sorted({r["i"] for r in rows} | {r["j"] for r in rows}))}
@@ -206,32 +220,36 @@ def log_determinant(weights: DataFrame, n: int, order: int = 40, probes: int = 3
             a[ids[r["i"]], ids[r["j"]]] = 1.0
         root = 1 / np.sqrt(np.maximum(a.sum(1), 1))
         e = np.linalg.eigvalsh(root[:, None] * a * root[None])
-        return lambda rho: float(np.log1p(-rho * e).sum())
-    from odweave.storage import release, stored
-
+        return LogDeterminant(lambda rho: float(np.log1p(-rho * e).sum()))
     sign = lambda p: F.when(F.conv(F.substring(F.md5(F.concat(F.col("i").cast("string"), F.lit(f"p{p}"))), 1, 1), 16, 10).cast("int") < 8, -1.0).otherwise(1.0)
     nodes = stored(weights.select("i").distinct().select("i", F.array(*map(sign, range(probes))).alias("u")), "probes")
     v, traces = nodes.select("i", F.col("u").alias("v")), []
     for _ in range(order):
         prod = weights.join(v.select(F.col("i").alias("j"), "v"), "j").groupBy("i").agg(*(F.sum(F.col("w") * F.col("v")[p]).alias(f"_{p}") for p in range(probes)))
         new = stored(prod.select("i", F.array(*(F.col(f"_{p}") for p in range(probes))).alias("v")), "power")
-        dots = new.join(nodes, "i").agg(*(F.sum(F.col("v")[p] * F.col("u")[p]) for p in range(probes))).first()
-        traces.append(float(np.mean(dots)))
+        traces.append([float(x) for x in new.join(nodes, "i").agg(*(F.sum(F.col("v")[p] * F.col("u")[p]) for p in range(probes))).first()])
+        if len(traces) > 1:
+            release(v)
         v = new
-    traces[0] = 0.0
-    release(nodes)
-    return lambda rho: -sum(t * rho**k / k for k, t in enumerate(traces, 1))
-
-
-def minimise(f, low: float, high: float, tol: float = 1e-12) -> tuple[float, bool]:  # noqa: ANN001
-    """Golden-section search with a final parabolic polish."""
+    release(nodes, v)
+    back = weights.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("w").alias("v"))
+    t = np.array(traces)
+    t[0] = 0.0
+    if order > 1:
+        t[1] = float(weights.join(back, ["i", "j"]).agg(F.sum(F.col("w") * F.col("v"))).first()[0] or 0.0)
+    k = np.arange(1, order + 1)
+    each = lambda rho: -(t * (rho**k / k)[:, None]).sum(0)
+    rest = lambda rho: n * abs(rho) ** (order + 1) / ((order + 1) * (1 - abs(rho)))
+    return LogDeterminant(lambda rho: float(each(rho).mean()), lambda rho: float(2 * each(rho).std(ddof=1) / math.sqrt(probes) + rest(rho)))
+
+
+def minimise(f: Callable[[float], float], low: float, high: float, tol: float = 1e-9) -> tuple[float, bool]:
+    """Golden-section search to an interval of length tol: its middle, and whether that is inside the bounds."""
     g = (math.sqrt(5) - 1) / 2
     a, b = low, high
     c, d = b - g * (b - a), a + g * (b - a)
     fc, fd = f(c), f(d)
-    for _ in range(300):
-        if b - a < max(tol, 1e-9):
-            break
+    while b - a >= tol:
         if fc < fd:
             b, d, fd = d, c, fc
             c = b - g * (b - a)
@@ -259,6 +277,7 @@ class SpatialFit:
     rmse: float
     mae: float
     converged: bool
+    log_determinant_error: float = 0.0
 
     @property
     def k(self) -> int:
@@ -282,6 +301,10 @@ class SpatialFit:
         return spark.createDataFrame(rows, "term string, estimate double, std_error double, z double, p double")
 
 
+# Steps of the second differences that give the spatial parameter's standard error.
+STEP = {"SAR": 1e-5, "SEM": 1.1e-5}
+
+
 def _prepared(df: DataFrame, weights: DataFrame, key: str, response: str, predictors: list[str]):  # noqa: ANN202
     cols = [response, *predictors]
     whole = complete_cases(df, cols)
@@ -322,8 +345,10 @@ def _profile(kind: str, data: DataFrame, weights: DataFrame, n: int, response: s
 
     best, inner = minimise(lambda r: -value(r)[0], *bounds)
     ll, b, s2, xx = value(best)
-    step = 1e-4
+    step = STEP[kind]
     curve = (value(best + step)[0] - 2 * ll + value(best - step)[0]) / step**2
+    if not curve < 0:
+        raise ValueError(f"{kind}: the likelihood is not curved at {best:.6f}, so the spatial parameter has no standard error")
     cov = s2 * np.linalg.inv(xx)
     to = np.eye(p)
     for i in range(1, p):
@@ -336,7 +361,7 @@ def _profile(kind: str, data: DataFrame, weights: DataFrame, n: int, response: s
     if kind == "SAR":
         fitted = fitted + F.lit(float(best)) * F.col(f"lag_{response}")
     e = regression_metrics(data.withColumn("_fit", fitted), response, "_fit").first()
-    return SpatialFit(kind, response, predictors, beta, np.sqrt(np.diag(cov)), best, 1 / math.sqrt(-curve) if curve < 0 else math.nan, s2, ll, n, e["rmse"], e["mae"], inner and curve < 0)
+    return SpatialFit(kind, response, predictors, beta, np.sqrt(np.diag(cov)), best, 1 / math.sqrt(-curve), s2, ll, n, e["rmse"], e["mae"], inner, logdet.error(best))
 
 
 def fit_sar(df: DataFrame, weights: DataFrame, key: str, response: str, predictors: list[str], bounds: tuple[float, float] = (-0.95, 0.95)) -> SpatialFit:

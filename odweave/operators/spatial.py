@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odweave.functions import scalars as S
-from odweave.operators.grouping import components
+from odweave.operators.grouping import components, numbered
 
 
 # --- contiguity -----------------------------------------------------------------------------
@@ -98,7 +98,7 @@ def moran_permutation(values: DataFrame, weights: DataFrame, key: str, column: s
     """Global Moran's I with a permutation p-value: permutation r gives the value of rank k in key order to the k-th id in md5
     order.  Permutations run side by side, partitioned by r; an id's column of permuted values meets the edges by r and id."""
     z = standardised(values, column).select(key, "z")
-    by_key = z.select(F.col("z").alias("pz"), F.row_number().over(Window.orderBy(key)).alias("k"))
+    by_key = numbered(z, [F.col(key)], "k").select(F.col("z").alias("pz"), "k")
     reps = z.select(key).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     order = reps.withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy(permutation_order(key), key)))
     mixed = order.join(by_key, "k").select("r", F.col(key).alias("i"), "pz").unionByName(z.select(F.lit(0).alias("r"), F.col(key).alias("i"), F.col("z").alias("pz")))
@@ -125,6 +125,10 @@ def local_moran(values: DataFrame, weights: DataFrame, key: str, column: str) ->
     return r.join(d, key, "left").fillna(0, ["neighbours"])
 
 
+#: Values of permuted lists that are broadcast at most.
+BROADCAST_VALUES = 2_000_000
+
+
 def local_p_values(local: DataFrame, key: str, permutations: int = 99) -> DataFrame:
     """local with p_sim of conditional permutations: with area i fixed, its neighbours' values are those of the first ids other than i
     in permutation r's order.
@@ -134,8 +138,13 @@ def local_p_values(local: DataFrame, key: str, permutations: int = 99) -> DataFr
     most = local.agg(F.max("neighbours").alias("m")).first()["m"] or 0
     ids = local.select(key, "z").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     first = F.row_number().over(Window.partitionBy("r").orderBy(permutation_order(key), key))
+    small = permutations * (most + 1) <= BROADCAST_VALUES  # else the lists meet the areas by permutation
     heads = ids.withColumn("k", first).where(F.col("k") <= most + 1).groupBy("r").agg(F.sort_array(F.collect_list(F.struct("k", F.col(key).alias("id"), "z"))).alias("head"))
-    sample = local.where("neighbours > 0").select(F.col(key).alias("_id"), F.col("z").alias("_z"), "lag_z", "neighbours").crossJoin(F.broadcast(heads))  # permutations x (degree + 1) values
+    sample = local.where("neighbours > 0").select(F.col(key).alias("_id"), F.col("z").alias("_z"), "lag_z", "neighbours")
+    if small:
+        sample = sample.crossJoin(F.broadcast(heads))
+    else:
+        sample = sample.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).join(heads.hint("shuffle_hash"), "r")
     others = F.slice(F.filter("head", lambda s: s["id"] != F.col("_id")), F.lit(1), F.col("neighbours").cast("int"))
     sim = F.aggregate(others, F.lit(0.0), lambda a, s: a + s["z"]) / F.col("neighbours") * F.col("_z")
     obs = F.col("_z") * F.col("lag_z")
@@ -196,10 +205,74 @@ def ring_area(ring: Column) -> Column:
 
 
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
-    """Mean of the vertices (the centroid of convex cells of equal sides)."""
+    """Centroid of the area within the ring; of a ring without area the mean of its vertices."""
     n = F.size(ring)
-    total = lambda f: F.aggregate(ring, F.lit(0.0), lambda s, v: s + v[f]) / n
-    return total("x"), total("y")
+    i = F.sequence(F.lit(0), n - 1)
+    at = lambda k: F.get(ring, k % n)
+    # relative to the first vertex, so that large coordinates lose no digits
+    x = lambda k: at(k)["x"] - at(F.lit(0))["x"]
+    y = lambda k: at(k)["y"] - at(F.lit(0))["y"]
+    cross = lambda k: x(k) * y(k + 1) - x(k + 1) * y(k)
+    twice = F.aggregate(i, F.lit(0.0), lambda s, k: s + cross(k))
+    mean = lambda f: F.aggregate(ring, F.lit(0.0), lambda s, v: s + v[f]) / n
+    part = lambda c: F.aggregate(i, F.lit(0.0), lambda s, k: s + (c(k) + c(k + 1)) * cross(k))
+    centre = lambda c, f: F.coalesce(at(F.lit(0))[f] + F.try_divide(part(c), 3 * twice), mean(f))
+    return centre(x, "x"), centre(y, "y")
+
+
+def ring_bounds(ring: Column) -> Column:
+    """(min_x, min_y, max_x, max_y) of a ring."""
+    side = lambda f, g: g(F.transform(ring, lambda v: v[f]))
+    return F.struct(side("x", F.array_min).alias("min_x"), side("y", F.array_min).alias("min_y"), side("x", F.array_max).alias("max_x"), side("y", F.array_max).alias("max_y"))
+
+
+def ring_is_empty(ring: Column) -> Column:
+    return F.coalesce(F.size(ring) == 0, F.lit(True))
+
+
+def ring_is_valid(ring: Column) -> Column:
+    """Three different vertices at least, an area, finite numbers, and no two sides that cross (sides may touch at their ends)."""
+    n = F.size(ring)
+    at = lambda k: F.get(ring, k % n)
+    ks = F.sequence(F.lit(0), n - 1)
+
+    def turn(a: Column, b: Column, c: Column) -> Column:
+        return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+
+    def cross(i: Column, j: Column) -> Column:
+        a, b, c, d = at(i), at(i + 1), at(j), at(j + 1)
+        return (turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)
+
+    finite = F.forall(ring, lambda v: S.finite(v["x"]).isNotNull() & S.finite(v["y"]).isNotNull())
+    crossed = F.exists(ks, lambda i: F.exists(ks, lambda j: (j > i) & cross(i, j)))
+    return F.coalesce((F.size(F.array_distinct(ring)) >= 3) & finite & (ring_area(ring) > 0) & ~crossed, F.lit(False))
+
+
+def boundary(polygons: DataFrame, by: list[str], ring: str = "ring") -> DataFrame:
+    """(by..., ax, ay, bx, by_): sides of the union of each group's polygons, which share whole sides: a side that two of them have is
+    inside.  The dissolve of a lattice or of a seamless set of areas."""
+    n = F.size(ring)
+    sides = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array_sort(F.array(F.get(ring, k), F.get(ring, (k + 1) % n))))
+    s = polygons.select(*by, F.explode(sides).alias("s")).groupBy(*by, "s").agg(F.count("*").alias("n")).where("n = 1")
+    return s.select(*by, F.col("s")[0]["x"].alias("ax"), F.col("s")[0]["y"].alias("ay"), F.col("s")[1]["x"].alias("bx"), F.col("s")[1]["y"].alias("by_"))
+
+
+def dissolve(polygons: DataFrame, by: list[str], ring: str = "ring") -> DataFrame:
+    """(by..., areas, size, perimeter, min_x, min_y, max_x, max_y) of the union of each group's polygons."""
+    b = ring_bounds(F.col(ring))
+    g = polygons.withColumn("_b", b).groupBy(*by).agg(
+        F.count("*").alias("areas"), F.sum(ring_area(F.col(ring))).alias("size"), F.min("_b.min_x").alias("min_x"), F.min("_b.min_y").alias("min_y"), F.max("_b.max_x").alias("max_x"), F.max("_b.max_y").alias("max_y")
+    )
+    length = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by_"), 2))
+    p = boundary(polygons, by, ring).groupBy(*by).agg(F.sum(length).alias("perimeter"))
+    return g.join(p, by, "left")
+
+
+def attach_geometry(polygons: DataFrame, table: DataFrame, key: str = "area", how: str = "left", ring: str = "ring") -> DataFrame:
+    """Polygons with a table's columns, one to one by key: of indicators, local clusters, overlap classes or residuals."""
+    from odweave.operators.quality import one_to_one
+
+    return one_to_one(polygons.select(key, ring), table, key, how)
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:
@@ -221,13 +294,13 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, key: str = "area", ring: str = "ring") -> DataFrame:
-    """points (x, y) left-joined with the polygons that contain them: both sides meet in grid cells of side ``cell`` that the
-    polygon's box touches (an equi-join), then the exact test.  A point in several polygons gives several rows."""
+    """points (x, y) left-joined with the polygons that contain them.  Every grid cell of side ``cell`` has the list of the polygons
+    whose boxes touch it; a point meets its cell's list (an equi-join), then the exact test.  A point in several polygons gives several
+    rows, one in none gives one; repeated points stay repeated."""
     box = lambda f, g: g(F.transform(F.col(ring), lambda v: v[f]))
     span = lambda f: F.sequence(F.floor(box(f, F.array_min) / cell), F.floor(box(f, F.array_max) / cell))
     tiles = polygons.select(key, ring, F.explode(span("x")).alias("_cx")).withColumn("_cy", F.explode(span("y")))
+    lists = tiles.groupBy("_cx", "_cy").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(ring).alias("r"))).alias("_near"))
     p = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
-    j = p.join(tiles.select(F.col(key).alias("_key"), F.col(ring).alias("_ring"), "_cx", "_cy"), ["_cx", "_cy"], "left")
-    hit = F.when(inside(F.col("x"), F.col("y"), F.col("_ring")), F.col("_key"))
-    found = j.withColumn(key, hit).groupBy(*points.columns).agg(F.collect_list(key).alias("_k"))
-    return found.withColumn(key, F.explode_outer("_k")).drop("_k")
+    held = F.transform(F.filter("_near", lambda s: inside(F.col("x"), F.col("y"), s["r"])), lambda s: s["k"])
+    return p.join(lists, ["_cx", "_cy"], "left").withColumn(key, F.explode_outer(held)).drop("_cx", "_cy", "_near")

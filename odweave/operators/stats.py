@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odweave.functions import scalars as S
-from odweave.functions.distributions import t_two_sided
+from odweave.operators.grouping import join_group, numbered, running_sum
+from odweave.storage import stored
 
 
 def descriptives(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -62,18 +63,13 @@ def quantile_class(c: Column, edges: list[float]) -> Column:
     return F.when(c.isNotNull(), out)
 
 
-def average_rank(df: DataFrame, column: str, name: str, pieces: int = 64) -> DataFrame:
-    """df with the average rank of a column.  Ranks are global, their computation is not: distinct values are counted, cut into
-    ranges at approximate quantiles, and cumulated within a range; only one sum a range is cumulated globally."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    cuts = sorted(set(df.agg(F.percentile_approx(column, [i / pieces for i in range(1, pieces)], 10000).alias("c")).first()["c"] or []))
-    piece = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(column))) if cuts else F.lit(0)
-    counts = counts.withColumn("_p", piece)
-    before = counts.groupBy("_p").agg(F.sum("_n").alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_p").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("_c", F.coalesce(F.sum("_n").over(w), F.lit(0))).join(F.broadcast(before.select("_p", "_before")), "_p")  # one row a piece
-    ranks = ranks.select(column, (F.col("_before") + F.col("_c") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, column, "left")
+def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the average rank of a column (null for null).  Distinct values are counted and cumulated by ranges; frequent values'
+    ranks are broadcast, so a column with few values has no hot task."""
+    known = df.where(F.col(column).isNotNull())
+    counts = running_sum(known.groupBy(column).agg(F.count("*").alias("_n")), [F.col(column)], F.col("_n"), "_before")
+    ranks = stored(counts.select(column, "_n", (F.col("_before") + (F.col("_n") + 1) / 2).alias(name)), "ranks")
+    return join_group(known, ranks, [column], "_n").select(*df.columns, name).unionByName(df.where(F.col(column).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
@@ -117,14 +113,22 @@ def condition_number(df: DataFrame, columns: list[str]) -> float:
     return float(np.sqrt(e[-1] / e[0])) if e[0] > 0 else float("inf")
 
 
-def bh_adjust(df: DataFrame, p: str, key: str, name: str = "p_adjusted", partition: list[str] | None = None) -> DataFrame:
-    """Benjamini-Hochberg adjusted p-values within each partition (by default all rows are one test family)."""
-    part = partition or [F.lit(1)]
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy(p, key))
-    n = F.count("*").over(Window.partitionBy(*part))
-    down = Window.partitionBy(*part).orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
-    r = df.withColumn("_rank", rank).withColumn("_raw", F.col(p) * n / F.col("_rank"))
-    return r.withColumn(name, F.least(F.min("_raw").over(down), F.lit(1.0))).drop("_rank", "_raw")
+def bh_adjust(df: DataFrame, p: str, key: str, name: str = "p_adjusted", partition: list[str] | None = None, piece: int = 1 << 16) -> DataFrame:
+    """Benjamini-Hochberg adjusted p-values within each partition.  By default all rows are one test family: they are numbered by
+    ranges, and the least raw value from a row on is that of its piece of ranks and of the least of the pieces after it."""
+    if partition:
+        rank = F.row_number().over(Window.partitionBy(*partition).orderBy(p, key))
+        n = F.count("*").over(Window.partitionBy(*partition))
+        down = Window.partitionBy(*partition).orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
+        r = df.withColumn("_rank", rank).withColumn("_raw", F.col(p) * n / F.col("_rank"))
+        return r.withColumn(name, F.least(F.min("_raw").over(down), F.lit(1.0))).drop("_rank", "_raw")
+    r = stored(numbered(df, [F.col(p), F.col(key)], "_rank").withColumn("_piece", F.floor((F.col("_rank") - 1) / piece)), "tests")
+    n = r.count()
+    r = r.withColumn("_raw", F.col(p) * F.lit(n) / F.col("_rank"))
+    later = Window.orderBy("_piece").rowsBetween(1, Window.unboundedFollowing)
+    after = r.groupBy("_piece").agg(F.min("_raw").alias("_m")).select("_piece", F.min("_m").over(later).alias("_after"))  # one row a piece
+    own = F.min("_raw").over(Window.partitionBy("_piece").orderBy("_rank").rowsBetween(0, Window.unboundedFollowing))
+    return r.withColumn("_own", own).join(F.broadcast(after), "_piece").withColumn(name, F.least("_own", "_after", F.lit(1.0))).drop("_rank", "_piece", "_raw", "_own", "_after")
 
 
 def binned_profile(df: DataFrame, feature: str, value: str, bins: int = 20) -> DataFrame:
@@ -143,45 +147,6 @@ def profile_slopes(profile: DataFrame) -> DataFrame:
     return profile.select("bin", (F.lead("mean_value").over(Window.orderBy("bin")) - F.col("mean_value")).alias("slope")).where("slope IS NOT NULL")
 
 
-def shape_label(means: list[float], pearson: float, spearman: float, spread: float) -> str:
-    """Shape of a binned profile.  spread: 95th minus 5th percentile of the values."""
-    y = np.asarray(means, float)
-    d = np.diff(y)
-    rank, line = abs(spearman), abs(pearson)
-    if spread < 0.30 or rank < 0.30:
-        return "weak / unclear"
-    tolerance = max(0.02, 0.08 * float(np.std(y)))
-    steps = np.sign(d[np.abs(d) > tolerance])
-    turns = int((steps[1:] != steps[:-1]).sum())
-    one_way = len(d) > 0 and float((np.sign(d) == np.sign(spearman)).mean()) >= 0.80
-    positive = np.flatnonzero(y > 0)
-    lifts = bool(y.min() < 0 < y.max()) and len(positive) > 0 and bool((y[positive[0] :] > -tolerance).all())
-    half = max(1, len(d) // 2)
-    flattens = len(d) > 1 and np.abs(d[half:]).mean() < 0.55 * np.abs(d[:half]).mean()
-    rules = (
-        (rank >= 0.90 and one_way, "monotonic nonlinear"), (rank >= 0.55 and lifts, "threshold"), (rank >= 0.75 and one_way, "monotonic nonlinear"),
-        (turns >= 2, "non-monotonic"), (rank >= 0.55 and line >= 0.50 and abs(rank - line) < 0.15, "approximately linear"),
-        (rank >= 0.45 and turns == 0 and flattens, "saturation / diminishing returns"), (rank >= 0.45 and turns == 0, "monotonic nonlinear"), (turns == 1, "threshold"),
-    )
-    return next((label for hit, label in rules if hit), "weak / unclear")
-
-
-SHAPE_ROW = "feature string, shape string, n long, pearson double, pearson_p double, spearman double, spearman_p double, feature_min double, feature_median double, feature_max double, value_p05 double, value_p50 double, value_p95 double"
-
-
-def shape_row(df: DataFrame, feature: str, value: str, bins: int = 20) -> tuple:
-    """SHAPE_ROW: the shape of a value (such as a SHAP value) over a feature's bins, with both correlations and percentiles.
-    A constant has no correlation."""
-    means = [r[0] for r in binned_profile(df, feature, value, bins).orderBy("bin").select("mean_value").collect()]
-    ranks = average_rank(average_rank(df.select(feature, value), feature, "_a"), value, "_b")
-    corr = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    m = df.agg(F.count("*"), corr(feature, value), F.min(feature), F.median(feature), F.max(feature), *(F.percentile(value, q) for q in (0.05, 0.5, 0.95))).first()
-    r, rho = (float("nan") if c is None else max(-1.0, min(1.0, float(c))) for c in (m[1], ranks.agg(corr("_a", "_b")).first()[0]))
-    n = m[0]
-    p = [x if x != x else 0.0 if abs(x) >= 1 else t_two_sided(x * ((n - 2) / (1 - x * x)) ** 0.5, n - 2) for x in (r, rho)]
-    return (feature, shape_label(means, r, rho, m[7] - m[5]), n, r, p[0], rho, p[1], *(float(x) for x in m[2:]))
-
-
 def delta_vs_baseline(df: DataFrame, name: str, baseline: str, columns: list[str]) -> DataFrame:
     """df with each column's difference from the baseline row's (a one-row broadcast)."""
     base = df.where(F.col(name) == baseline).limit(1).select(*(F.col(c).alias(f"_b_{c}") for c in columns))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from odweave.plans import flow_queries, model_queries, spatial_queries
+from odweave.plans import flow_queries, model_queries, quality_queries, spatial_queries, table_queries
 from odweave.plans.registry import QUERIES, SQL
 
-__all__ = ["flow_queries", "model_queries", "oracle_sql", "queries", "spatial_queries"]
+__all__ = ["flow_queries", "model_queries", "oracle_sql", "quality_queries", "queries", "spatial_queries", "table_queries"]
 
 
 def queries() -> dict:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from odweave.functions import scalars as S
-from odweave.operators import learning, quality, spatial, stats
+from odweave.operators import learning, quality, shapes, spatial, stats
 from odweave.operators import regression as R
+from odweave.plans import sql_models as Q
 from odweave.plans import views as V
+from odweave.plans.flow_queries import _MONTHLY as MONTHLY
 from odweave.plans.flow_queries import _with
 from odweave.plans.registry import query
+from odweave.plans.spatial_queries import PERMUTED_ROW, permuted_ctes
 from odweave.storage import release, stored
 
 Y, X = "log_revenue", V.PREDICTORS
@@ -73,9 +76,9 @@ def shape_summary(spark, sf):
     """Shapes of the SHAP values of each feature over 20 quantile bins (E5)."""
     f, m = _model(spark, sf)
     joined = stored(f.join(learning.shap_values(m, f, X, "area"), "area"), "shap")
-    rows = [stats.shape_row(joined, c, f"shap_{c}") for c in X]
+    t = V.rounded(shapes.shape_table(joined, {c: f"shap_{c}" for c in X}))
     release(joined)
-    return V.rounded(spark.createDataFrame(rows, stats.SHAPE_ROW))
+    return t
 
 
 _PAIRS = [(a, b) for i, a in enumerate([Y, *X]) for b in [Y, *X][i:]]
@@ -118,29 +121,65 @@ def vif_two(spark, sf):
     return V.rounded(stats.vif(V.model_frame(spark, sf), ["quantity", "lines"]).select("variable", "vif"))
 
 
-@query(None)
+_VIF = [c for x in X for c in (*Q.orthogonal(f"v_{x}", "frame", x, [o for o in X if o != x]), f"i_{x} AS (SELECT '{x}' AS variable, var_pop({x}) * count(*) / sum(e * e) AS vif FROM v_{x})")]
+
+
+@query(_with(FR, *_VIF) + "SELECT variable, round(vif, 6) AS vif, round(1 / vif, 6) AS tolerance, CASE WHEN vif >= 10 THEN 'high' WHEN vif >= 5 THEN 'moderate' ELSE 'low' END AS status FROM (" + " UNION ALL ".join(f"SELECT * FROM i_{x}" for x in X) + ")")
 def vif(spark, sf):
     return V.rounded(stats.vif(V.model_frame(spark, sf), X))
 
 
-@query(None)
+_FIT = (*Q.orthogonal("fit", "frame", Y, X), Q.metrics("fit", Y, len(X) + 1))
+#: The auxiliary regressions: of the squared residuals, and with the squared fitted values beside the predictors.
+_AUXILIARY = (
+    "bp0 AS (SELECT area, log_revenue, quantity, discount, tax, returns, lines, e * e AS e2, fit * fit AS fit2 FROM fit)",
+    *Q.orthogonal("bp", "bp0", "e2", X), Q.metrics("bp", "e2", len(X) + 1), *Q.orthogonal("rs", "bp0", Y, [*X, "fit2"]), Q.metrics("rs", Y, len(X) + 2),
+)
+
+
+@query(
+    _with(FR, *_FIT, *_AUXILIARY)
+    + f""", g AS (SELECT avg(pow(e, 3)) / pow(avg(e * e), 1.5) AS skew, avg(pow(e, 4)) / pow(avg(e * e), 2) AS kurt, max(abs(e) / sqrt((SELECT ssr / (n - 6) FROM fit_m) * (1 - lev))) AS student FROM fit),
+h AS (SELECT n, skew, kurt, student, n / 6 * (skew * skew + pow(kurt - 3, 2) / 4) AS jb, n * (SELECT r2 FROM bp_m) AS bp, (SELECT (sst - ssr) / 5 / (ssr / (n - 6)) FROM bp_m) AS bpf,
+  (SELECT (fit_m.ssr - rs_m.ssr) / (rs_m.ssr / (rs_m.n - 7)) FROM rs_m) AS reset FROM g, fit_m)
+SELECT diagnostic, round(value, 6) + 0.0 AS value FROM (SELECT 'jarque_bera' AS diagnostic, jb AS value FROM h UNION ALL SELECT 'jarque_bera_p', {Q.chi2_upper("jb", 2)} FROM h UNION ALL SELECT 'skewness', skew FROM h
+UNION ALL SELECT 'kurtosis', kurt FROM h UNION ALL SELECT 'breusch_pagan', bp FROM h UNION ALL SELECT 'breusch_pagan_p', {Q.chi2_upper("bp", 5)} FROM h UNION ALL SELECT 'breusch_pagan_f', bpf FROM h
+UNION ALL SELECT 'breusch_pagan_f_p', {Q.f_upper("bpf", 5, "(n - 6)")} FROM h UNION ALL SELECT 'reset_f', reset FROM h UNION ALL SELECT 'reset_p', {Q.t_two_sided("sqrt(greatest(reset, 0))", "(n - 7)")} FROM h UNION ALL SELECT 'max_abs_studentised', student FROM h)"""
+)
 def ols_diagnostics(spark, sf):
     d = R.diagnostics(R.fit_ols(V.model_frame(spark, sf), Y, X))
     return V.rounded(spark.createDataFrame([(k, float(v)) for k, v in d.items()], "diagnostic string, value double"))
 
 
-@query(None)
+#: Contiguity of the frame's lattice, and lags of the fitted values, the residuals and the response.
+_FW = """fe AS (SELECT a.area AS i, b.area AS j FROM frame a, frame b WHERE abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.area <> b.area), fw AS (SELECT i, j, 1.0::DOUBLE / count(*) OVER (PARTITION BY i) AS w FROM fe)"""
+_FL = """fl AS (SELECT fit.*, coalesce(l.wf, 0) AS wf, coalesce(l.we, 0) AS we, coalesce(l.wy, 0) AS wy FROM fit LEFT JOIN (SELECT i, sum(w * b.fit) AS wf, sum(w * b.e) AS we, sum(w * b.log_revenue) AS wy FROM fw JOIN fit b ON b.area = fw.j GROUP BY i) l ON l.i = fit.area)"""
+
+
+@query(
+    _with(FR, *_FIT, _FW, _FL)
+    + f""", tr AS (SELECT sum(a.w * a.w) + sum(a.w * coalesce(b.w, 0)) AS t FROM fw a LEFT JOIN fw b ON b.i = a.j AND b.j = a.i),
+d AS (SELECT sum(wf * wf) - pow(sum(wf), 2) / count(*) {"".join(f" - pow(sum(wf * q{i}), 2) / sum(q{i} * q{i})" for i in range(1, 6))} AS mwf, sum(e * we) AS de, sum(e * wy) AS dl, sum(e * e) / count(*) AS s2 FROM fl),
+t AS (SELECT t, de / s2 AS de, dl / s2 AS dl, mwf / s2 + t AS nj FROM d, tr),
+st AS (SELECT dl * dl / nj AS lag, de * de / t AS error, pow(dl - de, 2) / (nj - t) AS rlag, pow(de - t / nj * dl, 2) / (t * (1 - t / nj)) AS rerror FROM t)
+SELECT diagnostic, round(s, 6) AS statistic, round(p, 6) AS p_value, df FROM (SELECT 'LM-lag' AS diagnostic, lag AS s, {Q.chi2_upper("lag", 1)} AS p, 1 AS df FROM st UNION ALL SELECT 'LM-error', error, {Q.chi2_upper("error", 1)}, 1 FROM st
+UNION ALL SELECT 'Robust LM-lag', rlag, {Q.chi2_upper("rlag", 1)}, 1 FROM st UNION ALL SELECT 'Robust LM-error', rerror, {Q.chi2_upper("rerror", 1)}, 1 FROM st UNION ALL SELECT 'LM-SARMA', rlag + error, {Q.chi2_upper("(rlag + error)", 2)}, 2 FROM st)"""
+)
 def lm_tests(spark, sf):
     f = V.model_frame(spark, sf)
     t = R.lm_tests(R.fit_ols(f.select("area", Y, *X), Y, X), V.frame_weights(f), "area")
     return V.rounded(spark.createDataFrame([(k, *v) for k, v in t.items()], "diagnostic string, statistic double, p_value double, df int"))
 
 
-@query(None)
+_RZ = "z AS (SELECT area, (e - avg(e) OVER ()) / stddev_pop(e) OVER () AS z FROM fit), weights AS (SELECT * FROM fw)"
+
+
+@query(_with(FR, *_FIT, _FW, _RZ) + f", {permuted_ctes(999)} " + PERMUTED_ROW)
 def residual_moran(spark, sf):
     f = V.model_frame(spark, sf)
     fit = R.fit_ols(f, Y, X)
-    return V.rounded(spatial.moran_permutation(fit.data.select("area", fit.residual().alias("residual")), V.frame_weights(f), "area", "residual", 999))
+    m = V.rounded(spatial.moran_permutation(fit.data.select("area", fit.residual().alias("residual")), V.frame_weights(f), "area", "residual", 999))
+    return m.withColumn("z_sim", F.round("z_sim", 4))
 
 
 def _spatial(spark, sf, kind):
@@ -170,12 +209,6 @@ def regression_metrics(spark, sf):
     return m.select(F.round("r2", 6).alias("r2"), "n", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"))
 
 
-@query("SELECT model, feature, importance, row_number() OVER (PARTITION BY model ORDER BY importance DESC, feature) AS rank FROM (SELECT l_returnflag AS model, l_linestatus AS feature, round(sum(l_quantity), 2) AS importance FROM lineitem GROUP BY 1, 2)")
-def importance_rank(spark, sf):
-    t = V.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("feature")).agg(F.round(F.sum("l_quantity"), 2).alias("importance"))
-    return stats.ranked(t, ["model"], [F.desc("importance"), F.col("feature")])
-
-
 def _folded(spark, sf):
     return learning.strip_folds(V.model_frame(spark, sf))
 
@@ -190,7 +223,10 @@ def gbt_cv(spark, sf):
     return learning.cross_validate(_folded(spark, sf), learning.boosted_trees(ROUNDS), X, Y)
 
 
-@query(None)
+_FOLDED = "folded AS (SELECT *, least((x - (SELECT min(x) FROM frame)) * 5 // (SELECT max(x) - min(x) + 1 FROM frame), 4) AS fold FROM frame)"
+
+
+@query(_with(FR, _FOLDED, *Q.orthogonal("ho", "folded", Y, X, "fold <> 0")) + "SELECT count(*) AS n, round(1 - sum(e * e) / (var_pop(log_revenue) * count(*)), 6) AS r2, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae FROM ho WHERE fold = 0")
 def held_out_ols(spark, sf):
     """OLS fitted without fold 0 and scored on it (E4)."""
     f = _folded(spark, sf).withColumn("part", S.partition_label(F.col("fold")))
@@ -222,7 +258,15 @@ def _experiment(spark, fits):
     return V.rounded(R.compare(fits, spark).withColumnRenamed("model", "name"), 5)
 
 
-@query(None)
+_M5 = "n, round(r2, 5) AS r2, round(adj_r2, 5) AS adj_r2, round(rmse, 5) AS rmse, round(mae, 5) AS mae, round(log_likelihood, 5) AS log_likelihood, round(aic, 5) AS aic, round(bic, 5) AS bic"
+
+
+def _metric_rows(**names: str) -> str:
+    """One row a fit of its metrics, by the names of their CTEs."""
+    return " UNION ALL ".join(f"SELECT '{shown}' AS name, {_M5} FROM {cte}_m" for cte, shown in names.items())
+
+
+@query(_with(FR, *_FIT, *Q.orthogonal("sub", "frame", Y, X[:3]), Q.metrics("sub", Y, 4)) + f"SELECT *, r2 - first_value(r2) OVER w AS delta_r2, aic - first_value(aic) OVER w AS delta_aic FROM ({_metric_rows(fit='baseline', sub='subset')}) WINDOW w AS (ORDER BY name)")
 def e1_subset_predictors(spark, sf):
     """The model with some predictors against all (E1)."""
     f = V.model_frame(spark, sf)
@@ -230,49 +274,146 @@ def e1_subset_predictors(spark, sf):
     return stats.delta_vs_baseline(t, "name", "baseline", ["r2", "aic"])
 
 
-@query(None)
-def e6_log_predictors(spark, sf):
-    """log1p of non-negative predictors; stability of sign and significance (E6)."""
+_LOGGED = "logged AS (SELECT area, log_revenue, " + ", ".join(f"ln(1 + {c}) AS {c}" for c in X[:4]) + ", lines, x, y FROM frame)"
+
+
+def _logged(spark, sf):
     f = V.model_frame(spark, sf)
-    logged = X[:4]
-    low = f.agg(*(F.min(c).alias(c) for c in logged)).first()
-    if any(low[c] < 0 for c in logged):
+    low = f.agg(*(F.min(c).alias(c) for c in X[:4])).first()
+    if any(low[c] < 0 for c in X[:4]):
         raise ValueError("log1p needs predictors that are not negative")
-    g = f.withColumns({c: F.log1p(c) for c in logged})
-    a, b = (R.fit_ols(x, Y, X).coefficients(spark).select("term", F.col("estimate").alias(f"{n}_estimate"), F.col("robust_p").alias(f"{n}_p")) for x, n in ((f, "raw"), (g, "log")))
-    j = a.join(b, "term")
+    return f, f.withColumns({c: F.log1p(c) for c in X[:4]})
+
+
+def _terms(source: str, tag: str) -> list[str]:
+    return [c for x in X for c in Q.coefficient(f"{tag}_{x}", source, Y, x, [o for o in X if o != x])]
+
+
+_TERM_ROWS = " UNION ALL ".join(
+    f"SELECT '{x}' AS term, a.estimate AS re, {Q.t_two_sided('abs(a.estimate / a.robust_se)', 'a.df')} AS rp, b.estimate AS le, {Q.t_two_sided('abs(b.estimate / b.robust_se)', 'b.df')} AS lp FROM er_{x}_c a, el_{x}_c b" for x in X
+)
+
+
+@query(
+    _with(FR, _LOGGED, *_terms("frame", "er"), *_terms("logged", "el"))
+    + f"SELECT term, round(re, 6) + 0.0 AS raw_estimate, round(rp, 6) + 0.0 AS raw_p, round(le, 6) + 0.0 AS log_estimate, round(lp, 6) + 0.0 AS log_p, sign(re) = sign(le) AS same_sign, (rp < 0.05) = (lp < 0.05) AS same_significance FROM ({_TERM_ROWS})"
+)
+def e6_log_predictors(spark, sf):
+    """log1p of non-negative predictors; stability of sign and significance (E6)."""
+    f, g = _logged(spark, sf)
+    a, b = (R.fit_ols(x, Y, X).coefficients(spark).where("term != 'const'").select("term", F.col("estimate").alias(f"{n}_estimate"), F.col("robust_p").alias(f"{n}_p")) for x, n in ((f, "raw"), (g, "log")))
     same_sig = (F.col("raw_p") < 0.05) == (F.col("log_p") < 0.05)
-    return V.rounded(j.withColumns({"same_sign": S.same_direction(F.col("raw_estimate"), F.col("log_estimate")), "same_significance": same_sig}))
+    return V.rounded(a.join(b, "term").withColumns({"same_sign": S.same_direction(F.col("raw_estimate"), F.col("log_estimate")), "same_significance": same_sig}))
 
 
-@query(None)
-def e7_weekend_model(spark, sf):
-    """Inflow at weekends in place of all inflow (E7)."""
+_LDIAG = (
+    *Q.orthogonal("fit", "logged", Y, X), Q.metrics("fit", Y, len(X) + 1), *_AUXILIARY,
+    "zfit AS (SELECT area, (e - avg(e) OVER ()) / stddev_pop(e) OVER () AS z FROM fit)",
+)
+
+
+@query(
+    _with(FR, _LOGGED, *_LDIAG, _FW, "z AS (SELECT * FROM zfit), weights AS (SELECT * FROM fw)")
+    + f""", t AS (SELECT (SELECT n * r2 FROM bp_m) AS bp, (SELECT (sst - ssr) / 5 / (ssr / (n - 6)) FROM bp_m) AS bpf, (SELECT (fit_m.ssr - rs_m.ssr) / (rs_m.ssr / (rs_m.n - 7)) FROM rs_m, fit_m) AS reset, (SELECT n FROM bp_m) AS n),
+{permuted_ctes(999)}, pm AS ({PERMUTED_ROW})
+SELECT diagnostic, round(s, 6) + 0.0 AS statistic, round(p, 6) + 0.0 AS p_value FROM (SELECT 'Breusch-Pagan LM' AS diagnostic, bp AS s, {Q.chi2_upper("bp", 5)} AS p FROM t UNION ALL SELECT 'Breusch-Pagan F', bpf, {Q.f_upper("bpf", 5, "(n - 6)")} FROM t
+UNION ALL SELECT 'Ramsey RESET F', reset, {Q.t_two_sided("sqrt(greatest(reset, 0))", "(n - 7)")} FROM t UNION ALL SELECT 'Residual Moran I', moran_i, p_sim FROM pm)"""
+)
+def e6_diagnostics(spark, sf):
+    """Diagnostics of the model with logged predictors (E6)."""
+    _, g = _logged(spark, sf)
+    fit = R.fit_ols(g.select("area", Y, *X), Y, X)
+    d = R.diagnostics(fit)
+    m = spatial.moran_permutation(fit.data.select("area", fit.residual().alias("residual")), V.frame_weights(g), "area", "residual", 999).first()
+    rows = [("Breusch-Pagan LM", d["breusch_pagan"], d["breusch_pagan_p"]), ("Breusch-Pagan F", d["breusch_pagan_f"], d["breusch_pagan_f_p"]), ("Ramsey RESET F", d["reset_f"], d["reset_p"]), ("Residual Moran I", m["moran_i"], m["p_sim"])]
+    return V.rounded(spark.createDataFrame([(a, float(b), float(c)) for a, b, c in rows], "diagnostic string, statistic double, p_value double"))
+
+
+def _monthly_frame(spark, sf):
     from odweave.operators import flows
 
     m = flows.monthly_indicators(V.areas(spark, sf), V.records(spark, sf), V.expected(spark))
-    m = m.withColumns({"y": F.log1p("mobility_inflow_total"), "e": F.col("flow_entropy")})
+    return m.withColumns({"y": F.log1p("mobility_inflow_total"), "e": F.col("flow_entropy"), "h": S.normalised_entropy(F.col("flow_entropy"), F.col("unique_origins"))})
+
+
+_MF = "mf AS (SELECT area, ln(1 + mobility_inflow_total) AS y, flow_entropy, unique_origins::DOUBLE AS unique_origins, weekday_inflow_total, weekend_inflow_total, CASE WHEN unique_origins > 1 THEN flow_entropy / ln(unique_origins) END AS h FROM m)"
+_RENAMED = "mg AS (SELECT area, y AS resp, flow_entropy, unique_origins, weekday_inflow_total, weekend_inflow_total, h FROM mf)"
+
+
+@query(
+    MONTHLY + ", " + ",\n".join([_MF, _RENAMED, *Q.orthogonal("aw", "mg", "resp", ["flow_entropy", "weekday_inflow_total"]), Q.metrics("aw", "resp", 3), *Q.orthogonal("we", "mg", "resp", ["flow_entropy", "weekend_inflow_total"]), Q.metrics("we", "resp", 3)]) + "\n" + _metric_rows(aw="all days", we="weekend")
+)
+def e7_weekend_model(spark, sf):
+    """Inflow at weekends in place of all inflow (E7)."""
+    m = _monthly_frame(spark, sf)
     return _experiment(spark, {"all days": R.fit_ols(m, "y", ["e", "weekday_inflow_total"]), "weekend": R.fit_ols(m, "y", ["e", "weekend_inflow_total"])})
 
 
-@query(None)
+@query(
+    MONTHLY + ", " + ",\n".join([_MF, _RENAMED, *Q.orthogonal("rw", "mg", "resp", ["flow_entropy", "unique_origins"]), Q.metrics("rw", "resp", 3), "mh AS (SELECT * FROM mg WHERE h IS NOT NULL)", *Q.orthogonal("nh", "mh", "resp", ["h", "unique_origins"]), Q.metrics("nh", "resp", 3)]) + "\n" + _metric_rows(rw="raw", nh="normalised")
+)
 def e8_normalised_entropy(spark, sf):
-    """Normalised entropy in place of entropy (E8)."""
-    from odweave.operators import flows
-
-    m = flows.monthly_indicators(V.areas(spark, sf), V.records(spark, sf), V.expected(spark))
-    m = m.withColumns({"y": F.log1p("mobility_inflow_total"), "h": S.normalised_entropy(F.col("flow_entropy"), F.col("unique_origins"))})
+    """Normalised entropy in place of entropy: the OLS fits (E8)."""
+    m = _monthly_frame(spark, sf)
     return _experiment(spark, {"raw": R.fit_ols(m, "y", ["flow_entropy", "unique_origins"]), "normalised": R.fit_ols(m, "y", ["h", "unique_origins"])})
 
 
-@query(_with(FR) + "SELECT 'x' AS column, count(*) AS rows, 0::BIGINT AS outside FROM frame")
+def _estimators():
+    return {"Random Forest": learning.random_forest(TREES, DEPTH), "Gradient boosting": learning.boosted_trees(ROUNDS)}
+
+
+@query(None)
+def held_out_comparison(spark, sf):
+    """OLS and both tree models on the same held-out fold, and the best tree model (E4)."""
+    return V.rounded(learning.compare_held_out(_folded(spark, sf), X, Y, _estimators())[0])
+
+
+@query(None)
+def e8_tree_models(spark, sf):
+    """Raw and normalised entropy in the boosted model: test metrics, importance with its rank, mean absolute SHAP value and shape of the
+    entropy (E8).  Areas with one origin at most have no normalised entropy, which is an error."""
+    m = _monthly_frame(spark, sf).select("area", "y", "flow_entropy", "h", F.col("unique_origins").cast("double").alias("unique_origins"), "weekday_weekend_ratio")
+    if m.where("h IS NULL").limit(1).count():
+        raise ValueError("normalised entropy is missing where an area has one origin at most")
+    m = learning.strip_folds(m.fillna(0.0, ["weekday_weekend_ratio"]).join(V.areas(spark, sf).select("area", "x", F.col("y").alias("row")), "area"))
+    m = stored(m, "entropy")
+    rows = []
+    for basis, entropy, rules in (("raw", "flow_entropy", shapes.RULES), ("normalised", "h", shapes.SHORT_RULES)):
+        names = [entropy, "unique_origins", "weekday_weekend_ratio"]
+        table, fitted = learning.compare_held_out(m, names, "y", {"Gradient boosting": learning.boosted_trees(ROUNDS)})
+        model, t = fitted["Gradient boosting"], table.where("model != 'OLS'").first()
+        imp = learning.permutation_importance(model, m.where("fold = 0"), names, "y", "area").where(F.col("feature") == entropy).first()
+        shap = m.join(learning.shap_values(model, m, names, "area"), "area")
+        shape = shapes.shape_table(shap, {entropy: f"shap_{entropy}"}, rules=rules).first()
+        rows.append((basis, t["cv_r2"], t["test_r2"], t["rmse"], imp["mean"], int(imp["rank"]), shape["mean_abs_value"], shape["shape"]))
+    release(m)
+    return V.rounded(spark.createDataFrame(rows, "basis string, cv_r2 double, test_r2 double, rmse double, entropy_importance double, entropy_importance_rank int, entropy_mean_abs_shap double, entropy_shape string"))
+
+
+_VERSIONS = ("quantity", "discount", "lines")
+
+
+@query(
+    _with(FR, "two AS (SELECT area, " + ", ".join(f"CASE WHEN area % 7 = 0 THEN {c} + 0.5 ELSE {c} END AS {c}" for c in _VERSIONS) + " FROM frame WHERE area % 11 <> 0)")
+    + " UNION ALL ".join(f"SELECT '{c}' AS column, count(*) AS rows, count(*) FILTER (b.area IS NULL) AS only_old, count(*) FILTER (b.area IS NULL OR abs(a.{c} - b.{c}) > 0.000001) AS outside, round(max(abs(a.{c} - b.{c})), 6) AS max_abs_diff FROM frame a LEFT JOIN two b USING (area)" for c in _VERSIONS)
+)
 def table_comparison(spark, sf):
-    f = V.model_frame(spark, sf).select("area", F.col("x").cast("double").alias("x"))
-    d = quality.table_differences(f, f, "area", ["x"])
-    return d.groupBy("column").agg(F.count("*").alias("rows"), F.count_if(~F.col("within")).alias("outside"))
+    """Two versions of a table, of which the second lacks some areas and changes others."""
+    old = V.model_frame(spark, sf).select("area", *_VERSIONS)
+    new = old.where("area % 11 != 0").withColumns({c: F.when(F.col("area") % 7 == 0, F.col(c) + 0.5).otherwise(F.col(c)) for c in _VERSIONS})
+    d = quality.table_differences(old, new, "area", list(_VERSIONS))
+    return V.rounded(d.groupBy("column").agg(F.count("*").alias("rows"), F.count_if(F.col("new").isNull()).alias("only_old"), F.count_if(~F.col("within")).alias("outside"), F.max("abs_diff").alias("max_abs_diff")))
+
+
+_GAPS = "gaps AS (SELECT area, log_revenue, CASE WHEN area % 5 = 0 THEN NULL ELSE quantity END AS quantity, CASE WHEN area % 9 = 0 THEN 'nan'::DOUBLE ELSE discount END AS discount, 3.0::DOUBLE AS tax, returns, lines FROM frame)"
 
 
-@query(_with(FR) + "SELECT count(*) AS complete, 0::BIGINT AS constants FROM frame")
+@query(
+    _with(FR, _GAPS, "whole AS (SELECT * FROM gaps WHERE quantity IS NOT NULL AND NOT isnan(discount))")
+    + "SELECT count(*) AS complete, (SELECT count(*) FROM (" + " UNION ALL ".join(f"SELECT min({c}) = max({c}) AS same FROM whole" for c in X) + ") WHERE same) AS constants FROM whole"
+)
 def complete_cases(spark, sf):
-    f = quality.complete_cases(V.model_frame(spark, sf), [Y, *X])
+    """Complete finite rows of a frame with nulls, values that are no numbers, and a constant column."""
+    f = V.model_frame(spark, sf).withColumns({"quantity": F.when(F.col("area") % 5 != 0, F.col("quantity")), "discount": F.when(F.col("area") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("discount")), "tax": F.lit(3.0)})
+    f = quality.complete_cases(f, [Y, *X])
     return f.agg(F.count("*").alias("complete")).withColumn("constants", F.lit(len(quality.constant_columns(f, X))).cast("long"))

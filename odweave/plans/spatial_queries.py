@@ -46,14 +46,15 @@ def polygon_measures(spark, sf):
 
 
 @query(_with(_CELLS) + """, p AS (SELECT c_custkey, (c_custkey * 37 % 601) / 100.0 AS px, (c_custkey * 53 % 577) / 100.0 AS py FROM customer)
-SELECT c_custkey, area FROM p LEFT JOIN cells ON px > x AND px < x + 1 AND py > y AND py < y + 1""")
+SELECT px, py, area FROM (SELECT px, py FROM p UNION ALL SELECT px, py FROM p WHERE c_custkey % 3 = 0) LEFT JOIN cells ON px > x AND px < x + 1 AND py > y AND py < y + 1""")
 def point_in_polygon(spark, sf):
     p = V.table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") * 37 % 601 / 100.0).alias("x"), (F.col("c_custkey") * 53 % 577 / 100.0).alias("y"))
-    return spatial.points_in_polygons(p, _squares(spark, sf), 1.0).select("c_custkey", "area")
+    p = p.select("x", "y").unionAll(p.where("c_custkey % 3 = 0").select("x", "y"))  # repeated points stay repeated
+    return spatial.points_in_polygons(p, _squares(spark, sf), 1.0).select(F.col("x").alias("px"), F.col("y").alias("py"), "area")
 
 
-@query(_with(V.AREAS, V.EDGES) + """, d AS (SELECT area, count(j) AS degree FROM areas LEFT JOIN edges ON i = area GROUP BY area)
-SELECT count(*) AS n, count(*) FILTER (degree = 0) AS islands, min(degree) AS min_degree, max(degree) AS max_degree, round(avg(degree), 6) AS mean_degree, median(degree)::DOUBLE AS median_degree, 1::BIGINT AS components FROM d""")
+@query(_with(V.AREAS, V.EDGES).replace("WITH ", "WITH RECURSIVE ", 1) + """, reached AS (SELECT area, area AS seen FROM areas UNION SELECT r.area, e.j FROM reached r JOIN edges e ON e.i = r.seen), d AS (SELECT area, count(j) AS degree FROM areas LEFT JOIN edges ON i = area GROUP BY area)
+SELECT count(*) AS n, count(*) FILTER (degree = 0) AS islands, min(degree) AS min_degree, max(degree) AS max_degree, round(avg(degree), 6) AS mean_degree, median(degree)::DOUBLE AS median_degree, (SELECT count(DISTINCT component) FROM (SELECT area, min(seen) AS component FROM reached GROUP BY area)) AS components FROM d""")
 def weights_diagnostics(spark, sf):
     a = V.areas(spark, sf)
     return V.rounded(spatial.weights_diagnostics(a, spatial.lattice_edges(a)))
@@ -94,10 +95,18 @@ def moran_scatter(spark, sf):
     return t.agg(F.round(F.regr_slope("lag_z", "z"), 6).alias("slope"), F.count("*").alias("n"))
 
 
-@query(_with(*BASE) + f""", byk AS (SELECT z AS pz, row_number() OVER (ORDER BY area) AS k FROM z), mixed AS (SELECT r, area AS i, pz FROM (SELECT area, r, row_number() OVER (PARTITION BY r ORDER BY md5(area::VARCHAR || '-' || r::VARCHAR), area) AS k FROM z, unnest(range(1, {R + 1})) AS t(r)) JOIN byk USING (k)
+def permuted_ctes(r: int) -> str:
+    """CTEs of Moran's I of z under r permutations; z (area, z) and weights (i, j, w) come before."""
+    return f"""byk AS (SELECT z AS pz, row_number() OVER (ORDER BY area) AS k FROM z), mixed AS (SELECT r, area AS i, pz FROM (SELECT area, r, row_number() OVER (PARTITION BY r ORDER BY md5(area::VARCHAR || '-' || r::VARCHAR), area) AS k FROM z, unnest(range(1, {r + 1})) AS t(r)) JOIN byk USING (k)
 UNION ALL SELECT 0, area, z FROM z), st AS (SELECT a.r, (SELECT count(*) FROM z) / (SELECT sum(w) FROM weights) * sum(w.w * a.pz * b.pz) / (SELECT sum(z * z) FROM z) AS i FROM mixed a JOIN weights w ON w.i = a.i JOIN mixed b ON b.i = w.j AND b.r = a.r GROUP BY a.r),
-o AS (SELECT i FROM st WHERE r = 0), t AS (SELECT max(o.i) AS moran_i, count(*) FILTER (st.i >= o.i - 1e-12) AS larger, count(*) AS permutations, avg(st.i) AS mean_simulated, stddev_pop(st.i) AS sd_simulated FROM st, o WHERE r > 0)
-SELECT round(moran_i, 6) AS moran_i, larger, permutations, round(mean_simulated, 6) AS mean_simulated, round(sd_simulated, 6) AS sd_simulated, round((least(larger, permutations - larger) + 1) / (permutations + 1), 6) AS p_sim, round((moran_i - mean_simulated) / sd_simulated, 4) AS z_sim FROM t""")
+o AS (SELECT i FROM st WHERE r = 0), tt AS (SELECT max(o.i) AS moran_i, count(*) FILTER (st.i >= o.i - 1e-12) AS larger, count(*) AS permutations, avg(st.i) AS mean_simulated, stddev_pop(st.i) AS sd_simulated FROM st, o WHERE r > 0)"""
+
+
+PERMUTED_ROW = """SELECT round(moran_i, 6) AS moran_i, larger, permutations, round(mean_simulated, 6) AS mean_simulated, round(sd_simulated, 6) AS sd_simulated,
+round((least(larger, permutations - larger) + 1) / (permutations + 1), 6) AS p_sim, round((moran_i - mean_simulated) / sd_simulated, 4) AS z_sim FROM tt"""
+
+
+@query(_with(*BASE) + f", {permuted_ctes(R)} " + PERMUTED_ROW)
 def moran_permutation(spark, sf):
     v, w = _inflow(spark, sf)
     m = V.rounded(spatial.moran_permutation(v, w, "area", "inflow", R).withColumn("z_sim", F.round("z_sim", 4)))
@@ -204,10 +213,23 @@ def spatial_folds_kmeans(spark, sf):
     return learning.kmeans_folds(V.areas(spark, sf)).select("area", "fold")
 
 
-@query("SELECT r_name AS borough, count(*) AS areas, count(*)::DOUBLE AS size FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+_SIDES = """sides AS (SELECT r_name AS borough, unnest([[x, y, x + 1, y], [x + 1, y, x + 1, y + 1], [x, y + 1, x + 1, y + 1], [x, y, x, y + 1]]) AS s FROM cells JOIN nation ON area = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+@query(_with(_CELLS, _SIDES) + """SELECT borough, areas, areas::DOUBLE AS size, min_x, min_y, max_x, max_y, (SELECT count(*) FROM (SELECT s FROM sides t WHERE t.borough = g.borough GROUP BY s HAVING count(*) = 1))::DOUBLE AS perimeter
+FROM (SELECT r_name AS borough, count(*) AS areas, min(x)::DOUBLE AS min_x, min(y)::DOUBLE AS min_y, max(x + 1)::DOUBLE AS max_x, max(y + 1)::DOUBLE AS max_y FROM cells JOIN nation ON area = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1) g""")
 def dissolve(spark, sf):
-    t = _squares(spark, sf).join(V.table(spark, sf, "nation").join(V.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("area"), "r_name"), "area")
-    return t.groupBy(F.col("r_name").alias("borough")).agg(F.count("*").alias("areas"), F.sum(spatial.ring_area(F.col("ring"))).alias("size"))
+    """Areas dissolved by borough: their area, box, and the length of the sides that remain."""
+    t = _squares(spark, sf).join(V.table(spark, sf, "nation").join(V.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("area"), F.col("r_name").alias("borough")), "area")
+    return V.rounded(spatial.dissolve(t, ["borough"]))
+
+
+@query(_with(_CELLS) + "SELECT area, least(x, x + 1)::DOUBLE AS min_x, y::DOUBLE AS min_y, x + 1::DOUBLE AS max_x, y + 1::DOUBLE AS max_y, area % 4 <> 3 AS valid, area % 4 = 3 AS empty FROM cells")
+def geometry_checks(spark, sf):
+    """Boxes, validity and emptiness of rings: every fourth is without vertices."""
+    t = _squares(spark, sf)
+    ring = F.when(F.col("area") % 4 == 3, F.slice("ring", 1, 0)).otherwise(F.col("ring"))
+    return t.select("area", spatial.ring_bounds(F.col("ring")).alias("b"), spatial.ring_is_valid(ring).alias("valid"), spatial.ring_is_empty(ring).alias("empty")).select("area", "b.*", "valid", "empty")
 
 
 @query("SELECT s_suppkey, CASE WHEN s_acctbal <= 0.001 THEN 'p < 0.001' WHEN s_acctbal < 0.01 THEN 'p < 0.01' WHEN s_acctbal < 0.05 THEN 'p < 0.05' ELSE 'Not Significant' END AS bin, CASE WHEN s_acctbal >= 10 THEN 'high' WHEN s_acctbal >= 5 THEN 'moderate' ELSE 'low' END AS vif, greatest(least(s_acctbal / 1000, 3), -3) AS clipped FROM supplier")

@@ -7,7 +7,7 @@ import sys
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odweave.functions import scalars as S
@@ -143,3 +143,126 @@ def environment(spark: SparkSession) -> dict[str, str]:
     import pyarrow
 
     return {"python": sys.version.split()[0], "platform": platform.platform(), "spark": spark.version, "numpy": numpy.__version__, "pandas": pandas.__version__, "pyarrow": pyarrow.__version__}
+
+
+# --- quality of the indicator and master tables -----------------------------------------------
+
+
+def _checks(table: DataFrame, rows: list[tuple]) -> DataFrame:
+    """(metric, value, text, status) of a one-row table: rows of (metric, number or text column, passes, status where it does not)."""
+
+    def of(name: str, v: Column, ok: Column, bad: str, is_text: bool) -> Column:
+        number, text = (F.lit(None), v) if is_text else (v, F.lit(None))
+        return F.struct(F.lit(name).alias("metric"), number.cast("double").alias("value"), text.cast("string").alias("text"), F.when(F.coalesce(ok, F.lit(False)), "pass").otherwise(bad).alias("status"))
+
+    return table.select(F.explode(F.array(*(of(*r) for r in rows))).alias("r")).select("r.*")
+
+
+def indicator_qa(indicators: DataFrame, manifest: DataFrame, log: DataFrame, expected: DataFrame, expected_files: int, expected_areas: int, tolerance: float = 1e-6, key: str = "area") -> DataFrame:
+    """(metric, value, text, status): the 26 checks of the indicator table, of the manifest (date, valid, exists, movement_modality) and of
+    the daily log (date, duplicate_od_records, missing_values, negative_users, negative_signals, reconciliation_abs_diff, cache_status,
+    total_users).  expected: day.  Three aggregates of one row each, and the missing days."""
+    c, zero = F.col, lambda x: F.coalesce(x, F.lit(0))
+    valid, there = S.truthy(c("valid")), S.truthy(c("exists"))
+    m = manifest.agg(
+        F.count_if(valid).alias("files"), F.count_if(there & ~valid).alias("excluded"), F.array_join(F.sort_array(F.collect_set(F.when(valid, c("movement_modality")))), "|").alias("modalities"),
+        (F.count_if(valid) - F.count_distinct(F.when(valid, c("date")))).alias("twice"),
+    )
+    seen = manifest.where(valid).select(F.to_date("date").alias("day")).distinct()
+    gone = expected.select("day").join(seen, "day", "left_anti").agg(F.array_join(F.sort_array(F.collect_list(F.date_format("day", "yyyy-MM-dd"))), "|").alias("missing"))
+    d = log.agg(
+        F.count("*").alias("days"), *(zero(F.sum(x)).alias(x) for x in ("duplicate_od_records", "missing_values", "negative_users", "negative_signals")), F.max("reconciliation_abs_diff").alias("reconciliation"),
+        F.count_if(c("cache_status") == "cached").alias("cached"), F.count_if(c("cache_status") == "processed").alias("processed"), F.max("total_users").alias("most_users"), F.min("total_users").alias("least_users"),
+    )
+    i = indicators.agg(
+        F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), F.count_if(c("mobility_inflow_total") < 0).alias("negative_in"), F.count_if(c("mobility_outflow_total") < 0).alias("negative_out"), F.min("flow_entropy").alias("entropy"),
+        F.count_if("weekday_weekend_zero_denominator").alias("zero_wwr"), F.max("mobility_inflow_total").alias("most_in"), F.min("mobility_inflow_total").alias("least_in"),
+        S.safe_ratio(F.sum("other_origin_flow"), F.sum("mobility_inflow_total")).alias("other_share"), S.safe_ratio(F.sum("entropy_denominator"), F.sum("mobility_inflow_total")).alias("valid_share"),
+    )
+    one = m.crossJoin(F.broadcast(gone)).crossJoin(F.broadcast(d)).crossJoin(F.broadcast(i))  # four single rows
+    yes = F.lit(True)
+    # The names of the checks, their order and what they mean when they do not hold.
+    return _checks(one, [
+        ("valid_source_file_count", c("files"), c("files") == expected_files, "warn", False),
+        ("missing_dates", c("missing"), c("missing") == "", "warn", True),
+        ("excluded_file_count", c("excluded"), yes, "pass", False),
+        ("movement_modality_values_valid_files", c("modalities"), yes, "pass", True),
+        ("duplicated_valid_dates", c("twice"), c("twice") == 0, "fail", False),
+        ("daily_duplicate_od_rows_total", c("duplicate_od_records"), c("duplicate_od_records") == 0, "warn", False),
+        ("daily_missing_values_total", c("missing_values"), c("missing_values") == 0, "fail", False),
+        ("daily_negative_users_total", c("negative_users"), c("negative_users") == 0, "fail", False),
+        ("daily_negative_signals_total", c("negative_signals"), c("negative_signals") == 0, "fail", False),
+        ("max_daily_aggregation_reconciliation_abs_diff", c("reconciliation"), c("reconciliation") <= tolerance, "fail", False),
+        ("output_lsoa_rows", c("rows"), c("rows") == expected_areas, "fail", False),
+        ("unique_lsoa_codes", c("keys"), c("keys") == expected_areas, "fail", False),
+        ("duplicate_lsoa_codes", c("rows") - c("keys"), c("rows") == c("keys"), "fail", False),
+        ("negative_inflow_rows", c("negative_in"), yes, "pass", False),
+        ("negative_outflow_rows", c("negative_out"), yes, "pass", False),
+        ("entropy_min", c("entropy"), c("entropy") >= -1e-9, "fail", False),
+        ("zero_wwr_denominator_rows", c("zero_wwr"), yes, "pass", False),
+        ("processed_date_count", c("days"), c("days") == expected_files, "fail", False),
+        ("cached_day_count", c("cached"), yes, "pass", False),
+        ("newly_processed_day_count", c("processed"), yes, "pass", False),
+        ("max_daily_users_after_destination_filter", c("most_users"), yes, "pass", False),
+        ("min_daily_users_after_destination_filter", c("least_users"), yes, "pass", False),
+        ("max_mobility_inflow_total", c("most_in"), yes, "pass", False),
+        ("min_mobility_inflow_total", c("least_in"), yes, "pass", False),
+        ("other_origin_flow_share_total", c("other_share"), yes, "pass", False),
+        ("valid_origin_flow_share_total", c("valid_share"), yes, "pass", False),
+    ])
+
+
+# Columns of the master table that must not be negative, and quotients that must agree (check, column, numerator, denominator).
+NON_NEGATIVE = (
+    "mobility_inflow_total", "mobility_inflow_mean_daily", "flow_entropy", "weekday_inflow_total", "weekend_inflow_total", "unique_origins", "amenity_poi_count", "retail_poi_count", "amenity_poi_density_km2",
+    "retail_poi_density_km2", "population_density_km2", "employees_count",
+)
+RATIOS = (
+    ("mobility_inflow_mean_daily_equals_total_div_31", "mobility_inflow_mean_daily", "mobility_inflow_total", "mobility_expected_days"),
+    ("weekday_inflow_mean_daily_equals_total_div_weekdays", "weekday_inflow_mean_daily", "weekday_inflow_total", "mobility_weekday_count"),
+    ("weekend_inflow_mean_daily_equals_total_div_weekends", "weekend_inflow_mean_daily", "weekend_inflow_total", "mobility_weekend_count"),
+    ("weekday_weekend_ratio_equals_weekday_over_weekend", "weekday_weekend_ratio", "weekday_inflow_mean_daily", "weekend_inflow_mean_daily"),
+    ("population_density_km2_equals_population_over_area", "population_density_km2", "population", "area_km2"),
+)
+
+
+def master_qa(master: DataFrame, key: str, pattern: str, expected_rows: int, variables: list[str], ring: str | None = None, tolerance: float = 1e-6, final: str = "final_complete") -> DataFrame:
+    """(metric, value, text, status) of a master table, from one aggregate: key and geometry checks, 14 logical checks (value 1 if they hold
+    on every row) and 5 relationships (the largest difference, within the tolerance)."""
+    c = F.col
+    quality.require_columns(master, [key, *NON_NEGATIVE, *variables, "weekday_weekend_ratio", "mobility_coverage_status"])
+    none = F.lit(True)
+    for v in variables:
+        none = none & c(v).isNull()
+    holds = {f"{v}_nonnegative": c(v) >= 0 for v in NON_NEGATIVE}
+    holds |= {"weekday_weekend_ratio_finite": S.finite(c("weekday_weekend_ratio")).isNotNull(), "mobility_coverage_status_final": c("mobility_coverage_status") == final}
+    code = c(key).cast("string")
+    shape = [F.count(ring).alias("geometries"), F.count_if(~spatial.ring_is_valid(c(ring))).alias("invalid"), F.count_if(spatial.ring_is_empty(c(ring))).alias("empty")] if ring else []
+    one = master.agg(
+        F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), (F.count(key) - F.count_distinct(key)).alias("repeated"), F.count_if(c(key).isNull()).alias("without"), F.count_if(S.matches(code, pattern)).alias("format"), F.count_if(none).alias("unmatched"), *shape,
+        *(F.count_if(~F.coalesce(x, F.lit(False))).alias(f"_{n}") for n, x in holds.items()), *(F.max(F.abs(c(a) - S.safe_ratio(c(b), c(d)))).alias(f"_{n}") for n, a, b, d in RATIOS),
+    )
+    yes = F.lit(True)
+    rows = [
+        ("output_row_count", c("rows"), c("rows") == expected_rows, "fail", False), ("unique_keys", c("keys"), c("keys") == expected_rows, "fail", False), ("duplicate_keys", c("repeated"), yes, "pass", False), ("missing_keys", c("without"), yes, "pass", False),
+        ("valid_key_format_count", c("format"), c("format") == expected_rows, "fail", False), ("unmatched_areas", c("unmatched"), yes, "pass", False),
+    ]
+    if ring:
+        rows += [("geometry_count", c("geometries"), c("geometries") == expected_rows, "fail", False), ("invalid_geometry_count", c("invalid"), c("invalid") == 0, "fail", False), ("empty_geometry_count", c("empty"), c("empty") == 0, "fail", False)]
+    rows += [(n, (c(f"_{n}") == 0).cast("int"), c(f"_{n}") == 0, "fail", False) for n in holds]
+    rows += [(n, c(f"_{n}"), c(f"_{n}") <= tolerance, "fail", False) for n, *_ in RATIOS]
+    return _checks(one, rows)
+
+
+def daily_cache_qa(daily: DataFrame, areas: int) -> DataFrame:
+    """Per day of the destination partials: rows, destinations, users, destinations that are missing."""
+    g = daily.groupBy("day", "is_weekend").agg(F.count("*").alias("rows"), F.count_distinct("dest").alias("destinations"), F.sum("users").alias("users"))
+    return g.withColumn("missing_destinations", F.lit(areas) - F.col("destinations"))
+
+
+def weekend_days(daily: DataFrame, expected: int = 9) -> list[str]:
+    """The weekend days of a cache; another number than expected is an error."""
+    days = [str(r["day"]) for r in daily.where("is_weekend").select("day").distinct().orderBy("day").limit(expected + 1).collect()]
+    if len(days) != expected:
+        raise ValueError(f"{len(days)} or more weekend days ({', '.join(days)}), {expected} expected")
+    return days

@@ -72,7 +72,7 @@ def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FRAME = """frame AS (SELECT l_suppkey AS area, ln(1 + sum(l_extendedprice * (1 - l_discount))) AS log_revenue, avg(l_quantity) AS quantity, avg(l_discount) * 100 AS discount, avg(l_tax) * 100 AS tax,
-  avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) * 10 AS returns, count(*)::DOUBLE AS lines, (l_suppkey - 1) % 10 AS x, (l_suppkey - 1) // 10 AS y FROM lineitem GROUP BY l_suppkey)"""
+  avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) * 10 AS returns, count(*)::DOUBLE AS lines, (l_suppkey - 1) % 10 AS x, floor((l_suppkey - 1) / 10)::BIGINT AS y FROM lineitem GROUP BY l_suppkey)"""
 PREDICTORS = ["quantity", "discount", "tax", "returns", "lines"]
 
 

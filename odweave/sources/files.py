@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +16,8 @@ FLOW_SCHEMA = T.StructType([
     T.StructField("EXTRAPOLATED_NUMBER_OF_USERS", T.DoubleType()), T.StructField("EXTRAPOLATED_NUMBER_OF_SIGNALS", T.DoubleType()),
 ])
 
-#: (pattern with the date as its group, type, used, why not), the first match counts.
+#: (pattern with the date as its group, type, used, why not), the first match counts.  The type of tables of another form
+#: (unexpected_tsv) and of any other file (other) are this engine's own names.
 FILE_KINDS = (
     (r"^Audience_Profiles_Destination_(\d{4}-\d{2}-\d{2})_loco_all_tracks\.tsv$", "daily_loco_all_tracks", True, ""),
     (r"^Audience_Profiles_Destination_(\d{4}-\d{2}-\d{2})_loco_all_tracks_0-24\.tsv$", "hourly_0_24", False, "excluded_hourly_0_24"),
@@ -110,6 +112,50 @@ def exactly_one(spark: SparkSession, pattern: str) -> str:
     return found[0]
 
 
+def read_csv(spark: SparkSession, path: str, key: str | None = None, schema: str | None = None) -> DataFrame:
+    """A CSV with a header line; types are inferred unless a schema is given; the key, which stays text, is trimmed."""
+    reader = spark.read.option("header", True)
+    if schema:
+        t = reader.schema(schema).csv(path)
+    else:
+        t = reader.option("inferSchema", True).csv(path)
+        if key and dict(t.dtypes)[key] != "string":  # a key with leading zeros is text
+            names = ", ".join(f"`{c}` {'string' if c == key else kind}" for c, kind in t.dtypes)
+            t = reader.schema(names).csv(path)
+    return t.withColumn(key, S.standard_key(F.col(key))) if key else t
+
+
+#: The lookup of cells: its columns when there is none yet.
+CELL_LOOKUP = "h3_code string, is_valid_h3 boolean, h3_resolution int, lat double, lon double, lsoa21cd string, in_london boolean"
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str = CELL_LOOKUP) -> DataFrame:
+    """A stored table, or an empty one of the given columns where there is none."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_partitions(spark: SparkSession, pattern: str, schema: str | None = None) -> DataFrame:
+    """All Parquet files that match a glob such as ``cache/date=*/destination*.parquet``, with the day of their folder."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(pattern).withColumn("date", F.regexp_extract(F.col("_metadata.file_path"), r"date=([^/]+)/", 1))
+
+
+def content_signature(spark: SparkSession, path: str) -> DataFrame:
+    """(path, signature): SHA-256 of each file's bytes, on the executors."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("signature"))
+
+
+def same_bytes(spark: SparkSession, a: str, b: str) -> bool:
+    """Whether two files (such as a table and its published copy) are equal byte by byte."""
+    found = [r["signature"] for p in (a, b) for r in content_signature(spark, p).collect()]
+    return len(found) == 2 and found[0] == found[1]
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
@@ -127,7 +173,7 @@ def read_daily(spark: SparkSession, path: str, days: list[str], schema: T.Struct
     reader = spark.read.schema(schema) if schema else spark.read
     try:
         return reader.parquet(path).where(F.col("date").isin(days))
-    except Exception as e:
+    except AnalysisException as e:
         if schema is None or "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from odweave.functions import distributions as D
 from odweave.operators import learning, spatial
@@ -90,7 +91,8 @@ def test_log_determinant_series(frame, monkeypatch):
     exact = R.log_determinant(w, 100)
     assert exact(0.5) == pytest.approx(np.linalg.slogdet(np.eye(100) - 0.5 * weights_matrix())[1])
     monkeypatch.setattr(R, "EXACT_EIGENVALUES", 10)
-    assert R.log_determinant(w, 100, order=4, probes=64)(0.2) == pytest.approx(exact(0.2), abs=0.25)
+    series = R.log_determinant(w, 100, order=4, probes=64)
+    assert series(0.2) == pytest.approx(exact(0.2), abs=0.25) and abs(series(0.2) - exact(0.2)) <= series.error(0.2) and exact.error(0.2) == 0
 
 
 def test_path_graph_models_converge(spark):
@@ -146,11 +148,86 @@ def test_shapes_are_those_of_shap_values(spark):
 
 
 def test_shape_of_a_step_is_a_threshold(spark):
-    from odweave.operators import stats
+    from odweave.operators import shapes
 
     df = spark.createDataFrame([(float(i), -0.5 - 0.01 * (i % 7) if i < 200 else 0.5 + 0.01 * (i % 5)) for i in range(400)], "f double, s double")
-    r = stats.shape_row(df, "f", "s")
-    assert r[1] == "threshold" and r[2] == 400 and r[4] < 1e-6
+    r = shapes.shape_table(df, {"f": "s"}).first()
+    assert r["shape"] == "threshold" and r["n"] == 400 and r["pearson_p"] < 1e-6
+
+
+def test_shapes_by_both_rule_tables(spark):
+    """Known curves, side by side as features of one table."""
+    from odweave.operators import shapes
+
+    x = np.arange(600) / 600
+    curves = {"flat": 0.01 * x, "line": 2 * x - 3, "wave": np.sin(14 * x), "bend": -1 / (x + 0.05), "fades": np.minimum(x, 0.35) * 3 - 3, "constant": 0 * x}
+    noise = np.random.default_rng(1).normal(size=600) * 0.8
+    curves["noisy"] = 2 * x - 8 + noise
+    rows = [(float(x[i]), *(float(c[i]) for c in curves.values())) for i in range(600)]
+    df = spark.createDataFrame(rows, "x double, " + ", ".join(f"{k} double" for k in curves))
+    for c in curves:
+        df = df.withColumn(f"x_{c}", F.col("x"))
+    long = {r["feature"][2:]: r for r in shapes.shape_table(df, {f"x_{c}": c for c in curves}).collect()}
+    assert [long[k]["shape"] for k in ("flat", "line", "wave", "bend", "constant")] == ["weak / unclear", "monotonic nonlinear", "weak / unclear", "monotonic nonlinear", "weak / unclear"]
+    assert long["noisy"]["shape"] in ("approximately linear", "non-monotonic") and long["constant"]["pearson"] is None
+    assert long["line"]["spearman"] == pytest.approx(1.0) and long["noisy"]["pearson"] == pytest.approx(np.corrcoef(x, curves["noisy"])[0, 1])
+    short = {r["feature"][2:]: r["shape"] for r in shapes.shape_table(df, {f"x_{c}": c for c in curves}, rules=shapes.SHORT_RULES).collect()}
+    assert short["noisy"] == "approximately linear" and short["line"] == "monotonic nonlinear"
+
+
+def test_folds_are_the_best_of_many_starts(spark):
+    r = np.random.default_rng(2)
+    centres = np.array([[0, 0], [10, 0], [0, 10], [10, 10], [5, 5]], float)
+    points = np.concatenate([c + r.normal(size=(30, 2)) for c in centres])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "area long, x double, y double")
+    fold = {q["area"]: q["fold"] for q in learning.kmeans_folds(df, 5, 20).collect()}
+    groups = [{fold[i] for i in range(30 * k, 30 * k + 30)} for k in range(5)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 5 and fold[0] == 0 and groups[3] == {4}
+
+
+def test_permutation_importance_is_one_program(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(80, 2))
+    df = spark.createDataFrame([(i, float(a), float(b), float(3 * a)) for i, (a, b) in enumerate(x)], "area long, a double, b double, y double")
+    m = learning.fit_model(learning.assembled(df, ["a", "b"]), learning.boosted_trees(5), "y")
+    t = {q["feature"]: q for q in learning.permutation_importance(m, df, ["a", "b"], "y", "area", 4).collect()}
+    assert t["a"]["rank"] == 1 and t["a"]["mean"] > 0.5 and abs(t["b"]["mean"]) < 0.05
+    import hashlib
+
+    pred = lambda d: np.array([q["_p"] for q in m.transform(learning.assembled(d, ["a", "b"])).orderBy("area").collect()])
+    y, r2 = 3 * x[:, 0], lambda p: 1 - ((3 * x[:, 0] - p) ** 2).sum() / ((3 * x[:, 0] - (3 * x[:, 0]).mean()) ** 2).sum()
+    drops = []
+    for k in range(4):
+        order = sorted(range(80), key=lambda i: (hashlib.md5(f"{i}-a-{k}".encode()).hexdigest(), i))
+        mixed = spark.createDataFrame([(i, float(x[order[i], 0]), float(x[i, 1]), float(y[i])) for i in range(80)], "area long, a double, b double, y double")
+        drops.append(r2(pred(df)) - r2(pred(mixed)))
+    assert t["a"]["mean"] == pytest.approx(np.mean(drops)) and t["a"]["sd"] == pytest.approx(np.std(drops))
+
+
+def test_ranks_and_adjusted_p_values_by_ranges(spark):
+    from odweave.operators import stats
+
+    r = np.random.default_rng(6)
+    p = np.round(r.uniform(size=500), 2)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)] + [(500, None)], "k long, p double")
+    got = {q["k"]: q["r"] for q in stats.average_rank(df, "p", "r").collect()}
+    assert got[500] is None and all(got[i] == (p < v).sum() + ((p == v).sum() + 1) / 2 for i, v in enumerate(p))
+    adjusted = {q["k"]: q["p_adjusted"] for q in stats.bh_adjust(df.where("k < 500"), "p", "k", piece=64).collect()}
+    order = sorted(range(500), key=lambda i: (p[i], i))
+    low = 1.0
+    for n in range(500, 0, -1):
+        low = min(low, p[order[n - 1]] * 500 / n)
+        assert adjusted[order[n - 1]] == pytest.approx(low)
+
+
+def test_held_out_comparison(frame):
+    df, _, _ = frame
+    t, fitted = learning.compare_held_out(learning.strip_folds(df), ["a", "b"], "t", {"small": learning.boosted_trees(2), "forest": learning.random_forest(3, 3)})
+    rows = {q["model"]: q for q in t.collect()}
+    assert set(fitted) == {"small", "forest"} and rows["OLS"]["cv_r2"] is None and rows["OLS"]["best"] is None
+    assert rows["OLS"]["n_test"] == 20 and sum(bool(q["best"]) for q in rows.values()) == 1
+    top = max(("small", "forest"), key=lambda k: rows[k]["test_r2"])
+    assert rows[top]["best"]
 
 
 def test_permutation_queries_run_999(spark):
