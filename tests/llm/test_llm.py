@@ -96,6 +96,25 @@ def test_pii_model_adds_disguised_and_keeps_clean():
     assert [k for k, _, _ in m.added(t, pii.base_spans(t))] == ["email"]
 
 
+def test_pii_takes_neighbours_apart_and_leaves_overlaps():
+    """Overlapping candidates, ties, many spans in one text, in time that grows with the text."""
+    r = np.random.default_rng(0)
+    rows = []
+    for i in range(500):
+        n = "".join(str(x) for x in r.integers(0, 10, 7))
+        rows += list(pii.labelled(f"please call +1 (58{n[0]}) 555-{n[1:5]} or mail ab{i}@mail{n[5]}.example.com on 2024-05-{n[5]}1 at {n[:2]}.{n[2:4]} for {n[:3]} {n[3:6]}", i))
+    m = pii.Model(np.array([f for f, _ in rows]), np.array([y for _, y in rows]), 0.98)
+    t = "call 582-555-1234 582-555-9876 now"
+    assert sorted(t[a:b] for k, a, b in m.added(t, pii.base_spans(t)) if k == "phone") == ["582-555-1234", "582-555-9876"]
+    many = "call 582-555-1234, " * 3000
+    got = m.added(many, pii.base_spans(many))
+    assert len(got) == 3000 and m.added(many, pii.base_spans(many)) == got
+    spans = sorted((a, b) for _, a, b in got)
+    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+    taken = pii.Taken([(5, 9), (7, 12), (20, 30)])
+    assert [taken.free(*s) for s in ((0, 5), (0, 6), (12, 20), (11, 13), (29, 40), (30, 31))] == [True, False, True, False, False, True]
+
+
 # --- 2 and 4 ---------------------------------------------------------------------------------
 
 
@@ -112,6 +131,37 @@ def test_langid(spark, odd, duck):
     assert langid.keep_identified(odd).columns == odd.columns
 
 
+def test_language_stage_rejects_junk_and_keeps_clean_text(spark):
+    d = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet")
+    model = langid.fit(d)
+    kept = langid.keep_identified(d, model).count()
+    assert d.count() - kept <= 10  # texts without a letter among them
+    r = np.random.default_rng(1)
+    junk = ["".join(chr(c) for c in r.integers(33, 127, 400)) for _ in range(60)] + ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz   "), 400)) for _ in range(60)]
+    junk += [" ".join(str(v) for v in r.integers(0, 99999, 60)) for _ in range(20)] + ["日本語の文章です。" * 20, "Это русский текст о погоде. " * 8, "0x3fa9 = {foo: bar[12]; return x->y;} " * 10]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(junk)], "doc_id long, text string")
+    assert langid.keep_identified(t, model).count() <= 3
+
+
+def test_language_of_the_nearest_centroid(spark, docs):
+    """The prediction is the language of the largest cosine, by a plain loop over centroids."""
+    import pyarrow as pa
+
+    model = langid.fit(docs)
+    some = docs.where("text IS NOT NULL").orderBy("doc_id").limit(60).collect()
+    langs, scores, _ = model.predict(pa.array([r["text"] for r in some], pa.large_string()))
+    for r, lang, score in zip(some, langs, scores, strict=True):
+        counts = np.zeros(langid.DIM)
+        for _, _, c, _ in langid.vectors(pa.array([r["text"]], pa.large_string())):
+            counts = c[0].astype(float)
+        v = np.log1p(counts) * model.idf
+        v = v / (np.linalg.norm(v) or 1)
+        cos = [float(v @ c) for c in model.centroids]
+        best = int(np.argmax(cos))
+        if lang != "und":
+            assert lang == model.names[model.owner[best]] and score == pytest.approx(cos[best], abs=1e-4)
+
+
 def test_toxicity(spark, odd):
     sf = SF.replace("0.001", "0.1")
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -122,6 +172,20 @@ def test_toxicity(spark, odd):
     none = labels.limit(0)
     assert all(r["predicted"] == 0 for r in toxicity.held_out_scores(odd, none).collect())
     assert toxicity.held_out_scores(odd.limit(0), labels).count() == 0
+    for toxic in (0, 1):
+        one = spark.createDataFrame([(i, toxic) for i in range(1, 12)] + [(None, 1 - toxic)], "doc_id long, toxic int")
+        assert {r["predicted"] for r in toxicity.held_out_scores(odd, one).collect()} == {toxic}
+
+
+def test_restoring_takes_linear_time():
+    import time
+
+    r = toxicity.Restorer(toxicity.CharModel(np.ones((27, 27, 27))))
+    for t in ("ab" * 100_000 + "aaa", '"' * 100_000 + "a$b", "\"'(" * 40_000 + "x@y", "a * b * c " * 20_000, "a.b." * 50_000):
+        began = time.time()
+        r.restore(t)
+        assert time.time() - began < 5
+    assert r.restore("* * * * 1 0 1") == "* * * * 1 0 1"
 
 
 def test_deobfuscation():
@@ -188,6 +252,51 @@ def test_model_is_a_distribution(docs, texts):
     assert np.allclose(w.sum(1), 1) and w[0, 0] == 0 and (w > 0)[1:].all()
 
 
+def test_scores_by_plain_counting(spark, docs):
+    """Every score by dictionaries of counts and the learned weights; the weights against expectation-maximisation on single events."""
+    some = docs.orderBy("doc_id").limit(120)
+    counted = deleted_interpolation.count(some)
+    w = counted.weights
+    texts = {r["doc_id"]: [*WORD.findall(lower(r["text"])), "</s>"] for r in some.collect()}
+    fold = lambda i, n: zlib.crc32(str(i).encode()) % n
+    learn = {i for i in texts if fold(i, 7) != 2}
+    gone = {i for i in learn if fold(i, 56) // 7 == 3}
+
+    def counts(ids):
+        c, two, before = collections.Counter(), collections.Counter(), collections.Counter()
+        for i in ids:
+            c.update(texts[i])
+            pairs = list(zip(["<s>", *texts[i][:-1]], texts[i], strict=True))
+            two.update(pairs)
+            before.update(v for v, _ in pairs)
+        return c, two, before
+
+    bucket = lambda n: 0 if n == 0 else min(1 + int(math.log2(n)), 25)
+    c, two, before = counts(learn)
+    n, v = sum(c.values()), len(c)
+    for r in deleted_interpolation.scores(counted).collect():
+        want = 0.0
+        for a, b in zip(["<s>", *texts[r["doc_id"]][:-1]], texts[r["doc_id"]], strict=True):
+            l2, l1, l0 = w[bucket(before[a])]
+            want += math.log10(l2 * two[a, b] / max(before[a], 1) + l1 * c[b] / n + l0 / (v + 1))
+        assert r["score"] == pytest.approx(want, rel=1e-9)
+    for a in list(before)[:5]:  # a distribution over the vocabulary and one unknown token
+        l2, l1, l0 = w[bucket(before[a])]
+        assert sum(l2 * two[a, b] / before[a] + l1 * c[b] / n + l0 / (v + 1) for b in c) + l0 / (v + 1) == pytest.approx(1.0)
+    kept, kept2, kept_before = counts(learn - gone)
+    events = [(kept_before[a], kept2[a, b], kept[b]) for i in gone for a, b in zip(["<s>", *texts[i][:-1]], texts[i], strict=True)]
+    p = np.array([[e[1] / max(e[0], 1), e[2] / sum(kept.values()), 1 / (v + 1)] for e in events])
+    own = np.array([bucket(e[0]) for e in events])
+    gain = lambda x: np.log((p * x[own]).sum(1)).sum()
+    assert len(events) > 50 and gain(w) >= gain(np.tile([1 / 3, 1 / 3, 1 / 3], (26, 1))) and gain(w) >= gain(np.tile(w[1:].mean(0), (26, 1))) - 0.02 * len(events)
+
+
+def test_scores_without_learning_documents(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    rows = deleted_interpolation.score(spark.createDataFrame([(i, "a b c") for i in held], "doc_id long, text string")).collect()
+    assert len(rows) == 3 and all(r["score"] == 0 and r["base_score"] == 0 and r["n_known"] == 0 and r["train_tokens"] == 0 for r in rows)
+
+
 def test_em_raises_held_out_likelihood():
     r = np.random.default_rng(1)
     classes = (r.integers(1, 10, 300) * 512 + r.integers(0, 60, 300)) * 512 + r.integers(1, 80, 300)
@@ -260,6 +369,26 @@ def test_signatures_lose_no_pair():
             assert set(s[o == 0].tolist()) & set(s[o == 1].tolist())
 
 
+def test_join_of_large_groups(spark, monkeypatch):
+    """One hub of near copies of which most are not linked with the first, and copies of one text, in several blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "GROUP", 16)
+    r = np.random.default_rng(3)
+    base = [f"h{i}" for i in range(100)]
+    texts = {}
+    for i in range(70):
+        w = list(base)
+        for j in r.choice(100, int(r.integers(0, 4)), replace=False):
+            w[j] = f"y{r.integers(10_000)}"
+        texts[i] = " ".join(w)
+    texts |= {100 + i: " ".join(base) for i in range(40)} | {200 + i: " ".join(base[:60]) + f" tail{i}" for i in range(5)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {q["doc_id"]: (q["n_shingles"], q["component_id"]) for q in ngram_join.groups(df).collect()}
+    assert got == brute_groups(texts, 4, 85)
+    with pytest.raises(ValueError):
+        ngram_join.groups(df, percent=40)
+
+
 def test_join_odd_rows(odd):
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.groups(odd).collect()}
     assert got[5] == 4 and got[9] == 8 and got[None] == 8 and got[7] == 6 and got[1] == 1 and got[3] == 3
@@ -326,6 +455,9 @@ def test_exact(spark, duck, odd):
     assert (o[1]["keep_id"], o[1]["group_size"], o[2]["kept"], o[4]["keep_id"], o[7]["group_size"], o[None]["kept"]) == (2, 2, True, 5, 2, True)
     kept = exact_dedup.exact_dedup(odd)
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [2, 3, 5, 6, 7, 8, 9, 10, 11, None]))
+    clash = odd.select("doc_id", "text", *(F.col("source").alias(c) for c in ("kept", "keep_id", "group_size", "text_sha256", "bucket", "slot", "n")))
+    again = exact_dedup.exact_dedup(clash)
+    assert again.columns == clash.columns and sorted(map(str, again.collect())) == sorted(map(str, {r for r in clash.collect() if str(r["doc_id"]) in "2 3 5 6 7 8 9 10 11 None".split()}))
     assert exact_dedup.annotate(odd.limit(0)).count() == 0
     assert exact_dedup.annotate(odd, max_bits=1 << 15).where("group_size > 1").count() == 6
 
@@ -353,6 +485,44 @@ def test_neighbours(spark):
     assert neighbours.search(odd.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_in_many_blocks(spark):
+    """Recall of one block and of 20 blocks of rows with 4 of queries; the order within a block is Spearman's footrule."""
+    v = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/embeddings.parquet")
+    rows = v.collect()
+    x, ids = np.array([r["embedding"] for r in rows], float), np.array([r["vec_id"] for r in rows])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for blocks, queries_a_block in ((1, 256), (20, 10)):
+        got = collections.defaultdict(set)
+        for r in neighbours.search(v, F.col("vec_id") % 50 == 0, block_rows=-(-len(rows) // blocks), block_queries=queries_a_block).collect():
+            got[r["query_id"]].add(r["vec_id"])
+        hits = 0
+        for at in np.flatnonzero(ids % 50 == 0):
+            s = u @ u[at]
+            s[at] = -2
+            hits += len(set(ids[np.lexsort((ids, -s))[:5]].tolist()) & got[ids[at]])
+        assert hits / (5 * len(got)) >= 0.9 and len(got) == 40
+    block = neighbours.Block(u, neighbours.spread_pivots(u[:600], 64), 32)
+    perm = neighbours.permutations(u[:1], block.pivots, block.k)[0]
+    rank = np.full(len(block.pivots), block.k)
+    rank[perm] = np.arange(block.k)
+    all_ = neighbours.permutations(u, block.pivots, block.k)
+    distance = []
+    for p in all_:  # Spearman's footrule over both prefixes, pivots outside one counting as rank k
+        own = np.full(len(block.pivots), block.k)
+        own[p] = np.arange(block.k)
+        distance.append(int(np.abs(own - rank).sum()))
+    best = block.nearest(perm, 50)
+    order = np.lexsort((np.arange(len(u)), distance))[:50]
+    assert sorted(best.tolist()) == sorted(order.tolist())
+
+
+def test_neighbours_repeated_ids(spark):
+    """An id with several vectors is one candidate, by its nearest, and one query, by its least."""
+    v = spark.createDataFrame([(0, [1.0, 0.0], "a"), (0, [0.0, 1.0], "a"), (1, [1.0, 0.1], "b"), (1, [0.0, 2.0], "b"), (2, [1.0, 1.0], "c"), (2, [1.0, 1.0], "c")], "vec_id long, embedding array<float>, rank string")
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in neighbours.search(v, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, round(0.5**0.5, 6))]
+
+
 def test_neighbours_of_many_copies(spark):
     """A third of the rows hold one vector: more copies in a block than are compared exactly."""
     r = np.random.default_rng(5)
@@ -410,6 +580,13 @@ def test_fit_budget_is_optimal_enough(hist, budget):
     assert abs((l * t).sum() - budget) <= min(abs(r - budget) for r in reach)  # taking back may come nearer still
 
 
+def test_fit_budget_with_very_long_documents():
+    for hist, budget, far in (({5_000_000: 2, 3000: 50, 7: 9}, 5_021_000, 0), ({5_000_000: 2, 3000: 50, 7: 9}, 100_013, 950), ({4_000_000: 2, 3000: 50, 7: 9}, 100_013, 950), ({5_000_000: 1}, 4_900_000, 100_000), ({5_000_000: 1}, 2_400_000, 2_400_000)):
+        l, c = np.array(list(hist)), np.array(list(hist.values()))  # noqa: E741
+        t = mixing.fit_budget(l, c, budget)
+        assert (t >= 0).all() and (t <= c).all() and abs(int((l * t).sum()) - budget) == far
+
+
 # --- 10 and pipeline -------------------------------------------------------------------------
 
 
@@ -429,6 +606,30 @@ def test_pieces_equal_the_library(pieces, t):
     assert pieces.decode(ids, n)[0] == t.replace("▁", " ")
 
 
+def test_scores_decide_in_a_unigram_model():
+    """Against the best of all segmentations; of equal scores the longer last piece."""
+    import itertools
+
+    table = {"▁": -3.0, "a": -2.0, "b": -2.5, "c": -4.0, "ab": -3.9, "bc": -5.0, "abc": -7.1, "▁a": -3.5, "▁ab": -6.5, "cab": -6.0, "aa": -4.0}
+    p = sentencepiece_trie.Pieces(list(table), list(table.values()), {}, kind="unigram")
+
+    def best(w):
+        out = []
+        for cuts in itertools.product((0, 1), repeat=len(w) - 1):
+            at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(w)]
+            parts = [w[a:b] for a, b in zip(at, at[1:], strict=False)]
+            if all(x in table for x in parts):
+                out.append((sum(table[x] for x in parts), parts))
+        return max(out, key=lambda o: o[0])[0]
+
+    words = ["▁" + "".join(t) for n in range(1, 6) for t in itertools.product("abc", repeat=n)]
+    for w, ids in p.viterbi(words):
+        assert "".join(p.piece[i] for i in ids) == w and sum(table[p.piece[i]] for i in ids) == pytest.approx(best(w))
+    assert [p.piece[i] for i in dict(p.viterbi(["▁aa"]))["▁aa"]] == ["▁a", "a"] and dict(p.viterbi(["aa"]))["aa"] == [list(table).index("aa")]
+    with pytest.raises(ValueError):
+        sentencepiece_trie.Pieces(["a"], [0.0], {}, kind="word")
+
+
 def test_sentencepiece_query(spark, odd, texts):
     import sentencepiece
 
@@ -461,6 +662,9 @@ def test_pipeline(spark, odd, docs, texts):
             assert sorted(ids) == sorted({c for _, c in g.values()})
     out = P.run(spark, SF)
     assert out.count() == at.count() and out.where("round_trip").count() == out.count()
+    clash = odd.select(*docs.columns, *(F.lit(1).alias(c) for c in ("kept", "keep_id", "size", "target", "component_id", "text_sha256", "rejected")))
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, clash, SF).columns == clash.columns and stage(spark, clash, SF).count() >= 1
     for _, stage in P.STAGES:
         assert stage(spark, odd.select(*docs.columns), SF).count() >= 1
         assert stage(spark, odd.select(*docs.columns).limit(0), SF).count() == 0
