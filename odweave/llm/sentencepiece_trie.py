@@ -21,9 +21,11 @@ empty result; only doc_id and text are read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import itertools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +38,13 @@ MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a worker remembers between batches (bounded memory; never changes a result).
 REMEMBER = 100_000
+#: Pairs of neighbouring pieces that a worker remembers (bounded memory; never changes a result).
+MOST_PAIRS = 300_000
 #: Text that is encoded at a time.
 CHUNK_CHARS = 1_000_000
 
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-_UNKNOWN, _PAIR = -1, (2,)
+_UNKNOWN = -1
 _LOADED: dict[tuple[str, str], "Pieces"] = {}
 
 
@@ -67,12 +71,15 @@ class Pieces:
         # Pieces that their own encoding splits are never given; those left, by their last three characters.
         if self.constrained:
             self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [i]}
+        # (size, id, or None where the characters before decide) of the pieces that end in three characters, longer ones first
         ends: dict[str, set[int]] = {}
         for p in self.ids:
             if len(p) > 2:
-                ends.setdefault(p[-3:], {2}).add(len(p))
-        self.lengths = {e: tuple(sorted(v, reverse=True)) for e, v in ends.items()}
-        self.follows: dict[int, bool] = {}
+                ends.setdefault(p[-3:], set()).add(len(p))
+        self.pairs_of = {p: ((2, i),) for p, i in self.ids.items() if len(p) == 2}
+        self.lengths = {e: (*((n, self.ids[e] if n == 3 else None) for n in sorted(v, reverse=True)), *self.pairs_of.get(e[1:], ())) for e, v in ends.items()}
+        self.follows: defaultdict[int, dict[int, bool]] = defaultdict(dict)
+        self.pairs = 0
         self.known: dict[str, list[int]] = {}
         lens = np.array([len(b) for b in self.bytes], np.int64)
         self.len, self.off = lens, np.concatenate(([0], np.cumsum(lens)))[:-1]
@@ -103,15 +110,18 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def may_follow(self, a: int, b: int) -> bool:
-        """Whether pieces a and b, encoded together, stay as they are."""
-        if len(self.follows) > 300_000:
+        """Whether pieces a and b, encoded together, stay as they are; remembered for a bounded number of pairs."""
+        if self.pairs >= MOST_PAIRS:
             self.follows.clear()
-        return self.merge(self.piece[a] + self.piece[b]) == [a, b]
+            self.pairs = 0
+        self.pairs += 1
+        r = self.follows[a][b] = self.merge(self.piece[a] + self.piece[b]) == [a, b]
+        return r
 
     def viterbi(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of distinct words, in sorted order."""
-        ids, lengths, score, follows, constrained = self.ids.get, self.lengths.get, self.score, self.follows, self.constrained
         last, start, total = [_UNKNOWN], [0], [0.0]  # of the prefix of each length: last piece, where it starts, forward score
+        extend = self._only_path if self.constrained else self._best_path
         before = ""
         for w in sorted(words):
             n, k = len(w), 0
@@ -119,32 +129,7 @@ class Pieces:
             while k < top and w[k] == before[k]:
                 k += 1
             del last[k + 1 :], start[k + 1 :], total[k + 1 :]
-            for j in range(k + 1, n + 1):
-                best = top_score = None
-                for size in lengths(w[j - 3 : j], _PAIR) if j > 2 else _PAIR:  # longer ones first
-                    i = j - size
-                    if i < 0 or (t := ids(w[i:j])) is None:
-                        continue
-                    if constrained:
-                        a = last[i]
-                        if a >= 0:
-                            key = a << 20 | t
-                            if (r := follows.get(key)) is None:
-                                r = follows[key] = self.may_follow(a, t)
-                            if not r:
-                                continue
-                        best, from_, top_score = t, i, total[i] + score[t]
-                        break  # no other path survives
-                    if best is None or total[i] + score[t] > top_score:
-                        best, from_, top_score = t, i, total[i] + score[t]
-                if best is None or not constrained:  # the character's own piece
-                    t = ids(w[j - 1], _UNKNOWN)
-                    s = total[j - 1] + (score[t] if t >= 0 else self.unknown_score)
-                    if best is None or s > top_score:
-                        best, from_, top_score = t, j - 1, s
-                last.append(best)
-                start.append(from_)
-                total.append(top_score)
+            extend(w, k, last, start, total)
             out: list[int] = []
             j = n
             while j:
@@ -157,8 +142,57 @@ class Pieces:
             before = w
             yield w, out
 
+    def _best_path(self, w: str, known: int, last: list[int], start: list[int], total: list[float]) -> None:
+        """States of the prefixes of w longer than ``known``: the largest forward score."""
+        ids, score = self.ids.get, self.score
+        for j in range(known + 1, len(w) + 1):
+            best = top = None
+            for size, t in (j > 2 and self.lengths.get(w[j - 3 : j])) or self.pairs_of.get(w[j - 2 : j], ()) if j > 1 else ():
+                i = j - size
+                if i < 0 or t is None and (t := ids(w[i:j])) is None:
+                    continue
+                if best is None or total[i] + score[t] > top:
+                    best, at, top = t, i, total[i] + score[t]
+            t = ids(w[j - 1], _UNKNOWN)  # the character's own piece
+            own = total[j - 1] + (score[t] if t >= 0 else self.unknown_score)
+            if best is None or own > top:
+                best, at, top = t, j - 1, own
+            last.append(best)
+            start.append(at)
+            total.append(top)
+
+    def _only_path(self, w: str, known: int, last: list[int], start: list[int], total: list[float]) -> None:
+        """The same where pieces must stay as they are beside each other: at most one path survives, whatever its score."""
+        ids, lengths, pairs, follows = self.ids.get, self.lengths.get, self.pairs_of.get, self.follows
+        for j in range(known + 1, len(w) + 1):
+            for size, t in (j > 2 and lengths(w[j - 3 : j])) or pairs(w[j - 2 : j], ()) if j > 1 else ():
+                i = j - size
+                if i < 0 or t is None and (t := ids(w[i:j])) is None:
+                    continue
+                if (a := last[i]) >= 0:
+                    if (r := follows[a].get(t)) is None:
+                        r = self.may_follow(a, t)
+                    if not r:
+                        continue
+                last.append(t)
+                start.append(i)
+                break
+            else:
+                last.append(ids(w[j - 1], _UNKNOWN))
+                start.append(j - 1)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, one after the other; number of ids of each text)."""
+        """(ids of all texts, one after the other; number of ids of each text).  Millions of lists are made and no cycles, so Python's
+        cycle collector rests meanwhile."""
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         per, at, flat = [], {}, []
         for t in texts:
             per.append(_SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [])
