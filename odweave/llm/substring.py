@@ -5,9 +5,15 @@ with a smaller doc_id.
 
 Index.  Of the hashes of a window's runs of WINDOW // 2 + 1 words the least is its fingerprint: equal windows
 have equal fingerprints, and neighbouring windows mostly share theirs, so a text has about one fingerprint
-every 13 words.  A batch of documents becomes an immutable run of (fingerprint, doc_id), sorted by fingerprint; it is
-merge-joined with the runs of the documents before it, which gives the fingerprints that occur in several
-documents; runs of a level are compacted into one of the next.
+every 13 words.  A batch of documents becomes an immutable run of (fingerprint, doc_id), a table bucketed and sorted by
+fingerprint; it is merge-joined with the runs of the documents before it (no exchange: all runs have the same buckets),
+which gives the fingerprints that occur in several documents; runs of a level are compacted into one of the next.
+Rows of frequent fingerprints (under ``HOT_GROUPS`` a run) stay as they come, in a table beside it, so no bucket is hot.
+
+Increments.  An index with a path outlives its session: its runs also hold the window hashes of every fingerprint, so a
+new batch is judged by the runs alone, without the old texts.  Documents of batches before count as smaller
+whatever their doc_id.  ``dedup`` answers for a batch, ``commit`` publishes its runs in a new manifest; an aborted
+batch leaves the manifest before it, whose runs are deleted by the next commit only.
 
 Verification.  Windows whose fingerprint was hit are compared themselves: by 96 bits of two independent
 hashes of their words, over all documents, keeping the smallest doc_id of each.  Window hashes travel
@@ -24,12 +30,15 @@ other's words; an empty table gives an empty result; only doc_id and text are re
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odweave.llm.common import (
@@ -50,6 +59,7 @@ from odweave.llm.common import (
     parts_of,
     release,
     repeatable,
+    scratch_dir,
     squeeze,
     squeeze_sorted,
     stored,
@@ -62,6 +72,12 @@ WINDOW = 50
 MAX_BITS, BITS_PER_KEY = 1 << 27, 12
 #: Windows of a batch of the packed exchange, about, and of a bucket.
 BATCH_WINDOWS, BUCKET_WINDOWS = 500_000, 1_000_000
+#: A fingerprint with more than 1/HOT_GROUPS of a run's rows (and LEAST_HOT) is frequent; slots that counts are taken in first.
+HOT_GROUPS, LEAST_HOT, SLOTS = 1024, 1000, 1 << 16
+#: What stands for a document of an earlier batch: it sorts before every doc_id.
+EARLIER = np.iinfo(np.int64).min
+#: The 96 bits of a window.
+WINDOW_BITS = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -87,59 +103,230 @@ def window_prints(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[n
     return at, row[at], prints[at]
 
 
-def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(fp, doc_id): the distinct fingerprints of neighbouring windows of each document."""
+def window_bits(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes (64 and 32 bits) of the windows that start at the given words."""
+    return gram_hashes(words, window, _BASES[0])[at], (gram_hashes(mix(words), window, _BASES[1])[at] >> np.uint64(32)).astype(np.uint32)
+
+
+def fingerprints(docs: DataFrame, window: int = WINDOW, with_windows: bool = False) -> DataFrame:
+    """(fp, doc_id): the distinct fingerprints of neighbouring windows of each document; with_windows adds the hashes of
+    the neighbouring windows that share the fingerprint (WINDOW_BITS each)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             ids = ids_of(rb["doc_id"])
             for i, _, data, off in text_chunks(rb["text"]):
                 words, counts = word_hashes(data, off, lower=False)
-                _, row, fp = window_prints(words, counts, window)
+                at, row, fp = window_prints(words, counts, window)
                 if len(fp):
                     new = np.ones(len(fp), bool)
                     new[1:] = (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])
-                    yield pa.record_batch([pa.array(fp[new].view(np.int64)), pa.array(ids[i + row[new]])], ["fp", "doc_id"])
+                    out = [pa.array(fp[new].view(np.int64)), pa.array(ids[i + row[new]])]
+                    if with_windows:
+                        bits = np.empty(len(at), WINDOW_BITS)
+                        bits["a"], bits["b"] = window_bits(words, at, window)
+                        edge = np.append(np.flatnonzero(new), len(at)).astype(np.int32) * WINDOW_BITS.itemsize
+                        out.append(pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(edge), pa.py_buffer(bits)]))
+                    yield pa.record_batch(out, ["fp", "doc_id", "windows"][: len(out)])
 
-    return docs.select("doc_id", "text").mapInArrow(step, "fp long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(step, "fp long, doc_id long" + (", windows binary" if with_windows else ""))
 
 
 @dataclass
-class FingerprintIndex:
-    """Sorted immutable runs of (fp, doc_id), each with its level."""
+class Run:
+    """An immutable run: its number of rows, the folder of the rows sorted by fp in buckets, that of the rows of frequent fps, and
+    these fps (fewer than HOT_GROUPS)."""
 
-    runs: list[tuple[int, DataFrame]] = field(default_factory=list)
+    size: int
+    cold: str
+    hot: str | None
+    frequent: list[int]
+
+    def count(self) -> int:
+        return self.size
 
-    @staticmethod
-    def _run(rows: DataFrame, name: str) -> DataFrame:
-        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return stored(rows.repartition(n, "fp").sortWithinPartitions("fp"), name)
 
-    def compact(self) -> None:
+@contextmanager
+def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Scans of buckets with one file know their order, so merge joins of runs need no sort."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class FingerprintIndex:
+    """Runs with their levels, in the scratch folder or, where a path is given, in that folder with a manifest."""
+
+    def __init__(self, path: str | None = None, window: int = WINDOW):
+        self.path, self.window = path and path.rstrip("/"), window
+        self.runs: list[tuple[int, Run]] = []
+        self.buckets = self.serial = 0
+        self.stale: list[Run] = []
+        self._tables: dict[str, str] = {}
+
+    # --- storage
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, window: int = WINDOW) -> FingerprintIndex:
+        """The index of a folder at its last commit; an empty one where nothing was committed."""
+        index = cls(path, window)
+        versions = [int(p.getPath().getParent().getName().split("-")[1]) for p in index._fs(spark)[0].globStatus(index._hadoop(spark, f"{index.path}/manifest-*/_SUCCESS")) or ()]
+        if versions:
+            index.serial = max(versions)
+            m = json.loads(spark.read.text(f"{index.path}/manifest-{index.serial}").first()[0])
+            if m["window"] != window:
+                raise ValueError(f"the index has windows of {m['window']} words, not {window}")
+            index.buckets, index.runs = m["buckets"], [(k, Run(**r)) for k, r in m["runs"]]
+        return index
+
+    def commit(self, spark: SparkSession) -> None:
+        """Publishes the runs of the batches since the last commit, then deletes those that were compacted."""
+        if self.path:
+            m = json.dumps({"window": self.window, "buckets": self.buckets, "runs": [(k, asdict(r)) for k, r in self.runs]})
+            spark.createDataFrame([(m,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest-{self.serial}")
+        self._delete(spark, self.stale)
+        self.stale = []
+
+    def drop(self, spark: SparkSession) -> None:
+        """Deletes all runs."""
+        self._delete(spark, [*self.stale, *(r for _, r in self.runs)])
+        self.runs, self.stale = [], []
+
+    @staticmethod
+    def _hadoop(spark: SparkSession, path: str):  # noqa: ANN205
+        return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self, spark: SparkSession, path: str | None = None) -> tuple:
+        p = self._hadoop(spark, path or self.path)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _delete(self, spark: SparkSession, runs: list[Run]) -> None:
+        for folder in [f for r in runs for f in (r.cold, r.hot) if f]:
+            if folder in self._tables:
+                spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(folder)}")
+            fs, p = self._fs(spark, folder)
+            fs.delete(p, True)
+
+    def _cold(self, spark: SparkSession, run: Run) -> DataFrame:
+        """The sorted rows of a run, as a bucketed table of the session."""
+        if run.cold not in self._tables:
+            name = f"odweave_run_{uuid.uuid4().hex}"
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(run.cold).schema)
+            spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{run.cold}'")
+            self._tables[run.cold] = name
+        return spark.table(self._tables[run.cold])
+
+    def _rows(self, spark: SparkSession, run: Run) -> DataFrame:
+        cold = self._cold(spark, run)
+        return cold.unionByName(spark.read.schema(cold.schema).parquet(run.hot)) if run.hot else cold
+
+    def _run(self, rows: DataFrame) -> Run:
+        spark, size = rows.sparkSession, rows.count()
+        self.buckets = self.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        frequent = _frequent(rows, size)
+        name, root = f"odweave_run_{uuid.uuid4().hex}", self.path or f"{scratch_dir(spark)}/odweave"
+        run = Run(size, f"{root}/run-{name[-32:]}", f"{root}/hot-{name[-32:]}" if frequent else None, frequent)
+        hot = F.col("fp").isin(frequent)
+        cold = (rows.where(~hot) if frequent else rows).repartition(self.buckets, "fp").sortWithinPartitions("fp")
+        cold.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", run.cold).option("compression", "lz4").format("parquet").saveAsTable(name)
+        self._tables[run.cold] = name
+        if frequent:
+            rows.where(hot).write.option("compression", "lz4").parquet(run.hot)
+        return run
+
+    # --- the log-structured part
+
+    def compact(self, spark: SparkSession | None = None) -> None:
         """Merges runs of the same level until every level has one at most."""
+        spark = spark or SparkSession.getActiveSession()
         while True:
             levels = [k for k, _ in self.runs]
             twice = next((k for k in levels if levels.count(k) > 1), None)
             if twice is None:
                 return
             old = [r for k, r in self.runs if k == twice]
-            merged = old[0]
+            merged = self._rows(spark, old[0])
             for r in old[1:]:
-                merged = merged.unionByName(r)
-            self.runs = [(k, r) for k, r in self.runs if k != twice] + [(twice + 1, self._run(merged, "run"))]
-            release(*old)
+                merged = merged.unionByName(self._rows(spark, r))
+            self.runs = [(k, r) for k, r in self.runs if k != twice] + [(twice + 1, self._run(merged))]
+            if self.path:
+                self.stale += old  # the last manifest names them
+            else:
+                self._delete(spark, old)
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Adds a batch of (fp, doc_id) as a run.  Gives, stored, the fingerprints of the batch that another document,
         of the batch or of an earlier one, has too."""
-        self.compact()
-        new = self._run(batch, "run")
-        seen = new.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-        hits = seen.where("a != b").select("fp")
-        for _, run in self.runs:
-            hits = hits.unionByName(run.select("fp").join(new.select("fp"), "fp", "left_semi").distinct())
+        spark = batch.sparkSession
+        self.compact(spark)
+        new = self._run(batch)
+        cold = self._cold(spark, new).select("fp", "doc_id")
+        several = lambda rows: rows.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("fp")
+        hits = several(cold)
+        if new.hot:
+            hits = hits.unionByName(several(spark.read.parquet(new.hot).select("fp", "doc_id")))
+        for _, old in self.runs:
+            before = self._cold(spark, old).select("fp")
+            hits = hits.unionByName(before.join(cold.select("fp").hint("merge"), "fp", "left_semi"))
+            if new.frequent:
+                hits = hits.unionByName(before.where(F.col("fp").isin(new.frequent)))
+            if old.frequent:
+                hits = hits.unionByName(cold.select("fp").where(F.col("fp").isin(old.frequent)))
+            both = sorted(set(new.frequent) & set(old.frequent))
+            if both:
+                hits = hits.unionByName(spark.createDataFrame([(f,) for f in both], "fp long"))
         self.runs.append((0, new))
-        return stored(hits.distinct(), "hits")
+        with _sorted_buckets(spark):
+            return stored(hits.distinct(), "hits")
+
+    def _earlier(self, hits: DataFrame) -> DataFrame:
+        """Stored, the windows of hit fingerprints in batches before the present one: from the runs, whose buckets stay where they are."""
+        spark, out = hits.sparkSession, None
+        for _, run in self.runs:
+            got = self._cold(spark, run).where(F.col("serial") < self.serial).join(hits.hint("merge"), "fp", "left_semi")
+            if run.hot:
+                among = [r["fp"] for r in hits.where(F.col("fp").isin(run.frequent)).collect()]
+                got = got.unionByName(spark.read.parquet(run.hot).where((F.col("serial") < self.serial) & F.col("fp").isin(among)))
+            out = got if out is None else out.unionByName(got)
+        with _sorted_buckets(spark):
+            return stored(out.select("windows"), "earlier")
+
+    def dedup(self, docs: DataFrame, batches: int = 4, keep_text: bool = True) -> DataFrame:
+        """dedup() of a batch of documents against each other and against all batches before.  With a path the answer holds
+        while the batch is not committed twice: write it, then commit()."""
+        spark = docs.sparkSession
+        bound_batches(spark)
+        kept = self.path is not None
+        history = bool(self.runs)
+        self.serial += 1
+        prints = fingerprints(docs, self.window, kept)
+        if kept:
+            prints = prints.withColumn("serial", F.lit(self.serial))
+        cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or []
+        number = F.lit(0)
+        for c in cuts:
+            number = number + (F.col("doc_id") > c).cast("int")
+        prints, hits = stored(prints.withColumn("batch", number), "prints"), None
+        for i in range(len(cuts) + 1):
+            got = self.add(prints.where(F.col("batch") == i).drop("batch"))
+            hits = got if hits is None else hits.unionByName(got)
+        hits = stored(hits.distinct(), "hits")
+        count = hits.count()
+        release(prints)
+        return _compare(docs, hits, count, self.window, keep_text, self._earlier(hits) if kept and history and count else None)
+
+
+def _frequent(rows: DataFrame, size: int) -> list[int]:
+    """The fingerprints (fewer than HOT_GROUPS) with a large share of the rows.  Counts of SLOTS slots leave few candidates; this decides
+    where rows are kept, never what is found."""
+    least = max(LEAST_HOT, size // HOT_GROUPS + 1)
+    slot = F.pmod("fp", F.lit(SLOTS))
+    slots = [r["s"] for r in rows.groupBy(slot.alias("s")).count().where(F.col("count") >= least).select("s").collect()]
+    return sorted(r["fp"] for r in rows.where(slot.isin(slots)).groupBy("fp").count().where(F.col("count") >= least).select("fp").collect()) if slots else []
 
 
 def hit_bitmap(hits: DataFrame, count: int) -> tuple[int, np.ndarray]:
@@ -183,11 +370,13 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+#: Ends the names of exchange batches that come from the runs of the index.
+FROM_RUNS = "-earlier"
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def _compare(docs: DataFrame, hits: DataFrame, count: int, window: int, keep_text: bool) -> DataFrame:
-    """Verifies hit windows and removes what an earlier document has."""
+def _compare(docs: DataFrame, hits: DataFrame, count: int, window: int, keep_text: bool, earlier: DataFrame | None = None) -> DataFrame:
+    """Verifies hit windows and removes what an earlier document, or one of the earlier windows, has."""
     spark = docs.sparkSession
     _, size = text_size(docs)
     n_buckets = n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // 4 // BUCKET_WINDOWS)
@@ -258,8 +447,7 @@ def _compare(docs: DataFrame, hits: DataFrame, count: int, window: int, keep_tex
                 raw = data.tobytes()
                 per = np.bincount(row, minlength=j - i)
                 if len(at):
-                    a = gram_hashes(words, window, _BASES[0])[at]
-                    b = (gram_hashes(mix(words), window, _BASES[1])[at] >> np.uint64(32)).astype(np.uint32)
+                    a, b = window_bits(words, at, window)
                     held["a"].append(a)
                     held["b"].append(b)
                     held["d"].append(ids[i + row])
@@ -281,11 +469,36 @@ def _compare(docs: DataFrame, hits: DataFrame, count: int, window: int, keep_tex
         if held["done"] or held["ids"]:
             yield from flush()
 
+    def send_earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            bits = np.unique(np.concatenate([np.frombuffer(x, WINDOW_BITS) for x in held]))
+            edge = bucket_bounds(bits["a"], n_buckets)
+            for i, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                if y > x:
+                    payload = pack(squeeze_sorted(bits["a"][x:y]), squeeze(bits["b"][x:y]), squeeze(np.full(y - x, EARLIER)))
+                    yield packed_batch([(f"{task}-{number}{FROM_RUNS}", i, 0, None, payload)])
+
+        for rb in batches:
+            for x in rb["windows"]:
+                held.append(x.as_py())
+                size += len(held[-1]) // WINDOW_BITS.itemsize
+                if size >= BATCH_WINDOWS:
+                    yield from flush()
+                    number, held, size = number + 1, [], 0
+        if size:
+            yield from flush()
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z = zstandard.ZstdDecompressor()
         for name, states, answers in by_batch(batches):
+            if name.endswith(FROM_RUNS):
+                continue  # windows of the index ask nothing
             if len(states) != 1:
                 raise RuntimeError(f"batch {name} met {len(states)} states")  # cannot happen: see repeatable()
             done, ids, lens, texts, per, starts, key = parts_of(states[0])
@@ -313,27 +526,19 @@ def _compare(docs: DataFrame, hits: DataFrame, count: int, window: int, keep_tex
                 d = np.array(c[0], np.int64)
                 yield pa.record_batch([pa.array(d, mask=d == NULL_ID), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string()), pa.array(c[4], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return packed_exchange(repeatable(source).mapInArrow(send, PACKED), n_buckets, _least_owner, n_parts).mapInArrow(finish, SCHEMA)
+    sent = repeatable(source).mapInArrow(send, PACKED)
+    if earlier is not None:
+        sent = sent.unionByName(earlier.mapInArrow(send_earlier, PACKED))
+    return packed_exchange(sent, n_buckets, _least_owner, n_parts).mapInArrow(finish, SCHEMA)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, batches: int = 4, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of every row; kept is the text that is left, its words
     joined by one space (null unless keep_text).  The documents enter the index in ``batches`` batches in order of doc_id."""
-    bound_batches(docs.sparkSession)
-    prints = fingerprints(docs, window)
-    cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or []
-    number = F.lit(0)
-    for c in cuts:
-        number = number + (F.col("doc_id") > c).cast("int")
-    prints = stored(prints.withColumn("batch", number), "prints")
-    index, hits = FingerprintIndex(), None
-    for i in range(batches):
-        got = index.add(prints.where(F.col("batch") == i).drop("batch"))
-        hits = got if hits is None else hits.unionByName(got)
-    hits = stored(hits.distinct(), "hits")
-    count = hits.count()
-    release(prints, *(r for _, r in index.runs))
-    return _compare(docs, hits, count, window, keep_text)
+    index = FingerprintIndex(None, window)
+    out = index.dedup(docs, batches, keep_text)
+    index.drop(docs.sparkSession)  # the answer reads documents and hits alone
+    return out
 
 
 def dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:

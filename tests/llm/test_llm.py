@@ -441,6 +441,60 @@ def test_index_compacts(spark):
     assert [k for k, _ in index.runs] == [2] and index.runs[0][1].count() == 12
 
 
+def test_index_keeps_frequent_fingerprints_apart(spark, monkeypatch):
+    monkeypatch.setattr(substring, "LEAST_HOT", 5)
+    index = substring.FingerprintIndex()
+    many = [(-7, d) for d in range(40)] + [(d, d) for d in range(20)]
+    assert [r["fp"] for r in index.add(spark.createDataFrame(many, "fp long, doc_id long")).collect()] == [-7]
+    assert index.runs[0][1].frequent == [-7] and index.runs[0][1].count() == 60
+    assert sorted(r["fp"] for r in index.add(spark.createDataFrame([(-7, 99), (3, 99), (50, 99)], "fp long, doc_id long")).collect()) == [-7, 3]
+    got = index.add(spark.createDataFrame([*((50, d) for d in range(100, 140)), (-7, 200)], "fp long, doc_id long"))
+    assert sorted(r["fp"] for r in got.collect()) == [-7, 50]
+    index.compact(spark)
+    assert sum(r.count() for _, r in index.runs) == 104
+    index.drop(spark)
+
+
+def digests(rows):
+    return sorted(str((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"])) for r in rows)
+
+
+@pytest.mark.parametrize("least_hot", [1000, 3])
+def test_increments_equal_one_run(spark, docs, tmp_path, monkeypatch, least_hot):
+    """Two adds of a persisted index, opened anew between them, give the rows of one run; a lost batch leaves no trace."""
+    monkeypatch.setattr(substring, "LEAST_HOT", least_hot)
+    monkeypatch.setattr(substring, "HOT_GROUPS", 1 << 20)
+    path = f"file://{tmp_path}/index"
+    known = docs.where("doc_id IS NOT NULL")
+    middle = known.selectExpr("percentile_approx(doc_id, 0.5) AS m").first()["m"]
+    parts = [known.where(f"doc_id <= {middle}"), known.where(f"doc_id > {middle}")]
+    got = []
+    for part in parts:
+        lost = substring.FingerprintIndex.open(spark, path)
+        lost.dedup(part, batches=2, keep_text=False).count()  # never committed
+        index = substring.FingerprintIndex.open(spark, path)
+        got += index.dedup(part, batches=2, keep_text=False).collect()
+        index.commit(spark)
+    whole = digests(substring.dedup_digest(known).collect())
+    assert digests(got) == whole
+    assert sum(r["n_removed"] for r in substring.dedup_digest(parts[1]).collect()) < sum(r["n_removed"] for r in got if r["doc_id"] > middle)
+    again = substring.FingerprintIndex.open(spark, path).dedup(parts[0], keep_text=False).collect()  # a batch met before has no new window
+    assert all(r["n_removed"] == r["n_words"] for r in again if r["n_words"] >= 50)
+    with pytest.raises(ValueError):
+        substring.FingerprintIndex.open(spark, path, 7)
+
+
+def test_runs_merge_without_exchange(spark):
+    index = substring.FingerprintIndex()
+    for b in range(2):
+        index.add(spark.createDataFrame([(i, b) for i in range(50)], "fp long, doc_id long"))
+    a, b = (index._cold(spark, r) for _, r in index.runs)
+    with substring._sorted_buckets(spark):
+        plan = a.select("fp").join(b.select("fp").hint("merge"), "fp", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    index.drop(spark)
+
+
 # --- 6, 7 and 8 ------------------------------------------------------------------------------
 
 
