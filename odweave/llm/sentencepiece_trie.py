@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from odweave.llm.common import bound_batches
@@ -44,10 +45,36 @@ MOST_PAIRS = 300_000
 CHUNK_CHARS = 1_000_000
 
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+#: Stands between words while Arrow splits them; texts that have it, or halves of surrogate pairs, are split in Python.
+_CUT = "\x01"
+_LONE = re.compile("[\ud800-\udfff]")
 _UNKNOWN = -1
 _LOADED: dict[tuple[str, str], "Pieces"] = {}
 
 
+def _split(t: str) -> str | None:
+    """The marked words of a text, with _CUT between them (an empty one between two cuts has no pieces); null for an empty text."""
+    if not t:
+        return None
+    if "  " in t or t[0] == " " or MARK in t:  # several marks in a row stay in one word
+        return _CUT.join(_SEGMENT.findall(MARK + t.replace(" ", MARK)))
+    t = MARK + t.replace(" ", _CUT + MARK)
+    return t.replace("\n", f"{_CUT}\n{_CUT}") if "\n" in t else t
+
+
+def _segments(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct marked words, the place of every word of all texts among them, number of words of each text)."""
+    if not any(t and (_CUT in t or not t.isascii() and _LONE.search(t)) for t in texts):
+        words = pc.split_pattern(pa.array([_split(t) for t in texts], pa.large_string()), _CUT)
+        code = words.flatten().dictionary_encode()
+        counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return code.dictionary.to_pylist(), code.indices.to_numpy().astype(np.int64), counts
+    per = [_SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+    at: dict[str, int] = {}
+    index = np.array([at.setdefault(w, len(at)) for x in per for w in x], np.int64)
+    return list(at), index, np.array([len(x) for x in per], np.int64)
+
+
 class Pieces:
     """The pieces of a model with their scores; ``bytes_`` has the ids of byte pieces, ``hidden`` ids that texts never give."""
 
@@ -193,26 +220,18 @@ class Pieces:
                 gc.enable()
 
     def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        per, at, flat = [], {}, []
-        for t in texts:
-            per.append(_SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [])
-        distinct = set().union(*per) if per else set()
-        got = dict(self.viterbi([w for w in distinct if w not in self.known]))
-        lens = np.zeros(len(distinct), np.int64)
-        for i, w in enumerate(distinct):
-            x = got.get(w) or self.known[w]
-            at[w] = i
-            lens[i] = len(x)
-            flat.extend(x)
-        self.known.update(itertools.islice(got.items(), max(0, REMEMBER - len(self.known))))
-        flat_ids, off = np.array(flat, np.int32), np.concatenate(([0], np.cumsum(lens)))[:-1]
-        counts = np.array([len(x) for x in per], np.int64)
-        index = np.fromiter(map(at.__getitem__, itertools.chain.from_iterable(per)), np.int64, int(counts.sum()))
+        distinct, index, counts = _segments(texts)
+        known = self.known
+        got = dict(self.viterbi([w for w in distinct if w not in known]))
+        lists = [got[w] if w in got else known[w] for w in distinct]
+        known.update(itertools.islice(got.items(), max(0, REMEMBER - len(known))))
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(lens.sum()))
+        off = np.cumsum(lens) - lens
         size = lens[index]
-        ids = flat_ids[_gather(off[index], size)]
         sums = np.concatenate(([0], np.cumsum(size)))
         edge = np.concatenate(([0], np.cumsum(counts)))
-        return ids, np.diff(sums[edge])
+        return flat[_gather(off[index], size)], np.diff(sums[edge])
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The texts of encode()'s ids: the bytes of the pieces without the first mark."""

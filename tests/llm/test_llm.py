@@ -660,6 +660,17 @@ def test_pieces_equal_the_library(pieces, t):
     assert pieces.decode(ids, n)[0] == t.replace("▁", " ")
 
 
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab \n\t▁\x01é\ud800", max_size=30)), max_size=6))
+def test_segments_are_those_of_the_pattern(texts):
+    """Arrow's split and Python's give the words of the pattern; an empty word has no pieces."""
+    words, index, counts = sentencepiece_trie._segments(texts)
+    at = [words[i] for i in index]
+    edge = np.concatenate(([0], np.cumsum(counts)))
+    got = [[w for w in at[a:b] if w] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    assert got == [sentencepiece_trie._SEGMENT.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
+    assert len(words) == len(set(words))
+
+
 def test_scores_decide_in_a_unigram_model():
     """Against the best of all segmentations; of equal scores the longer last piece."""
     import itertools
