@@ -1,4 +1,4 @@
-"""Queries of the ten operators and, where SQL can express them, their DuckDB SQL."""
+"""Queries of the operators and, where SQL can express them, their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odweave.llm import deleted_interpolation, exact_dedup, langid, mixing, neighbours, ngram_join, pii, sentencepiece_trie, substring, toxicity
+from odweave.llm import deleted_interpolation, exact_dedup, langid, mixing, neighbours, ngram_join, pii, quality_rules, sentencepiece_trie, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_trie.encode(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.annotate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_langid, op3_lm_score, op4_toxicity, op5_ngram_join, op6_exact_dedup, op7_neighbours, op8_mixing, op9_substring, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_pii, op2_langid, op3_lm_score, op4_toxicity, op5_ngram_join, op6_exact_dedup, op7_neighbours, op8_mixing, op9_substring, op10_sentencepiece, op11_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_join": ngram_join.SQL, "op6_exact_dedup": exact_dedup.SQL, "op9_substring": substring.SQL}
+    return {"op5_ngram_join": ngram_join.SQL, "op6_exact_dedup": exact_dedup.SQL, "op9_substring": substring.SQL, "op11_quality_rules": quality_rules.SQL}
