@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odweave.llm import deleted_interpolation, exact_dedup, langid, mixing, neighbours, ngram_join, pii, quality_rules, sentencepiece_trie, substring, toxicity
+from odweave.llm import collocations, deleted_interpolation, exact_dedup, langid, mixing, name_join, neighbours, ngram_join, pii, quality_rules, sentencepiece_trie, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +58,19 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.annotate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients = _table(spark, sf_dir, "clients").select("client_id", name_join.lowered(F.col("name")).alias("name"))
+    vendors = name_join.misspelt(_table(spark, sf_dir, "vendors")).select("vendor_id", name_join.lowered(F.col("name")).alias("name"))
+    return name_join.link(clients, vendors)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_langid, op3_lm_score, op4_toxicity, op5_ngram_join, op6_exact_dedup, op7_neighbours, op8_mixing, op9_substring, op10_sentencepiece, op11_quality_rules)}
+    return {f.__name__: f for f in (op1_pii, op2_langid, op3_lm_score, op4_toxicity, op5_ngram_join, op6_exact_dedup, op7_neighbours, op8_mixing, op9_substring, op10_sentencepiece, op11_quality_rules, op12_name_join, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_join": ngram_join.SQL, "op6_exact_dedup": exact_dedup.SQL, "op9_substring": substring.SQL, "op11_quality_rules": quality_rules.SQL}
+    return {"op5_ngram_join": ngram_join.SQL, "op6_exact_dedup": exact_dedup.SQL, "op9_substring": substring.SQL, "op11_quality_rules": quality_rules.SQL, "op12_name_join": name_join.SQL, "op13_collocations": collocations.SQL}
