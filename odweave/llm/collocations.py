@@ -252,13 +252,13 @@ SQL = rf"""
 WITH p AS (SELECT coalesce(lang, '{UND}') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
 w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
 g AS (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(k)),
-f AS MATERIALIZED (SELECT lang, k, gram AS ws, count(*) AS f FROM (SELECT lang, k, ws[i : i + k - 1] AS gram FROM g) GROUP BY lang, k, gram),
-c AS MATERIALIZED (SELECT lang, k, ws, f AS a FROM f WHERE k > 1 AND f >= {LEAST}),
-cuts AS (SELECT c.lang, c.k, c.ws, a, cut, x.f AS l, y.f AS r, 1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS score
-  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1 : cut] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[cut + 1 : c.k]),
-best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) = 1),
-longer AS (SELECT lang, ws[i : i + 1] AS ws, max(a) AS longest FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE k = 3) GROUP BY ALL),
-kept AS (SELECT best.*, array_to_string(best.ws, ' ') AS phrase FROM best LEFT JOIN longer USING (lang, ws) WHERE longest IS NULL OR 100 * longest < {HIDES} * a),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM g) GROUP BY lang, k, phrase),
+c AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE k > 1 AND f >= {LEAST}),
+parts AS (SELECT lang, k, phrase, a, cut, array_to_string(ws[1 : cut], ' ') AS head, array_to_string(ws[cut + 1 : k], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+cuts AS (SELECT p.*, x.f AS l, y.f AS r, 1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS score FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.head JOIN f y ON y.lang = p.lang AND y.phrase = p.rest),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, phrase, max(a) AS longest FROM (SELECT lang, a, array_to_string(ws[i : i + 1], ' ') AS phrase FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE k = 3)) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < {HIDES} * a),
 n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM kept JOIN n USING (lang) QUALIFY rank <= {TOP}
 """
