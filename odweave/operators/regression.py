@@ -1,7 +1,8 @@
 """Least squares, its diagnostics, and spatial lag and error models.
 
 The cluster reduces rows to cross-products (one aggregate a pass, of columns centred and scaled so that the products are
-well conditioned); the driver solves k x k systems.  Nothing of the size of the data is collected.
+well conditioned, and summed so that the order of rows does not matter); the driver solves k x k systems.  Of the data, only the edges of up
+to EXACT_EIGENVALUES areas are collected, for the log-determinant.
 """
 
 from __future__ import annotations
@@ -15,20 +16,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odweave.functions import distributions as D
-from odweave.operators import spatial
+from odweave.operators import elimination, exact, spatial
 from odweave.operators.quality import complete_cases
-from odweave.storage import release, stored
 
 
 def cross_products(df: DataFrame, columns: list[Column]) -> np.ndarray:
-    """[k, k] sums of products of the columns, from one aggregate."""
+    """[k, k] sums of products of the columns: one aggregate of their bounds and one of sums that are the same for any order of rows."""
     k = len(columns)
     df = df.select(*(c.cast("double").alias(f"_c{i}") for i, c in enumerate(columns)))
+    n, bounds = exact.column_bounds(df, {c: F.col(c) for c in df.columns})
+    reach = [max(abs(low), abs(high)) for low, high in bounds.values()]
     pairs = [(a, b) for a in range(k) for b in range(a, k)]
-    r = df.agg(*(F.sum(F.col(f"_c{a}") * F.col(f"_c{b}")) for a, b in pairs)).first()
+    sums = exact.exact_sums(df, {f"_{a}_{b}": (F.col(f"_c{a}") * F.col(f"_c{b}"), reach[a] * reach[b]) for a, b in pairs}, n)
     m = np.zeros((k, k))
-    for (a, b), v in zip(pairs, r, strict=True):
-        m[a, b] = m[b, a] = v or 0.0
+    for a, b in pairs:
+        m[a, b] = m[b, a] = sums[f"_{a}_{b}"]
     return m
 
 
@@ -97,12 +99,12 @@ class Fit:
 
 
 def fit_ols(df: DataFrame, response: str, predictors: list[str]) -> Fit:
-    """OLS with a constant and HC3 covariance over complete finite cases.  Three aggregates: moments, products, and the
-    leverage-weighted squares of the residuals."""
+    """OLS with a constant and HC3 covariance over complete finite cases.  Moments, products, and the leverage-weighted squares of
+    the residuals are two aggregates each; all sums are the same for any order of rows."""
     data = complete_cases(df, [response, *predictors])
     cols = [response, *predictors]
-    m = data.agg(F.count("*").alias("n"), *(F.avg(c) for c in cols), *(F.stddev_pop(c) for c in cols)).first()
-    n, mean, sd = m[0], np.array(m[1 : len(cols) + 1], float), np.array(m[len(cols) + 1 :], float)
+    n, means, sds = exact.moments(data, cols)
+    mean, sd = np.array([means[c] for c in cols]), np.array([sds[c] for c in cols])
     if not n or n <= len(predictors):
         raise ValueError(f"{n} complete rows for {len(predictors)} predictors")
     sd[sd == 0] = 1.0
@@ -193,25 +195,40 @@ def lm_tests(fit: Fit, weights: DataFrame, key: str) -> dict[str, tuple[float, f
     return {"LM-lag": p(lag, 1), "LM-error": p(error, 1), "Robust LM-lag": p(robust_lag, 1), "Robust LM-error": p(robust_error, 1), "LM-SARMA": p(robust_lag + error, 2)}
 
 
-#: Areas up to which the eigenvalues of the weights are computed exactly on the driver (a dense matrix of this side: 512 MB at most).
-EXACT_EIGENVALUES = 8192
+#: Areas up to which the eigenvalues of the weights are computed on the driver: a dense matrix of this side and the solver's copy are 420 MB
+#: at most.  Points of the interpolant beyond.
+EXACT_EIGENVALUES, POINTS = 5120, 64
 
 
 class LogDeterminant:
-    """rho -> ln |I - rho W|.  ``error`` bounds what random probes and the series' end leave open (0 where it is exact): two standard
-    errors of the probes and the largest possible rest of the series."""
+    """rho -> ln |I - rho W| with its first two derivatives, from eigenvalues or from a polynomial.  ``error`` bounds what is left open
+    (0 where it is exact)."""
 
-    def __init__(self, value: Callable[[float], float], error: Callable[[float], float] = lambda rho: 0.0):
-        self.value, self.error = value, error
+    def __init__(self, value: Callable[[float], float], slope: Callable[[float], float], curvature: Callable[[float], float], error: Callable[[float], float] = lambda rho: 0.0):
+        self.value, self.slope, self.curvature, self.error = value, slope, curvature, error
 
     def __call__(self, rho: float) -> float:
         return self.value(rho)
 
+    @classmethod
+    def of_eigenvalues(cls, e: np.ndarray) -> LogDeterminant:
+        return cls(lambda r: float(np.log1p(-r * e).sum()), lambda r: -float((e / (1 - r * e)).sum()), lambda r: -float(((e / (1 - r * e)) ** 2).sum()))
 
-def log_determinant(weights: DataFrame, n: int, order: int = 40, probes: int = 32) -> LogDeterminant:
-    """ln |I - rho W| of row-standardised symmetric contiguity.  Up to EXACT_EIGENVALUES areas by eigenvalues (Ord 1975), beyond
-    by the series of Barry and Pace (1999): its first two traces are exact, the others come from random probes, every power one
-    distributed product.  The result knows its error."""
+    @classmethod
+    def of_values(cls, at: np.ndarray, values: np.ndarray, low: float, high: float) -> LogDeterminant:
+        """The Chebyshev interpolant of values at the interval's Chebyshev points; its last terms tell its error."""
+        from numpy.polynomial import Chebyshev
+
+        f = Chebyshev.fit(at, values, len(at) - 1, domain=[low, high])
+        d, dd = f.deriv(), f.deriv(2)
+        rest = float(np.abs(f.coef[-4:]).max()) * 4
+        return cls(lambda r: float(f(r)), lambda r: float(d(r)), lambda r: float(dd(r)), lambda r: rest)
+
+
+def log_determinant(weights: DataFrame, n: int, bounds: tuple[float, float] = (-0.95, 0.95)) -> LogDeterminant:
+    """ln |I - rho W| of row-standardised symmetric contiguity.  Up to EXACT_EIGENVALUES areas from the eigenvalues of a dense matrix, for
+    which all edges go to the driver; beyond, by distributed elimination at POINTS Chebyshev points between the bounds (the function is
+    analytic for |rho| < 1: with bounds of 0.95, the interpolant's error is about 1.38 ** -POINTS of the function's size)."""
     if n <= EXACT_EIGENVALUES:
         rows = weights.select("i", "j").collect()
         ids = {v: k for k, v in enumerate(sorted({r["i"] for r in rows} | {r["j"] for r in rows}))}
@@ -219,28 +236,12 @@ def log_determinant(weights: DataFrame, n: int, order: int = 40, probes: int = 3
         for r in rows:
             a[ids[r["i"]], ids[r["j"]]] = 1.0
         root = 1 / np.sqrt(np.maximum(a.sum(1), 1))
-        e = np.linalg.eigvalsh(root[:, None] * a * root[None])
-        return LogDeterminant(lambda rho: float(np.log1p(-rho * e).sum()))
-    sign = lambda p: F.when(F.conv(F.substring(F.md5(F.concat(F.col("i").cast("string"), F.lit(f"p{p}"))), 1, 1), 16, 10).cast("int") < 8, -1.0).otherwise(1.0)
-    nodes = stored(weights.select("i").distinct().select("i", F.array(*map(sign, range(probes))).alias("u")), "probes")
-    v, traces = nodes.select("i", F.col("u").alias("v")), []
-    for _ in range(order):
-        prod = weights.join(v.select(F.col("i").alias("j"), "v"), "j").groupBy("i").agg(*(F.sum(F.col("w") * F.col("v")[p]).alias(f"_{p}") for p in range(probes)))
-        new = stored(prod.select("i", F.array(*(F.col(f"_{p}") for p in range(probes))).alias("v")), "power")
-        traces.append([float(x) for x in new.join(nodes, "i").agg(*(F.sum(F.col("v")[p] * F.col("u")[p]) for p in range(probes))).first()])
-        if len(traces) > 1:
-            release(v)
-        v = new
-    release(nodes, v)
-    back = weights.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("w").alias("v"))
-    t = np.array(traces)
-    t[0] = 0.0
-    if order > 1:
-        t[1] = float(weights.join(back, ["i", "j"]).agg(F.sum(F.col("w") * F.col("v"))).first()[0] or 0.0)
-    k = np.arange(1, order + 1)
-    each = lambda rho: -(t * (rho**k / k)[:, None]).sum(0)
-    rest = lambda rho: n * abs(rho) ** (order + 1) / ((order + 1) * (1 - abs(rho)))
-    return LogDeterminant(lambda rho: float(each(rho).mean()), lambda rho: float(2 * each(rho).std(ddof=1) / math.sqrt(probes) + rest(rho)))
+        a *= root[:, None]
+        a *= root[None]
+        return LogDeterminant.of_eigenvalues(np.linalg.eigvalsh(a))
+    low, high = bounds
+    at = (low + high) / 2 + (high - low) / 2 * np.cos(np.pi * (np.arange(POINTS) + 0.5) / POINTS)
+    return LogDeterminant.of_values(at, elimination.log_determinants(weights, at), low, high)
 
 
 def minimise(f: Callable[[float], float], low: float, high: float, tol: float = 1e-9) -> tuple[float, bool]:
@@ -301,10 +302,6 @@ class SpatialFit:
         return spark.createDataFrame(rows, "term string, estimate double, std_error double, z double, p double")
 
 
-# Steps of the second differences that give the spatial parameter's standard error.
-STEP = {"SAR": 1e-5, "SEM": 1.1e-5}
-
-
 def _prepared(df: DataFrame, weights: DataFrame, key: str, response: str, predictors: list[str]):  # noqa: ANN202
     cols = [response, *predictors]
     whole = complete_cases(df, cols)
@@ -317,36 +314,53 @@ def _prepared(df: DataFrame, weights: DataFrame, key: str, response: str, predic
 
 
 def _profile(kind: str, data: DataFrame, weights: DataFrame, n: int, response: str, predictors: list[str], bounds: tuple[float, float]) -> SpatialFit:
-    m = data.agg(*(F.avg(c) for c in predictors), *(F.stddev_pop(c) for c in predictors)).first() if predictors else []
-    k = len(predictors)
-    mean, sd = np.array(m[:k], float), np.array(m[k:], float)
+    """The likelihood in the spatial parameter r alone, from one matrix of products of centred and scaled columns.
+
+    Rows without neighbours have lag 0, so a column's constant part m becomes m (1 - r one) under the filter, where one marks rows with neighbours.
+    """
+    _, means, sds = exact.moments(data, [*predictors, response, "_one"])
+    mean, sd = (np.array([x[c] for c in predictors]) for x in (means, sds))
     sd[sd == 0] = 1.0
-    z = [(F.col(c) - F.lit(float(a))) / F.lit(float(s)) for c, a, s in zip(predictors, mean, sd, strict=True)]
-    wz = [(F.col(f"lag_{c}") - F.lit(float(a)) * F.col("_one")) / F.lit(float(s)) for c, a, s in zip(predictors, mean, sd, strict=True)]
-    g = cross_products(data, [F.lit(1.0), *z, F.col("_one"), *wz, F.col(response), F.col(f"lag_{response}")])
-    p = k + 1
-    logdet = log_determinant(weights, n)
-
-    def blocks(r: float) -> tuple[np.ndarray, np.ndarray, float]:
-        """X'X, X'y and y'y of the model at r: X and y - r Wy for the lag model, both filtered for the error model."""
-        t = np.zeros((p + 1, 2 * p + 2))
-        t[:p, :p] = np.eye(p)
-        if kind == "SEM":
-            t[:p, p : 2 * p] = -r * np.eye(p)
-        t[p, 2 * p], t[p, 2 * p + 1] = 1, -r
-        q = t @ g @ t.T
-        return q[:p, :p], q[:p, p], float(q[p, p])
-
-    def value(r: float) -> tuple[float, np.ndarray, float, np.ndarray]:
-        xx, xy, yy = blocks(r)
-        b = np.linalg.solve(xx, xy)
-        s2 = max((yy - b @ xy) / n, 1e-300)
-        return -n / 2 * (math.log(2 * math.pi) + math.log(s2) + 1) + logdet(r), b, s2, xx
-
-    best, inner = minimise(lambda r: -value(r)[0], *bounds)
-    ll, b, s2, xx = value(best)
-    step = STEP[kind]
-    curve = (value(best + step)[0] - 2 * ll + value(best - step)[0]) / step**2
+    my, sy, share = means[response], sds[response] or 1.0, means["_one"]
+    z = [(F.col(c) - F.lit(float(a))) / F.lit(float(s)) for c, a, s in zip([*predictors, response], [*mean, my], [*sd, sy], strict=True)]
+    wz = [(F.col(f"lag_{c}") - F.lit(float(a)) * F.col("_one")) / F.lit(float(s)) for c, a, s in zip([*predictors, response], [*mean, my], [*sd, sy], strict=True)]
+    g = cross_products(data, [F.lit(1.0), *z[:-1], F.col("_one") - F.lit(share), *wz[:-1], z[-1], wz[-1]])
+    p = len(predictors) + 1
+    logdet = log_determinant(weights, n, bounds)
+    # columns of the model at r are fixed + r * moving, in terms of those of g
+    fixed, moving = np.zeros((p + 1, 2 * p + 2)), np.zeros((p + 1, 2 * p + 2))
+    fixed[:p, :p] = np.eye(p)
+    fixed[p, 2 * p], moving[p, 2 * p + 1] = 1, -1
+    if kind == "SEM":
+        moving[:p, p : 2 * p] = -np.eye(p)
+        moving[0, 0] = -share
+    else:
+        moving[p, p] = -my / sy
+    q0, q1, q2 = fixed @ g @ fixed.T, fixed @ g @ moving.T + moving @ g @ fixed.T, moving @ g @ moving.T
+
+    def value(r: float) -> tuple[float, float, float, np.ndarray, float, np.ndarray]:
+        """Log-likelihood, its two derivatives, coefficients, variance (of the scaled response) and X'X at r.  The sum of squares is the least over
+        coefficients, so its first derivative leaves them fixed."""
+        q, d, c = q0 + r * q1 + r * r * q2, q1 + 2 * r * q2, 2 * q2
+        xx = q[:p, :p]
+        b = np.linalg.solve(xx, q[:p, p])
+        along = np.append(-b, 1.0)
+        s, s1 = max(float(along @ q @ along), 1e-300), float(along @ d @ along)
+        slope = (d @ along)[:p]
+        s2 = float(along @ c @ along) - 2 * float(slope @ np.linalg.solve(xx, slope))
+        first = -n / 2 * s1 / s + logdet.slope(r)
+        second = -n / 2 * (s2 / s - (s1 / s) ** 2) + logdet.curvature(r)
+        return -n / 2 * (math.log(2 * math.pi) + math.log(s / n * sy**2) + 1) + logdet(r), first, second, b, s / n, xx
+
+    best, inner = minimise(lambda r: -value(r)[0], *bounds, tol=1e-6)
+    for _ in range(20 if inner else 0):  # the search is as sharp as the likelihood is round; its slope is sharper
+        _, first, second, *_ = value(best)
+        if not second < 0 or not bounds[0] < best - first / second < bounds[1]:
+            break
+        best, last = best - first / second, best
+        if abs(best - last) < 1e-14:
+            break
+    ll, _, curve, b, s2, xx = value(best)
     if not curve < 0:
         raise ValueError(f"{kind}: the likelihood is not curved at {best:.6f}, so the spatial parameter has no standard error")
     cov = s2 * np.linalg.inv(xx)
@@ -354,14 +368,15 @@ def _profile(kind: str, data: DataFrame, weights: DataFrame, n: int, response: s
     for i in range(1, p):
         to[i, i] = 1 / sd[i - 1]
         to[0, i] = -mean[i - 1] / sd[i - 1]
-    beta, cov = to @ b, to @ cov @ to.T
+    beta, cov = sy * (to @ b), sy**2 * (to @ cov @ to.T)
+    beta[0] += my * (1 - best * share) if kind == "SAR" else my
     fitted = F.lit(float(beta[0]))
     for c, x in zip(beta[1:], predictors, strict=True):
         fitted = fitted + F.lit(float(c)) * F.col(x)
     if kind == "SAR":
         fitted = fitted + F.lit(float(best)) * F.col(f"lag_{response}")
     e = regression_metrics(data.withColumn("_fit", fitted), response, "_fit").first()
-    return SpatialFit(kind, response, predictors, beta, np.sqrt(np.diag(cov)), best, 1 / math.sqrt(-curve), s2, ll, n, e["rmse"], e["mae"], inner, logdet.error(best))
+    return SpatialFit(kind, response, predictors, beta, np.sqrt(np.diag(cov)), best, 1 / math.sqrt(-curve), s2 * sy**2, ll, n, e["rmse"], e["mae"], inner, logdet.error(best))
 
 
 def fit_sar(df: DataFrame, weights: DataFrame, key: str, response: str, predictors: list[str], bounds: tuple[float, float] = (-0.95, 0.95)) -> SpatialFit:

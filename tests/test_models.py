@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from odweave.functions import distributions as D
-from odweave.operators import learning, spatial
+from odweave.operators import elimination, learning, spatial
 from odweave.operators import regression as R
 
 
@@ -72,7 +72,15 @@ def test_sar_sem_and_lm_tests_against_dense(frame):
         best = max(grid, key=lambda r: ll(kind, r))
         assert f.spatial == pytest.approx(best, abs=1e-3)
         assert f.log_likelihood == pytest.approx(ll(kind, f.spatial), abs=1e-6)
-        assert f.spatial_se > 0 and f.k == 5
+        h = 1e-3
+        curve = (ll(kind, f.spatial + h) - 2 * ll(kind, f.spatial) + ll(kind, f.spatial - h)) / h**2
+        assert f.spatial_se == pytest.approx(1 / math.sqrt(-curve), rel=1e-4) and f.k == 5
+        assert abs(ll(kind, f.spatial + 1e-6) - ll(kind, f.spatial - 1e-6)) < 1e-8  # the slope at the optimum is 0
+        A = np.eye(100) - f.spatial * W
+        yy, xx = A @ y, X if kind == "SAR" else A @ X
+        b = np.linalg.lstsq(xx, yy, rcond=None)[0]
+        assert f.beta == pytest.approx(b, rel=1e-7)
+        assert f.se == pytest.approx(np.sqrt(np.diag(((yy - xx @ b) ** 2).mean() * np.linalg.inv(xx.T @ xx))), rel=1e-6)
     ols = R.fit_ols(df.select("area", "t", "a", "b"), "t", ["a", "b"])
     t = R.lm_tests(ols, w, "area")
     e = y - X @ ols.beta
@@ -85,14 +93,57 @@ def test_sar_sem_and_lm_tests_against_dense(frame):
     assert t["LM-SARMA"][2] == 2
 
 
-def test_log_determinant_series(frame, monkeypatch):
+def test_log_determinant_by_elimination(frame, monkeypatch):
     df, _, _ = frame
     w = spatial.row_standardised(spatial.lattice_edges(df))
+    W = weights_matrix()
     exact = R.log_determinant(w, 100)
-    assert exact(0.5) == pytest.approx(np.linalg.slogdet(np.eye(100) - 0.5 * weights_matrix())[1])
+    assert exact(0.5) == pytest.approx(np.linalg.slogdet(np.eye(100) - 0.5 * W)[1])
+    assert elimination.log_determinants(w, np.array([-0.9, 0.3, 0.95]), dense=12) == pytest.approx([np.linalg.slogdet(np.eye(100) - r * W)[1] for r in (-0.9, 0.3, 0.95)], abs=1e-9)
     monkeypatch.setattr(R, "EXACT_EIGENVALUES", 10)
-    series = R.log_determinant(w, 100, order=4, probes=64)
-    assert series(0.2) == pytest.approx(exact(0.2), abs=0.25) and abs(series(0.2) - exact(0.2)) <= series.error(0.2) and exact.error(0.2) == 0
+    other = R.log_determinant(w, 100)
+    for r in (-0.95, -0.2, 0.0, 0.61, 0.95):
+        assert other(r) == pytest.approx(exact(r), abs=1e-5) and abs(other(r) - exact(r)) <= other.error(r) + 1e-12
+        assert other.slope(r) == pytest.approx(exact.slope(r), rel=1e-3, abs=1e-4)
+
+
+def test_spatial_models_with_an_island_and_a_large_mean(spark):
+    """A row without neighbours, and a response far from 0, as in tables of logarithms."""
+    rng = np.random.default_rng(7)
+    W = np.zeros((30, 30))
+    for i in range(28):  # a ring of 29 rows, the last row alone
+        W[i, i + 1] = W[i + 1, i] = 1
+    W[0, 28] = W[28, 0] = 1
+    edges = spark.createDataFrame([(i, j, 0.5) for i in range(30) for j in range(30) if W[i, j]], "i long, j long, w double")
+    W /= 2
+    x = rng.normal(size=30)
+    y = 300 + 0.02 * (x + rng.normal(size=30))
+    df = spark.createDataFrame([(i, float(y[i]), float(x[i])) for i in range(30)], "k long, y double, x double")
+    X = np.column_stack([np.ones(30), x])
+    for kind, fit in (("SAR", R.fit_sar), ("SEM", R.fit_sem)):
+        f = fit(df, edges, "k", "y", ["x"])
+
+        def ll(r, kind=kind):
+            A = np.eye(30) - r * W
+            yy, xx = A @ y, X if kind == "SAR" else A @ X
+            res = yy - xx @ np.linalg.lstsq(xx, yy, rcond=None)[0]
+            return -15 * (math.log(2 * math.pi) + math.log((res**2).mean()) + 1) + np.linalg.slogdet(A)[1]
+
+        assert f.log_likelihood == pytest.approx(ll(f.spatial), abs=1e-6)
+        h = f.spatial_se / 20  # a large mean and an island make the peak of the lag model very narrow
+        assert f.spatial_se == pytest.approx(h / math.sqrt(2 * ll(f.spatial) - ll(f.spatial + h) - ll(f.spatial - h)), rel=5e-3)
+
+
+def test_sums_do_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(4000, 3)) * [1e-3, 1.0, 1e6] + [0, 5, 1e7]
+    df = spark.createDataFrame(v.tolist(), "a double, b double, c double")
+    cols = [F.col(c) for c in "abc"]
+    first = R.cross_products(df.repartition(1), cols)
+    assert first == pytest.approx(v.T @ v, rel=1e-12)
+    for n in (4, 211):
+        assert (R.cross_products(df.repartition(n, "b"), cols) == first).all()
+        assert R.fit_ols(df.repartition(n, "b"), "c", ["a", "b"]).beta.tolist() == R.fit_ols(df.repartition(1), "c", ["a", "b"]).beta.tolist()
 
 
 def test_path_graph_models_converge(spark):
