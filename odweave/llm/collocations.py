@@ -162,6 +162,8 @@ def matches(text: bytes, phrases: list[bytes]) -> np.ndarray:
     """How often each of the phrases (each between blanks) is in a text, overlapping matches included."""
     import ahocorasick
 
+    if not phrases:  # an automaton of none cannot be made
+        return np.zeros(0, np.int64)
     automaton = ahocorasick.Automaton()
     for i, phrase in enumerate(phrases):
         automaton.add_word(phrase.decode(), i)

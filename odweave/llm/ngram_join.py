@@ -53,6 +53,7 @@ from odweave.llm.common import (
     join_group,
     mix,
     packed_batch,
+    release,
     squeeze,
     squeeze_sorted,
     stored,
@@ -515,26 +516,42 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     pairs = [meetings(sets_of.where("blocks = 1").drop("blocks"), F.lit(1), F.col("id"))]
     # a cluster is named by its least set: the first
     rest = sets_of.where("blocks > 1")
-    first = rest.where("id = cluster").groupBy("cluster").agg(F.min("shingles").alias("first"))
-    compared = stored(rest.join(first, "cluster").where("id != cluster OR shingles != first").select("cluster", "id", "shingles", "first").mapInArrow(_first_links(percent), "cluster long, id long, shingles binary, linked boolean"), "first")
-    left = compared.groupBy("cluster").agg(F.ceil(F.count_if(~F.col("linked")) / BLOCK).cast("int").alias("open"), F.ceil(F.count_if("linked") / BLOCK).cast("int").alias("done"))
+    first = rest.where("id = cluster").groupBy("cluster").agg(F.min("shingles").alias("first"), F.min("blocks").alias("blocks"))
+    # the first set goes to each block of its cluster, so that no task has a whole cluster
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    compared = stored(rest.join(first, ["cluster", "salt"]).where("id != cluster OR shingles != first").select("cluster", "id", "shingles", "first").mapInArrow(_first_links(percent), "cluster long, id long, shingles binary, linked boolean"), "first")
+    left = compared.groupBy("cluster").agg(F.count("*").alias("n"), F.ceil(F.count_if(~F.col("linked")) / BLOCK).cast("int").alias("open"), F.ceil(F.count_if("linked") / BLOCK).cast("int").alias("done"))
     left = stored(left.where("open > 0"), "left")  # in the others every set is linked with the first
-    pairs.append(meetings(compared.join(left, "cluster"), F.col("open") + F.col("done"), F.col("id"), F.col("linked"), F.col("open")).drop("open", "done", "linked"))
+    pairs.append(meetings(join_group(compared, left, ["cluster"], "n").drop("n"), F.col("open") + F.col("done"), F.col("id"), F.col("linked"), F.col("open")).drop("open", "done", "linked"))
     pairs = pairs[0].unionByName(pairs[1])
     links = pairs.repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "id").mapInArrow(_block_links(percent), "a long, b long")
     links = links.unionByName(compared.where("linked").select(F.col("id").alias("a"), F.col("cluster").alias("b")))
     # members of one set as links to their representative, then everything together
     links = stored(links.unionByName(nodes.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))), "links")
+    release(alike, nodes, groups_, large, ties, cluster, reps, chosen, sets_of, compared, left)
     final = components(links)
+    release(links)
     found = sets.join(final, sets["id"] == final["node"], "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
     null = F.lit(int(NULL_ID))
     return found.select(F.nullif("id", null).alias("doc_id"), "n_shingles", F.nullif("component", null).alias("component_id"))
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near-duplicates: the one with the smallest doc_id."""
-    gone = groups(docs, k, percent).where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_nj_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_nj_id"]), "left_anti")
+    """docs with one document of each group of near-duplicates: the one with the smallest doc_id (nulls last; ties by a hash of the text).  A document is
+    a doc_id with a text: texts that share a doc_id, or have none, are judged each on its own; rows that repeat both stay or go
+    together."""
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    found = groups(docs.select(key.alias("doc_id"), "text"), k, percent).where("doc_id != component_id").select(F.col("doc_id").alias("_nj_key"), F.col("component_id").alias("c")).distinct()
+    member = stored(found.unionByName(found.select(F.col("c").alias("_nj_key"), "c").distinct()), "members")
+    ids = bitmap_filter(docs.select(key.alias("_nj_key"), "doc_id"), "_nj_key", member.select("_nj_key")).distinct()
+    named = stored(member.join(ids, "_nj_key").withColumn("order", F.struct(F.col("doc_id").isNull(), "doc_id", "_nj_key")), "named")
+    best = stored(named.groupBy("c").agg(F.min("order").alias("best"), F.count("*").alias("n")), "best")
+    gone = stored(join_group(named, best, ["c"], "n").where("order != best").select("_nj_key"), "gone")
+    release(member, named, best)
+    names = docs.columns
+    keyed = docs.withColumn("_nj_key", key)
+    return keyed.join(gone, "_nj_key", "left_anti").select(*names)
 
 
 SQL = r"""
