@@ -9,7 +9,8 @@
 3. Counts are summed over shards, and phrases below LEAST go.  A candidate has the same bound in every shard, so no occurrence of
    a phrase that stays is missed, whatever shares its slot.
 
-An automaton has the candidates of one shard, so its size does not grow with the corpus; nothing is broadcast or collected.  Words of phrases are counted the same way.
+An automaton has the candidates of one shard, so its size does not grow with the corpus, and scans the words that candidates cover; nothing is broadcast or collected.
+Single words, which are parts of phrases only, are counted by their 64-bit hashes in a shard.
 
 Scores are whole numbers of decimals of 38 digits: exact to counts of 10**12.
 
@@ -22,6 +23,7 @@ byte order, so ranks are unique; only text and lang are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +160,12 @@ def _bounds(least: int):  # noqa: ANN202
 COUNTS = "lang string, k int, phrase string, f long"
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order, by sorting."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def matches(text: bytes, phrases: list[bytes]) -> np.ndarray:
     """How often each of the phrases (each between blanks) is in a text, overlapping matches included."""
     import ahocorasick
@@ -165,15 +173,25 @@ def matches(text: bytes, phrases: list[bytes]) -> np.ndarray:
     if not phrases:  # an automaton of none cannot be made
         return np.zeros(0, np.int64)
     automaton = ahocorasick.Automaton()
-    for i, phrase in enumerate(phrases):
+    for i, phrase in sorted(enumerate(phrases), key=itemgetter(1)):  # neighbours share their nodes
         automaton.add_word(phrase.decode(), i)
     automaton.make_automaton()
-    found = np.fromiter((i for _, i in automaton.iter(text.decode())), np.int64)
+    found = np.fromiter(map(itemgetter(1), automaton.iter(text.decode())), np.int64)
     return np.bincount(found, minlength=len(phrases))
 
 
+def covered(text: bytes, starts: np.ndarray, ends: np.ndarray, cover: np.ndarray) -> bytes:
+    """The covered words of a text; a line feed stands for each run of others."""
+    data = np.frombuffer(text, np.uint8).copy()
+    kept = np.repeat(cover, ends - starts + 1)
+    run = np.flatnonzero(~cover & np.append(True, cover[:-1]))
+    data[starts[run]] = 10
+    kept[starts[run]] = kept[ends[run]] = True
+    return b" " + data[kept].tobytes()
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per shard and language: number of words (k = 0), and the counts of its candidates."""
+    """Per shard and language: number of words (k = 0), and the counts of its candidates.  Single words are counted by their hashes."""
     import zstandard
 
     for name, states, answers in by_batch(batches):
@@ -184,20 +202,26 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = [(int(np.frombuffer(n, np.int64)[0]), expand(bits)) for n, bits in map(parts_of, answers)]
         reach = np.concatenate([np.unpackbits(bits, count=n).astype(bool) for n, bits in reach])
         every = [grams(t, lang) for lang, t in texts]
-        slots = np.unique(np.concatenate([h for _, _, g in every for _, h in g]) & _SLOT)
+        slots = distinct(np.concatenate([h for _, _, g in every for _, h in g]) & _SLOT)
         if len(slots) != len(reach):
             raise RuntimeError(f"shard {name} met answers for other slots")
         slots = slots[reach]
         for (lang, text), (starts, ends, by_length) in zip(texts, every, strict=True):
-            phrases, lengths = [], []
+            phrases, lengths, f = [], [], []
+            cover = np.zeros(len(starts), bool)
             for k, (first, h) in enumerate(by_length, 1):
                 place = np.searchsorted(slots, h & _SLOT).clip(max=max(len(slots) - 1, 0))
                 hit = np.flatnonzero(slots[place] == h & _SLOT) if len(slots) else np.zeros(0, np.int64)
-                _, one = np.unique(h[hit], return_index=True)
+                _, one, often = np.unique(h[hit], return_index=True, return_counts=True)
                 one = first[hit[one]]
                 phrases += [text[a:b] for a, b in zip(starts[one].tolist(), ends[one + k - 1].tolist(), strict=True)]
                 lengths += [k] * len(one)
-            f = matches(b" " + text, [b" " + p + b" " for p in phrases]).tolist()
+                if k == 1:
+                    f = often.tolist()
+                else:
+                    for j in range(k):
+                        cover[first[hit] + j] = True
+            f += matches(covered(text, starts, ends, cover), [b" " + p + b" " for p in phrases[len(f) :]]).tolist()
             names = [None, *(p.decode() for p in phrases)]
             yield pa.record_batch([pa.array([lang] * len(names)), pa.array([0, *lengths], pa.int32()), pa.array(names, pa.string()), pa.array([len(by_length[0][0]), *f], pa.int64())], ["lang", "k", "phrase", "f"])
 

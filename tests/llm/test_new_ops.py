@@ -233,6 +233,16 @@ def test_matches_share_delimiters():
     assert collocations.matches(b" a a a a \n a ", [b" a ", b" a a ", b" a a a ", b" aa "]).tolist() == [5, 3, 2, 0]
 
 
+def test_covered_words_keep_their_neighbours_apart():
+    import numpy as np
+
+    text, n = collocations.normalised(np.frombuffer("one two three four. five six".encode(), np.uint8), np.array([0, 28]))
+    starts, ends, _ = collocations.grams(text, "en")
+    assert n == 6 and text == b"one two three four \n five six \n "
+    keep = np.array([1, 1, 0, 1, 0, 1, 0, 0], bool)
+    assert collocations.covered(text, starts, ends, keep) == b" one two \n four \n five \n "
+
+
 def test_scores_pass_64_bits(spark):
     a, l, r = 9 * 10**11, 10**12, 95 * 10**10
     counts = spark.createDataFrame([("en", 1, "x", l), ("en", 1, "y", r), ("en", 2, "x y", a), ("en", 0, None, 5 * 10**12)], collocations.COUNTS)
