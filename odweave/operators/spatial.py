@@ -1,7 +1,7 @@
 """Contiguity graphs, spatial lag, Moran statistics, local clusters and point-in-polygon.
 
-A weights graph is an edge table (i, j, w).  Permutations are reproducible in SQL: permutation r orders ids by
-md5(id-r), so results do not depend on a random generator or on how rows are partitioned.
+A weights graph is an edge table (i, j, w).  Permutations are arithmetic on ranks (see permutations), so results are the same in SQL, and do not
+depend on a random generator or on how rows are partitioned.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from odweave.functions import scalars as S
 from odweave.operators.grouping import components, numbered
+from odweave.operators.permutations import permuted
+from odweave.storage import release, stored
 
 
 # --- contiguity -----------------------------------------------------------------------------
@@ -90,23 +92,22 @@ def moran(values: DataFrame, weights: DataFrame, key: str, column: str) -> DataF
     return r.withColumn("z_norm", (F.col("moran_i") - F.col("expected_i")) / F.sqrt("variance"))
 
 
-def permutation_order(key: str) -> Column:
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit("-"), F.col("r").cast("string")))
-
-
 def moran_permutation(values: DataFrame, weights: DataFrame, key: str, column: str, permutations: int = 99) -> DataFrame:
-    """Global Moran's I with a permutation p-value: permutation r gives the value of rank k in key order to the k-th id in md5
-    order.  Permutations run side by side, partitioned by r; an id's column of permuted values meets the edges by r and id."""
-    z = standardised(values, column).select(key, "z")
-    by_key = numbered(z, [F.col(key)], "k").select(F.col("z").alias("pz"), "k")
-    reps = z.select(key).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    order = reps.withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy(permutation_order(key), key)))
-    mixed = order.join(by_key, "k").select("r", F.col(key).alias("i"), "pz").unionByName(z.select(F.lit(0).alias("r"), F.col(key).alias("i"), F.col("z").alias("pz")))
-    pairs = weights.join(mixed, "i").join(mixed.select("r", F.col("i").alias("j"), F.col("pz").alias("qz")), ["r", "j"])
+    """Global Moran's I with a permutation p-value: permutation r gives the k-th id, in key order, the value of the permuted k.  An area
+    has one array of its values under all permutations, so edges meet areas and not areas times permutations."""
+    z = stored(numbered(standardised(values, column).select(key, "z"), [F.col(key)], "k").withColumn("k", F.col("k") - 1), "numbered")
+    n = z.count()
+    reps = z.select(key, "k").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    dealt = permuted(reps, "k", n, permutations)
+    mixed = dealt.join(z.select("k", F.col("z").alias("pz")), "k").select(key, "r", "pz").unionByName(z.select(key, F.lit(0).alias("r"), F.col("z").alias("pz")))
+    arrays = stored(mixed.groupBy(F.col(key).alias("i")).agg(F.sort_array(F.collect_list(F.struct("r", "pz"))).alias("a")).select("i", F.transform("a", lambda s: s["pz"]).alias("a")), "arrays")
+    pairs = weights.join(arrays, "i").join(arrays.select(F.col("i").alias("j"), F.col("a").alias("b")), "j")
+    each = pairs.select(F.posexplode(F.zip_with("a", "b", lambda x, y: x * y * F.col("w"))).alias("r", "c"))
     totals = z.agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("z")).alias("zz")).crossJoin(F.broadcast(weights.agg(F.sum("w").alias("s0"))))
-    stats = pairs.groupBy("r").agg(F.sum(F.col("w") * F.col("pz") * F.col("qz")).alias("c")).crossJoin(F.broadcast(totals)).select("r", (F.col("n") / F.col("s0") * F.col("c") / F.col("zz")).alias("i"))
-    observed = F.max(F.when(F.col("r") == 0, F.col("i")))
-    one = stats.groupBy().agg(observed.alias("moran_i"))
+    stats = each.groupBy("r").agg(F.sum("c").alias("c")).crossJoin(F.broadcast(totals)).select("r", (F.col("n") / F.col("s0") * F.col("c") / F.col("zz")).alias("i"))
+    stats = stored(stats, "permuted")  # one row a permutation
+    release(z, dealt, arrays)
+    one = stats.where("r = 0").select(F.col("i").alias("moran_i"))
     s = stats.where("r > 0").crossJoin(F.broadcast(one))
     t = s.groupBy("moran_i").agg(F.count_if(F.col("i") >= F.col("moran_i") - 1e-12).alias("larger"), F.count("*").alias("permutations"), F.avg("i").alias("mean_simulated"), F.stddev_pop("i").alias("sd_simulated"))
     few = F.least(F.col("larger"), F.col("permutations") - F.col("larger"))
@@ -125,30 +126,32 @@ def local_moran(values: DataFrame, weights: DataFrame, key: str, column: str) ->
     return r.join(d, key, "left").fillna(0, ["neighbours"])
 
 
-#: Values of permuted lists that are broadcast at most.
-BROADCAST_VALUES = 2_000_000
-
-
 def local_p_values(local: DataFrame, key: str, permutations: int = 99) -> DataFrame:
-    """local with p_sim of conditional permutations: with area i fixed, its neighbours' values are those of the first ids other than i
-    in permutation r's order.
-
-    Only the first (largest degree + 1) ids of a permutation can be used, so each permutation is a short list of values; an area
-    reads the lists, not the other areas.  The work is areas x permutations x degree."""
-    most = local.agg(F.max("neighbours").alias("m")).first()["m"] or 0
-    ids = local.select(key, "z").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    first = F.row_number().over(Window.partitionBy("r").orderBy(permutation_order(key), key))
-    small = permutations * (most + 1) <= BROADCAST_VALUES  # else the lists meet the areas by permutation
-    heads = ids.withColumn("k", first).where(F.col("k") <= most + 1).groupBy("r").agg(F.sort_array(F.collect_list(F.struct("k", F.col(key).alias("id"), "z"))).alias("head"))
-    sample = local.where("neighbours > 0").select(F.col(key).alias("_id"), F.col("z").alias("_z"), "lag_z", "neighbours")
-    if small:
-        sample = sample.crossJoin(F.broadcast(heads))
-    else:
-        sample = sample.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).join(heads.hint("shuffle_hash"), "r")
-    others = F.slice(F.filter("head", lambda s: s["id"] != F.col("_id")), F.lit(1), F.col("neighbours").cast("int"))
-    sim = F.aggregate(others, F.lit(0.0), lambda a, s: a + s["z"]) / F.col("neighbours") * F.col("_z")
-    obs = F.col("_z") * F.col("lag_z")
-    larger = sample.groupBy("_id").agg(F.count_if(sim >= obs - 1e-12).alias("_larger"))
+    """local with p_sim of conditional permutations: with area i fixed, its d neighbours' values are those of the first d ids other than
+    i in permutation r's order.
+
+    Their sum is that of the first d ids, or, if i is among them, of the first d + 1 less i's own value.  So permutations need their sums at
+    the degrees that occur only, and an area its place in each; the work is areas x permutations, whatever the degrees."""
+    rows = stored(numbered(local, [F.col(key)], "_k").withColumn("_k", F.col("_k") - 1), "numbered")
+    n, most = rows.agg(F.count("*"), F.coalesce(F.max("neighbours"), F.lit(0))).first()
+    spark = local.sparkSession
+    places = spark.range(min(n, most + 1)).withColumnRenamed("id", "_place").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    if not n:
+        return local.withColumn("p_sim", F.lit(1.0))
+    drawn = permuted(places.withColumn("_k", F.col("_place")), "_k", n, permutations)
+    heads = drawn.join(rows.select("_k", "z"), "_k")
+    so_far = F.sum("z").over(Window.partitionBy("r").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))  # the largest degree's rows
+    degrees = rows.select(F.col("neighbours").cast("long").alias("d")).where("d > 0").distinct()
+    sums = heads.select("r", (F.col("_place") + 1).alias("m"), so_far.alias("s"))
+    first = sums.join(degrees, F.col("m") == F.col("d")).select("r", "d", F.col("s").alias("_own"))
+    more = sums.join(degrees, F.col("m") == F.col("d") + 1).select("r", "d", F.col("s").alias("_more"))
+    at = stored(first.join(more, ["r", "d"], "left"), "sums")
+    sample = rows.where("neighbours > 0").select(F.col(key).alias("_id"), F.col("z").alias("_z"), "lag_z", F.col("neighbours").cast("long").alias("d"), "_k").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    dealt = permuted(sample, "_k", n, permutations, inverse=True)
+    sample = dealt.join(at, ["r", "d"])
+    sim = F.when(F.col("_k") < F.col("d"), F.col("_more") - F.col("_z")).otherwise(F.col("_own")) / F.col("d") * F.col("_z")
+    larger = stored(sample.groupBy("_id").agg(F.count_if(sim >= F.col("_z") * F.col("lag_z") - 1e-12).alias("_larger")), "larger")
+    release(rows, drawn, at, dealt)
     few = F.least(F.col("_larger"), F.lit(permutations) - F.col("_larger"))
     return local.join(larger.withColumnRenamed("_id", key), key, "left").withColumn("p_sim", F.coalesce((few + 1) / F.lit(permutations + 1.0), F.lit(1.0))).drop("_larger")
 

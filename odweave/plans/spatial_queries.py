@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from odweave.functions import scalars as S
 from odweave.operators import spatial, stats
+from odweave.operators.permutations import permuted_sql
 from odweave.plans import views as V
 from odweave.plans.flow_queries import _with
 from odweave.plans.registry import query
@@ -97,8 +98,9 @@ def moran_scatter(spark, sf):
 
 def permuted_ctes(r: int) -> str:
     """CTEs of Moran's I of z under r permutations; z (area, z) and weights (i, j, w) come before."""
-    return f"""byk AS (SELECT z AS pz, row_number() OVER (ORDER BY area) AS k FROM z), mixed AS (SELECT r, area AS i, pz FROM (SELECT area, r, row_number() OVER (PARTITION BY r ORDER BY md5(area::VARCHAR || '-' || r::VARCHAR), area) AS k FROM z, unnest(range(1, {r + 1})) AS t(r)) JOIN byk USING (k)
-UNION ALL SELECT 0, area, z FROM z), st AS (SELECT a.r, (SELECT count(*) FROM z) / (SELECT sum(w) FROM weights) * sum(w.w * a.pz * b.pz) / (SELECT sum(z * z) FROM z) AS i FROM mixed a JOIN weights w ON w.i = a.i JOIN mixed b ON b.i = w.j AND b.r = a.r GROUP BY a.r),
+    return f"""byk AS (SELECT area, z AS pz, row_number() OVER (ORDER BY area) - 1 AS k, count(*) OVER () AS n FROM z), reps AS (SELECT area, k, n, r FROM byk, unnest(range(1, {r + 1})) AS t(r)),
+mixed AS MATERIALIZED (SELECT m.r, m.area AS i, b.pz FROM {permuted_sql("reps", "area", "k", "n")} m JOIN byk b USING (k) UNION ALL SELECT 0, area, z FROM z),
+st AS (SELECT a.r, (SELECT count(*) FROM z) / (SELECT sum(w) FROM weights) * sum(w.w * a.pz * b.pz) / (SELECT sum(z * z) FROM z) AS i FROM mixed a JOIN weights w ON w.i = a.i JOIN mixed b ON b.i = w.j AND b.r = a.r GROUP BY a.r),
 o AS (SELECT i FROM st WHERE r = 0), tt AS (SELECT max(o.i) AS moran_i, count(*) FILTER (st.i >= o.i - 1e-12) AS larger, count(*) AS permutations, avg(st.i) AS mean_simulated, stddev_pop(st.i) AS sd_simulated FROM st, o WHERE r > 0)"""
 
 
@@ -123,8 +125,8 @@ def moran_local(spark, sf):
     return V.rounded(spatial.local_moran(v, w, "area", "inflow"))
 
 
-LISA = f"""ord AS (SELECT area, z, r, row_number() OVER (PARTITION BY r ORDER BY md5(area::VARCHAR || '-' || r::VARCHAR), area) AS k FROM z, unnest(range(1, {R + 1})) AS t(r)),
-heads AS (SELECT * FROM ord WHERE k <= 9), cand AS (SELECT l.area, l.z AS zi, l.lag_z, l.neighbours, h.r, h.z, row_number() OVER (PARTITION BY l.area, h.r ORDER BY h.k) AS q FROM local l JOIN heads h ON h.area <> l.area),
+LISA = f"""byk AS (SELECT area, z, row_number() OVER (ORDER BY area) - 1 AS k, count(*) OVER () AS n FROM z), places AS (SELECT k AS place, k, n, r FROM (SELECT k, n FROM byk WHERE k < 9), unnest(range(1, {R + 1})) AS t(r)),
+heads AS MATERIALIZED (SELECT p.r, p.place AS k, b.area, b.z FROM {permuted_sql("places", "place", "k", "n")} p JOIN byk b USING (k)), cand AS (SELECT l.area, l.z AS zi, l.lag_z, l.neighbours, h.r, h.z, row_number() OVER (PARTITION BY l.area, h.r ORDER BY h.k) AS q FROM local l JOIN heads h ON h.area <> l.area),
 sims AS (SELECT area, r, sum(z) / max(neighbours) * max(zi) AS sim, max(zi * lag_z) AS obs FROM cand WHERE q <= neighbours GROUP BY area, r),
 pv AS (SELECT area, (least(count(*) FILTER (sim >= obs - 1e-12), {R} - count(*) FILTER (sim >= obs - 1e-12)) + 1) / {R + 1}.0::DOUBLE AS p_sim FROM sims GROUP BY area),
 lisa AS (SELECT local.*, p_sim, p_sim < 0.05 AS significant, CASE WHEN NOT p_sim < 0.05 THEN 'Not Significant' WHEN quadrant = 1 THEN 'High-High' WHEN quadrant = 2 THEN 'Low-High' WHEN quadrant = 3 THEN 'Low-Low' ELSE 'High-Low' END AS cluster,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from odweave.functions import distributions as D
-from odweave.operators import elimination, learning, spatial
+from odweave.operators import elimination, learning, permutations, spatial
 from odweave.operators import regression as R
 
 
@@ -288,3 +288,42 @@ def test_permutation_queries_run_999(spark):
 
     for query in (Q.moran_permutation, M.residual_moran):
         assert query(spark, SF).first()["permutations"] == 999
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 257])
+def test_permutations_are_bijections(spark, n):
+    rows = spark.range(n).withColumnRenamed("id", "x").withColumn("at", F.col("x")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    there = permutations.permuted(rows, "x", n, 40)
+    got = {}
+    for r in there.collect():
+        got.setdefault(r["r"], {})[r["at"]] = r["x"]
+    assert all(sorted(p.values()) == list(range(n)) for p in got.values())
+    back = permutations.permuted(there, "x", n, 40, inverse=True).collect()
+    assert all(r["x"] == r["at"] for r in back)
+    if n == 257:  # places are as even as chance, and permutations differ
+        assert len({tuple(sorted(p.items())) for p in got.values()}) == 40
+        ends = np.array([[p[i] for i in range(n)] for p in got.values()])
+        assert abs(np.corrcoef(ends[:, :-1].ravel(), ends[:, 1:].ravel())[0, 1]) < 0.05 and abs(ends[:, 3].mean() - 128) < 40
+
+
+def test_local_p_values_against_drawn_neighbours(spark):
+    """A lattice with one hub: the first ids of every permutation, other than the area's own, stand for its neighbours."""
+    n, reps = 60, 25
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=n)
+    near = {i: {(i - 1) % n, (i + 1) % n} for i in range(n - 1)} | {n - 1: set()}
+    near[0] = set(range(1, 45))  # edges need not be symmetric for this test
+    local = spark.createDataFrame([(i, float(z[i]), float(np.mean([z[j] for j in near[i]]) if near[i] else 0), len(near[i])) for i in range(n)], "area long, z double, lag_z double, neighbours int")
+    got = {r["area"]: r["p_sim"] for r in spatial.local_p_values(local, "area", reps).collect()}
+    places = spark.range(n).withColumnRenamed("id", "x").withColumn("at", F.col("x")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    order = {}
+    for r in permutations.permuted(places, "x", n, reps).collect():
+        order.setdefault(r["r"], {})[r["at"]] = r["x"]
+    for i in range(n):
+        d = len(near[i])
+        if not d:
+            assert got[i] == 1.0
+            continue
+        sims = [z[i] * np.mean([z[j] for j in (p[k] for k in range(n)) if j != i][:d]) for p in order.values()]
+        larger = sum(s >= z[i] * np.mean([z[j] for j in near[i]]) - 1e-12 for s in sims)
+        assert got[i] == (min(larger, reps - larger) + 1) / (reps + 1)
