@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odweave.functions import scalars as S
+from odweave.operators import selection
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -56,14 +57,15 @@ def join_coverage(base: DataFrame, source: DataFrame, key: str, pattern: str | N
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(variable, statistic...) for each column, from one aggregate."""
+    """(variable, statistic...) for each column: medians are selected by ranges, all else is one aggregate."""
+    medians = selection.quantiles(selection.long_values(df, {c: S.finite(F.col(c)) for c in columns}), [0.5])
     aggs = []
     for c in columns:
         x, y = F.col(c).cast("double"), S.finite(F.col(c))
         aggs.append(F.struct(
             F.lit(c).alias("variable"), F.count(x).alias("non_null"), F.count_if(x.isNull()).alias("missing"), F.count_if(F.abs(x) == float("inf")).alias("infinite"),
             F.count_if(y < 0).alias("negative"), F.count_if(y == 0).alias("zero"), F.min(y).alias("min"), F.max(y).alias("max"), F.avg(y).alias("mean"),
-            F.percentile(y, 0.5).alias("median"), F.stddev_samp(y).alias("sd"),
+            F.lit(medians.get(c, [None])[0]).cast("double").alias("median"), F.stddev_samp(y).alias("sd"),
         ))
     return df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("r")).select("r.*")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from odweave.operators import selection, stats
 from odweave.operators.grouping import running_sum
 
 # Labels, thresholds and order of the two rule tables.  A rule holds if all its conditions do; the first that holds
@@ -54,15 +55,20 @@ def long_form(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
     return df.select(F.explode(rows).alias("r")).select("r.*").where("x IS NOT NULL AND value IS NOT NULL")
 
 
+def _feature_quantiles(rows: DataFrame, column: str, probabilities: list[float]) -> DataFrame:
+    """(feature, q): quantiles of a column, one row a feature."""
+    q = selection.quantiles(rows.select(F.col("feature").alias("g"), F.col(column).alias("v")), probabilities)
+    return rows.sparkSession.createDataFrame(list(q.items()), "feature string, q array<double>")
+
+
 def profiles(rows: DataFrame, bins: int = 20) -> DataFrame:
     """Per feature and quantile bin (equal values together): size, range, middle and spread of x and value."""
-    edges = rows.groupBy("feature").agg(F.array_distinct(F.percentile("x", [i / bins for i in range(bins + 1)])).alias("edges"))
+    edges = _feature_quantiles(rows, "x", [i / bins for i in range(bins + 1)]).select("feature", F.array_distinct("q").alias("edges"))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     binned = rows.join(F.broadcast(edges), "feature").withColumn("bin", 1 + F.size(F.filter(inner, lambda e: e < F.col("x"))))  # one row a feature
-    return binned.groupBy("feature", "bin").agg(
-        F.count("*").alias("n"), F.min("x").alias("min_feature"), F.max("x").alias("max_feature"), F.median("x").alias("median_feature"), F.avg("x").alias("mean_feature"),
-        F.avg("value").alias("mean_value"), F.median("value").alias("median_value"), F.percentile("value", 0.25).alias("p25_value"), F.percentile("value", 0.75).alias("p75_value"),
-    )
+    g = binned.groupBy("feature", "bin").agg(F.count("*").alias("n"), F.min("x").alias("min_feature"), F.max("x").alias("max_feature"), F.avg("x").alias("mean_feature"), F.avg("value").alias("mean_value"))
+    key = F.concat_ws(":", "feature", "bin")
+    return stats.with_middles(g, binned.select(key.alias("g"), "x", "value"), key)
 
 
 def group_ranks(rows: DataFrame, by: str, column: str, name: str) -> DataFrame:
@@ -87,11 +93,10 @@ def measures(rows: DataFrame, bins: int = 20) -> DataFrame:
     """Per feature: correlations, percentiles, and what the rule tables ask of its profile: rank, line, gap (absolute correlations and
     their distance), spread (95th less 5th percentile), steady (share of steps in the direction of the rank correlation), lifts (the
     profile rises from below 0 to stay above it), turns (changes of direction), fade (later steps in relation to earlier ones)."""
-    at = F.percentile
-    p = rows.groupBy("feature").agg(
-        F.min("x").alias("feature_min"), F.median("x").alias("feature_median"), F.max("x").alias("feature_max"), at("value", 0.05).alias("value_p05"), at("value", 0.5).alias("value_p50"), at("value", 0.95).alias("value_p95"),
-        F.avg(F.abs("value")).alias("mean_abs_value"),
-    )
+    p = rows.groupBy("feature").agg(F.min("x").alias("feature_min"), F.max("x").alias("feature_max"), F.avg(F.abs("value")).alias("mean_abs_value"))
+    of_x, of_value = _feature_quantiles(rows, "x", [0.5]), _feature_quantiles(rows, "value", [0.05, 0.5, 0.95])
+    p = p.join(of_x.select("feature", F.get("q", F.lit(0)).alias("feature_median")), "feature")
+    p = p.join(of_value.select("feature", *(F.get("q", F.lit(i)).alias(f"value_{n}") for i, n in enumerate(("p05", "p50", "p95")))), "feature")
     m = profiles(rows, bins).groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("bin", "mean_value"))).alias("_p"), F.stddev_pop("mean_value").alias("_sd"))
     m = m.withColumn("_m", F.transform("_p", lambda s: s["mean_value"])).withColumn("_least", F.greatest(F.lit(LEAST_STEP), F.col("_sd") * STEP_SHARE))
     steps = F.transform(F.slice("_m", 2, F.greatest(F.size("_m") - 1, F.lit(0))), lambda v, i: v - F.get("_m", i))

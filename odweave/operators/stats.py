@@ -9,18 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odweave.functions import scalars as S
+from odweave.operators import selection
 from odweave.operators.grouping import join_group, numbered, running_sum
 from odweave.storage import stored
 
 
 def descriptives(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column over finite values: count, mean, median, sd, min, max, bias-corrected skewness and excess kurtosis, zeros,
-    missing.  Exact medians come from one aggregate with all the rest."""
+    missing.  Exact medians are selected by ranges, all else is one aggregate."""
+    medians = selection.quantiles(selection.long_values(df, {c: S.finite(F.col(c)) for c in columns}), [0.5])
     aggs = []
     for c in columns:
         y = S.finite(F.col(c))
         aggs.append(F.struct(
-            F.lit(c).alias("variable"), F.count(y).alias("n"), F.avg(y).alias("mean"), F.percentile(y, 0.5).alias("median"), F.stddev_samp(y).alias("sd"), F.min(y).alias("min"),
+            F.lit(c).alias("variable"), F.count(y).alias("n"), F.avg(y).alias("mean"), F.lit(medians.get(c, [None])[0]).cast("double").alias("median"), F.stddev_samp(y).alias("sd"), F.min(y).alias("min"),
             F.max(y).alias("max"), F.skewness(y).alias("g1"), F.kurtosis(y).alias("g2"), F.count_if(y == 0).alias("zeros"), F.count_if(y.isNull()).alias("missing"),
         ))
     r = df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("r")).select("r.*")
@@ -37,20 +39,20 @@ def screening(desc: DataFrame, skew: float = 2, kurt: float = 10) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
-    """Values strictly beyond the quartiles by factor x IQR.  Quartiles are one aggregate, counts another."""
-    q = df.agg(*(F.percentile(S.finite(F.col(c)), [0.25, 0.75]).alias(c) for c in columns)).first()
+    """Values strictly beyond the quartiles by factor x IQR.  Quartiles are selected by ranges, counts are one aggregate."""
+    q = selection.quantiles(selection.long_values(df, {c: S.finite(F.col(c)) for c in columns}), [0.25, 0.75])
     rows = []
     for c in columns:
-        lo, hi = q[c] if q[c] else (None, None)
-        d = (hi - lo) * factor if q[c] else 0.0
+        lo, hi = q.get(c, (None, None))
+        d = (hi - lo) * factor if c in q else 0.0
         y = S.finite(F.col(c))
         rows.append(F.struct(F.lit(c).alias("variable"), F.lit(lo).cast("double").alias("q1"), F.lit(hi).cast("double").alias("q3"), F.count_if((y < (lo or 0) - d) | (y > (hi or 0) + d)).alias("outliers")))
     return df.agg(F.array(*rows).alias("a")).select(F.explode("a").alias("r")).select("r.*")
 
 
 def quantile_edges(df: DataFrame, column: str, k: int) -> list[float]:
-    edges = df.agg(F.percentile(column, [i / k for i in range(k + 1)]).alias("e")).first()["e"] or []
-    return sorted(set(edges))
+    edges = selection.quantiles(selection.long_values(df, {column: F.col(column)}), [i / k for i in range(k + 1)])
+    return sorted(set(edges.get(column, [])))
 
 
 def quantile_class(c: Column, edges: list[float]) -> Column:
@@ -134,12 +136,21 @@ def bh_adjust(df: DataFrame, p: str, key: str, name: str = "p_adjusted", partiti
 def binned_profile(df: DataFrame, feature: str, value: str, bins: int = 20) -> DataFrame:
     """Per quantile bin of a feature (equal values together): size, range, middle and spread of feature and value."""
     edges = quantile_edges(df, feature, bins)
-    x = df.withColumn("bin", quantile_class(F.col(feature), edges))
-    g = x.where("bin IS NOT NULL").groupBy("bin").agg(
-        F.count("*").alias("n"), F.min(feature).alias("min_feature"), F.max(feature).alias("max_feature"), F.median(feature).alias("median_feature"), F.avg(feature).alias("mean_feature"),
-        F.avg(value).alias("mean_value"), F.median(value).alias("median_value"), F.percentile(value, 0.25).alias("p25_value"), F.percentile(value, 0.75).alias("p75_value"),
+    x = df.withColumn("bin", quantile_class(F.col(feature), edges)).where("bin IS NOT NULL")
+    g = x.groupBy("bin").agg(
+        F.count("*").alias("n"), F.min(feature).alias("min_feature"), F.max(feature).alias("max_feature"), F.avg(feature).alias("mean_feature"), F.avg(value).alias("mean_value"),
     )
-    return g
+    return with_middles(g, x.select(F.col("bin").cast("string").alias("g"), F.col(feature).alias("x"), F.col(value).alias("value")), F.col("bin").cast("string"))
+
+
+def with_middles(groups: DataFrame, rows: DataFrame, key: Column) -> DataFrame:
+    """groups with median_feature, median_value, p25_value and p75_value of the rows (g, x, value) of each; key is a group's g."""
+    long = rows.select(F.explode(F.array(*(F.struct(F.concat("g", F.lit(f":{c}")).alias("g"), F.col(c).cast("double").alias("v")) for c in ("x", "value")))).alias("r")).select("r.*").where("v IS NOT NULL")
+    q = selection.quantiles(long, [0.25, 0.5, 0.75])
+    none = [None] * 3
+    table = [(g, q.get(f"{g}:x", none)[1], *q.get(f"{g}:value", none)) for g in {k.rsplit(":", 1)[0] for k in q}]
+    table = groups.sparkSession.createDataFrame(table, "_g string, median_feature double, p25_value double, median_value double, p75_value double")
+    return groups.withColumn("_g", key).join(F.broadcast(table), "_g", "left").drop("_g")  # one row a group
 
 
 def profile_slopes(profile: DataFrame) -> DataFrame:

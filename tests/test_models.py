@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from odweave.functions import distributions as D
-from odweave.operators import elimination, learning, permutations, spatial
+from odweave.operators import elimination, learning, permutations, selection, spatial
 from odweave.operators import regression as R
 
 
@@ -327,3 +327,21 @@ def test_local_p_values_against_drawn_neighbours(spark):
         sims = [z[i] * np.mean([z[j] for j in (p[k] for k in range(n)) if j != i][:d]) for p in order.values()]
         larger = sum(s >= z[i] * np.mean([z[j] for j in near[i]]) - 1e-12 for s in sims)
         assert got[i] == (min(larger, reps - larger) + 1) / (reps + 1)
+
+
+def test_quantiles_by_ranges(spark, monkeypatch):
+    """Ties, one value, heavy tails, infinite ranges and few rows, with bins so small that ranges are narrowed many times."""
+    monkeypatch.setattr(selection, "BINS", 4)
+    monkeypatch.setattr(selection, "FEW", 5)
+    rng = np.random.default_rng(4)
+    columns = {
+        "normal": rng.normal(size=501), "ties": rng.integers(0, 4, 400).astype(float), "same": np.full(300, 2.5), "tail": np.exp(rng.normal(size=300) * 20), "wide": np.array([-1.7e308, 0.0, 1.7e308, 1.0, 2.0, 3.0, 4.0, 5.0]), "one": np.array([7.0]),
+        "a:b": rng.normal(size=40), "negative": -np.exp(rng.normal(size=200)),
+    }
+    long = spark.createDataFrame([(g, float(v)) for g, x in columns.items() for v in x], "g string, v double").repartition(5)
+    p = [0.0, 0.05, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = selection.quantiles(long, p)
+    assert set(got) == set(columns)
+    for g, x in columns.items():
+        assert got[g] == pytest.approx(np.quantile(x / 2, p) * 2, rel=1e-12), g
+    assert selection.quantiles(long.limit(0), p) == {}
