@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from odweave.operators import boosting
 from odweave.operators.grouping import numbered
 from odweave.operators.regression import fit_ols, regression_metrics
 from odweave.storage import release, scratch_dir, stored
@@ -132,15 +133,22 @@ def permutation_importance(model, df: DataFrame, features: list[str], response:
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), "feature")))  # one row a feature
 
 
-def compare_held_out(df: DataFrame, features: list[str], response: str, estimators: dict, fold: str = "fold", test_fold: int = 0) -> tuple[DataFrame, dict]:
+def compare_held_out(df: DataFrame, features: list[str], response: str, estimators: dict, fold: str = "fold", test_fold: int = 0, key: str | None = None) -> tuple[DataFrame, dict]:
     """(table, fitted models): OLS and tree models on the same held-out fold - model, n_train, n_test, cv_r2 (mean over all folds, null for
-    OLS), test_r2, rmse, mae, best (of the tree models the one with the largest test R2)."""
+    OLS), test_r2, rmse, mae, best (of the tree models the one with the largest test R2).  An estimator is one of pyspark.ml or a boosting.Settings, whose row
+    samples need a key."""
     train, test = df.where(F.col(fold) != test_fold), df.where(F.col(fold) == test_fold)
     n_train = train.count()
     ols = fit_ols(train, response, features)
     m = regression_metrics(test.withColumn("_p", ols.fitted()), response, "_p").first()
     rows, fitted = [("OLS", n_train, m["n"], None, m["r2"], m["rmse"], m["mae"])], {}
     for name, estimator in estimators.items():
+        if isinstance(estimator, boosting.Settings):
+            cv = boosting.cross_validated(df, features, response, fold, estimator, key).agg(F.avg("r2")).first()[0]
+            fitted[name] = boosting.fit(train, features, response, estimator, key=key)[None]
+            m = regression_metrics(test.withColumn("_p", fitted[name].prediction()), response, "_p").first()
+            rows.append((name, n_train, int(m["n"]), cv, m["r2"], m["rmse"], m["mae"]))
+            continue
         cv = cross_validate(df, estimator, features, response, fold).agg(F.avg("r2")).first()[0]
         fitted[name] = fit_model(assembled(train, features), estimator, response)
         m = score_model(fitted[name], assembled(test, features), response)
