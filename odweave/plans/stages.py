@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from odweave.functions import scalars as S
 from odweave.operators import flows, quality, spatial
 from odweave.sources import files
+from odweave.sources.daily_cache import DailyCache
+from odweave.storage import stored
 
 AREA_CODE = r"^E010\d{5}$"
 MODES = ("validation", "provisional", "final")
@@ -40,26 +42,37 @@ def map_records(records: DataFrame, lookup: DataFrame) -> DataFrame:
     return scope.withColumn("outside", F.col("dest").isNull())
 
 
+#: Tables of the daily cache.
+CACHED = ("destination", "origin", "components")
+
+
 def process_days(spark: SparkSession, wanted: DataFrame, records: DataFrame, log: DataFrame, version: str, folder: str, success: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Processes the days whose cached result is not valid - all of them in one program - and gives the new log.
 
-    wanted: date, source_signature, schema_signature.  Three partial tables are written by day; a day is successful when its
-    counters show no missing or negative values and the written users equal the source's."""
-    todo = files.days_to_process(wanted, log, version)
+    wanted: date, source_signature, schema_signature.  A day is valid if the log has its success and the cache has its rows.  Three partial tables are
+    staged by day; a day is successful when its counters show no missing or negative values and the staged users equal the source's.  Successful days
+    are committed at once; of the others the cache keeps what it had."""
+    cache = DailyCache(spark, folder, CACHED)
+    seen = cache.version()
+    there = spark.createDataFrame([(d,) for d in cache.valid_days()], "date string")
+    known = log.join(F.broadcast(there), "date", "left_semi")  # one row a day
+    todo = files.days_to_process(wanted, known, version)
     dated = records.withColumn("date", F.date_format("day", "yyyy-MM-dd")).join(F.broadcast(todo.select("date")), "date", "left_semi")  # at most the expected days
     day = lambda df: df.withColumn("date", F.date_format("day", "yyyy-MM-dd")).drop("day")
-    files.write_daily(day(flows.daily_destination(dated)), f"{folder}/destination")
-    files.write_daily(day(flows.daily_origin(dated)), f"{folder}/origin")
-    files.write_daily(day(flows.daily_components(dated)), f"{folder}/components")
+    run = cache.stage({"destination": day(flows.daily_destination(dated)), "origin": day(flows.daily_origin(dated)), "components": day(flows.daily_components(dated))})
     c = dated.groupBy("date").agg(
         F.count("*").alias("rows"), F.count_if(F.col("users").isNull() | F.col("signals").isNull()).alias("missing_values"), F.count_if(F.col("users") < 0).alias("negative_users"), F.count_if(F.col("signals") < 0).alias("negative_signals"),
         (F.count("*") - F.count_distinct(F.struct("dest", "origin"))).alias("duplicate_od_records"), F.coalesce(F.sum(F.when(F.col("dest").isNotNull(), F.col("users"))), F.lit(0.0)).alias("source_users"),
     )
-    schema = "dest long, origin_class string, users double, signals double, is_weekend boolean, date string"
-    written = spark.read.schema(schema).parquet(f"{folder}/destination").groupBy("date").agg(F.sum("users").alias("written_users"))
+    days = [r["date"] for r in todo.select("date").distinct().collect()]
+    staged = cache.read_run("destination", {run: days})
+    written = spark.createDataFrame([], "date string, written_users double") if staged is None else staged.groupBy("date").agg(F.sum("users").alias("written_users"))
     r = todo.join(c, "date", "left").join(written, "date", "left").withColumn("reconciliation_abs_diff", F.abs(F.coalesce("source_users", F.lit(0.0)) - F.coalesce("written_users", F.lit(0.0))))
     ok = (F.coalesce("missing_values", F.lit(1)) == 0) & (F.col("negative_users") == 0) & (F.col("negative_signals") == 0) & (F.col("reconciliation_abs_diff") <= 1e-6)
     r = r.withColumns({"success": F.coalesce(ok, F.lit(False)).cast("string"), "processing_version": F.lit(version), "cache_status": F.lit("processed")})
+    r = stored(r, "days")  # one row a day; the log outlives the records
+    if done := [x["date"] for x in r.where("success = 'true'").select("date").collect()]:
+        cache.commit(run, done, seen)
     kept = log.withColumn("cache_status", F.lit("cached")) if "cache_status" in log.columns else log
     return quality.upsert(kept, success(r) if success else r, "date")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from odweave.operators import spatial
 from odweave.plans import stages, views
+from odweave.sources.daily_cache import DailyCache
 from tests.conftest import SF
 
 
@@ -27,7 +28,44 @@ def test_map_and_process_days(spark, tmp_path):
     wanted = spark.createDataFrame([("2024-01-01", "s", "h"), ("2024-01-02", "s", "h")], "date string, source_signature string, schema_signature string")
     log = spark.createDataFrame([("2024-01-01", "s", "h", "v1", "true")], "date string, source_signature string, schema_signature string, processing_version string, success string")
     new = {x["date"]: x for x in stages.process_days(spark, wanted, r, log, "v1", str(tmp_path)).collect()}
-    assert new["2024-01-02"]["success"] == "true" and new["2024-01-02"]["source_users"] == 4.0 and new["2024-01-01"]["rows"] is None
+    assert new["2024-01-02"]["success"] == "true" and new["2024-01-02"]["source_users"] == 4.0
+    assert new["2024-01-01"]["rows"] == 1  # the log has its success, but the cache has no rows of it
+    cache = DailyCache(spark, str(tmp_path), stages.CACHED)
+    assert cache.valid_days() == ["2024-01-01", "2024-01-02"] and cache.version() == 1
+    log = spark.createDataFrame([(d, "s", "h", "v1", "true") for d in new], log.schema)
+    again = {x["date"]: x for x in stages.process_days(spark, wanted, r, log, "v1", str(tmp_path)).collect()}
+    assert again["2024-01-01"]["cache_status"] != "processed" and again["2024-01-02"]["cache_status"] != "processed" and cache.version() == 1
+    next(tmp_path.glob("origin/run=*/date=2024-01-02/*.parquet")).unlink()  # a lost file makes its day invalid, and only that
+    assert cache.valid_days() == ["2024-01-01"]
+    third = {x["date"]: x for x in stages.process_days(spark, wanted, r, log, "v1", str(tmp_path)).collect()}
+    assert third["2024-01-02"]["cache_status"] == "processed" and cache.valid_days() == ["2024-01-01", "2024-01-02"]
+    bad = r.withColumn("users", F.when(F.date_format("day", "dd") == "02", F.lit(-1.0)).otherwise(F.col("users")))
+    failed = {x["date"]: x for x in stages.process_days(spark, wanted, bad, log, "v2", str(tmp_path)).collect()}
+    assert failed["2024-01-02"]["success"] == "false" and failed["2024-01-01"]["success"] == "true"
+    assert cache.read("destination", ["2024-01-02"]).agg(F.sum("users")).first()[0] == 4.0  # the old day is still there
+
+
+def test_cache_commits_all_tables_or_none(spark, tmp_path):
+    cache = DailyCache(spark, str(tmp_path), ("a", "b"))
+    frame = lambda v: spark.createDataFrame([("2024-01-01", v), ("2024-01-03", v)], "date string, v int")
+    assert cache.valid_days() == [] and cache.read("a") is None
+    first = cache.stage({"a": frame(1), "b": frame(1).limit(0)})
+    assert cache.read("a") is None
+    cache.commit(first, ["2024-01-01", "2024-01-03"])
+    with pytest.raises(ValueError):
+        cache.stage({"a": frame(2)})
+
+    broken = frame(2).select("date", F.udf(lambda v: 1 // 0, "int")("v").alias("v"))
+    with pytest.raises(Exception, match="ZeroDivision"):  # dies between two tables
+        cache.stage({"a": frame(2), "b": broken})
+    assert {r["v"] for r in cache.read("a").collect()} == {1} and cache.valid_days() == ["2024-01-01", "2024-01-03"]
+    one, two = (cache.stage({"a": frame(v), "b": frame(v)}) for v in (3, 4))
+    cache.commit(one, ["2024-01-03"], seen=1)
+    with pytest.raises(RuntimeError, match="committed"):
+        cache.commit(two, ["2024-01-03"], seen=1)
+    assert {(r["date"], r["v"]) for r in cache.read("a").collect()} == {("2024-01-01", 1), ("2024-01-03", 3)}
+    cache.vacuum()
+    assert cache.valid_days() == ["2024-01-01", "2024-01-03"] and len(list(tmp_path.glob("a/run=*"))) == 2
 
 
 def test_run_modes(spark):
