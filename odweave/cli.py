@@ -46,19 +46,21 @@ def _save(df: DataFrame, folder: str, name: str) -> None:
     sinks.write_csv(df, f"{folder}/{name}", one_file=True)
 
 
+# Names of the output files of ``ols`` and keys of its JSON.
+OLS_FILES = {"comparison": "ols_model_comparison", "coefficients": "enhanced_ols_coefficients", "correlations": "predictor_correlation_matrix", "inflation": "variance_inflation_factors", "diagnostics": "ols_diagnostics"}
+OLS_KEYS = ("baseline_metrics", "enhanced_metrics", "diagnostics", "maximum_vif", "mean_vif", "condition_number")
+
+
 def run_ols(spark: SparkSession, a: argparse.Namespace) -> None:
     df = files.read_csv(spark, a.input_csv)
     fits = {"baseline": R.fit_ols(df, a.response, a.baseline_predictors), "enhanced": R.fit_ols(df, a.response, a.enhanced_predictors)}
     best, v = fits["enhanced"], stats.vif(df, a.enhanced_predictors)
-    _save(R.compare(fits, spark), a.output_dir, "ols_model_comparison")
-    _save(best.coefficients(spark), a.output_dir, "enhanced_ols_coefficients")
-    _save(stats.correlation_matrix(df, a.enhanced_predictors), a.output_dir, "predictor_correlation_matrix")
-    _save(v, a.output_dir, "variance_inflation_factors")
+    tables = {"inflation": v, "coefficients": best.coefficients(spark), "comparison": R.compare(fits, spark), "correlations": stats.correlation_matrix(df, a.enhanced_predictors)}
+    for kind, table in tables.items():
+        _save(table, a.output_dir, OLS_FILES[kind])
     m = v.agg(F.max("vif").alias("a"), F.avg("vif").alias("b")).first()
-    sinks.write_json(
-        {"baseline_metrics": fits["baseline"].metrics(), "enhanced_metrics": best.metrics(), "diagnostics": R.diagnostics(best), "maximum_vif": m["a"], "mean_vif": m["b"], "condition_number": stats.condition_number(df, a.enhanced_predictors)},
-        f"{a.output_dir}/ols_diagnostics.json",
-    )
+    values = (fits["baseline"].metrics(), best.metrics(), R.diagnostics(best), m["a"], m["b"], stats.condition_number(df, a.enhanced_predictors))
+    sinks.write_json(dict(zip(OLS_KEYS, values, strict=True)), f"{a.output_dir}/{OLS_FILES['diagnostics']}.json")
 
 
 def run_spatial(spark: SparkSession, a: argparse.Namespace) -> None:

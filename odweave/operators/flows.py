@@ -117,6 +117,7 @@ def monthly_indicators(areas: DataFrame, records: DataFrame, expected: DataFrame
     return t.select(*INDICATORS)
 
 
+# The columns of the indicator table in their order.
 INDICATORS = (
     "area", "observed_days", "expected_days", "coverage_ratio", "observed_weekdays", "observed_weekend_days", "missing_dates", "provisional_flag",
     "mobility_inflow_total", "mobility_inflow_mean_daily", "flow_entropy", "weekday_inflow_total", "weekend_inflow_total", "weekday_mean_daily_inflow",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from odweave.operators import boosting
 from odweave.operators.grouping import numbered
+from odweave.operators.permutations import permuted
 from odweave.operators.regression import fit_ols, regression_metrics
 from odweave.storage import release, scratch_dir, stored
 
@@ -116,15 +117,16 @@ def cross_validate(df: DataFrame, estimator, features: list[str], response: str,
 
 
 def permutation_importance(model, df: DataFrame, features: list[str], response: str, key: str, repeats: int = 30) -> DataFrame:  # noqa: ANN001
-    """(feature, mean, sd, rank) of the drop of R2 when a feature's values are dealt anew.  A repeat gives the row of rank k in key order
-    the value of rank k in the order of md5(key-feature-repeat).  All features and repeats are one program."""
+    """(feature, mean, sd, rank) of the drop of R2 when a feature's values are dealt anew: repeat r of the f-th feature gives each row the value of the
+    row whose rank in key order is its own rank under permutation f * repeats + r + 1.  All features and repeats are one program without a sort."""
     base = score_model(model, assembled(df, features), response)["r2"]
-    rows = numbered(df.select(key, response, *features), [F.col(key)], "_k")
-    value = F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in features))
-    dealt = df.select(F.col(key).alias("_key"), F.explode(value).alias("_s")).select("_key", "_s.*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r"))
-    order = F.md5(F.concat_ws("-", F.col("_key").cast("string"), "f", F.col("r").cast("string")))
-    dealt = dealt.select("f", "r", "v", F.row_number().over(Window.partitionBy("f", "r").orderBy(order, "_key")).alias("_k"))
-    mixed = rows.join(dealt, "_k").withColumns({c: F.when(F.col("f") == c, F.col("v")).otherwise(F.col(c).cast("double")) for c in features})
+    rows = stored(numbered(df.select(key, response, *features), [F.col(key)], "_k").withColumn("_k", F.col("_k") - 1), "numbered")
+    places = rows.select(F.col("_k").alias("_at"), "_k").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(repeats * len(features)))))
+    dealt = permuted(places, "_k", rows.count(), repeats * len(features)) if features else places
+    dealt = dealt.withColumn("_f", F.floor((F.col("r") - 1) / repeats).cast("int"))
+    values = rows.select("_k", F.posexplode(F.array(*(F.col(f).cast("double") for f in features))).alias("_f", "_new"))
+    mixed = dealt.join(values, ["_k", "_f"]).drop("_k").join(rows.withColumnRenamed("_k", "_at"), "_at")
+    mixed = mixed.withColumns({c: F.when(F.col("_f") == i, F.col("_new")).otherwise(F.col(c).cast("double")) for i, c in enumerate(features)}).withColumn("f", F.get(F.array(*map(F.lit, features)), F.col("_f")))
     e = model.transform(assembled(mixed, features))
     a, p = F.col(response), F.col("_p")
     r2 = 1 - F.sum((a - p) * (a - p)) / (F.var_pop(a) * F.count("*"))

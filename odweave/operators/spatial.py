@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odweave.functions import scalars as S
+from odweave.operators import selection
 from odweave.operators.grouping import components, numbered
 from odweave.operators.permutations import permuted
 from odweave.storage import release, stored
@@ -166,7 +167,11 @@ def lisa_summary(table: DataFrame) -> DataFrame:
     """Per cluster (all five, those without areas too): count, shares, and means and medians."""
     spark = table.sparkSession
     dim = spark.createDataFrame([(c, i) for i, c in enumerate(S.CLUSTERS)], "cluster string, category_rank int")
-    g = table.groupBy("cluster").agg(F.count("*").alias("areas"), F.avg("value").alias("mean_value"), F.median("value").alias("median_value"), F.avg("local_i").alias("mean_local_i"), F.median("p_sim").alias("median_p"))
+    g = table.groupBy("cluster").agg(F.count("*").alias("areas"), F.avg("value").alias("mean_value"), F.avg("local_i").alias("mean_local_i"))
+    each = F.explode(F.array(*(F.struct(F.concat("cluster", F.lit(f":{c}")).alias("g"), F.col(c).cast("double").alias("v")) for c in ("value", "p_sim"))))
+    q = selection.quantiles(table.select(each.alias("r")).select("r.*").where("v IS NOT NULL"), [0.5])
+    middles = [(c, *(q.get(f"{c}:{x}", [None])[0] for x in ("value", "p_sim"))) for c in S.CLUSTERS]
+    g = g.join(F.broadcast(spark.createDataFrame(middles, "cluster string, median_value double, median_p double")), "cluster")
     all_ = table.agg(F.count("*").alias("_n"), F.count_if("significant").alias("_s"))
     r = F.broadcast(dim).join(g, "cluster", "left").fillna(0, ["areas"]).crossJoin(F.broadcast(all_))
     of_sig = F.when(F.col("cluster") != S.CLUSTERS[4], F.coalesce(S.safe_ratio(F.col("areas") * 100, F.col("_s")), F.lit(0.0)))

@@ -243,13 +243,13 @@ def test_permutation_importance_is_one_program(spark):
     m = learning.fit_model(learning.assembled(df, ["a", "b"]), learning.boosted_trees(5), "y")
     t = {q["feature"]: q for q in learning.permutation_importance(m, df, ["a", "b"], "y", "area", 4).collect()}
     assert t["a"]["rank"] == 1 and t["a"]["mean"] > 0.5 and abs(t["b"]["mean"]) < 0.05
-    import hashlib
-
+    places = spark.range(80).withColumnRenamed("id", "x").withColumn("at", F.col("x")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    from_ = {(q["r"], q["at"]): q["x"] for q in permutations.permuted(places, "x", 80, 8).collect()}
     pred = lambda d: np.array([q["_p"] for q in m.transform(learning.assembled(d, ["a", "b"])).orderBy("area").collect()])
     y, r2 = 3 * x[:, 0], lambda p: 1 - ((3 * x[:, 0] - p) ** 2).sum() / ((3 * x[:, 0] - (3 * x[:, 0]).mean()) ** 2).sum()
     drops = []
     for k in range(4):
-        order = sorted(range(80), key=lambda i: (hashlib.md5(f"{i}-a-{k}".encode()).hexdigest(), i))
+        order = [from_[k + 1, i] for i in range(80)]
         mixed = spark.createDataFrame([(i, float(x[order[i], 0]), float(x[i, 1]), float(y[i])) for i in range(80)], "area long, a double, b double, y double")
         drops.append(r2(pred(df)) - r2(pred(mixed)))
     assert t["a"]["mean"] == pytest.approx(np.mean(drops)) and t["a"]["sd"] == pytest.approx(np.std(drops))
