@@ -38,6 +38,7 @@ FIT_DOCS, MOST_ROWS = 4000, 64
 # Fixed patterns of the base spans.  The local part of an email is walked back from its "@", and digit
 # runs are entered at their first digit only, so that no text takes quadratic time.
 _HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_ENDING = re.compile(r"[^A-Za-z](?:com|org|net|edu|gov|info|io|co|eu|uk|us|de|fr|es|it|nl)$", re.I)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -89,11 +90,12 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 _AT = re.compile(r"@|\(at\)|\[at\]|\{at\}|[ ]at[ ]", re.I)
 _DOT = r"(?:\.|\(dot\)|\[dot\]|\{dot\}|[ ]dot[ ])"
-_BEFORE = re.compile(r"[A-Za-z0-9._%+-]{1,64}[ ]?$")
+_ENDING = re.compile(r"[^A-Za-z](?:com|org|net|edu|gov|info|io|co|eu|uk|us|de|fr|es|it|nl)$", re.I)
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _AFTER = re.compile(rf"[ ]?[A-Za-z0-9-]{{1,63}}(?:[ ]?{_DOT}[ ]?[A-Za-z0-9-]{{2,63}}){{1,4}}", re.I)
 _DIGITS = re.compile(r"[0-9]+")
-#: What may stand between the groups of a number, and the groups that one may have at most.
-_BETWEEN, MOST_GROUPS = re.compile(r"[ ().\-/\[\]]{1,3}"), 6
+#: What may stand between the groups of a number.
+_BETWEEN = re.compile(r"[ ().\-/\[\]]{1,3}")
 _DEFANGED = re.compile(r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}){3}(?![A-Za-z0-9])")
 _CUES = {
     "email": re.compile(r"mail|contact|write|reach", re.I), "ip": re.compile(r"\bip\b|addr|host|server|login", re.I),
@@ -102,14 +104,17 @@ _CUES = {
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Spans that may be personal data, under every kind that they may be; they may overlap: every run of up to MOST_GROUPS
-    neighbouring digit groups is one."""
+    """Spans that may be personal data, under every kind that they may be; they may overlap: every run of neighbouring digit groups of up to 24
+    digits is one.  The part of an address before its sign is taken whole, however long."""
     out = []
     for at in _AT.finditer(text):
-        before = _BEFORE.search(text[max(0, at.start() - 66) : at.start()])
-        after = before and _AFTER.match(text, at.end())
+        end = at.start() - (at.start() > 0 and text[at.start() - 1] == " ")
+        start = end
+        while start and text[start - 1] in _LOCAL:
+            start -= 1
+        after = start < end and _AFTER.match(text, at.end())
         if after:
-            out.append(("email", at.start() - len(before[0]), after.end()))
+            out.append(("email", start, after.end()))
     if not _DIGIT.search(text):
         return out
     groups = [m.span() for m in _DIGITS.finditer(text)]
@@ -127,7 +132,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                     out.append(("phone", start, groups[j][1]))
                 if n >= 13:
                     out.append(("card", start, groups[j][1]))
-            if n > 24 or j - i + 1 == MOST_GROUPS or j == len(joined) or not joined[j]:
+            if n > 24 or j == len(joined) or not joined[j]:
                 break
             j += 1
             n += groups[j][1] - groups[j][0]
@@ -174,22 +179,38 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(bool(_CUES[kind].search(before))), float(sum(bool(c.search(before)) for c in _CUES.values())),
         float(before[-1:].isspace() or not before), float(after[:1].isspace() or not after), float(before[-1:] in "$€£#"),
         float(bool(re.match(r"(19|20)\d\d[-/.]", s))), float(sum(len(g) == 3 for g in parts)), float(sum(len(g) == 4 for g in parts)),
-        float(bool(re.search(r"[0-9][ ().\-/\[\]]{1,3}$", before))), float(bool(re.match(r"[ ().\-/\[\]]{1,3}[0-9]", after))), float("/" in s or "  " in s),
+        float(bool(re.search(r"[0-9][ ().\-/\[\]]{1,3}$", before))), float(bool(re.match(r"[ ().\-/\[\]]{1,3}[0-9]", after))), float("/" in s or "  " in s), float(bool(re.search(r"[(\[{]at[)\]}]", s, re.I))), float(bool(_ENDING.search(s))),
     ]
 
 
+def _another(kind: str, r: np.random.Generator) -> str:
+    """A made-up span of a kind, so that the model does not learn the habits of one table's names and numbers."""
+    num = lambda k: "".join(str(x) for x in r.integers(0, 10, k))
+    word = lambda low, high: "".join(chr(97 + x) for x in r.integers(0, 26, r.integers(low, high)))
+    if kind == "email":
+        local = word(2, 10) + ["", ".", "_", "-"][r.integers(4)] + word(1, 9) + (num(2) if r.integers(3) == 0 else "")
+        return f"{local}@{word(3, 12)}{'.' + word(2, 8) if r.integers(4) == 0 else ''}.{['com', 'org', 'net', 'de', 'fr', 'edu', word(2, 4)][r.integers(7)]}"
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in r.integers(0, 256, 4))
+    if kind == "card":
+        d = "3456"[r.integers(4)] + num(14)
+        return d + next(c for c in "0123456789" if luhn(d + c))
+    return f"+{r.integers(1, 99)}{num(10)}"
+
+
 def _disguised(kind: str, s: str, r: np.random.Generator) -> str:
     """The span as people rewrite it so that the base pattern fails."""
     if kind == "email":
-        at, dot = [("(at)", "."), (" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) ")][r.integers(4)]
+        at = ["(at)", " (at) ", " at ", "[at]", " [at] ", "{at}"][r.integers(6)]
+        dot = [" dot ", "[dot]", "(dot)", " (dot) ", ".", "."][r.integers(4 if at == " at " else 6)]
         local, host = s.split("@", 1)
         return local + at + host.replace(".", dot)
     if kind == "ip":
         return s.replace(".", ["[.]", "(.)"][r.integers(2)])
     d = digits_of(s)
     if kind == "card":
-        sep = [".", "/", "  "][r.integers(3)]
-        return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+        sep, size = [".", "/", "  "][r.integers(3)], [4, 4, 4, 2][r.integers(4)]
+        return sep.join(d[i : i + size] for i in range(0, len(d), size))
     local = d[-10:]
     return [f"({local[:3]}) {local[3:6]}-{local[6:]}", f"{local[:3]}-{local[3:6]}-{local[6:]}", f"{local[:3]}.{local[3:6]}.{local[6:]}", f"00{d[:-10]} {local}"][r.integers(4)]
 
@@ -220,8 +241,8 @@ def labelled(text: str, doc_id: int) -> Iterator[tuple[list[float], int]]:
         elif spots.free(a, b):
             yield features(text, kind, a, b), 0
     for kind, a, b in sorted(taken):
-        for label, make in ((1, _disguised), (0, _broken)):
-            new = make(kind, text[a:b], r)
+        for label, make in ((1, _disguised), (1, _disguised), (0, _broken), (0, _broken)):
+            new = make(kind, text[a:b] if r.integers(2) else _another(kind, r), r)
             around = text[max(0, a - 60) : a] + new + text[b : b + 40]
             at = min(a, 60)
             for k, x, y in candidates(around):
@@ -286,7 +307,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, precision: float = 0.98) -> M
 
     got = sample.limit(2 * fit_docs).mapInArrow(rows, "doc_id long, x array<double>").toPandas()
     got = got.sort_values("doc_id", kind="stable") if len(got) else got
-    x = np.array(got["x"].tolist()) if len(got) else np.zeros((0, 31))
+    x = np.array(got["x"].tolist()) if len(got) else np.zeros((0, 33))
     order = np.lexsort(x.T) if len(x) else []
     return Model(x[order][:, :-1], x[order][:, -1], precision)
 

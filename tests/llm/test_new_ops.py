@@ -259,3 +259,62 @@ def test_dedup_judges_each_text_of_a_doc_id(spark):
     kept = ngram_join.dedup(spark.createDataFrame(rows, "doc_id long, text string, _nj_id int"))
     assert kept.columns == ["doc_id", "text", "_nj_id"]
     assert sorted(r["_nj_id"] for r in kept.collect()) == [1, 3, 5, 6, 7, 8, 9]
+
+
+# --- personal data: recall of added spans -----------------------------------------------------------
+
+
+def test_recall_of_disguised_personal_data_by_kind(spark):
+    """Planted in prose of the sample table, in forms that the base patterns miss (two digits between dots would be base addresses); a span counts as found if it is covered."""
+    import numpy as np
+
+    from odweave.llm import pii
+
+    rng = np.random.default_rng(21)
+    num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+
+    def card():
+        d = "4" + num(14)
+        return d + next(c for c in "0123456789" if pii.luhn(d + c))
+
+    def planted(kind):
+        if kind == "email":
+            a, b = "".join(rng.choice(list("abcdefgh"), 6)), "".join(rng.choice(list("mnopqrst"), 7))
+            return [f"{a}.{b} (at) {b}.org", f"{a} at {b} dot com", f"{a}[at]{b}[dot]net", f"{a * 12} (at) {b} (dot) org"][rng.integers(4)]
+        if kind == "ip":
+            return rng.choice(["[.]", "(.)"]).join(str(int(x)) for x in rng.integers(1, 255, 4))
+        if kind == "card":
+            d = card()
+            return [".".join(d[i : i + 4] for i in range(0, 16, 4)), "/".join(d[i : i + 4] for i in range(0, 16, 4)), "  ".join(d[i : i + 4] for i in range(0, 16, 4)), "/".join(d[i : i + 2] for i in range(0, 16, 2))][rng.integers(4)]
+        return [f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"][rng.integers(3)]
+
+    base = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    prose = [r["text"] for r in base.where("length(text) > 300").orderBy("doc_id").limit(60).collect()]
+    cue = {"email": "Write to ", "ip": "The server is ", "card": "Pay with card ", "phone": "Call "}
+    rows, where = [], {}
+    for kind in pii.KINDS:
+        for i in range(60):
+            text, what = prose[i][:250], planted(kind)
+            head = f"{text}\n{cue[kind]}"
+            key = 10_000_000 + len(rows)
+            rows.append((key, f"{head}{what} today. {text}"))
+            where[key] = (kind, len(head), len(head) + len(what))
+    model = pii.fit(spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet"))  # a table with enough base spans to learn from
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), model).select("doc_id", "spans").collect()
+    hits = collections.Counter()
+    for r in found:
+        kind, a, b = where[r["doc_id"]]
+        spans = [(k, int(x), int(y)) for k, x, y in (s.split(":") for s in filter(None, r["spans"].split(",")))]
+        hits[kind] += any(k == kind and x <= a and y >= b for k, x, y in spans)
+    recall = {k: hits[k] / 60 for k in pii.KINDS}
+    print("recall of disguised spans by kind:", recall)
+    assert min(recall.values()) >= 0.9, recall
+
+
+def test_candidates_have_no_caps():
+    from odweave.llm import pii
+
+    many = ".".join("4111111111111111")
+    assert ("card", 0, len(many)) in pii.candidates(many)
+    local = "a" * 83
+    assert pii.candidates(f"x {local} (at) example.org")[0] == ("email", 2, 2 + 83 + len(" (at) example.org"))
