@@ -35,7 +35,7 @@ from odweave.llm import common as C
 from odweave.llm.common import PACKED, bound_batches, bucket_bounds, by_batch, expand, expand_sorted, pack, packed_batch, packed_exchange, parts_of, repeatable, squeeze, squeeze_sorted, stored, text_size
 
 #: Words of a shard, and keys of a bucket of the sketch, about.
-BATCH_WORDS, BUCKET_KEYS = 1_500_000, 3_000_000
+BATCH_WORDS, BUCKET_KEYS = 1_000_000, 2_000_000
 #: Longest phrase, least count, best phrases of a language; a longer phrase that has this percentage of a shorter one's count hides it.
 LONGEST, LEAST, TOP, HIDES = 3, 10, 2000, 50
 UND, SALTS = "und", 32
