@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from odweave.functions import distributions as D
 from odweave.operators import elimination, exact, spatial
 from odweave.operators.quality import complete_cases
+from odweave.storage import release, stored
 
 
 def cross_products(df: DataFrame, columns: list[Column]) -> np.ndarray:
@@ -302,31 +303,38 @@ class SpatialFit:
         return spark.createDataFrame(rows, "term string, estimate double, std_error double, z double, p double")
 
 
-def _prepared(df: DataFrame, weights: DataFrame, key: str, response: str, predictors: list[str]):  # noqa: ANN202
-    cols = [response, *predictors]
-    whole = complete_cases(df, cols)
-    n_all, n = df.count(), whole.count()
-    if n < n_all:
-        weights = spatial.subset_weights(weights, whole, key)
-    data = spatial.lag(whole.select(key, *cols), weights, key, cols)
-    has = weights.select(F.col("i").alias(key), F.lit(1.0).alias("_one")).distinct()
-    return data.join(has, key, "left").fillna(0.0, ["_one"]), weights, n
-
-
-def _profile(kind: str, data: DataFrame, weights: DataFrame, n: int, response: str, predictors: list[str], bounds: tuple[float, float]) -> SpatialFit:
-    """The likelihood in the spatial parameter r alone, from one matrix of products of centred and scaled columns.
+@dataclass
+class Products:
+    """What the likelihoods of both models need of the rows: products of centred and scaled columns, and the log-determinant.
 
     Rows without neighbours have lag 0, so a column's constant part m becomes m (1 - r one) under the filter, where one marks rows with neighbours.
     """
-    _, means, sds = exact.moments(data, [*predictors, response, "_one"])
+
+    n: int
+    mean: np.ndarray
+    sd: np.ndarray
+    my: float
+    sy: float
+    share: float
+    g: np.ndarray
+    logdet: LogDeterminant
+
+
+def _products(data: DataFrame, weights: DataFrame, response: str, predictors: list[str], bounds: tuple[float, float]) -> Products:
+    n, means, sds = exact.moments(data, [*predictors, response, "_one"])
     mean, sd = (np.array([x[c] for c in predictors]) for x in (means, sds))
     sd[sd == 0] = 1.0
     my, sy, share = means[response], sds[response] or 1.0, means["_one"]
     z = [(F.col(c) - F.lit(float(a))) / F.lit(float(s)) for c, a, s in zip([*predictors, response], [*mean, my], [*sd, sy], strict=True)]
     wz = [(F.col(f"lag_{c}") - F.lit(float(a)) * F.col("_one")) / F.lit(float(s)) for c, a, s in zip([*predictors, response], [*mean, my], [*sd, sy], strict=True)]
     g = cross_products(data, [F.lit(1.0), *z[:-1], F.col("_one") - F.lit(share), *wz[:-1], z[-1], wz[-1]])
+    return Products(n, mean, sd, my, sy, share, g, log_determinant(weights, n, bounds))
+
+
+def _profile(kind: str, data: DataFrame, m: Products, response: str, predictors: list[str], bounds: tuple[float, float]) -> SpatialFit:
+    """The likelihood in the spatial parameter r alone, from one matrix of products of centred and scaled columns."""
+    n, mean, sd, my, sy, share, g, logdet = m.n, m.mean, m.sd, m.my, m.sy, m.share, m.g, m.logdet
     p = len(predictors) + 1
-    logdet = log_determinant(weights, n, bounds)
     # columns of the model at r are fixed + r * moving, in terms of those of g
     fixed, moving = np.zeros((p + 1, 2 * p + 2)), np.zeros((p + 1, 2 * p + 2))
     fixed[:p, :p] = np.eye(p)
@@ -379,16 +387,30 @@ def _profile(kind: str, data: DataFrame, weights: DataFrame, n: int, response: s
     return SpatialFit(kind, response, predictors, beta, np.sqrt(np.diag(cov)), best, 1 / math.sqrt(-curve), s2 * sy**2, ll, n, e["rmse"], e["mae"], inner, logdet.error(best))
 
 
+def fit_spatial(df: DataFrame, weights: DataFrame, key: str, response: str, predictors: list[str], kinds: tuple[str, ...] = ("SAR", "SEM"), bounds: tuple[float, float] = (-0.95, 0.95)) -> list[SpatialFit]:
+    """Fits of the kinds by concentrated maximum likelihood.  Rows, their lags, products and the log-determinant are made once for all of them."""
+    cols = [response, *predictors]
+    rows = stored(df.select(key, *cols), "rows")
+    whole = complete_cases(rows, cols)
+    if whole.count() < rows.count():
+        weights = spatial.subset_weights(weights, whole, key)
+    weights = stored(weights, "weights")
+    has = weights.select(F.col("i").alias(key), F.lit(1.0).alias("_one")).distinct()
+    data = stored(spatial.lag(whole, weights, key, cols).join(has, key, "left").fillna(0.0, ["_one"]), "lags")
+    m = _products(data, weights, response, predictors, bounds)
+    fits = [_profile(kind, data, m, response, predictors, bounds) for kind in kinds]
+    release(rows, weights, data)
+    return fits
+
+
 def fit_sar(df: DataFrame, weights: DataFrame, key: str, response: str, predictors: list[str], bounds: tuple[float, float] = (-0.95, 0.95)) -> SpatialFit:
     """Spatial lag model by concentrated maximum likelihood: y = rho W y + X b + e.  Fitted values are rho W y + X b."""
-    data, w, n = _prepared(df, weights, key, response, predictors)
-    return _profile("SAR", data, w, n, response, predictors, bounds)
+    return fit_spatial(df, weights, key, response, predictors, ("SAR",), bounds)[0]
 
 
 def fit_sem(df: DataFrame, weights: DataFrame, key: str, response: str, predictors: list[str], bounds: tuple[float, float] = (-0.95, 0.95)) -> SpatialFit:
     """Spatial error model by concentrated maximum likelihood: y = X b + u, u = lambda W u + e.  Fitted values are X b."""
-    data, w, n = _prepared(df, weights, key, response, predictors)
-    return _profile("SEM", data, w, n, response, predictors, bounds)
+    return fit_spatial(df, weights, key, response, predictors, ("SEM",), bounds)[0]
 
 
 def spatial_comparison(ols: Fit, fits: list[SpatialFit], spark: SparkSession) -> DataFrame:

@@ -182,25 +182,34 @@ def residual_moran(spark, sf):
     return m.withColumn("z_sim", F.round("z_sim", 4))
 
 
-def _spatial(spark, sf, kind):
-    f = V.model_frame(spark, sf)
-    return (R.fit_sar if kind == "sar" else R.fit_sem)(f.select("area", Y, *X), V.frame_weights(f), "area", Y, X)
+def _spatial(spark, sf, *kinds):
+    """The frame, a stored table, and its fits of the kinds."""
+    f = stored(V.model_frame(spark, sf), "frame")
+    return f, R.fit_spatial(f, V.frame_weights(f), "area", Y, X, kinds)
+
+
+def _inference(spark, sf, kind):
+    f, (fit,) = _spatial(spark, sf, kind)
+    release(f)
+    return V.rounded(fit.inference(spark), 5)
 
 
 @query(None)
 def sar_fit(spark, sf):
-    return V.rounded(_spatial(spark, sf, "sar").inference(spark), 5)
+    return _inference(spark, sf, "SAR")
 
 
 @query(None)
 def sem_fit(spark, sf):
-    return V.rounded(_spatial(spark, sf, "sem").inference(spark), 5)
+    return _inference(spark, sf, "SEM")
 
 
 @query(None)
 def spatial_model_comparison(spark, sf):
-    fits = [_spatial(spark, sf, k) for k in ("sar", "sem")]
-    return V.rounded(R.spatial_comparison(R.fit_ols(V.model_frame(spark, sf), Y, X), fits, spark), 4)
+    f, fits = _spatial(spark, sf, "SAR", "SEM")
+    ols = R.fit_ols(f, Y, X)
+    release(f)
+    return V.rounded(R.spatial_comparison(ols, fits, spark), 4)
 
 
 @query("SELECT round(1 - sum(power(l_extendedprice - p, 2)) / (var_pop(l_extendedprice) * count(*)), 6) AS r2, count(*) AS n, round(sqrt(avg(power(l_extendedprice - p, 2))), 4) AS rmse, round(avg(abs(l_extendedprice - p)), 4) AS mae FROM (SELECT l_extendedprice, l_quantity * 1500.0 AS p FROM lineitem)")

@@ -107,6 +107,32 @@ def test_log_determinant_by_elimination(frame, monkeypatch):
         assert other.slope(r) == pytest.approx(exact.slope(r), rel=1e-3, abs=1e-4)
 
 
+@pytest.mark.parametrize("width", [10, 30])
+def test_elimination_takes_few_rounds(spark, monkeypatch, width):
+    """Most nodes of a map whose ids follow it go in a round of blocks; the driver gets sums of logarithms only."""
+    n = 1200
+    w = spatial.row_standardised(spatial.lattice_edges(spark.range(n).select(F.col("id").alias("area"), (F.col("id") % width).alias("x"), F.floor(F.col("id") / width).alias("y"))))
+    S = np.zeros((n, n))
+    for r in w.collect():
+        S[r["i"], r["j"]] = r["w"]
+    rounds, by_blocks = [], elimination._by_blocks
+    monkeypatch.setattr(elimination, "_by_blocks", lambda *a: rounds.append(by_blocks(*a)) or rounds[-1])
+    monkeypatch.setattr(elimination, "_chosen", lambda *a: pytest.fail("a round without blocks"))
+    got = elimination.log_determinants(w, np.array([-0.9, 0.3, 0.95]))
+    assert len(rounds) <= 6 and got == pytest.approx([np.log(1 - r * np.linalg.eigvals(S).real).sum() for r in (-0.9, 0.3, 0.95)], abs=1e-8)
+
+
+def test_fits_share_one_log_determinant(frame, monkeypatch):
+    df, _, _ = frame
+    w = spatial.row_standardised(spatial.lattice_edges(df))
+    alone = [f(df, w, "area", "t", ["a", "b"]) for f in (R.fit_sar, R.fit_sem)]
+    made, own = [], R.log_determinant
+    monkeypatch.setattr(R, "log_determinant", lambda *a: made.append(1) or own(*a))
+    both = R.fit_spatial(df, w, "area", "t", ["a", "b"])
+    assert len(made) == 1 and [f.kind for f in both] == ["SAR", "SEM"]
+    assert [x for f in both for x in (f.spatial, f.log_likelihood)] == pytest.approx([x for f in alone for x in (f.spatial, f.log_likelihood)])
+
+
 def test_spatial_models_with_an_island_and_a_large_mean(spark):
     """A row without neighbours, and a response far from 0, as in tables of logarithms."""
     rng = np.random.default_rng(7)
