@@ -7,6 +7,7 @@ inverse permutation.  The expressions are the same text in Spark and in other SQ
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +57,28 @@ def permuted(rows: DataFrame, x: str, n: int, permutations: int, inverse: bool =
         partner, after = round_sql(i, x, f"{n}L")
         out = out.selectExpr("*", f"{partner} AS _y").selectExpr(*rest, f"{after} AS {x}")
     return stored(out.select(*names), "permuted")
+
+
+def _mod(v: np.ndarray) -> np.ndarray:
+    """v modulo PRIME = 2**31 - 1, for 0 <= v < 2**62."""
+    v = (v & PRIME) + (v >> 31)
+    v = (v & PRIME) + (v >> 31)
+    return np.where(v == PRIME, 0, v)
+
+
+def _scrambled_array(v: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        v = _mod(_mod(v * v) * 48271 + v)
+    return v
+
+
+def permuted_arrays(x: np.ndarray, n: int, r: np.ndarray, inverse: bool = False) -> np.ndarray:
+    """[len(r), len(x)]: the places x, from 0 to n - 1, under the permutations r; equal to permuted(), for use within a task."""
+    r, out = r.astype(np.int64)[:, None], np.repeat(x.astype(np.int64)[None], len(r), 0)
+    for i in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
+        a, b = (_scrambled_array((r * (2 * ROUNDS) + (2 * i + k)) * 69621 % PRIME) for k in (0, 1))
+        y = a % n - out
+        y += (y < 0) * n
+        coin = _scrambled_array(_mod(np.maximum(out, y) * 2654435 + b))
+        out = np.where(coin & 1, y, out)
+    return out

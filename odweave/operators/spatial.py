@@ -6,15 +6,22 @@ depend on a random generator or on how rows are partitioned.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odweave.functions import scalars as S
 from odweave.operators import selection
 from odweave.operators.grouping import components, numbered
-from odweave.operators.permutations import permuted
+from odweave.operators.permutations import PRIME, permuted, permuted_arrays
 from odweave.storage import release, stored
 
+#: Places of a block of permuted values (16 MB under 999 permutations); areas and permutations whose places are reckoned at a time.
+PLACES, CHUNK, REPEATS = 2048, 2048, 64
+
 
 # --- contiguity -----------------------------------------------------------------------------
 
@@ -93,21 +100,93 @@ def moran(values: DataFrame, weights: DataFrame, key: str, column: str) -> DataF
     return r.withColumn("z_norm", (F.col("moran_i") - F.col("expected_i")) / F.sqrt("variance"))
 
 
+def _spread(rows: DataFrame, n: int, k: str) -> DataFrame:
+    """n rows in as many parts as their permutations are worth: none has more than CHUNK rows or so."""
+    parts = max(n // CHUNK, min(n // 128, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))) + 1
+    return rows.repartition(parts, k)
+
+
+def _dealt(n: int, permutations: int, block: int):  # noqa: ANN202
+    """Of batches of (k, z): for each block of places, where the permutations 0 (no change), 1, ... put each value."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["b", "r", "at", "z"]
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(start, CHUNK)
+                k, z = part.column("k").to_numpy(), part.column("z").to_numpy()
+                r = np.arange(permutations + 1)
+                place = np.concatenate([permuted_arrays(k, n, r[low : low + REPEATS], inverse=True) for low in range(0, len(r), REPEATS)])
+                place[0] = k
+                place, r = place.ravel(), np.repeat(r.astype(np.int32), len(k))
+                by = np.argsort((place // block).astype(np.int32), kind="stable")
+                place, r, v = place[by], r[by], np.tile(z, permutations + 1)[by]
+                at, first = np.unique(place // block, return_index=True)
+                ends = [*first[1:], len(place)]
+                cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(at), cut(r), cut((place % block).astype(np.int32)), cut(v)], names=names)
+
+    return deal
+
+
+def _block_sums(permutations: int, block: int):  # noqa: ANN202
+    """Of a block's values under all permutations and its edges: the sums over edges inside it (a row without k), and the values of its
+    places that have edges to others."""
+
+    def sums(values: pa.Table, edges: pa.Table) -> pa.Table:
+        a = np.zeros((block, permutations + 1))
+        for r, at, z in zip(*(values.column(c).to_pylist() for c in ("r", "at", "z")), strict=True):
+            a[np.frombuffer(at, np.int32), np.frombuffer(r, np.int32)] = np.frombuffer(z)
+        i, j, w = (edges.column(c).to_numpy() for c in ("ki", "kj", "w"))
+        first = values.column("b")[0].as_py() * block
+        inside = (i >= first) & (i < first + block) & (j >= first) & (j < first + block)
+        total = np.zeros(permutations + 1)
+        for e in np.array_split(np.flatnonzero(inside), inside.sum() // 1024 + 1):
+            total += (a[i[e] - first] * a[j[e] - first] * w[e][:, None]).sum(0)
+        ends = np.concatenate([i[~inside], j[~inside]])
+        ends = np.unique(ends[(ends >= first) & (ends < first + block)])
+        rows = np.concatenate([total[None], a[ends - first]])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, permutations + 1, dtype=np.int32)), pa.array(rows.ravel()))
+        return pa.Table.from_arrays([pa.array([None, *ends.tolist()], pa.int64()), lists], names=["k", "a"])
+
+    return sums
+
+
+def _pair_sums(permutations: int):  # noqa: ANN202
+    """The sum of w a b over a task's pairs, entry by entry."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(permutations + 1)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                a, b = (part.column(c).flatten().to_numpy().reshape(-1, permutations + 1) for c in "ab")
+                total += (a * b * part.column("w").to_numpy()[:, None]).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["a"])
+
+    return sums
+
+
 def moran_permutation(values: DataFrame, weights: DataFrame, key: str, column: str, permutations: int = 99) -> DataFrame:
-    """Global Moran's I with a permutation p-value: permutation r gives the k-th id, in key order, the value of the permuted k.  An area
-    has one array of its values under all permutations, so edges meet areas and not areas times permutations."""
+    """Global Moran's I with a permutation p-value: permutation r gives the k-th id, in key order, the value of the permuted k.  Values are
+    sent, packed, to the blocks of places where the permutations put them: one exchange of areas x permutations.  Edges within a block are summed
+    there; the others meet arrays of the areas at the blocks' borders."""
     z = stored(numbered(standardised(values, column).select(key, "z"), [F.col(key)], "k").withColumn("k", F.col("k") - 1), "numbered")
-    n = z.count()
-    reps = z.select(key, "k").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    dealt = permuted(reps, "k", n, permutations)
-    mixed = dealt.join(z.select("k", F.col("z").alias("pz")), "k").select(key, "r", "pz").unionByName(z.select(key, F.lit(0).alias("r"), F.col("z").alias("pz")))
-    arrays = stored(mixed.groupBy(F.col(key).alias("i")).agg(F.sort_array(F.collect_list(F.struct("r", "pz"))).alias("a")).select("i", F.transform("a", lambda s: s["pz"]).alias("a")), "arrays")
-    pairs = weights.join(arrays, "i").join(arrays.select(F.col("i").alias("j"), F.col("a").alias("b")), "j")
-    each = pairs.select(F.posexplode(F.zip_with("a", "b", lambda x, y: x * y * F.col("w"))).alias("r", "c"))
-    totals = z.agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("z")).alias("zz")).crossJoin(F.broadcast(weights.agg(F.sum("w").alias("s0"))))
+    n, block = z.count(), PLACES
+    if n >= PRIME:
+        raise ValueError(f"{n} places; at most {PRIME - 1}")
+    place = z.select(key, "k")
+    edges = stored(weights.join(place.toDF("i", "ki"), "i").join(place.toDF("j", "kj"), "j").select("ki", "kj", "w", F.floor(F.col("ki") / block).alias("b"), F.floor(F.col("kj") / block).alias("bj")), "edges")
+    dealt = _spread(z.select("k", "z"), n, "k").mapInArrow(_dealt(n, permutations, block), "b long, r binary, at binary, z binary")
+    both = edges.select("b", "ki", "kj", "w").union(edges.where("b != bj").select("bj", "ki", "kj", "w"))  # an edge between blocks shows both its ends
+    rows = stored(dealt.groupBy("b").cogroup(both.groupBy("b")).applyInArrow(_block_sums(permutations, block), "k long, a array<double>"), "arrays")
+    ends = rows.where("k IS NOT NULL")
+    pairs = edges.where("b != bj").join(ends.toDF("ki", "a"), "ki").join(ends.toDF("kj", "b_"), "kj").select("a", F.col("b_").alias("b"), "w")
+    each = rows.where("k IS NULL").select("a").union(pairs.mapInArrow(_pair_sums(permutations), "a array<double>")).select(F.posexplode("a").alias("r", "c"))
+    totals = z.agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("z")).alias("zz")).crossJoin(F.broadcast(edges.agg(F.sum("w").alias("s0"))))
     stats = each.groupBy("r").agg(F.sum("c").alias("c")).crossJoin(F.broadcast(totals)).select("r", (F.col("n") / F.col("s0") * F.col("c") / F.col("zz")).alias("i"))
     stats = stored(stats, "permuted")  # one row a permutation
-    release(z, dealt, arrays)
+    release(z, edges, rows)
     one = stats.where("r = 0").select(F.col("i").alias("moran_i"))
     s = stats.where("r > 0").crossJoin(F.broadcast(one))
     t = s.groupBy("moran_i").agg(F.count_if(F.col("i") >= F.col("moran_i") - 1e-12).alias("larger"), F.count("*").alias("permutations"), F.avg("i").alias("mean_simulated"), F.stddev_pop("i").alias("sd_simulated"))
@@ -147,14 +226,38 @@ def local_p_values(local: DataFrame, key: str, permutations: int = 99) -> DataFr
     first = sums.join(degrees, F.col("m") == F.col("d")).select("r", "d", F.col("s").alias("_own"))
     more = sums.join(degrees, F.col("m") == F.col("d") + 1).select("r", "d", F.col("s").alias("_more"))
     at = stored(first.join(more, ["r", "d"], "left"), "sums")
-    sample = rows.where("neighbours > 0").select(F.col(key).alias("_id"), F.col("z").alias("_z"), "lag_z", F.col("neighbours").cast("long").alias("d"), "_k").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    dealt = permuted(sample, "_k", n, permutations, inverse=True)
-    sample = dealt.join(at, ["r", "d"])
-    sim = F.when(F.col("_k") < F.col("d"), F.col("_more") - F.col("_z")).otherwise(F.col("_own")) / F.col("d") * F.col("_z")
-    larger = stored(sample.groupBy("_id").agg(F.count_if(sim >= F.col("_z") * F.col("lag_z") - 1e-12).alias("_larger")), "larger")
-    release(rows, drawn, at, dealt)
+    known = sorted((r["r"], r["d"], r["_own"], r["_more"]) for r in at.collect())  # a row for each permutation and degree that occurs
+    number = {d: c for c, d in enumerate(sorted({d for _, d, _, _ in known}))}
+    own, more = np.zeros((permutations, len(number))), np.full((permutations, len(number)), np.nan)
+    for r, d, a, b in known:
+        own[r - 1, number[d]], more[r - 1, number[d]] = a, np.nan if b is None else b
+    release(drawn, at)
+    counted = stored(_spread(rows.select(*local.columns, "_k"), n, "_k").mapInArrow(_larger(n, permutations, own, more, number), rows.select(*local.columns).withColumn("_larger", F.lit(None).cast("long")).schema), "p_values")
+    release(rows)
     few = F.least(F.col("_larger"), F.lit(permutations) - F.col("_larger"))
-    return local.join(larger.withColumnRenamed("_id", key), key, "left").withColumn("p_sim", F.coalesce((few + 1) / F.lit(permutations + 1.0), F.lit(1.0))).drop("_larger")
+    return counted.withColumn("p_sim", F.coalesce((few + 1) / F.lit(permutations + 1.0), F.lit(1.0))).drop("_larger")
+
+
+def _larger(n: int, permutations: int, own: np.ndarray, more: np.ndarray, number: dict[int, int]):  # noqa: ANN202
+    """Rows with the number of permutations whose local statistic is not below the row's (null without neighbours)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, z, lag, d = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_k", "z", "lag_z", "neighbours"))
+            out = np.zeros(len(k), np.int64)
+            for start in range(0, len(k), CHUNK):
+                part = slice(start, start + CHUNK)
+                at = np.flatnonzero(d[part] > 0) + start
+                column = np.array([number[v] for v in d[at]], int)
+                for low in range(0, permutations, REPEATS):
+                    r = np.arange(low, min(low + REPEATS, permutations))
+                    place = permuted_arrays(k[at], n, r + 1, inverse=True)
+                    s = np.where(place < d[at], more[r][:, column] - z[at], own[r][:, column])
+                    out[at] += (s / d[at] * z[at] >= z[at] * lag[at] - 1e-12).sum(0)
+            kept = [c for c in batch.schema.names if c != "_k"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, mask=d <= 0)], names=[*kept, "_larger"])
+
+    return count
 
 
 def lisa(values: DataFrame, weights: DataFrame, key: str, column: str, permutations: int = 99, alpha: float = 0.05) -> DataFrame:

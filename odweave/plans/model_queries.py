@@ -176,7 +176,7 @@ _RZ = "z AS (SELECT area, (e - avg(e) OVER ()) / stddev_pop(e) OVER () AS z FROM
 
 @query(_with(FR, *_FIT, _FW, _RZ) + f", {permuted_ctes(999)} " + PERMUTED_ROW)
 def residual_moran(spark, sf):
-    f = V.model_frame(spark, sf)
+    f = stored(V.model_frame(spark, sf), "frame")
     fit = R.fit_ols(f, Y, X)
     m = V.rounded(spatial.moran_permutation(fit.data.select("area", fit.residual().alias("residual")), V.frame_weights(f), "area", "residual", 999))
     return m.withColumn("z_sim", F.round("z_sim", 4))
@@ -288,7 +288,8 @@ _LOGGED = "logged AS (SELECT area, log_revenue, " + ", ".join(f"ln(1 + {c}) AS {
 
 
 def _logged(spark, sf):
-    f = V.model_frame(spark, sf)
+    """The frame, a stored table, and the same with logged predictors."""
+    f = stored(V.model_frame(spark, sf), "frame")
     low = f.agg(*(F.min(c).alias(c) for c in X[:4])).first()
     if any(low[c] < 0 for c in X[:4]):
         raise ValueError("log1p needs predictors that are not negative")
@@ -331,10 +332,11 @@ UNION ALL SELECT 'Ramsey RESET F', reset, {Q.t_two_sided("sqrt(greatest(reset, 0
 )
 def e6_diagnostics(spark, sf):
     """Diagnostics of the model with logged predictors (E6)."""
-    _, g = _logged(spark, sf)
+    f, g = _logged(spark, sf)
     fit = R.fit_ols(g.select("area", Y, *X), Y, X)
     d = R.diagnostics(fit)
     m = spatial.moran_permutation(fit.data.select("area", fit.residual().alias("residual")), V.frame_weights(g), "area", "residual", 999).first()
+    release(f)
     rows = [("Breusch-Pagan LM", d["breusch_pagan"], d["breusch_pagan_p"]), ("Breusch-Pagan F", d["breusch_pagan_f"], d["breusch_pagan_f_p"]), ("Ramsey RESET F", d["reset_f"], d["reset_p"]), ("Residual Moran I", m["moran_i"], m["p_sim"])]
     return V.rounded(spark.createDataFrame([(a, float(b), float(c)) for a, b, c in rows], "diagnostic string, statistic double, p_value double"))
 

@@ -10,6 +10,7 @@ from odweave.operators.permutations import permuted_sql
 from odweave.plans import views as V
 from odweave.plans.flow_queries import _with
 from odweave.plans.registry import query
+from odweave.storage import stored
 
 R = 999
 BASE = (V.OD, V.AREAS, V.EDGES, V.INFLOW, V.ZINFLOW)
@@ -17,7 +18,9 @@ LAG = "lagged AS (SELECT z.area, z.inflow, z.z, coalesce(sum(w.w * n.z), 0) AS l
 
 
 def _inflow(spark, sf):
-    return V.inflow(spark, sf), V.weights(spark, sf)
+    """Areas with their inflow, a stored table, and the weights of their lattice."""
+    v = stored(V.inflow(spark, sf), "inflow")
+    return v, spatial.row_standardised(spatial.lattice_edges(v))
 
 
 @query(_with(V.AREAS, V.EDGES) + "SELECT i, j, round(w, 6) AS w FROM weights")

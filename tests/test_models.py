@@ -332,6 +332,38 @@ def test_permutations_are_bijections(spark, n):
         assert abs(np.corrcoef(ends[:, :-1].ravel(), ends[:, 1:].ravel())[0, 1]) < 0.05 and abs(ends[:, 3].mean() - 128) < 40
 
 
+@pytest.mark.parametrize("inverse", [False, True])
+def test_permutations_of_arrays_are_those_of_rows(spark, inverse):
+    n, reps = 1000, 12
+    rows = spark.range(n).withColumnRenamed("id", "x").withColumn("at", F.col("x")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    want = np.zeros((reps, n), int)
+    for r in permutations.permuted(rows, "x", n, reps, inverse).collect():
+        want[r["r"] - 1, r["at"]] = r["x"]
+    assert (permutations.permuted_arrays(np.arange(n), n, np.arange(1, reps + 1), inverse) == want).all()
+
+
+def test_permuted_moran_sends_values_not_arrays(spark, monkeypatch):
+    """Blocks of 16 places: edges within and between them.  Only areas at a block's border have an array, and no row is an area's in one permutation."""
+    n, reps = 100, 30
+    monkeypatch.setattr(spatial, "PLACES", 16)
+    kept, own = {}, spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda df, name: kept.setdefault(name, own(df, name)))
+    monkeypatch.setattr(spatial, "release", lambda *a: None)
+    v = np.random.default_rng(8).normal(size=n)
+    df = spark.createDataFrame([(i, float(v[i]), i % 5, i // 5) for i in range(n)], "area long, v double, x long, y long")
+    w = spatial.row_standardised(spatial.lattice_edges(df))
+    got = spatial.moran_permutation(df, w, "area", "v", reps).first()
+    z = (v - v.mean()) / v.std()
+    W = np.zeros((n, n))
+    for r in w.collect():
+        W[r["i"], r["j"]] = r["w"]
+    sims = [z[p] @ W @ z[p] / W.sum() for p in permutations.permuted_arrays(np.arange(n), n, np.arange(1, reps + 1))]
+    i = z @ W @ z / W.sum()
+    assert (got["moran_i"], got["mean_simulated"], got["sd_simulated"]) == pytest.approx((i, np.mean(sims), np.std(sims)))
+    assert got["larger"] == sum(s >= i for s in sims) and got["permutations"] == reps
+    assert max(t.count() for t in kept.values()) < n * reps and kept["arrays"].where("k IS NOT NULL").count() < n
+
+
 def test_local_p_values_against_drawn_neighbours(spark):
     """A lattice with one hub: the first ids of every permutation, other than the area's own, stand for its neighbours."""
     n, reps = 60, 25
