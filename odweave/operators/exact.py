@@ -36,6 +36,18 @@ def exact_sums(df: DataFrame, values: dict[str, tuple[Column, float]], n: int) -
     return {name: (((r[f"{name}_h"] or 0) << bits) + (r[f"{name}_l"] or 0)) / (1 << 2 * bits) * power_above(bound) for name, (_, bound) in values.items()}
 
 
+def grouped_sums(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys..., name): the sum of a column in each group (null without values), the same for any order of rows: groups of the same values have the same sum."""
+    v = F.col(value).cast("double")
+    n, bounds = column_bounds(df, {"v": v})
+    bits, power = 61 - max(n, 1).bit_length(), power_above(max(map(abs, bounds["v"])))
+    unit = math.ldexp(1.0, bits)
+    scaled = v * F.lit(unit / power)
+    high = F.rint(scaled)
+    parts = df.groupBy(*keys).agg(F.sum(high.cast("long")).alias("_h"), F.sum(F.rint((scaled - high) * F.lit(unit)).cast("long")).alias("_l"))
+    return parts.select(*keys, ((F.col("_h").cast("double") + F.col("_l").cast("double") / F.lit(unit)) * F.lit(power / unit)).alias(name))
+
+
 def column_bounds(df: DataFrame, columns: dict[str, Column]) -> tuple[int, dict[str, tuple[float, float]]]:
     """(rows, least and largest value of each column), 0 where it has none."""
     r = df.agg(F.count("*").alias("n"), *(f(c.cast("double")).alias(f"{k}_{s}") for k, c in columns.items() for s, f in (("min", F.min), ("max", F.max)))).first()

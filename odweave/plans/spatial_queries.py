@@ -200,7 +200,7 @@ _EDGES5 = "q AS (SELECT quantile_cont(inflow, 0.2) AS a, quantile_cont(inflow, 0
 
 @query(_with(V.OD, V.AREAS, V.INFLOW, _EDGES5) + "SELECT area, CASE WHEN inflow <= a THEN 1 WHEN inflow <= b THEN 2 WHEN inflow <= c THEN 3 WHEN inflow <= d THEN 4 ELSE 5 END AS class FROM inflow, q")
 def quantile_classes(spark, sf):
-    v = V.inflow(spark, sf)
+    v = stored(V.inflow(spark, sf).select("area", "inflow"), "inflow")  # edges and classes are of the same sums
     return v.select("area", stats.quantile_class(F.col("inflow"), stats.quantile_edges(v, "inflow", 5)).alias("class"))
 
 

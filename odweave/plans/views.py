@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odweave.functions import scalars as S
-from odweave.operators import flows, spatial
+from odweave.operators import exact, flows, spatial
 
 WIDTH = 15
 FIRST, LAST = date(2024, 1, 1), date(2024, 1, 31)
@@ -54,7 +54,8 @@ CALENDAR = "calendar AS (SELECT CAST(d AS DATE) AS day, isodow(CAST(d AS DATE))
 
 
 def inflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return areas(spark, sf_dir).join(flows.total_by(records(spark, sf_dir).withColumnRenamed("dest", "area"), "area", "inflow"), "area", "left").fillna(0.0, ["inflow"])
+    """Areas with their inflow, of which no digit depends on the order of rows: areas of the same records are tied."""
+    return areas(spark, sf_dir).join(exact.grouped_sums(records(spark, sf_dir).withColumnRenamed("dest", "area"), ["area"], "users", "inflow"), "area", "left").fillna(0.0, ["inflow"])
 
 
 INFLOW = "inflow AS (SELECT area, coalesce(sum(users), 0) AS inflow FROM areas LEFT JOIN od ON od.dest = areas.area GROUP BY area)"

@@ -403,3 +403,22 @@ def test_quantiles_by_ranges(spark, monkeypatch):
     for g, x in columns.items():
         assert got[g] == pytest.approx(np.quantile(x / 2, p) * 2, rel=1e-12), g
     assert selection.quantiles(long.limit(0), p) == {}
+
+
+def test_areas_of_the_same_records_are_in_one_class(spark, tmp_path):
+    """Nine copies of each of seven areas, their records in different orders: the edges fall on ties."""
+    from datetime import datetime
+
+    from odweave.plans import spatial_queries as Q
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for a in range(7):
+        values = np.round(rng.uniform(0, 500, 40), 2)
+        rows += [(7 * c + a, float(v)) for c in range(9) for v in rng.permutation(values)]
+    df = spark.createDataFrame(rows, "user_id long, value double").repartition(3)
+    df.select(F.monotonically_increasing_id().alias("event_id"), F.lit(datetime(2024, 1, 1)).alias("ts"), "user_id", F.lit("view").alias("event_type"), "value", F.lit('{"k": 1}').alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    classes = {}
+    for r in Q.quantile_classes(spark, str(tmp_path)).collect():
+        classes.setdefault(r["area"] % 7, set()).add(r["class"])
+    assert len(classes) == 7 and all(len(c) == 1 for c in classes.values())
