@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +42,26 @@ def _seeds(points: np.ndarray, k: int, r: np.random.Generator) -> np.ndarray:
     return np.array(chosen)
 
 
+def _run_sums(centres: np.ndarray):  # noqa: ANN202
+    """Of a task's points: for each run and its clusters the number of nearest points, their coordinates' sums, and that of squared distances."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, k, _ = centres.shape
+        total = np.zeros((starts * k, 4))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                x, y = (batch.column(c).slice(at, 4096).to_numpy() for c in ("x", "y"))
+                distances = (x[:, None, None] - centres[None, :, :, 0]) ** 2 + (y[:, None, None] - centres[None, :, :, 1]) ** 2
+                near = distances.argmin(2)
+                d = np.take_along_axis(distances, near[:, :, None], 2)[:, :, 0]
+                slot = (near + np.arange(starts) * k).ravel()
+                for m, v in enumerate((np.ones(len(x)), x, y, d)):
+                    total[:, m] += np.bincount(slot, (v if v.ndim == 2 else np.repeat(v[:, None], starts, 1)).ravel(), starts * k)
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["a"])
+
+    return sums
+
+
 def kmeans_folds(areas: DataFrame, k: int = 5, starts: int = 50, seed: int = SEED, rounds: int = 100, sample: int = 10_000) -> DataFrame:
     """areas (x, y) with fold: the best of many k-means runs on the coordinates.  All runs go side by side: a round is one aggregate
     that gives each run's new centres.  First centres come from a sample of the points by their hash."""
@@ -51,26 +72,26 @@ def kmeans_folds(areas: DataFrame, k: int = 5, starts: int = 50, seed: int = SEE
     r = np.random.default_rng(seed)
     centres = np.stack([_seeds(some, k, r) for _ in range(starts)])
 
-    def nearest(runs: np.ndarray) -> Column:
-        """(squared distance, cluster) of a point for each run."""
-        all_ = F.array(*(F.array(*(F.struct(F.lit(float(c[0])).alias("a"), F.lit(float(c[1])).alias("b")) for c in run)) for run in runs))
-        distance = lambda c, i: F.struct((F.pow(F.col("x").cast("double") - c["a"], 2) + F.pow(F.col("y").cast("double") - c["b"], 2)).alias("d"), i.alias("c"))
-        return F.transform(all_, lambda run: F.array_min(F.transform(run, distance)))
+    def nearest(run: np.ndarray) -> Column:
+        """The cluster of a point."""
+        distance = lambda i, c: F.struct((F.pow(F.col("x").cast("double") - float(c[0]), 2) + F.pow(F.col("y").cast("double") - float(c[1]), 2)).alias("d"), F.lit(i).alias("c"))
+        return F.array_min(F.array(*(distance(i, c) for i, c in enumerate(run))))["c"]
 
     points = stored(points, "points")
     for _ in range(rounds):
-        near = points.select("x", "y", F.posexplode(nearest(centres)).alias("run", "n"))
-        sums = near.groupBy("run", F.col("n.c").alias("c")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.sum("n.d").alias("d")).collect()
-        cost, new = np.zeros(starts), centres.copy()
-        for s in sums:
-            new[s["run"], s["c"]] = s["x"], s["y"]
-            cost[s["run"]] += s["d"]
+        rows = points.mapInArrow(_run_sums(centres), "a array<double>").select(F.posexplode("a").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
+        sums = np.zeros(starts * k * 4)
+        for s in rows:  # a number for each run, cluster and moment
+            sums[s["at"]] = s["v"]
+        n, x, y, d = np.moveaxis(sums.reshape(starts, k, 4), 2, 0)
+        cost, new = d.sum(1), centres.copy()
+        new[n > 0] = np.stack([x[n > 0] / n[n > 0], y[n > 0] / n[n > 0]], 1)
         moved, centres = np.abs(new - centres).max(), new
         if moved < 1e-12:
             break
     release(points)
     best = centres[int(cost.argmin())]
-    out = areas.withColumn("_cluster", nearest(best[None])[0]["c"])
+    out = areas.withColumn("_cluster", nearest(best))
     return folds_from_centres(out, [(i, float(c[0]), float(c[1])) for i, c in enumerate(best)])
 
 

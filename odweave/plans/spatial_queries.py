@@ -215,7 +215,7 @@ def spatial_folds_lattice(spark, sf):
 def spatial_folds_kmeans(spark, sf):
     from odweave.operators import learning
 
-    return learning.kmeans_folds(V.areas(spark, sf)).select("area", "fold")
+    return learning.kmeans_folds(stored(V.areas(spark, sf), "areas")).select("area", "fold")
 
 
 _SIDES = """sides AS (SELECT r_name AS borough, unnest([[x, y, x + 1, y], [x + 1, y, x + 1, y + 1], [x, y + 1, x + 1, y + 1], [x, y, x, y + 1]]) AS s FROM cells JOIN nation ON area = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""

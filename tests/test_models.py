@@ -262,6 +262,20 @@ def test_folds_are_the_best_of_many_starts(spark):
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 5 and fold[0] == 0 and groups[3] == {4}
 
 
+def test_runs_of_k_means_give_one_row_a_task(spark):
+    points = np.random.default_rng(3).normal(size=(500, 2))
+    centres = np.random.default_rng(4).normal(size=(6, 3, 2))
+    df = spark.createDataFrame(points.tolist(), "x double, y double").repartition(4)
+    rows = df.mapInArrow(learning._run_sums(centres), "a array<double>").collect()
+    assert len(rows) <= 4
+    got = np.sum([r["a"] for r in rows], 0).reshape(6, 3, 4)
+    for run in range(6):
+        d = ((points[:, None] - centres[run]) ** 2).sum(2)
+        for c in range(3):
+            own = d.argmin(1) == c
+            assert got[run, c] == pytest.approx([own.sum(), *points[own].sum(0), d[own, c].sum()])
+
+
 def test_permutation_importance_is_one_program(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=(80, 2))
