@@ -219,7 +219,8 @@ def regression_metrics(spark, sf):
 
 
 def _folded(spark, sf):
-    return learning.strip_folds(V.model_frame(spark, sf))
+    """The frame with folds, a stored table: models read it once a round."""
+    return stored(learning.strip_folds(stored(V.model_frame(spark, sf), "frame")), "folds")
 
 
 @query(None)
@@ -378,7 +379,10 @@ def _estimators():
 def held_out_comparison(spark, sf):
     """OLS and both tree models on the same held-out fold, and the best tree model (E4)."""
     estimators = _estimators() | {"Gradient boosting": boosting.Settings(rounds=ROUNDS)}
-    return V.rounded(learning.compare_held_out(_folded(spark, sf), X, Y, estimators, key="area")[0])
+    f = _folded(spark, sf)
+    t = learning.compare_held_out(f, X, Y, estimators, key="area")[0]
+    release(f)
+    return V.rounded(t)
 
 
 @query(None)
