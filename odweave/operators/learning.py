@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 
 from odweave.operators import boosting
 from odweave.operators.grouping import numbered
-from odweave.operators.permutations import permuted
+from odweave.operators.permutations import PRIME, permuted_arrays
 from odweave.operators.regression import fit_ols, regression_metrics
+from odweave.operators.spatial import CHUNK, PLACES, _spread
 from odweave.storage import release, scratch_dir, stored
 
 # Fixed value: the seed of folds and models.
 SEED = 20260722
+#: Numbers that a block of permuted rows may hold (32 MB).
+CELLS = 1 << 22
 
 
 def folds_from_centres(assigned: DataFrame, centres: list[tuple[int, float, float]]) -> DataFrame:
@@ -137,22 +140,72 @@ def cross_validate(df: DataFrame, estimator, features: list[str], response: str,
     return df.sparkSession.createDataFrame(rows, "fold int, n long, r2 double, rmse double, mae double")
 
 
+def _dealt_features(n: int, k: int, repeats: int, block: int):  # noqa: ANN202
+    """Of batches of (_k, x0, x1, ...): for each block of places, where the permutations of each of the k features put its values."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(start, CHUNK)
+                at = part.column("_k").to_numpy()
+                place = np.concatenate([permuted_arrays(at, n, f * repeats + np.arange(1, repeats + 1), inverse=True) for f in range(k)]).ravel()
+                r = np.repeat(np.arange(k * repeats, dtype=np.int32), len(at))
+                v = np.concatenate([np.tile(part.column(f"x{f}").to_numpy(), repeats) for f in range(k)])
+                by = np.argsort(place // block, kind="stable")
+                place, r, v = place[by], r[by], v[by]
+                blocks, first = np.unique(place // block, return_index=True)
+                ends = [*first[1:], len(place)]
+                cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(blocks), cut(r), cut((place % block).astype(np.int32)), cut(v)], names=["b", "r", "at", "v"])
+
+    return deal
+
+
+def _mixed_rows(k: int, repeats: int, block: int):  # noqa: ANN202
+    """A block's rows (_k, a, x0, x1, ...) once for each permutation r, with the values that it deals them."""
+
+    def mix(values: pa.Table, rows: pa.Table) -> pa.Table:
+        at = rows.column("_k").to_numpy() % block
+        new = np.zeros((k * repeats, block))
+        for r, place, v in zip(*(values.column(c).to_pylist() for c in ("r", "at", "v")), strict=True):
+            new[np.frombuffer(r, np.int32), np.frombuffer(place, np.int32)] = np.frombuffer(v)
+        new = new[:, at]
+        columns = []
+        for f in range(k):
+            x = np.tile(rows.column(f"x{f}").to_numpy(), (k * repeats, 1))
+            x[f * repeats : (f + 1) * repeats] = new[f * repeats : (f + 1) * repeats]
+            columns.append(pa.array(x.ravel()))
+        a = pa.concat_arrays(rows.column("a").chunks * (k * repeats))
+        return pa.Table.from_arrays([pa.array(np.repeat(np.arange(1, k * repeats + 1, dtype=np.int32), len(at))), a, *columns], names=["r", "a", *(f"x{f}" for f in range(k))])
+
+    return mix
+
+
 def permutation_importance(model, df: DataFrame, features: list[str], response: str, key: str, repeats: int = 30) -> DataFrame:  # noqa: ANN001
     """(feature, mean, sd, rank) of the drop of R2 when a feature's values are dealt anew: repeat r of the f-th feature gives each row the value of the
-    row whose rank in key order is its own rank under permutation f * repeats + r + 1.  All features and repeats are one program without a sort."""
-    base = score_model(model, assembled(df, features), response)["r2"]
-    rows = stored(numbered(df.select(key, response, *features), [F.col(key)], "_k").withColumn("_k", F.col("_k") - 1), "numbered")
-    places = rows.select(F.col("_k").alias("_at"), "_k").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(repeats * len(features)))))
-    dealt = permuted(places, "_k", rows.count(), repeats * len(features)) if features else places
-    dealt = dealt.withColumn("_f", F.floor((F.col("r") - 1) / repeats).cast("int"))
-    values = rows.select("_k", F.posexplode(F.array(*(F.col(f).cast("double") for f in features))).alias("_f", "_new"))
-    mixed = dealt.join(values, ["_k", "_f"]).drop("_k").join(rows.withColumnRenamed("_k", "_at"), "_at")
-    mixed = mixed.withColumns({c: F.when(F.col("_f") == i, F.col("_new")).otherwise(F.col(c).cast("double")) for i, c in enumerate(features)}).withColumn("f", F.get(F.array(*map(F.lit, features)), F.col("_f")))
-    e = model.transform(assembled(mixed, features))
-    a, p = F.col(response), F.col("_p")
+    row whose rank in key order is its own rank under permutation f * repeats + r + 1.  All features and repeats are one program without a sort: values
+    are sent, packed, to the blocks of places where the permutations put them, and meet the blocks' rows there."""
+    base, k = score_model(model, assembled(df, features), response)["r2"], len(features)
+    kind = "feature string, mean double, sd double, rank int"
+    if not k:
+        return df.sparkSession.createDataFrame([], kind)
+    x = [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
+    rows = numbered(df.select(F.col(key).alias("_key"), F.col(response).cast("double").alias("a"), *x), [F.col("_key")], "_k")
+    rows = stored(rows.withColumn("_k", F.col("_k") - 1).drop("_key"), "numbered")
+    n = rows.count()
+    if n >= PRIME:
+        raise ValueError(f"{n} places; at most {PRIME - 1}")
+    block = max(1, min(PLACES, max(64, n // 64), CELLS // (k * repeats * (k + 2))))
+    dealt = _spread(rows.drop("a"), n, "_k").mapInArrow(_dealt_features(n, k, repeats, block), "b long, r binary, at binary, v binary")
+    own = rows.withColumn("b", F.floor(F.col("_k") / block))
+    mixed = dealt.groupBy("b").cogroup(own.groupBy("b")).applyInArrow(_mixed_rows(k, repeats, block), "r int, a double, " + ", ".join(f"x{i} double" for i in range(k)))
+    e = model.transform(assembled(mixed, [f"x{i}" for i in range(k)]))
+    a, p = F.col("a"), F.col("_p")
     r2 = 1 - F.sum((a - p) * (a - p)) / (F.var_pop(a) * F.count("*"))
-    drops = e.groupBy("f", "r").agg((F.lit(base) - r2).alias("drop"))
-    out = drops.groupBy(F.col("f").alias("feature")).agg(F.avg("drop").alias("mean"), F.stddev_pop("drop").alias("sd"))
+    drops = stored(e.groupBy("r").agg((F.lit(base) - r2).alias("drop")), "drops")  # a row for each feature and repeat
+    release(rows)
+    feature = F.get(F.array(*map(F.lit, features)), F.floor((F.col("r") - 1) / repeats).cast("int"))
+    out = drops.groupBy(feature.alias("feature")).agg(F.avg("drop").alias("mean"), F.stddev_pop("drop").alias("sd"))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), "feature")))  # one row a feature
 
 

@@ -390,18 +390,20 @@ def e8_tree_models(spark, sf):
     """Raw and normalised entropy in the boosted model: test metrics, importance with its rank, mean absolute SHAP value and shape of the
     entropy (E8).  Areas with one origin at most have no normalised entropy, which is an error."""
     m = _monthly_frame(spark, sf).select("area", "y", "flow_entropy", "h", F.col("unique_origins").cast("double").alias("unique_origins"), "weekday_weekend_ratio")
-    if m.where("h IS NULL").limit(1).count():
-        raise ValueError("normalised entropy is missing where an area has one origin at most")
     m = learning.strip_folds(m.fillna(0.0, ["weekday_weekend_ratio"]).join(V.areas(spark, sf).select("area", "x", F.col("y").alias("row")), "area"))
     m = stored(m, "entropy")
+    if m.where("h IS NULL").limit(1).count():
+        release(m)
+        raise ValueError("normalised entropy is missing where an area has one origin at most")
     rows = []
     for basis, entropy, rules in (("raw", "flow_entropy", shapes.RULES), ("normalised", "h", shapes.SHORT_RULES)):
         names = [entropy, "unique_origins", "weekday_weekend_ratio"]
         table, fitted = learning.compare_held_out(m, names, "y", {"Gradient boosting": learning.boosted_trees(ROUNDS)})
         model, t = fitted["Gradient boosting"], table.where("model != 'OLS'").first()
         imp = learning.permutation_importance(model, m.where("fold = 0"), names, "y", "area").where(F.col("feature") == entropy).first()
-        shap = m.join(learning.shap_values(model, m, names, "area"), "area")
+        shap = stored(m.join(learning.shap_values(model, m, names, "area"), "area").select(entropy, f"shap_{entropy}"), "shap")
         shape = shapes.shape_table(shap, {entropy: f"shap_{entropy}"}, rules=rules).first()
+        release(shap)
         rows.append((basis, t["cv_r2"], t["test_r2"], t["rmse"], imp["mean"], int(imp["rank"]), shape["mean_abs_value"], shape["shape"]))
     release(m)
     return V.rounded(spark.createDataFrame(rows, "basis string, cv_r2 double, test_r2 double, rmse double, entropy_importance double, entropy_importance_rank int, entropy_mean_abs_shap double, entropy_shape string"))
