@@ -7,9 +7,12 @@ or too many words in repeated windows, fail a document whatever its score.
 
 The threshold is the score of the RARE-th part of trusted documents from below: one in FOLD of them is kept out of the counts for it.
 
-Bounds: the trusted sample has at most TRUSTED documents (those with the least crc32 of their ids), whose ids are broadcast; raw counts,
-scores and rules cover all documents and whole texts; BUCKETS weights are a constant of the plan.  All work is row-local but for the sum of
-BUCKETS counts.
+Bounds: counts, threshold, scores and rules cover all documents and whole texts, target counts all trusted ones; BUCKETS weights are a constant
+of the plan.  Up to NEAR trusted ids are broadcast and all work is row-local but for the sum of BUCKETS counts; beyond, rows that a bitmap of
+at most 16 MB finds possibly trusted are exchanged by id, and the others stay where they are.
+
+The SQL below still counts the TRUSTED documents with the least crc32 of their ids: up to TRUSTED documents labelled as good the two are the
+same, beyond they differ.
 
 Defined cases: a null text is an empty text, which has no features, score 0 and fails for its few words; rows with a null doc_id take
 part and are never trusted; rows that repeat a doc_id are scored each; labels that repeat a doc_id trust it if any of them does; without
@@ -22,10 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from odweave.llm.common import fold_column
+from odweave.llm.common import bitmap_filter, fold_column
 
-#: Features; trusted documents at most; one in FOLD of them calibrates; one in RARE of those may fall below the threshold.
+#: Features; trusted documents of the SQL; one in FOLD of them calibrates; one in RARE of those may fall below the threshold.
 BUCKETS, TRUSTED, FOLD, RARE = 10_000, 20_000, 5, 1_000
+#: Trusted ids that are broadcast at most.
+NEAR = 20_000
 #: Rules: least number of words, words of a window, largest percentage of words in repeated windows.
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30  # WINDOW: a power of two
 #: Scores are compared with thresholds in steps of 1 / STEPS.
@@ -95,15 +100,23 @@ def with_rules(rows: DataFrame) -> DataFrame:
 
 
 def trusted(labels: DataFrame) -> DataFrame:
-    """(doc_id, _qr_fit): at most TRUSTED trusted documents, and which of them are counted."""
-    good = labels.where("doc_id IS NOT NULL AND quality = 1").select("doc_id").distinct()
-    least = good.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(TRUSTED)
-    return least.withColumn("_qr_fit", fold_column(FOLD) != 0)
+    """(doc_id, _qr_fit): all trusted documents, and which of them are counted."""
+    return labels.where("doc_id IS NOT NULL AND quality = 1").select("doc_id").distinct().withColumn("_qr_fit", fold_column(FOLD) != 0)
+
+
+def _with_trust(docs: DataFrame, ids: DataFrame, all_rows: bool) -> DataFrame:
+    """docs (doc_id, text) with _qr_fit of the ids (null: not among them); all_rows=False: those that are among them."""
+    if ids.limit(NEAR + 1).count() <= NEAR:
+        return docs.join(F.broadcast(ids), "doc_id", "left" if all_rows else "inner")
+    key = F.xxhash64(F.col("doc_id").cast("string"))
+    keyed, keys = docs.withColumn("_qr_key", key), ids.select(key.alias("_qr_key"))
+    maybe = bitmap_filter(keyed, "_qr_key", keys).drop("_qr_key").join(ids.hint("shuffle_hash"), "doc_id", "left" if all_rows else "inner")
+    return maybe.unionByName(bitmap_filter(keyed, "_qr_key", keys, keep=False).drop("_qr_key").withColumn("_qr_fit", F.lit(None).cast("boolean"))) if all_rows else maybe
 
 
 def learn_weights(docs: DataFrame, labels: DataFrame) -> list[int]:
     """Of each bucket, ln p_target - ln p_raw in millionths."""
-    rows = with_words(docs.select("doc_id", "text")).join(F.broadcast(trusted(labels).where("_qr_fit")), "doc_id", "left")
+    rows = with_words(_with_trust(docs.select("doc_id", "text"), trusted(labels).where("_qr_fit"), all_rows=True))
     each = rows.select(F.inline(F.arrays_zip(F.col("_qr_words").alias("v"), _after(F.col("_qr_words"), 1).alias("w"))), F.col("_qr_fit").isNotNull().alias("t"))
     each = each.select(F.explode(F.array(code(F.col("v")) % BUCKETS, bucket_of_pair(code(F.col("v")), code(F.col("w"))))).alias("b"), "t").where("b IS NOT NULL")
     counts = each.groupBy("b").agg(F.count("*").alias("raw"), F.count_if("t").alias("target"))
@@ -131,7 +144,7 @@ def with_score(rows: DataFrame, weights: list[int]) -> DataFrame:
 
 def threshold(docs: DataFrame, labels: DataFrame, weights: list[int]) -> float | None:
     """The least score to keep: of trusted documents that were not counted and pass the rules, one in RARE is below its step."""
-    held = docs.select("doc_id", "text").join(F.broadcast(trusted(labels).where("NOT _qr_fit")), "doc_id")
+    held = _with_trust(docs.select("doc_id", "text"), trusted(labels).where("NOT _qr_fit"), all_rows=False)
     steps = with_score(with_rules(with_words(held)), weights).where("NOT _qr_base_failed").groupBy(F.floor(F.col("_qr_score") * STEPS).alias("s")).agg(F.count("*").alias("n"))
     so_far = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)  # steps are a bounded number of rows
     at = steps.select("s", F.sum("n").over(so_far).alias("below"), F.sum("n").over(Window.partitionBy()).alias("all")).where(F.col("below") > F.floor(F.col("all") / RARE)).agg(F.min("s").alias("s")).first()["s"]
