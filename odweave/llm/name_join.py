@@ -1,9 +1,11 @@
 """Edit-distance name join by positional q-gram prefix filtering.
 
 Distance is the optimal string alignment: insertions, deletions, substitutions and exchanges of two neighbours, of code points, with no
-substring edited twice.  One such edit spoils at most Q + 1 of a name's q-grams (an exchange touches two code points), so names within ``most`` edits
-share, of their q-grams in any common order, one among the first most * (Q + 1) + 1 of each, at places that fit: if lengths
-differ by a and places by b, |b| edits or more are before the gram and |a - b| or more behind it, in all at most ``most``.
+substring edited twice.  One such edit spoils at most Q + 1 of a name's q-grams, at neighbouring places (an exchange touches two code points).  A name's
+prefix is the fewest of its q-grams, in an order common to all names, that ``most`` edits cannot all spoil: the places of most + 1 of them are more than Q
+apart, so it has between most + 1 and most * (Q + 1) + 1.  Names within ``most`` edits share a gram of both prefixes, at places that fit: if lengths
+differ by a and places by b, |b| edits or more are before the gram and |a - b| or more behind it, in all at most ``most``.  (Each prefix keeps a gram unspoilt.
+Were every such gram outside the other name's prefix, each prefix would end before the other's; equal grams go by place, and what is unspoilt keeps its order.)
 
 1. Distinct names only take part; what stands for their rows is joined later.
 2. Grams are ordered rare first, by counts over both sides in SLOTS slots (an array of fixed size; grams of a slot are ordered by
@@ -14,7 +16,8 @@ differ by a and places by b, |b| edits or more are before the gram and |a - b| o
 4. Names with fewer grams than a prefix needs meet the names of their length bucket (lengths that differ by at most ``most``), in blocks.
 5. The exact distance of each distinct pair decides.
 
-Nothing but the SLOTS counts is collected or broadcast by this module; keys with many rows are those of inner sort-merge joins, which Spark splits.
+Nothing but the SLOTS counts is collected or broadcast by this module: its joins are merge joins by hint, since Spark goes by the size of a stored file and knows
+neither what it holds unpacked nor the rows that an explosion makes of it.  Keys with many rows are those of inner joins, which Spark splits.
 
 Defined cases: null and empty names take no part; equal names are at distance 0; names of any length are compared whole; an empty side gives an
 empty result; only the named columns are read, so other columns may have any name.
@@ -103,11 +106,19 @@ def _profiled(names: DataFrame) -> DataFrame:
     return names.select("name", F.length("name").alias("n"), _grams(F.col("name")).alias("grams")).select("name", "n", "grams", _bits(F.split("name", "")).alias("chars"), _bits(F.col("grams")).alias("gset"))
 
 
+def _edits(places: Column) -> Column:
+    """The fewest edits that spoil the grams at all of the places: from the first on, each spoils those up to Q further."""
+    zero = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n"))
+    return F.aggregate(F.sort_array(places), zero, lambda x, p: F.when(p > x["end"], F.struct((p + Q).alias("end"), (x["n"] + 1).alias("n"))).otherwise(x), lambda x: x["n"])
+
+
 def _prefix(side: DataFrame, counts: list[int], most: int) -> DataFrame:
-    """A row for each of the rarest grams of the names that have enough: (name, n, chars, gset, gram, place)."""
+    """A row for each gram of the prefixes, rarest first, of the names that have enough: (name, n, chars, gset, gram, place)."""
     table = F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
-    ranked = F.array_sort(F.transform("grams", lambda g, i: F.struct(F.get(table, _slot(g)).alias("often"), g.alias("gram"), i.alias("place"))))
-    rows = side.where(F.size("grams") > most * (Q + 1)).select("name", "n", "chars", "gset", F.explode(F.slice(ranked, 1, most * (Q + 1) + 1)).alias("p"))
+    ranked = F.slice(F.sort_array(F.transform("grams", lambda g, i: F.struct(F.get(table, _slot(g)).alias("often"), g.alias("gram"), i.alias("place")))), 1, most * (Q + 1) + 1)
+    rows = side.where(F.size("grams") > most * (Q + 1)).select("name", "n", "chars", "gset", ranked.alias("ranked"))
+    enough = F.filter(F.sequence(F.lit(most + 1), F.lit(most * (Q + 1) + 1)), lambda k: _edits(F.slice("ranked.place", 1, k)) > most)
+    rows = rows.select("name", "n", "chars", "gset", F.explode(F.slice("ranked", 1, F.get(enough, F.lit(0)))).alias("p"))
     return rows.select("name", "n", "chars", "gset", "p.gram", "p.place")
 
 
@@ -133,7 +144,7 @@ def similar(left: DataFrame, right: DataFrame, most: int = 2) -> DataFrame:
     fits = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-most, most + 1) for b in range(-most, most + 1) if abs(b) + abs(a - b) <= most))
     asked = _right(_prefix(sides[1], counts, most)).withColumn("fit", F.explode(fits))
     asked = asked.select("rname", "rchars", "rgset", "gram", (F.col("n") + F.col("fit.a")).alias("n"), (F.col("place") + F.col("fit.b")).alias("place"))
-    found = _prefix(sides[0], counts, most).join(asked, ["gram", "n", "place"]).where(_near(most)).select("name", "rname")
+    found = _prefix(sides[0], counts, most).join(asked.hint("merge"), ["gram", "n", "place"]).where(_near(most)).select("name", "rname")
     pairs = stored(found.unionByName(_short(*sides, most)).distinct(), "pairs")
     distance = F.pandas_udf(lambda a, b: pd.Series([alignment_distance(x, y, most) for x, y in zip(a, b, strict=True)], dtype="int32"), "int")
     out = stored(pairs.withColumn("distance", distance("name", "rname")).where(F.col("distance") <= most), "similar")
@@ -149,7 +160,7 @@ def _short(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)))
     asked = _right(right.where(F.col("n") < least + most).withColumnRenamed("n", "rn"))
     asked = asked.withColumn("n", F.explode(F.sequence(F.greatest(F.col("rn") - most, F.lit(1)), F.col("rn") + most))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return rows.join(asked, ["n", "block"]).where((F.least("n", "rn") < least) & _near(most)).select("name", "rname")
+    return rows.join(asked.hint("merge"), ["n", "block"]).where((F.least("n", "rn") < least) & _near(most)).select("name", "rname")
 
 
 def link(clients: DataFrame, vendors: DataFrame, most: int = 2) -> DataFrame:
@@ -158,8 +169,8 @@ def link(clients: DataFrame, vendors: DataFrame, most: int = 2) -> DataFrame:
     crc = F.crc32(F.col("client_id").cast("string").cast("binary"))
     own = clients.where("name IS NOT NULL AND name <> ''").groupBy("name").agg(F.count("*").alias("n_clients"), F.min("client_id").alias("first_client_id"), F.sum(crc).alias("clients_crc"))
     pairs = similar(clients, vendors, most)
-    found = pairs.join(own, "name").groupBy("rname", "distance").agg(F.sum("n_clients").alias("n_clients"), F.min("first_client_id").alias("first_client_id"), F.sum("clients_crc").alias("clients_crc"))
-    return vendors.select("vendor_id", F.col("name").alias("rname")).join(found, "rname").drop("rname")
+    found = pairs.join(own.hint("merge"), "name").groupBy("rname", "distance").agg(F.sum("n_clients").alias("n_clients"), F.min("first_client_id").alias("first_client_id"), F.sum("clients_crc").alias("clients_crc"))
+    return vendors.select("vendor_id", F.col("name").alias("rname")).join(found.hint("merge"), "rname").drop("rname")
 
 
 def misspelt(vendors: DataFrame) -> DataFrame:

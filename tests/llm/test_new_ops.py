@@ -177,6 +177,45 @@ def test_similar_names_against_all_pairs(spark, monkeypatch, most):
     assert name_join.similar(frame(left), frame([]), most).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 2])
+def test_prefix_is_the_fewest_grams_that_edits_cannot_all_spoil(spark, most):
+    """By all choices of edits' places; names with repeated grams lose no pair."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    names = sorted({"".join(rng.choice([*"aab"], rng.integers(3, 13))) for _ in range(80)} | {"anna meyer", "abcdefghijklmnop", "ab" * 60})
+    frame = spark.createDataFrame([(x,) for x in names], "name string")
+    side, q = name_join._profiled(frame), name_join.Q
+    counts, got = name_join.gram_counts(side, side), collections.defaultdict(dict)
+    order = {r["g"]: (counts[r["s"]], r["g"]) for r in side.select(F.explode("grams").alias("g")).distinct().withColumn("s", name_join._slot(F.col("g"))).collect()}
+    for r in name_join._prefix(side, counts, most).collect():
+        got[r["name"]][(*order[r["gram"]], r["place"])] = r["gram"]
+    assert set(got) == {x for x in names if len(x) >= most * (q + 1) + q}
+    spoilt = lambda places: any(all(any(e <= p <= e + q for e in edits) for p in places) for edits in itertools.combinations_with_replacement(places, most))
+    for name, grams in got.items():
+        all_ = sorted((*order[name[i : i + q]], i) for i in range(len(name) - q + 1))
+        assert sorted(grams) == all_[: len(grams)] and all(name[i : i + q] == g for (_, _, i), g in grams.items())
+        places = [i for _, _, i in sorted(grams)]
+        assert not spoilt(places) and spoilt(places[:-1])
+    assert min(map(len, got.values())) < most * (q + 1) + 1
+    want = {(a, b, d) for a in names for b in names if abs(len(a) - len(b)) <= most and (d := plain_osa(a, b)) <= most}
+    assert {tuple(r) for r in name_join.similar(frame, frame, most).select("name", "rname", "distance").collect()} == want
+
+
+def test_names_are_joined_without_broadcasts(spark, monkeypatch):
+    """Small files, of which Spark would broadcast what an explosion makes: tens of rows a name in the driver."""
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(name_join, "stored", lambda df, name, f=name_join.stored: plan(df) or f(df, name))
+    assert int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()) > 0
+    got = queries.op12_name_join(spark, SF)
+    assert got.count()
+    plan(got)
+    assert len(plans) == 5 and sum("SortMergeJoin" in p for p in plans) == 2 and not any("Broadcast" in p for p in plans)
+
+
 def test_link_counts_clients(spark):
     clients = spark.createDataFrame([(5, "anna meyer"), (3, "anna meyer"), (9, "anna meyre"), (None, "anna meyer"), (7, None), (8, "")], "client_id long, name string")
     vendors = spark.createDataFrame([(1, "anna meyer"), (2, "anna meyer"), (3, "bob"), (4, None), (None, "anna meyerxx")], "vendor_id long, name string")
